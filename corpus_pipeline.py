@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folio.llm import mixing, sharding
+from folio.llm.decontamination import decontaminated
 from folio.llm.ngram_join import least_of_component
 from folio.llm.runtime import stored, table
 
@@ -13,7 +16,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return least_of_component(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that repeat no passage of a benchmark item."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard."""
+    return sharding.with_shard(docs, F.col("doc_id"))
+
+
+STAGES = [
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", benchmark_leaks),
+    ("source_mix", source_mix),
+    ("sharding", shards),
+]
 
 ORACLE_SQL = None
 

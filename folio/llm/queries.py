@@ -6,9 +6,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folio.llm import decontamination as deco
+from folio.llm import mixing, sharding
 from folio.llm.ngram_join import ngram_components
 from folio.llm.runtime import table
+from folio.llm.url_filters import ENTRY_SCHEMA, judged
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +20,51 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by its id."""
+    return sharding.with_shard(table(spark, sf_dir, "documents"), F.col("doc_id")).select("doc_id", "slot", "shard")
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+
+
+#: The dated lists of the URL filter: (list, effect, pattern, action, day).
+LIST_LOG = (
+    ("gambling", "block", "casino-win.example.com", "add", "2023-11-01"),
+    ("gambling", "block", "free-bets.example.com", "add", "2024-03-15"),
+    ("gambling", "block", "free-bets.example.com", "remove", "2024-09-01"),
+    ("adult", "block", "adult-x.example.net", "add", "2024-02-01"),
+    ("adult", "block", "adult-x.example.net", "remove", "2024-05-01"),
+    ("adult", "block", "adult-x.example.net", "add", "2024-06-15"),
+    ("pharmacy", "block", "cheap-pills.example.com", "add", "2024-01-20"),
+    ("spam", "block", "spam-farm.example.com", "add", "2023-01-01"),
+    ("spam", "block", "ads-track.example.com", "add", "2024-04-01"),
+    ("reviewed", "allow", "www.spam-farm.example.com/en/", "add", "2024-07-01"),
+    ("reviewed", "allow", "m.ads-track.example.com/de/", "add", "2024-04-01"),
+    ("reviewed", "allow", "m.ads-track.example.com/de/", "remove", "2024-10-01"),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the lists that held when it was fetched.
+
+    The table has no fetch time; a page's is the hour page_id * 7 of the leap
+    year 2024, taken round.
+    """
+    hour = F.pmod(F.col("page_id") * 7, F.lit(8784))
+    fetched = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), hour.cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    rows = ", ".join(f"('{a}', '{b}', '{c}', '{d}', timestamp'{e} 00:00:00')" for a, b, c, d, e in LIST_LOG)
+    entries = spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(x.split()[0] for x in ENTRY_SCHEMA.split(', '))})")
+    return judged(pages, entries).select("page_id", "url", "fetched_at", "host", "matched_list", "matched_pattern", "kept")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items that share a passage."""
+    return deco.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op6_source_mix, op7_url_filter, op10_decontamination)}
