@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import mixing, sharding
+from folio.llm import byte_cnn, mixing, sharding
 from folio.llm.decontamination import decontaminated
 from folio.llm.ngram_join import least_of_component
 from folio.llm.runtime import stored, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier gives a probability of good quality of a half or more."""
+    net = byte_cnn.learned(docs, table(spark, sf_dir, "labels"))
+    return byte_cnn.scored(docs, net).where("score >= 0.5").drop("score")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return least_of_component(docs)
@@ -32,6 +38,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("ngram_jaccard_join", near_duplicates),
     ("decontamination", benchmark_leaks),
     ("source_mix", source_mix),

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import byte_cnn, mixing, sharding
 from folio.llm import decontamination as deco
-from folio.llm import mixing, sharding
 from folio.llm.ngram_join import ngram_components
+from folio.llm.pii import pii_spans
+from folio.llm.quality_rules import quality_votes
 from folio.llm.runtime import table
 from folio.llm.url_filters import ENTRY_SCHEMA, judged
 
@@ -25,6 +27,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shard(table(spark, sf_dir, "documents"), F.col("doc_id")).select("doc_id", "slot", "shard")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether it is kept by its posterior."""
+    votes = quality_votes(table(spark, sf_dir, "documents"))
+    return votes.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document by a network learned from labels outside fold 1."""
+    return byte_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -67,4 +85,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deco.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op6_source_mix, op7_url_filter, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_pii, op6_source_mix, op7_url_filter, op8_quality_classifier, op10_decontamination,
+    )
+}

@@ -19,6 +19,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of words of letters and digits: every other ASCII character.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
@@ -42,6 +44,18 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which ``span_hashes`` takes the hash of any span of the data."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * _power_tables(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    inverse = _power_tables(len(total))[1]
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 @dataclass
 class Words:
     """The words of documents ``first`` to ``first + len(counts) - 1`` of a column."""
@@ -84,13 +98,13 @@ def byte_blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, np.n
         at = to
 
 
-def words(column: pa.Array, lower: bool = False, hashed: bool = True) -> Iterator[Words]:
-    """The words of a string column, block by block; ``lower`` folds A-Z."""
+def words(column: pa.Array, lower: bool = False, hashed: bool = True, space: np.ndarray = _SPACE) -> Iterator[Words]:
+    """The words of a string column, block by block; ``lower`` folds A-Z, ``space`` marks what parts words."""
     for first, data, bounds in byte_blocks(column):
         if lower:
             data = _LOWER[data]
         n = len(data)
-        other = ~_SPACE[data]
+        other = ~space[data]
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         begin = other.copy()
@@ -102,10 +116,7 @@ def words(column: pa.Array, lower: bool = False, hashed: bool = True) -> Iterato
         counts = np.diff(np.searchsorted(starts, bounds))
         hashes = np.zeros(0, np.uint64)
         if hashed and len(starts):
-            power, inverse = _power_tables(n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((data + np.uint64(1)) * power[:n], out=total[1:])
-            hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+            hashes = span_hashes(prefix_sums(data), starts, ends)
         yield Words(first, data, bounds, starts, ends, counts, hashes)
 
 
