@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from folio.llm import byte_cnn, mixing, sharding
 from folio.llm import decontamination as deco
+from folio.llm.language_id import page_languages
+from folio.llm.licenses import license_matches
 from folio.llm.ngram_join import ngram_components
 from folio.llm.pii import pii_spans
 from folio.llm.quality_rules import quality_votes
@@ -38,6 +40,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, by text, markup, address and host."""
+    return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every document that holds a licence notice."""
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document by a network learned from labels outside fold 1."""
     return byte_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -88,6 +100,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_pii, op6_source_mix, op7_url_filter, op8_quality_classifier, op10_decontamination,
+        op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_pii, op5_language_id, op6_source_mix, op7_url_filter, op8_quality_classifier,
+        op9_license_scan, op10_decontamination,
     )
 }
