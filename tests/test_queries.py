@@ -1,0 +1,31 @@
+"""Every query with an SQL twin gives the rows that DuckDB gives."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from folio.plans.queries import ORACLES, QUERIES
+
+DATA = Path("/root/testdata/sf0.001")
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+def plain(frame):
+    frame = frame[sorted(frame.columns)].astype(object).where(frame[sorted(frame.columns)].notna(), None)
+    return sorted(repr([round(float(v), 6) if isinstance(v, float) else int(v) if hasattr(v, "bit_length") and not isinstance(v, bool) else v for v in row]) for row in frame.itertuples(index=False, name=None))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sql, name):
+    got, want = QUERIES[name](spark, str(DATA)).toPandas(), sql.execute(ORACLES[name]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
