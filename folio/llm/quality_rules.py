@@ -157,7 +157,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tu
         rate = np.clip((good.sum() + 1) / (counts.sum() + 2), 0.01, 0.99)
         odds = float(np.log(rate) - np.log1p(-rate))
         fresh = 1 / (1 + np.exp(-np.clip(odds + np.einsum("rv,prv->p", weights, hot), -500, 500)))
-        if np.abs(fresh - posterior).max() < 1e-9:
+        if np.abs(fresh - posterior).max(initial=0) < 1e-9:
             break
         posterior = fresh
     return odds, weights
