@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from folio.llm.runtime import stored
 
 
+def _sums(edges: DataFrame) -> tuple:
+    """Number of edges and sums of their hashes: two rounds with the same are taken to be equal."""
+    a, b = F.xxhash64("u", "v"), F.xxhash64("v", F.lit(1), "u")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(a), F.sum(F.shiftright(b, 16))).first())
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of an edge: the least node of its component.
 
@@ -18,17 +24,17 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """
     now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = stored(now, "edges")
-    while True:
+    seen = _sums(now)
+    while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        after = stored(small, "edges")
-        # both lie below: equal when neither has a row that the other lacks
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        now = stored(small, "edges")
+        before, seen = seen, _sums(now)
+        if seen == before:
             break
-        now = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)

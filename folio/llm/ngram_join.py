@@ -11,8 +11,8 @@ which is exact or only leaves out work that cannot matter:
    it. Linked sets need no search among each other, so a large group of near
    copies costs no more than its rows.
 4. *Possible rows again*, now counting only what other groups share.
-5. *Search.* The sets that are left meet at the tokens of their prefixes, and
-   DivideSkip finds the links between groups, whole.
+5. *Search.* The sets that are left meet by the tokens of their prefixes, and
+   DivideSkip finds every link between groups.
 6. *Components* of all links.
 """
 
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm.components import component_labels
@@ -32,9 +33,11 @@ from folio.llm.runtime import partitions, stored
 from folio.llm.words import mix, shingle_sets
 
 SHINGLE = 5
+#: Rows whose tokens a task holds at once.
+SLICE_ROWS = 2_500
 #: Tokens of a block of the contraction, which bounds a task's memory.
 BLOCK_TOKENS = 1_000_000
-#: Sets of one inverted list that are searched in one task; longer lists are searched part by part.
+#: Sets that are searched in one task; more are searched list by list, and long lists part by part.
 LIST_PART = 2_000
 
 _SETS = "key long, group long, n long, tokens binary"
@@ -52,9 +55,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _text_sets(k: int, once: bool):
-    """Reads batches of (key, text); with ``once``, the first row of each set only."""
+    """Reads batches of (key, text); with ``once``, the first row of each set only, whose key is the digest."""
 
-    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    def read(whole: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for at in range(0, whole.num_rows, SLICE_ROWS):
+            yield from of_slice(whole.slice(at, SLICE_ROWS))
+
+    def of_slice(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         parts = list(shingle_sets(batch["text"], k))
         if not parts:
             return
@@ -66,7 +73,8 @@ def _text_sets(k: int, once: bool):
             keep[np.unique(groups, return_index=True)[1]] = True
             keep &= sizes > 0
             tokens = tokens[np.repeat(keep, sizes)]
-            keys, groups, sizes = keys[keep], groups[keep], sizes[keep]
+            groups, sizes = groups[keep], sizes[keep]
+            keys = groups.view(np.int64)
         yield keys, groups, sizes, tokens
 
     return read
@@ -83,9 +91,10 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _keyed(docs, id_col, text_col).mapInArrow(run, "key long, n long, digest long")
 
 
-def _stored_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+def _stored_sets(whole: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
     """Reads batches of (key, group, n, tokens)."""
-    if batch.num_rows:
+    for at in range(0, whole.num_rows, SLICE_ROWS):
+        batch = whole.slice(at, SLICE_ROWS)
         tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint64)
         yield np.asarray(batch["key"], np.int64), np.asarray(batch["group"], np.int64).view(np.uint64), np.asarray(batch["n"], np.int64), tokens
 
@@ -136,39 +145,55 @@ def _least_tokens(sets: DataFrame, seed: int) -> DataFrame:
     return met.repartition(partitions(sets.sparkSession), "least").sortWithinPartitions("least", "key")
 
 
-def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(token, key, group): the least tokens of each set, of which any two linked sets share one.
-
-    Without the T - 1 last tokens of its sorted set, a set still shares a token
-    with every set it overlaps in T.
-    """
+def _postings(sets: DataFrame) -> DataFrame:
+    """(token, key, group, n): every token of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, groups, sizes, tokens in _stored_sets(batch):
-                need = -(-threshold * sizes // 100)
-                length = sizes - need + 1
-                begins = np.cumsum(sizes) - sizes
-                at = np.repeat(begins - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tokens[at], np.repeat(keys, length), np.repeat(groups, length))], names=["token", "key", "group"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tokens, np.repeat(keys, sizes), np.repeat(groups, sizes), np.repeat(sizes, sizes))], names=["token", "key", "group", "n"])
+
+    return sets.mapInArrow(run, "token long, key long, group long, n long")
 
-    return sets.mapInArrow(run, "token long, key long, group long")
+
+def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(token, key, lists' length k): tokens of each set of which any two linked sets of different groups share one.
+
+    Such sets share T tokens, all of which several groups have. Without the
+    T - 1 of these that have the longest lists, a set still shares one with
+    every set that it is linked with: the lists that are merged are the short
+    ones.
+    """
+    posts = _postings(sets)
+    lists = posts.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("k")).where("lo != hi")
+    shared = posts.join(lists.select("token", "k"), "token")
+    of_set = W.partitionBy("key")
+    need = F.ceil(F.col("n") * threshold / 100)
+    ranked = shared.withColumn("rank", F.row_number().over(of_set.orderBy("k", "token"))).withColumn("all", F.count("*").over(of_set))
+    return ranked.where(F.col("rank") <= F.col("all") - need + 1).select("token", "key", "group", "k")
 
 
 def group_links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): every link between sets of different groups, found by DivideSkip.
 
-    Sets meet at each prefix token that several groups have. A list of more
-    than ``LIST_PART`` sets is cut into parts, and each two parts meet.
+    Sets that reach each other by prefix tokens are searched in one task, once.
+    Where these are more than ``LIST_PART``, the sets of each list meet by
+    themselves, in a long list each two of its parts.
     """
     posts = stored(_prefixes(sets, threshold), "prefixes")
-    lists = posts.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("k")).where("lo != hi")
-    parts = posts.join(lists.select("token", F.ceil(F.col("k") / LIST_PART).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    least = posts.groupBy("token").agg(F.min("key").alias("least"))
+    met = component_labels(posts.join(least, "token").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    met = met.select(F.col("node").alias("key"), F.col("label").alias("unit"))
+    large = met.groupBy("unit").count().where(F.col("count") > LIST_PART).select("unit")
+    whole = met.join(large, "unit", "left_anti").select("unit", "key")
+
+    parts = posts.join(met.join(large, "unit", "left_semi").select("key"), "key", "left_semi")
+    parts = parts.withColumn("parts", F.ceil(F.col("k") / LIST_PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    met = parts.select("key", "token", "part", other)
-    unit = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("unit")
-    met = met.select("key", unit, (F.col("part") <= F.col("other")).alias("first"))
-    placed = met.join(sets.withColumnRenamed("group", "cluster"), "key").select("unit", "key", "cluster", "tokens")
+    split = parts.select("key", "token", "part", other).select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "key").distinct()
+    placed = whole.unionByName(split).join(sets.withColumnRenamed("group", "cluster"), "key").select("unit", "key", "cluster", "tokens")
+    # a search costs more than its bytes tell: as many tasks as there are partitions
+    placed = placed.repartition(partitions(sets.sparkSession), "unit")
 
     def run(table: pa.Table) -> pa.Table:
         index, ids, out = DivideSkip(threshold), [], []
@@ -198,7 +223,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = _keyed(docs, id_col, text_col)
     classes = stored(document_classes(docs, id_col, text_col, k), "classes")
     possible = stored(possible_rows(keyed, _text_sets(k, True), threshold), "possible")
-    texts = keyed.join(possible, "key", "left_semi")
+    # one row of each class that is possible
+    chosen = classes.join(possible.withColumnRenamed("key", "digest"), "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
+    texts = keyed.join(chosen, "key", "left_semi")
     # equal sets have equal tokens: any of the rows stands for the class
     sets = stored(texts.mapInArrow(lambda b: _as_sets(b, k), _SETS).dropDuplicates(["key"]), "sets")
 

@@ -120,14 +120,16 @@ def _post(sets: Sets, shards: int, buckets: int, threshold: int) -> Iterator[tup
     local = np.bincount(o[here], minlength=len(keys))
     # a token that groups share within this batch is counted here, and goes on once, for nobody
     t, o = np.concatenate([t[~here], t[begins[several]]]), np.concatenate([o[~here], np.full(several.sum(), len(keys))])
-    keys_, groups_ = np.concatenate([keys, [-1]]), np.concatenate([groups, [_NOBODY]])
+    keys_, groups_ = np.concatenate([keys, [0]]), np.concatenate([groups, [_NOBODY]])
+    same = bool((keys.view(np.uint64) == groups).all())  # each row is a group: one number tells both
     by, bounds = _split((t >> np.uint64(40)).astype(np.int64) % shards, shards)
     for s in range(shards):
         mine = by[bounds[s] : bounds[s + 1]]
         if len(mine):
             mine = mine[np.argsort(o[mine], kind="stable")]
             who, n = np.unique(o[mine], return_counts=True)
-            yield s, -1, b"".join((np.int64(len(who)).tobytes(), keys_[who].tobytes(), groups_[who].tobytes(), n.astype(np.int32).tobytes(), t[mine].astype(np.uint32).tobytes()))
+            own = b"" if same else groups_[who].tobytes()
+            yield s, -1, b"".join((np.int64(-len(who) if same else len(who)).tobytes(), keys_[who].tobytes(), own, n.astype(np.int32).tobytes(), t[mine].astype(np.uint32).tobytes()))
     by, bounds = _split((mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets)
     lacks = -(-threshold * sizes // 100) - local
     for b in range(buckets):
@@ -144,8 +146,9 @@ def _count(table: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
             yield bucket, raw.to_pybytes()
             continue
         m = int(np.frombuffer(raw, np.int64, 1)[0])
-        keys, groups = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw, np.uint64, m, 8 + 8 * m)
-        parts.append((keys, groups, np.frombuffer(raw, np.int32, m, 8 + 16 * m), np.frombuffer(raw, np.uint32, -1, 8 + 20 * m)))
+        at, m = (8 + 8 * m, m) if m > 0 else (8, -m)
+        keys, groups, at = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw, np.uint64, m, at), at + 8 * m
+        parts.append((keys, groups, np.frombuffer(raw, np.int32, m, at), np.frombuffer(raw, np.uint32, -1, at + 4 * m)))
     if not parts:
         return
     keys, groups, n, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -155,6 +158,11 @@ def _count(table: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
     g = groups[o]
     begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     shared = np.repeat(np.minimum.reduceat(g, begins) != np.maximum.reduceat(g, begins), np.diff(np.concatenate([begins, [len(t)]])))
+    if len(np.unique(keys)) < len(keys):  # a row that several batches posted has each token once
+        again = np.lexsort((keys[o], t))
+        twice = np.zeros(len(t), bool)
+        twice[again[1:]] = (t[again][1:] == t[again][:-1]) & (keys[o][again][1:] == keys[o][again][:-1])
+        shared &= ~twice
     count = np.bincount(o[shared], minlength=len(keys))
     has = np.flatnonzero((count > 0) & (groups != _NOBODY))
     keys, count = keys[has], count[has]
@@ -172,7 +180,7 @@ def _settle(table: pa.Table) -> pa.Table:
         m = raw.size // 13
         parts.append((np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.int32, m, 8 * m), np.frombuffer(raw, np.int8, m, 12 * m)))
     keys, count, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-    # of the same key's own entries (a row that repeats) the largest start counts: too many rows may pass, never too few
+    # of the same key's own entries (a set that several batches hold) the largest start counts: too many rows may pass, never too few
     uniq, at = np.unique(keys, return_inverse=True)
     start = np.full(len(uniq), np.iinfo(np.int64).min // 2)
     np.maximum.at(start, at[own == 1], count[own == 1])
@@ -203,7 +211,7 @@ def possible_rows(df: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sets]
     for that batch, so a very frequent token makes no long list.
     """
     p = partitions(df.sparkSession)
-    shards, buckets = 4 * p, p
+    shards, buckets = p, max(4, p // 4)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
