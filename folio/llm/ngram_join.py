@@ -107,27 +107,40 @@ def _as_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 
 def contracted(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(key, leader) for every set: a set before it in its block that it is linked with, or itself.
+    """(key, leader) for every set: the first set of its block that it reaches by links found there, or itself.
 
-    Only sets without a leader are indexed, so that a block of near copies
-    costs a search of one list entry for each of its tokens.
+    Only sets that are linked with none before them are indexed, so that a
+    block of near copies costs little more than its rows; a set that is linked
+    with several of these joins them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, leaders = DivideSkip(threshold), []
+        index, leaders, parent, held = DivideSkip(threshold), [], [], []
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([leaders[root(i)] for _, i in held], pa.int64())], names=["key", "leader"])
+
         for batch in batches:
-            out = []
             for key, body in zip(batch["key"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
                 if index.postings >= BLOCK_TOKENS:
-                    index, leaders = DivideSkip(threshold), []
+                    yield block()
+                    index, leaders, parent, held = DivideSkip(threshold), [], [], []
                 tokens = np.frombuffer(body, np.uint64).tolist()
                 found = index.search(tokens)
                 if not found:
-                    index.add(tokens)
+                    parent.append(index.add(tokens))
                     leaders.append(key)
-                out.append((key, leaders[found[0]] if found else key))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["key", "leader"])
+                    found = [len(leaders) - 1]
+                held.append((key, found[0]))
+                for other in found[1:]:  # a set that is linked with two joins them
+                    parent[max(root(other), root(found[0]))] = min(root(other), root(found[0]))
+        if held:
+            yield block()
 
     return sets.select("key", "tokens").mapInArrow(run, "key long, leader long")
 
