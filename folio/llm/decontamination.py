@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a window of nine words of which a fixed mask reads six; three masks
-leave out each position once, so one substituted word never hides a window
-from all of them. Seeds of documents and of benchmark items are joined, and
-around each hit the aligned words are compared.
+A seed is a window of nine words of which a fixed mask reads five. The four
+masks are chosen so that every alignment that the comparison accepts has a
+seed. Seeds of documents and of benchmark items are joined, and around each
+hit the aligned words are compared.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 9
-#: Positions that each mask reads.
-MASKS = tuple(tuple(j for j in range(SPAN) if j % 3 != r) for r in range(3))
-#: Every third window of a document is read, every window of an item: eleven
-#: words with one substitution at most always have a hit.
-STRIDE = 3
+#: Positions that each mask reads. Wherever AGREE of 9 to WINDOW words agree, a window of these has one
+#: mask all of whose words agree; fewer masks of five words do not do it.
+MASKS = ((0, 1, 5, 7, 8), (2, 3, 4, 5, 8), (0, 2, 5, 6, 7), (1, 2, 3, 6, 8))
+#: Every window of a document and of an item is read.
+STRIDE = 1
 #: Words that are compared around a hit, or the item if it is shorter, and the share of them that must agree.
 WINDOW = 16
 AGREE = 0.8
@@ -30,14 +30,27 @@ def token_hashes(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(spaced, " "), lambda w: F.xxhash64(w)))
 
 
-def _seeds(words: Column, stride: int) -> Column:
-    last = F.size(words) - SPAN
-    starts = F.sequence(F.lit(0), last, F.lit(stride))
+def _starts(words: Column, beyond: int = 0) -> Column:
+    """Where windows start, also those that ``beyond`` words of stand outside."""
+    last = F.size(words) - SPAN + beyond
+    return F.when(last >= -beyond, F.sequence(F.lit(-beyond), last, F.lit(STRIDE)))
 
-    def of(i: Column) -> Column:
-        return F.array(*[F.struct(i.alias("at"), F.xxhash64(F.lit(m), *[F.get(words, i + j) for j in mask]).alias("seed")) for m, mask in enumerate(MASKS)])
 
-    return F.when(last >= 0, F.flatten(F.transform(starts, of)))
+def _seeds(words: Column, at: Column) -> Column:
+    """The seeds of the window at a place; null for a mask that reads a word outside."""
+    inside = [(at + mask[0] >= 0) & (at + mask[-1] < F.size(words)) for mask in MASKS]
+    return F.array(*[F.when(inside[m], F.xxhash64(F.lit(m), *[F.get(words, at + j) for j in mask])) for m, mask in enumerate(MASKS)])
+
+
+def _seeded(rows: DataFrame, words: str, at: str, beyond: int = 0) -> DataFrame:
+    """``rows`` with every seed of theirs; rows without one have a null seed.
+
+    The places are exploded before the seeds, so that no function of arrays
+    stands between and the row with its words is not copied for each seed;
+    the outer form keeps Spark from reading the words twice to filter.
+    """
+    placed = rows.select("*", F.explode_outer(_starts(F.col(words), beyond)).alias(at))
+    return placed.select("*", F.explode_outer(_seeds(F.col(words), F.col(at))).alias("seed"))
 
 
 def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -45,9 +58,9 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     ``compared`` is the number of words compared, ``WINDOW`` or the item's
     length; ``agreeing`` how many of them agree at the best place. A pair is
-    returned if that is ``AGREE`` of them at least. Items of fewer than
-    ``SPAN`` words have no seed and match nothing; null and empty texts
-    likewise. Rows that share an id share their pairs; a null id is returned as
+    returned if that is ``AGREE`` of them at least, words that a document ends
+    before counting as others; none of these pairs is missed. Items of fewer
+    than ``SPAN`` words match nothing; null and empty texts likewise. Rows that share an id share their pairs; a null id is returned as
     such. Repeated items give one row.
 
     Items are few: their seeds are counted and broadcast in blocks of bounded
@@ -57,18 +70,22 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     n_seeds = held.agg(F.sum((F.size("_item") - SPAN + 1) * len(MASKS))).first()[0] or 0
     blocks = max(1, -(-n_seeds // BLOCK_SEEDS))
     rows = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("_doc"))
-    found = rows.select("doc_id", "_doc", F.explode(_seeds(F.col("_doc"), STRIDE)).alias("_s")).select("doc_id", "_doc", F.col("_s.at").alias("_at"), F.col("_s.seed").alias("seed"))
+    # of a nine-word item eight words can stand at a document's edge
+    found = _seeded(rows, "_doc", "_at", 1)
     pairs = None
     for b in range(blocks):
         part = held.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b) if blocks > 1 else held
-        seeds = part.select("item_id", "_item", F.explode(_seeds(F.col("_item"), 1)).alias("_s")).select("item_id", "_item", F.col("_s.at").alias("_item_at"), F.col("_s.seed").alias("seed"))
+        seeds = _seeded(part, "_item", "_item_at")
         hits = found.join(F.broadcast(seeds), "seed")
         pairs = hits if pairs is None else pairs.unionByName(hits)
-    m = F.size("_item")
-    aligned = F.transform(F.col("_item"), lambda w, j: (F.get(F.col("_doc"), F.col("_at") - F.col("_item_at") + j) == w).cast("int"))
+    m, shift = F.size("_item"), F.col("_at") - F.col("_item_at")
+    # the words beside the item's, of which those before the document's start are missing
+    part = pairs.select("doc_id", "item_id", "_item", F.slice("_doc", F.greatest(shift, F.lit(0)) + 1, m).alias("_part"), F.least(shift, F.lit(0)).alias("_lead"))
+    same = F.transform(F.col("_item"), lambda w, j: F.coalesce((F.get(F.col("_part"), F.col("_lead") + j) == w).cast("int"), F.lit(0)))
     compared = F.least(m, F.lit(WINDOW))
-    agreeing = F.array_max(F.transform(F.sequence(F.lit(0), m - compared), lambda i: F.aggregate(F.slice("_same", i + 1, compared), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))))
-    scored = pairs.withColumn("_same", aligned).select("doc_id", "item_id", agreeing.alias("agreeing"), compared.alias("compared"))
+    agreeing = F.array_max(F.transform(F.sequence(F.lit(0), m - compared), lambda i: F.aggregate(F.slice("_same", i + 1, compared), F.lit(0), lambda a, x: a + x)))
+    # exploded, as Spark would take a condition on them into the join, which then copies the document for each seed
+    scored = part.select("doc_id", "item_id", compared.alias("compared"), F.explode(F.array(same)).alias("_same"), "_item").select("doc_id", "item_id", "compared", F.explode(F.array(agreeing)).alias("agreeing"))
     return scored.where(F.col("agreeing") >= F.ceil(F.col("compared") * AGREE)).groupBy("doc_id", "item_id").agg(F.max("agreeing").cast("long").alias("agreeing"), F.max("compared").cast("long").alias("compared"))
 
 

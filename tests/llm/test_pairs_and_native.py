@@ -184,3 +184,38 @@ def test_decontamination_tolerates_substitutions(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in deco.benchmark_overlaps(docs, items).collect()} == want
     assert sorted(r["doc_id"] for r in deco.decontaminated(docs, items).collect()) == [3, 4, 6, 7]
     assert deco.decontaminated(docs, items.limit(0)).count() == len(rows) and deco.benchmark_overlaps(docs.limit(0), items).count() == 0
+
+
+def brute_overlaps(docs, items):
+    """By every alignment of every item."""
+    found = {}
+    for doc, text in docs:
+        d = text.split()
+        for item, words in items:
+            w = words.split()
+            n = min(len(w), deco.WINDOW)
+            for shift in range(-len(w), len(d)):
+                same = [0 <= shift + j < len(d) and d[shift + j] == x for j, x in enumerate(w)]
+                best = max(sum(same[i : i + n]) for i in range(len(w) - n + 1))
+                if len(w) >= deco.SPAN and best >= math.ceil(n * deco.AGREE):
+                    found[doc, item] = max(best, found.get((doc, item), 0))
+    return {(*k, v) for k, v in found.items()}
+
+
+def test_decontamination_finds_every_accepted_alignment(spark):
+    rng = random.Random(11)
+    noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(n, [f"i{n}.{j}".replace(".", "x") for j in range(n)]) for n in (8, 9, 10, 11, 12, 15, 16, 30)]
+    docs = []
+    for n, words in items:
+        for offset in range(3):
+            for subs in (0, 1, 2, 3, 3, 3, 3, 4):
+                copy = list(words)
+                for j in rng.sample(range(n), subs):
+                    copy[j] = noise(1)[0]
+                docs.append((len(docs), " ".join(noise(30 + offset) + copy + noise(20))))
+        for cut in (1, 2, 3):  # at the edges of a document
+            docs += [(len(docs) + 1000, " ".join(words[cut:] + noise(9))), (len(docs) + 2000, " ".join(noise(9 + cut) + words[:-cut])), (len(docs) + 3000, " ".join(words[cut:]))]
+    items = [(i, " ".join(w)) for i, w in items]
+    got = deco.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["agreeing"]) for r in got) == Counter(brute_overlaps(docs, items))
