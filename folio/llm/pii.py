@@ -168,7 +168,7 @@ def _islands(text: str) -> Iterator[Span]:
 
 
 def all_spans(text: str, disguised: bool = True) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """(plain spans, all spans) of each kind; those that are added overlap no plain span.
+    """(plain spans, all spans) of each kind; those that are added lie in no plain span, but may hold one.
 
     ``disguised=False`` is for a text that is known to hold no disguise.
     """
@@ -181,8 +181,8 @@ def all_spans(text: str, disguised: bool = True) -> tuple[dict[str, list[Span]],
         for kind, find in _FIND.items():
             for span in find(r.text):
                 x, y = r.source(span)
-                i = bisect_right(base[kind], (x, len(text) + 1))
-                if text[x:y] != r.text[span[0] : span[1]] and not any(s < y and x < e for s, e in base[kind][max(0, i - 1) : i + 1]):
+                i = bisect_right(base[kind], (x, len(text) + 1))  # plain spans do not overlap: the last from x or before
+                if text[x:y] != r.text[span[0] : span[1]] and not (i and y <= base[kind][i - 1][1]):
                     every[kind].append((x, y))
     return base, {k: sorted(set(v)) for k, v in every.items()}
 
@@ -262,11 +262,11 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def masked(text: str) -> str:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the first, then the longest counts."""
+    """The text with every span replaced by its kind in brackets; spans that overlap are replaced as one, by the kind of the first, then the longest."""
     _, every = all_spans(text)
     out, at = [], 0
     for a, b, kind in sorted(((a, b, k) for k, v in every.items() for a, b in v), key=lambda x: (x[0], -x[1])):
         if a >= at:
             out += [text[at:a], f"[{kind}]"]
-            at = b
+        at = max(at, b)
     return "".join([*out, text[at:]])

@@ -112,6 +112,15 @@ def test_disguises_are_found_at_their_place(text):
     assert pii.masked(around) == f"Say hello: [{kind}] ; bye"
 
 
+@pytest.mark.parametrize("text", ["j\u043ehn.doe@example.com", "jo\u200bhn@example.com", "john dot doe@example.com", "john@mail.ex\u0430mple.com", "+49 151 2345 six seven eight"])
+def test_disguises_around_a_plain_span_are_found_whole(text):
+    around = f"Say hello: {text} ; bye"
+    base, every = pii.all_spans(around)
+    (kind,) = (k for k, v in base.items() if v)
+    assert set(base[kind]) < set(every[kind]) and text in [around[a:b] for a, b in every[kind]]
+    assert pii.masked(around) == f"Say hello: [{kind}] ; bye"
+
+
 def test_plain_prose_has_no_spans():
     for text in ("We met at noon, on the dot.", "one two three, go!", "version 1.2.3", "at [at] home", "café at work"):
         assert not any(pii.all_spans(text)[1].values())
