@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.words import PUNCTUATION, texts_of, words
+from folio.llm.words import byte_blocks, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -96,7 +96,9 @@ _SPELLED = re.compile(rf"(?i)(?:\bplus[\s,]+)?(?<![^\W\d_]){_ONE}(?:[\s,-]{{0,2}
 _SPELLED_PART = re.compile(rf"(?i)plus[\s,]+|{_ONE}")
 _AT = re.compile(r"(?i)\s?[\[({<]\s?at\s?[\])}>]\s?|\s?[\[({<]\s?@\s?[\])}>]\s?|\s(?:at)\s(?=[\w-]+(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s))")
 _DOT = re.compile(r"(?i)(?<=\w)(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)(?=\w)")
-_TRIGGER = re.compile("(?i)[" + re.escape("".join(_GLYPHS) + _UNSEEN) + r"]|\bdot\b|[\[({<]\s?(?:at|@|\.)\s?[\])}>]|\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?=[\s,-]{0,2}" + _ONE + ")")
+_NUMBER_WORD = _ONE.replace("|[0-9]", "")
+# without case only in its words: a dotless i in the set would stand for every i
+_TRIGGER = re.compile("(?i)(?-i:[" + re.escape("".join(_GLYPHS) + _UNSEEN) + r"])|\bdot\b|[\[({<]\s?(?:at|@|\.)\s?[\])}>]" + rf"|(?<![^\W\d_]){_NUMBER_WORD}(?=[\s,-]{{0,2}}{_ONE})|[0-9](?=[\s,-]{{0,2}}{_NUMBER_WORD})")
 #: Characters around a disguise that are looked at; identifiers are shorter.
 REACH = 160
 
@@ -187,45 +189,18 @@ def all_spans(text: str, disguised: bool = True) -> tuple[dict[str, list[Span]],
     return base, {k: sorted(set(v)) for k, v in every.items()}
 
 
-_OPEN = np.zeros(256, bool)
-_OPEN[list(b"[({<")] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_CUE = np.zeros(256, bool)  # first bytes of lookalikes and unseen characters; those of accented Latin letters are others
-_CUE[list({c.encode()[0] for c in [*_GLYPHS, *_UNSEEN]})] = True
-
-
-def _hash_of(*names: str) -> list[np.uint64]:
-    return list(next(words(pa.array([" ".join(names)]))).hashes)
-
-
-_DOT_WORD, _AT_WORD, *_NUMBER_WORDS = _hash_of("dot", "at", *_NUMBER)
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), 64]] = True
 
 
 def cues(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per document, whether it has a digit or an @, and whether it has what any disguise has; block by block."""
-    for w in words(column, lower=True, space=PUNCTUATION):
-        n, data, doc = len(w.counts), w.data, w.doc
-        number = np.zeros(len(doc), bool)
-        for h in _NUMBER_WORDS:
-            number |= w.hashes == h
-        digit = _DIGIT[data[w.starts]]
-        cue = w.hashes == _DOT_WORD
-        cue[:-1] |= number[:-1] & (number[1:] | digit[1:])
-        cue[1:] |= number[1:] & digit[:-1]
-        at = np.flatnonzero(w.hashes == _AT_WORD)
-        before = w.starts[at]
-        cue[at] |= _OPEN[data[np.maximum(before - 1, 0)]] | _OPEN[data[np.maximum(before - 2, 0)]]
-        opened = np.flatnonzero(_OPEN[data])
-        inside = np.zeros(len(opened), bool)
-        for k in (1, 2):
-            x = data[np.minimum(opened + k, len(data) - 1)] if len(data) else opened
-            inside |= (x == 64) | (x == 46)
-        bytes_at = np.concatenate([np.flatnonzero(_CUE[data]), opened[inside]])
-        hidden = np.bincount(doc[cue], minlength=n) > 0
-        hidden[np.searchsorted(w.bounds, bytes_at, "right") - 1] = True
+    column = texts_of(column)
+    for first, data, bounds in byte_blocks(column):
+        n = len(bounds) - 1
         plain = np.zeros(n, bool)
-        plain[np.searchsorted(w.bounds, np.flatnonzero(_DIGIT[data] | (data == 64)), "right") - 1] = True
+        plain[np.searchsorted(bounds, np.flatnonzero(_PLAIN[data]), "right") - 1] = True
+        hidden = np.fromiter((_TRIGGER.search(t) is not None for t in column.slice(first, n).to_pylist()), bool, n)
         yield plain, hidden
 
 

@@ -121,6 +121,14 @@ def test_disguises_around_a_plain_span_are_found_whole(text):
     assert pii.masked(around) == f"Say hello: [{kind}] ; bye"
 
 
+@given(st.lists(st.lists(st.sampled_from(["plus ", "four", "nine", "6", "dot", "\u2026", "\u201d", " ", "-", "a", "(", "at", "@", ")", "\u0430", "\u017fix"]), max_size=8).map("".join), max_size=5))
+def test_cues_are_those_of_the_trigger(texts):
+    texts += ["plus fourninesixoneeightthreetwo", "four9six1", "a\u201ddot\u2026b"]
+    hidden = np.concatenate([h for _, h in pii.cues(pa.array(texts))])
+    assert hidden.tolist() == [bool(pii._TRIGGER.search(t)) for t in texts] and hidden[-3:].all()
+    assert all(pii._TRIGGER.search(t) or pii.rewrite(t).text == t for t in texts) and not pii._TRIGGER.search("this is written plainly")
+
+
 def test_plain_prose_has_no_spans():
     for text in ("We met at noon, on the dot.", "one two three, go!", "version 1.2.3", "at [at] home", "café at work"):
         assert not any(pii.all_spans(text)[1].values())
