@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.runtime import stored
+
 SPAN = 9
 #: Positions that each mask reads. Wherever AGREE of 9 to WINDOW words agree, a window of these has one
 #: mask all of whose words agree; fewer masks of five words do not do it.
@@ -90,6 +92,7 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``docs`` without the rows that repeat a passage of an item; a null id stands for all rows without one."""
-    hit = benchmark_overlaps(docs, items, id_col, text_col, item_col).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    """``docs`` without the rows that repeat a passage of an item, each judged by itself whatever its id."""
+    rows = stored(docs.withColumn("_folio_row", F.monotonically_increasing_id()), "rows")
+    hit = benchmark_overlaps(rows, items, "_folio_row", text_col, item_col).select(F.col("doc_id").alias("_folio_row")).distinct()
+    return rows.join(hit, "_folio_row", "left_anti").drop("_folio_row")

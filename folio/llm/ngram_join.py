@@ -265,13 +265,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return classes.join(by_class, "digest", "left").select(own, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 
 
-def least_of_component(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's: of each group of near copies one document.
+def least_of_component(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """One row of each component of ``docs``: of each group of near copies that with the least id.
 
-    Of rows with the same id that is kept, all are kept; rows with a null id are
-    kept only if their set is empty or no row with an id is linked with them.
+    Rows are judged by themselves, whatever ids they share. A row with a null
+    id is kept only if no row with an id is in its component; rows whose set is
+    empty are all kept.
     """
-    id_col = kw.get("id_col", "doc_id")
-    found = ngram_components(docs, **kw)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
+    rows = stored(docs.withColumn("_folio_row", F.monotonically_increasing_id()), "rows")
+    found = ngram_components(rows, id_col="_folio_row", **kw).select(F.col("doc_id").alias("_folio_row"), "component_id")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_folio_row"))
+    least = found.join(rows.select("_folio_row", id_col), "_folio_row").groupBy("component_id").agg(F.min(order).alias("_least"))
+    return rows.join(least.select(F.col("_least._folio_row").alias("_folio_row")), "_folio_row", "left_semi").drop("_folio_row")

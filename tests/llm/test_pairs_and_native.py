@@ -219,3 +219,13 @@ def test_decontamination_finds_every_accepted_alignment(spark):
     items = [(i, " ".join(w)) for i, w in items]
     got = deco.benchmark_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert Counter((r["doc_id"], r["item_id"], r["agreeing"]) for r in got) == Counter(brute_overlaps(docs, items))
+
+
+def test_stages_judge_rows_without_or_with_shared_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "A b c d e f"), (None, "only this row"), (None, None), (5, "p q r s t u"), (None, "p q r s t u"), (6, "one text of it"), (6, "another text"), (4, "P q r s t u")]
+    kept = Counter((r["doc_id"], (r["text"] or "").lower()) for r in least_of_component(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == Counter([(None, "a b c d e f"), (None, "only this row"), (None, ""), (6, "one text of it"), (6, "another text"), (4, "p q r s t u")])
+    passage = "k l m n o p q r s t"
+    docs = spark.createDataFrame([(None, passage), (None, "clean"), (1, passage), (1, "clean too")], "doc_id long, text string")
+    clean = deco.decontaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
+    assert sorted(r["text"] for r in clean) == ["clean", "clean too"]
