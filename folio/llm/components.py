@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import stored
+from folio.llm.runtime import discard, stored
 
 
 def _sums(edges: DataFrame) -> tuple:
@@ -32,9 +32,12 @@ def component_labels(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = stored(small, "edges")
+        last, now = now, stored(small, "edges")
+        discard(last)
         before, seen = seen, _sums(now)
         if seen == before:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
+    labels = now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)
+    labels._folio_path = now._folio_path  # discarded with the labels
+    return labels

@@ -11,9 +11,10 @@ which is exact or only leaves out work that cannot matter:
    it. Linked sets need no search among each other, so a large group of near
    copies costs no more than its rows.
 4. *Possible rows again*, now counting only what other groups share.
-5. *Search.* The sets that are left meet by the tokens of their prefixes, and
-   DivideSkip finds every link between groups.
-6. *Components* of all links.
+5. *Search.* The groups that are left meet by the tokens of their sets'
+   prefixes, and DivideSkip finds which of them links join. Between groups
+   that are joined already no link is looked for.
+6. *Components* of what was joined.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.llm.components import component_labels
-from folio.llm.occurrence import THRESHOLD, DivideSkip, least_overlap, possible_rows
-from folio.llm.runtime import partitions, stored
+from folio.llm.occurrence import THRESHOLD, DivideSkip, joined_clusters, possible_rows
+from folio.llm.runtime import discard, partitions, stored
 from folio.llm.words import mix, shingle_sets
 
 SHINGLE = 5
@@ -37,16 +38,24 @@ SHINGLE = 5
 SLICE_ROWS = 2_500
 #: Tokens of a block of the contraction, which bounds a task's memory.
 BLOCK_TOKENS = 1_000_000
-#: Sets that are searched in one task; more are searched list by list, and long lists part by part.
-LIST_PART = 2_000
+#: Tokens that are searched in one task; of more, the lists are searched one by one, and long lists part by part.
+UNIT_TOKENS = 1_000_000
+#: Keys of possible rows that are broadcast to the texts, about 50 MB of them; with more the texts are shuffled by key.
+BROADCAST_KEYS = 1_000_000
 
-_SETS = "key long, group long, n long, tokens binary"
-_SETS_ARROW = pa.schema([("key", pa.int64()), ("group", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+_SETS = "digest binary, n long, tokens binary"
+_SETS_ARROW = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
-def _digests(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return np.fromiter((xxhash.xxh3_64_intdigest(tokens[e - s : e]) | 1 for s, e in zip(sizes, ends, strict=True)), np.uint64, len(sizes))
+def _digests(sizes: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """128 bits of each set, which tell the sets of any corpus apart; the first 64 are never zero."""
+    whole = (xxhash.xxh3_128_digest(tokens[e - s : e]) for s, e in zip(sizes, np.cumsum(sizes), strict=True))
+    return [bytes([d[0] | 1]) + d[1:] for d in whole]
+
+
+def _heads(digests: list[bytes]) -> np.ndarray:
+    """The first 64 bits of digests: where two share them, too much is taken for possible, never too little."""
+    return np.frombuffer(b"".join(digests), np.int64)[::2].copy()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,45 +63,43 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("key"), F.col(text_col).cast("string").alias("text"))
 
 
-def _text_sets(k: int, once: bool):
-    """Reads batches of (key, text); with ``once``, the first row of each set only, whose key is the digest."""
+def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray, np.ndarray]]:
+    """(keys, digests, sizes, tokens) of the texts of a batch, some rows at a time."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        rows = batch.slice(at, SLICE_ROWS)
+        parts = list(shingle_sets(rows["text"], k))
+        sizes, tokens = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
+        yield rows["key"], _digests(sizes, tokens), sizes, tokens
 
-    def read(whole: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for at in range(0, whole.num_rows, SLICE_ROWS):
-            yield from of_slice(whole.slice(at, SLICE_ROWS))
 
-    def of_slice(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        parts = list(shingle_sets(batch["text"], k))
-        if not parts:
-            return
-        keys = np.asarray(batch["key"], np.int64)
-        sizes, tokens = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
-        groups = _digests(sizes, tokens)
-        if once:
-            keep = np.zeros(len(keys), bool)
-            keep[np.unique(groups, return_index=True)[1]] = True
+def _text_sets(k: int):
+    """Reads batches of (key, text) for ``possible_rows``: of equal sets of a slice the first, by its digest's head."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for _, digests, sizes, tokens in _sets_of(batch, k):
+            first = dict(zip(reversed(digests), range(len(digests) - 1, -1, -1), strict=True))
+            keep = np.zeros(len(sizes), bool)
+            keep[list(first.values())] = True
             keep &= sizes > 0
-            tokens = tokens[np.repeat(keep, sizes)]
-            groups, sizes = groups[keep], sizes[keep]
-            keys = groups.view(np.int64)
-        yield keys, groups, sizes, tokens
+            keys = _heads(digests)[keep]
+            yield keys, keys.view(np.uint64), sizes[keep], tokens[np.repeat(keep, sizes)]
 
     return read
 
 
 def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(key, n, digest) of every row: its set's size and a digest that equal sets share."""
+    """(key, n, digest, head) of every row: its set's size, a digest that equal sets share, and the digest's first 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, groups, sizes, _ in _text_sets(k, False)(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes.astype(np.int64)), pa.array(groups.view(np.int64))], names=["key", "n", "digest"])
+            for keys, digests, sizes, _ in _sets_of(batch, k):
+                yield pa.RecordBatch.from_arrays([keys, pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(_heads(digests))], names=["key", "n", "digest", "head"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "key long, n long, digest long")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "key long, n long, digest binary, head long")
 
 
 def _stored_sets(whole: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """Reads batches of (key, group, n, tokens)."""
+    """Reads batches of (key, group, n, tokens) for ``possible_rows``."""
     for at in range(0, whole.num_rows, SLICE_ROWS):
         batch = whole.slice(at, SLICE_ROWS)
         tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint64)
@@ -101,9 +108,9 @@ def _stored_sets(whole: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
 
 def _as_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, groups, sizes, tokens in _text_sets(k, True)(batch):
-            ends, d = np.cumsum(sizes), pa.array(groups.view(np.int64))
-            yield pa.RecordBatch.from_arrays([d, d, pa.array(sizes.astype(np.int64)), pa.array([tokens[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())], schema=_SETS_ARROW)
+        for _, digests, sizes, tokens in _sets_of(batch, k):
+            bodies = [tokens[e - s : e].tobytes() for s, e in zip(sizes, np.cumsum(sizes), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int64)), pa.array(bodies, pa.binary())], schema=_SETS_ARROW)
 
 
 def contracted(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -162,15 +169,18 @@ def _postings(sets: DataFrame) -> DataFrame:
     """(token, key, group, n): every token of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, groups, sizes, tokens in _stored_sets(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tokens, np.repeat(keys, sizes), np.repeat(groups, sizes), np.repeat(sizes, sizes))], names=["token", "key", "group", "n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                tokens = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.int64)
+                of = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch["n"], np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), *(batch[c].take(of) for c in ("key", "group", "n"))], names=["token", "key", "group", "n"])
 
     return sets.mapInArrow(run, "token long, key long, group long, n long")
 
 
 def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(token, key, lists' length k): tokens of each set of which any two linked sets of different groups share one.
+    """(token, key, group, n): tokens of each set of which any two linked sets of different groups share one.
 
     Such sets share T tokens, all of which several groups have. Without the
     T - 1 of these that have the longest lists, a set still shares one with
@@ -179,48 +189,61 @@ def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     """
     posts = _postings(sets)
     lists = posts.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("k")).where("lo != hi")
-    shared = posts.join(lists.select("token", "k"), "token")
+    shared = posts.select("token", "key").join(lists.select("token", "k"), "token").join(sets.select("key", "group", "n"), "key")
     of_set = W.partitionBy("key")
     need = F.ceil(F.col("n") * threshold / 100)
     ranked = shared.withColumn("rank", F.row_number().over(of_set.orderBy("k", "token"))).withColumn("all", F.count("*").over(of_set))
-    return ranked.where(F.col("rank") <= F.col("all") - need + 1).select("token", "key", "group", "k")
+    return ranked.where(F.col("rank") <= F.col("all") - need + 1).select("token", "key", "group", "n")
 
 
-def group_links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): every link between sets of different groups, found by DivideSkip.
+def _list_units(posts: DataFrame, bound: int) -> DataFrame:
+    """(unit, key): the sets of each list, those of a list of more than ``bound`` tokens by two of its parts each.
 
-    Sets that reach each other by prefix tokens are searched in one task, once.
-    Where these are more than ``LIST_PART``, the sets of each list meet by
-    themselves, in a long list each two of its parts.
+    Lists of the same sets are searched once: they are told by their number
+    and by sums of hashes of the sets.
     """
-    posts = stored(_prefixes(sets, threshold), "prefixes")
-    least = posts.groupBy("token").agg(F.min("key").alias("least"))
-    met = component_labels(posts.join(least, "token").select(F.col("key").alias("a"), F.col("least").alias("b")))
-    met = met.select(F.col("node").alias("key"), F.col("label").alias("unit"))
-    large = met.groupBy("unit").count().where(F.col("count") > LIST_PART).select("unit")
-    whole = met.join(large, "unit", "left_anti").select("unit", "key")
-
-    parts = posts.join(met.join(large, "unit", "left_semi").select("key"), "key", "left_semi")
-    parts = parts.withColumn("parts", F.ceil(F.col("k") / LIST_PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "key"), 16)).alias("s"), F.sum("n").alias("weight"))
+    once = lists.groupBy("c", "x", "s").agg(F.min("token").alias("token"), F.first("weight").alias("weight"))
+    parted = posts.select("token", "key").join(once.select("token", F.ceil(2 * F.col("weight") / bound).cast("int").alias("parts")), "token")
+    parted = parted.withColumn("parts", F.when(F.col("parts") > 2, F.col("parts")).otherwise(1)).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    split = parts.select("key", "token", "part", other).select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "key").distinct()
-    placed = whole.unionByName(split).join(sets.withColumnRenamed("group", "cluster"), "key").select("unit", "key", "cluster", "tokens")
-    # a search costs more than its bytes tell: as many tasks as there are partitions
-    placed = placed.repartition(partitions(sets.sparkSession), "unit")
+    return parted.select("key", "token", "part", other).select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "key").distinct()
+
+
+def joined_groups(sets: DataFrame, threshold: int = THRESHOLD, bound: int = UNIT_TOKENS) -> DataFrame:
+    """(group, label): the groups that links between their sets join to others, with what they are joined to.
+
+    Groups that reach each other by prefix tokens are searched in one task,
+    once. Where their sets have more than ``bound`` tokens, the sets of each
+    list meet by themselves, in a long list each two of its parts. A search
+    gives a row for each group at most, whatever the number of links.
+    """
+    posts = stored(_prefixes(sets, threshold), "prefixes")
+    edges = posts.join(posts.groupBy("token").agg(F.min("group").alias("least")), "token")
+    met = component_labels(edges.select(F.col("group").alias("a"), F.col("least").alias("b")))
+    placed = sets.join(met.select(F.col("node").alias("group"), F.col("label").alias("unit")), "group")
+    large = stored(placed.groupBy("unit").agg(F.sum("n").alias("weight")).where(F.col("weight") > bound).select("unit"), "large")
+    split = not large.isEmpty()
+    whole = (placed.join(large, "unit", "left_anti") if split else placed).select("unit", "group", "n", "tokens")
+    if split:
+        parts = placed.join(large, "unit", "left_semi").select("key", "group", "n", "tokens")
+        units = _list_units(posts.join(parts.select("key"), "key", "left_semi"), bound)
+        whole = whole.unionByName(units.join(parts, "key").select("unit", "group", "n", "tokens"))
 
     def run(table: pa.Table) -> pa.Table:
-        index, ids, out = DivideSkip(threshold), [], []
-        order = np.lexsort((np.asarray(table["key"]), np.array([len(x) for x in table["tokens"].to_pylist()])))
-        rows = table.take(pa.array(order))
-        for key, cluster, body in zip(rows["key"].to_pylist(), rows["cluster"].to_pylist(), rows["tokens"].to_pylist(), strict=True):
-            tokens = np.frombuffer(body, np.uint64).tolist()
-            out += [(ids[i][0], key) for i in index.search(tokens) if ids[i][1] != cluster]
-            index.add(tokens)
-            ids.append((key, cluster))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        names, groups = np.unique(np.asarray(table["group"]), return_inverse=True)
+        tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint64)
+        root = joined_clusters(groups, np.asarray(table["n"], np.int64), tokens, threshold)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[root[moved]], pa.int64())})
 
-    return placed.groupBy("unit").applyInArrow(run, "a long, b long").distinct()
+    # a search costs more than its bytes tell: as many tasks as there are partitions
+    found = whole.repartition(partitions(sets.sparkSession), "unit").groupBy("unit").applyInArrow(run, "a long, b long")
+    found = stored(found, "joined")
+    discard(posts, met, large)
+    if not split:  # each group was in one task, which knows all it is joined to
+        return found.withColumnsRenamed({"a": "group", "b": "label"})
+    return component_labels(found).withColumnRenamed("node", "group")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -230,37 +253,43 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     included. Rows of the same set share it. Null and empty texts have no
     shingles and are linked with nothing: their component is their own id, and
     a null id without a partner keeps a null component. A null id is never a
-    component's least id. Repeated rows are returned as often as given, an
-    empty table gives an empty result, and other columns are ignored.
+    component's least id. Repeated rows are returned as often as given, very
+    long texts are read whole, an empty table gives an empty result, and other
+    columns are ignored.
     """
     keyed = _keyed(docs, id_col, text_col)
     classes = stored(document_classes(docs, id_col, text_col, k), "classes")
-    possible = stored(possible_rows(keyed, _text_sets(k, True), threshold), "possible")
+    possible = stored(possible_rows(keyed, _text_sets(k), threshold), "possible")
     # one row of each class that is possible
-    chosen = classes.join(possible.withColumnRenamed("key", "digest"), "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
-    texts = keyed.join(chosen, "key", "left_semi")
-    # equal sets have equal tokens: any of the rows stands for the class
-    sets = stored(texts.mapInArrow(lambda b: _as_sets(b, k), _SETS).dropDuplicates(["key"]), "sets")
+    chosen = classes.join(possible.withColumnRenamed("key", "head"), "head", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
+    chosen = stored(chosen.select("key"), "chosen")
+    texts = keyed.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen, "key", "left_semi")
+    # equal sets have equal tokens: any of the rows stands for the class; its number is fixed as it is written
+    made = texts.mapInArrow(lambda b: _as_sets(b, k), _SETS).where("n > 0").dropDuplicates(["digest"])
+    sets = stored(made.withColumn("key", F.monotonically_increasing_id() + 1), "sets")
+    discard(possible, chosen)
 
     leader = stored(contracted(sets, threshold), "leaders")
     for seed in (1, 2):
         heads = sets.join(leader.where("key = leader").select("key"), "key", "left_semi")
         step = contracted(_least_tokens(heads, seed), threshold).select(F.col("key").alias("leader"), F.col("leader").alias("next"))
-        leader = stored(leader.join(step, "leader").select("key", F.col("next").alias("leader")), "leaders")
+        last, leader = leader, stored(leader.join(step, "leader").select("key", F.col("next").alias("leader")), "leaders")
+        discard(last)
 
-    grouped = sets.drop("group").join(leader.withColumnRenamed("leader", "group"), "key").select("key", "group", "n", "tokens")
-    grouped = stored(grouped, "grouped")
+    grouped = stored(sets.join(leader.withColumnRenamed("leader", "group"), "key").select("key", "group", "n", "tokens"), "grouped")
+    label = stored(sets.select("digest", "key"), "names")
+    discard(sets)
     open_keys = stored(possible_rows(grouped, _stored_sets, threshold), "open")
-    links = group_links(grouped.join(open_keys, "key", "left_semi"), threshold)
-    edges = links.join(leader.select(F.col("key").alias("a"), F.col("leader").alias("la")), "a").join(leader.select(F.col("key").alias("b"), F.col("leader").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    joined = component_labels(edges)
-    label = leader.join(joined.withColumnRenamed("node", "leader"), "leader", "left").select(F.col("key").alias("digest"), F.coalesce("label", "leader").alias("label"))
-
-    # a class that is linked with no other is its own label; a hot class is added up before it is dealt out
-    labelled = classes.where("n > 0").groupBy("digest").agg(F.min(F.when(F.col("key") > -(1 << 62), F.col("key"))).alias("least"))
-    labelled = labelled.join(label, "digest", "left").select("digest", "least", F.coalesce("label", "digest").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = labelled.join(least, "label").select("digest", "component_id")
+    joined = joined_groups(grouped.join(open_keys, "key", "left_semi"), threshold, UNIT_TOKENS)
+    discard(grouped, open_keys)
+    label = label.join(leader, "key").join(joined.withColumnRenamed("group", "leader"), "leader", "left").select("digest", F.coalesce("label", "leader").alias("label"))
+
+    # a hot class is added up before it is dealt out; one that is linked with no other has its own least id
+    least = classes.where("n > 0").groupBy("digest").agg(F.min(F.when(F.col("key") > -(1 << 62), F.col("key"))).alias("least"))
+    labelled = least.join(label, "digest")
+    of_label = labelled.groupBy("label").agg(F.min("least").alias("joined_id"))
+    by_label = labelled.join(of_label, "label").select("digest", "joined_id", F.lit(True).alias("found"))
+    by_class = least.join(by_label, "digest", "left").select("digest", F.when(F.col("found"), F.col("joined_id")).otherwise(F.col("least")).alias("component_id"))
     own = F.when(F.col("key") > -(1 << 62), F.col("key")).alias("doc_id")
     return classes.join(by_class, "digest", "left").select(own, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 

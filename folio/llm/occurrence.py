@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import merge
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,40 @@ def linked(overlap: int, n: int, m: int, threshold: int = THRESHOLD) -> bool:
     return 100 * overlap >= threshold * (n + m - overlap)
 
 
-class DivideSkip:
-    """Inverted lists of sets, searched by DivideSkip.
+def occurring(lists: list[list[int]], need: int, size: int, sizes: list[int], threshold: int = THRESHOLD) -> Iterator[int]:
+    """DivideSkip: the ids of the sets that are linked with one of ``size`` tokens, given the lists of its tokens.
 
-    A query's longest lists are set aside; the short ones are merged by a heap,
-    and what occurs in enough of them is looked up in the long ones by binary
-    search. Lists hold ids in ascending order because ids are given in order.
+    The longest lists are set aside; the short ones are merged by a heap, and
+    what occurs in enough of them is looked up in the long ones by binary
+    search. Lists are ascending; what they miss of the tokens has no list.
     """
+    if len(lists) < need or not need:
+        return
+    lists.sort(key=len)
+    n_long = min(need - 1, int(need / (PROBE_WEIGHT * math.log2(len(lists[-1]) + 1) + 1)))
+    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    last, count = -1, 0
+    for at in chain(merge(*short), (-1,)):
+        if at == last:
+            count += 1
+            continue
+        if count >= need - n_long and 100 * sizes[last] >= threshold * need and linked(_probed(last, count, need, long), size, sizes[last], threshold):
+            yield last
+        last, count = at, 1
+
+
+def _probed(at: int, count: int, need: int, long: list[list[int]]) -> int:
+    """The overlap with the long lists' part; negative once it can't reach the need."""
+    for k, ids in enumerate(long):
+        if count + len(long) - k < need:
+            return -1
+        i = bisect_left(ids, at)
+        count += i < len(ids) and ids[i] == at
+    return count
+
+
+class DivideSkip:
+    """Inverted lists of sets, searched by DivideSkip; they are ascending because ids are given in order."""
 
     def __init__(self, threshold: int = THRESHOLD) -> None:
         self.threshold = threshold
@@ -61,35 +90,91 @@ class DivideSkip:
 
     def search(self, tokens: list[int]) -> list[int]:
         """The ids of the indexed sets that are linked with this one."""
-        n, need = len(tokens), least_overlap(len(tokens), self.threshold)
-        if not n:
-            return []
         lists = [x for x in map(self.lists.get, tokens) if x is not None]
-        if len(lists) < need:
-            return []
-        lists.sort(key=len)
-        n_long = min(need - 1, int(need / (PROBE_WEIGHT * math.log2(len(lists[-1]) + 1) + 1)))
-        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        found, last, count = [], -1, 0
-        for at in (*merge(*short), -1):
-            if at == last:
-                count += 1
-                continue
-            if count >= need - n_long and (total := self._probe(last, count, need, long)) >= need and linked(total, n, self.sizes[last], self.threshold):
-                found.append(last)
-            last, count = at, 1
-        return found
-
-    def _probe(self, at: int, count: int, need: int, long: list[list[int]]) -> int:
-        size = self.sizes[at]
-        if 100 * size < self.threshold * need:
-            return -1
-        for k, ids in enumerate(long):
-            if count + len(long) - k < need:
-                return -1
-            i = bisect_left(ids, at)
-            count += i < len(ids) and ids[i] == at
-        return count
+        return list(occurring(lists, least_overlap(len(tokens), self.threshold), len(tokens), self.sizes, self.threshold))
+
+
+class _Clusters:
+    """Inverted lists of sets, apart for each cluster; clusters that are joined have theirs joined."""
+
+    def __init__(self, cluster: list[int], n_tokens: int) -> None:
+        self.parent = list(range(max(cluster, default=-1) + 1))
+        self.alive = len(set(cluster))
+        self.lists: list[dict[int, list[int]]] = [{} for _ in range(n_tokens)]
+        self.tokens: list[set[int]] = [set() for _ in self.parent]
+        self.only: list[int] = [-1] * len(self.parent)  # the set of a cluster that has one, -2 of more
+
+    def root(self, c: int) -> int:
+        while self.parent[c] != c:
+            self.parent[c] = c = self.parent[self.parent[c]]
+        return c
+
+    def add(self, at: int, c: int, tokens: list[int]) -> None:
+        for t in tokens:
+            self.lists[t].setdefault(c, []).append(at)
+        self.tokens[c].update(tokens)
+        self.only[c] = at if self.only[c] == -1 else -2
+
+    def join(self, a: int, b: int) -> int:
+        """Makes one cluster of two, moving the lists of the one that has fewer tokens."""
+        if len(self.tokens[a]) < len(self.tokens[b]):
+            a, b = b, a
+        for t in self.tokens[b]:
+            of = self.lists[t]
+            # both are ascending runs, which sorting merges in one pass
+            of[a] = sorted(of.get(a, []) + of.pop(b))
+        self.tokens[a] |= self.tokens[b]
+        self.tokens[b] = set()
+        self.parent[b], self.only[a] = a, -2
+        self.alive -= 1
+        return a
+
+
+def joined_clusters(cluster: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """The cluster (0 to n - 1) that each cluster belongs to once every link between sets has joined two of them.
+
+    ``cluster`` and ``sizes`` are by set, ``tokens`` those of all sets in turn.
+    Only links between clusters that are still apart are looked for: first the
+    tokens of a set are counted over clusters, then DivideSkip searches the
+    lists of a cluster that has enough of them, up to the first link. Tokens
+    of a single cluster take no part, and once one cluster is left, all is
+    known. So a cluster of near copies costs no more than its rows.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    t, c = tokens[order], cluster[owner[order]]
+    begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins) if len(t) else np.zeros(0, bool)
+    names = np.where(several, np.cumsum(several) - 1, -1)
+    named = np.empty(len(t), np.int64)
+    named[order] = np.repeat(names, np.diff(np.concatenate([begins, [len(t)]])))
+    need = -(-threshold * sizes // 100)
+    has = np.bincount(owner[named >= 0], minlength=len(sizes))
+    ends = np.cumsum(sizes)
+    held = _Clusters(cluster.tolist(), int(several.sum()))
+    # short ones first; a set that lacks the tokens is linked with no other cluster
+    ranked = np.argsort(sizes, kind="stable")
+    size_at = sizes[ranked].tolist()
+    for at, i in enumerate(ranked.tolist()):
+        if held.alive < 2:
+            break
+        if has[i] < need[i] or not sizes[i]:
+            continue
+        mine = named[ends[i] - sizes[i] : ends[i]]
+        mine = mine[mine >= 0].tolist()
+        own = held.root(int(cluster[i]))
+        counts = Counter(chain.from_iterable(held.lists[t] for t in mine))
+        least, size = int(need[i]), size_at[at]
+        for other in [k for k, n in counts.items() if n >= least and k != own]:
+            if (one := held.only[other]) >= 0:  # its overlap is counted already
+                met = linked(counts[other], size, size_at[one], threshold)
+            else:
+                lists = [ids for t in mine if (ids := held.lists[t].get(other))]
+                met = next(occurring(lists, least, size, size_at, threshold), None) is not None
+            if met:
+                own = held.join(own, other)
+        held.add(at, own, mine)
+    return np.array([held.root(c) for c in range(len(held.parent))], np.int64)
 
 
 # One exchange for each step; a row holds many postings as packed arrays.
@@ -173,7 +258,7 @@ def _count(table: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
             yield b, b"".join((keys[mine].tobytes(), count[mine].astype(np.int32).tobytes(), np.zeros(len(mine), np.int8).tobytes()))
 
 
-def _settle(table: pa.Table) -> pa.Table:
+def _settle(table: pa.Table) -> pa.RecordBatch:
     parts = []
     for body in table["body"]:
         raw = body.as_buffer()
@@ -185,7 +270,7 @@ def _settle(table: pa.Table) -> pa.Table:
     start = np.full(len(uniq), np.iinfo(np.int64).min // 2)
     np.maximum.at(start, at[own == 1], count[own == 1])
     gain = np.bincount(at[own == 0], weights=count[own == 0], minlength=len(uniq)).astype(np.int64)
-    return pa.table({"key": pa.array(uniq[start + gain >= 0], pa.int64())})
+    return pa.RecordBatch.from_arrays([pa.array(uniq[start + gain >= 0], pa.int64())], names=["key"])
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
@@ -218,9 +303,15 @@ def possible_rows(df: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sets]
             for sets in read(batch):
                 yield from _batches(_post(sets, shards, buckets, threshold), _POSTED)
 
-    def count(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_batches(_count(table, buckets), _COUNTED), _COUNTED)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            yield from _batches(_count(pa.Table.from_batches(held), buckets), _COUNTED)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            yield _settle(pa.Table.from_batches(held))
 
-    posted = df.mapInArrow(post, _POST_DDL)
-    counted = posted.groupBy("shard").applyInArrow(count, _COUNT_DDL)
-    return counted.groupBy("bucket").applyInArrow(_settle, "key long")
+    # placed by number, not by hash: a task has one shard, none has several
+    posted = df.mapInArrow(post, _POST_DDL).repartitionById(shards, "shard")
+    counted = posted.mapInArrow(count, _COUNT_DDL).repartitionById(buckets, "bucket")
+    return counted.mapInArrow(settle, "key long")

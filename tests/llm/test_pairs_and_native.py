@@ -4,13 +4,14 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import decontamination as deco
 from folio.llm import mixing, sharding
 from folio.llm.ngram_join import least_of_component, ngram_components
-from folio.llm.occurrence import DivideSkip, least_overlap, linked
+from folio.llm.occurrence import DivideSkip, joined_clusters, least_overlap, linked
 from folio.llm.url_filters import ENTRY_SCHEMA, judged, url_host, url_path, validity_intervals
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,7 +66,8 @@ def test_ngram_components_of_hot_groups(spark, monkeypatch):
     """A third of the rows are near copies of one text; and lists too long for one task."""
     import folio.llm.ngram_join as join
 
-    monkeypatch.setattr(join, "LIST_PART", 3)
+    monkeypatch.setattr(join, "UNIT_TOKENS", 300)
+    monkeypatch.setattr(join, "BROADCAST_KEYS", 3)
     monkeypatch.setattr(join, "BLOCK_TOKENS", 200)
     rows = near_copies(2)
     assert Counter(map(tuple, ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_components(rows)
@@ -90,6 +92,51 @@ def test_divide_skip_equals_all_pairs(seed):
     assert index.search([]) == [] and least_overlap(10) == 8
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_joined_clusters_equal_all_pairs(seed):
+    rng = random.Random(seed)
+    base = [set(rng.sample(range(60), rng.randrange(5, 30))) for _ in range(12)]
+    sets = [(s | {rng.randrange(60) for _ in range(rng.randrange(4))}) - {rng.randrange(60)} for s in base for _ in range(rng.randrange(1, 9))]
+    cluster = [rng.randrange(len(sets) // 2) for _ in sets]
+    names = sorted(set(cluster))
+    label = {c: c for c in names}
+    for i, s in enumerate(sets):
+        for j, o in enumerate(sets[:i]):
+            if linked(len(s & o), len(s), len(o)):
+                old, new = label[cluster[i]], label[cluster[j]]
+                label = {c: new if x == old else x for c, x in label.items()}
+    ids = np.array([names.index(c) for c in cluster])
+    got = joined_clusters(ids, np.array([len(s) for s in sets]), np.array([t for s in sets for t in sorted(s)], np.uint64))
+    pairs = lambda f: {(a, b) for a in range(len(names)) for b in range(a) if f(a) == f(b)}
+    assert pairs(lambda k: int(got[k])) == pairs(lambda k: label[names[k]])
+
+
+def test_five_thousand_near_copies(spark):
+    """Each of them is linked with the first by construction, so all are one component; what is like them by 0.7 is not."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 5000):
+        copy, at = list(base), rng.randrange(190)
+        for j in range(rng.randrange(1, 11)):  # a run of words: at most 14 shingles of 196 differ
+            copy[at + j] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    for i in range(40):  # 36 words less at one end and other words instead: 160 of 232 shingles
+        rows.append((10_000 + i, " ".join(base[:164] + [f"d{i}x{j}" for j in range(36)])))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {got[i] for i in range(5000)} == {0} and all(got[10_000 + i] == 10_000 + i for i in range(40))
+
+
+def test_tables_that_are_not_needed_go(spark):
+    from folio.llm import runtime
+
+    runtime.discard_all(spark)
+    rows = ngram_components(spark.createDataFrame(near_copies(), "doc_id long, text string"))
+    assert len(runtime._stored) <= 6 and rows.count()
+    runtime.discard_all(spark)
+    assert not runtime._stored
+
+
 def test_lookup_table_is_fair_and_steady():
     table = sharding.lookup_table()
     counts = Counter(table)
@@ -150,6 +197,19 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mix_sources(docs.where("text = ''")).agg(F.sum("copies")).first()[0] == 0
 
 
+def test_mixing_by_seed_and_with_clashing_names(spark):
+    rows = [(i, "w " * (3 * i + 1), "s", 7, 8, 9) for i in range(40)] + [(None, "x " * n, None, 7, 8, 9) for n in (2, 2, 3, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int, n int, miss int")
+    copies = {}
+    for seed in (1, 99, 1):
+        got = mixing.mix_sources(docs, seed=seed)
+        assert got.columns == [*docs.columns, "size", "source_size", "target", "copies"] and got.count() == len(rows)
+        now = sorted((r["doc_id"], r["copies"]) for r in got.where("doc_id is not null").collect())
+        assert copies.setdefault(seed, now) == now and all(r["k"] == 7 for r in got.collect())
+    assert copies[1] != copies[99]
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
 def test_url_parts(spark):
     urls = ["https://U:p@Www.A.com:80/x/y?q#f", "http://a.com", "a.com/x", "", None, "ftp://a.com./?q"]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(url_host(F.col("u")), url_path(F.col("u")))
@@ -180,7 +240,9 @@ def test_decontamination_tolerates_substitutions(spark, monkeypatch):
     want = {(1, 1), (2, 1), (5, 1), (None, 1), (8, 2), (9, 1)}
     got = deco.benchmark_overlaps(docs, items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
-    monkeypatch.setattr(deco, "BLOCK_SEEDS", 20)  # items in blocks give the same
+    # items in blocks, and texts in pieces, give the same
+    assert {(r["doc_id"], r["item_id"]) for r in deco.benchmark_overlaps(docs, items, block_seeds=20).collect()} == want
+    monkeypatch.setattr(deco, "PIECE", 5)
     assert {(r["doc_id"], r["item_id"]) for r in deco.benchmark_overlaps(docs, items).collect()} == want
     assert sorted(r["doc_id"] for r in deco.decontaminated(docs, items).collect()) == [3, 4, 6, 7]
     assert deco.decontaminated(docs, items.limit(0)).count() == len(rows) and deco.benchmark_overlaps(docs.limit(0), items).count() == 0
@@ -221,6 +283,16 @@ def test_decontamination_finds_every_accepted_alignment(spark):
     assert Counter((r["doc_id"], r["item_id"], r["agreeing"]) for r in got) == Counter(brute_overlaps(docs, items))
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    """Two hundred thousand words in one document, with a changed copy of an item at its very end."""
+    rng = random.Random(4)
+    item = [f"q{i}" for i in range(30)]
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(200_000)) + " " + " ".join(["x", *item[1:9], "y", *item[10:16]])
+    docs = spark.createDataFrame([(1, text), (2, text[:500_000])], "doc_id long, text string")
+    got = deco.benchmark_overlaps(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 5, 14, 16)]
+
+
 def test_stages_judge_rows_without_or_with_shared_ids(spark):
     rows = [(None, "a b c d e f"), (None, "A b c d e f"), (None, "only this row"), (None, None), (5, "p q r s t u"), (None, "p q r s t u"), (6, "one text of it"), (6, "another text"), (4, "P q r s t u")]
     kept = Counter((r["doc_id"], (r["text"] or "").lower()) for r in least_of_component(spark.createDataFrame(rows, "doc_id long, text string")).collect())
