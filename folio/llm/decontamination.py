@@ -3,11 +3,14 @@
 A seed is a window of nine words of which a fixed mask reads five. The four
 masks are chosen so that every alignment that the comparison accepts has a
 seed. Seeds of documents and of benchmark items are joined, and around each
-hit the aligned words are compared.
+hit the aligned words are compared: as every accepted run of words has a hit
+within, the words that a run of it can hold are all that is needed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +20,14 @@ SPAN = 9
 #: Positions that each mask reads. Wherever AGREE of 9 to WINDOW words agree, a window of these has one
 #: mask all of whose words agree; fewer masks of five words do not do it.
 MASKS = ((0, 1, 5, 7, 8), (2, 3, 4, 5, 8), (0, 2, 5, 6, 7), (1, 2, 3, 6, 8))
-#: Every window of a document and of an item is read.
-STRIDE = 1
 #: Words that are compared around a hit, or the item if it is shorter, and the share of them that must agree.
 WINDOW = 16
 AGREE = 0.8
-#: Items' seeds that are broadcast at once, about 300 MB with their words at most; more items take more passes.
+#: Words beside a seed's window that a compared run can reach.
+BESIDE = WINDOW - SPAN
+#: Windows of a document or item that are made at once, which bounds a row whatever the text's length.
+PIECE = 2_048
+#: Items' seeds that are broadcast at once: of about 300 bytes each, so 150 MB; more items take more passes.
 BLOCK_SEEDS = 500_000
 
 
@@ -32,67 +37,79 @@ def token_hashes(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(spaced, " "), lambda w: F.xxhash64(w)))
 
 
-def _starts(words: Column, beyond: int = 0) -> Column:
-    """Where windows start, also those that ``beyond`` words of stand outside."""
-    last = F.size(words) - SPAN + beyond
-    return F.when(last >= -beyond, F.sequence(F.lit(-beyond), last, F.lit(STRIDE)))
+def _around(rows: DataFrame, words: str, name: str, beyond: int) -> DataFrame:
+    """``rows`` with the words of each window of ``SPAN`` and ``BESIDE`` on either side, null outside the text.
 
+    ``beyond`` windows stand outside by a word at either end. The words are cut
+    to pieces first, and only a window's own words go on with it, so that time
+    and memory grow with the text and not with its square.
+    """
+    wide = SPAN + 2 * BESIDE
+    nothing = F.array_repeat(F.lit(None).cast("bigint"), BESIDE + beyond)
+    rest = [c for c in rows.columns if c != words]
+    padded = rows.select(*rest, F.concat(nothing, words, nothing).alias("_padded"))
+    windows = F.size("_padded") - wide + 1
+    # a text that is too short has a null window; the outer form keeps Spark from making the words twice to filter
+    starts = F.when(windows > 0, F.sequence(F.lit(1), windows, F.lit(PIECE)))
+    pieces = padded.select(*rest, F.explode_outer(F.transform(starts, lambda a: F.slice("_padded", a, PIECE + wide - 1))).alias("_part"))
+    each = F.transform(F.sequence(F.lit(1), F.size("_part") - wide + 1), lambda i: F.slice("_part", i, wide))
+    return pieces.select(*rest, F.explode_outer(each).alias(name))
 
-def _seeds(words: Column, at: Column) -> Column:
-    """The seeds of the window at a place; null for a mask that reads a word outside."""
-    inside = [(at + mask[0] >= 0) & (at + mask[-1] < F.size(words)) for mask in MASKS]
-    return F.array(*[F.when(inside[m], F.xxhash64(F.lit(m), *[F.get(words, at + j) for j in mask])) for m, mask in enumerate(MASKS)])
 
+def _seeds(around: str) -> Column:
+    """The seeds of a window amid its surroundings; null for a mask that reads a word outside the text."""
+    word = [F.get(F.col(around), BESIDE + j) for j in range(SPAN)]
+    inside = [reduce(Column.__and__, [word[j].isNotNull() for j in (mask[0], mask[-1])]) for mask in MASKS]
+    return F.array(*[F.when(inside[m], F.xxhash64(F.lit(m), *[word[j] for j in mask])) for m, mask in enumerate(MASKS)])
 
-def _seeded(rows: DataFrame, words: str, at: str, beyond: int = 0) -> DataFrame:
-    """``rows`` with every seed of theirs; rows without one have a null seed.
 
-    The places are exploded before the seeds, so that no function of arrays
-    stands between and the row with its words is not copied for each seed;
-    the outer form keeps Spark from reading the words twice to filter.
-    """
-    placed = rows.select("*", F.explode_outer(_starts(F.col(words), beyond)).alias(at))
-    return placed.select("*", F.explode_outer(_seeds(F.col(words), F.col(at))).alias("seed"))
+def _agreeing(a: str, b: str) -> Column:
+    """How many words agree in the best run of ``WINDOW`` words that holds the seed's."""
+    same = [(F.get(F.col(a), j) == F.get(F.col(b), j)) for j in range(SPAN + 2 * BESIDE)]
+    bits = reduce(Column.bitwiseOR, [F.when(x, 1 << j).otherwise(0) for j, x in enumerate(same)])
+    return F.greatest(*[F.bit_count(bits.bitwiseAND(F.lit(((1 << WINDOW) - 1) << i))) for i in range(BESIDE + 1)])
 
 
-def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """(doc_id, item_id, agreeing, compared) of every document that repeats a passage of an item.
 
     ``compared`` is the number of words compared, ``WINDOW`` or the item's
     length; ``agreeing`` how many of them agree at the best place. A pair is
     returned if that is ``AGREE`` of them at least, words that a document ends
     before counting as others; none of these pairs is missed. Items of fewer
-    than ``SPAN`` words match nothing; null and empty texts likewise. Rows that share an id share their pairs; a null id is returned as
-    such. Repeated items give one row.
+    than ``SPAN`` words match nothing; null and empty texts likewise, and an
+    empty table of documents or items gives no pairs. Very long texts are read
+    whole, in time that grows with their length. Rows that share an id share
+    their pairs; a null id is returned as such. Repeated items give one row,
+    and other columns are ignored.
 
     Items are few: their seeds are counted and broadcast in blocks of bounded
     size, so that documents are never shuffled by words.
     """
     held = items.select(F.col(item_col).alias("item_id"), token_hashes(F.col(text_col)).alias("_item")).where(F.size("_item") >= SPAN).distinct()
     n_seeds = held.agg(F.sum((F.size("_item") - SPAN + 1) * len(MASKS))).first()[0] or 0
-    blocks = max(1, -(-n_seeds // BLOCK_SEEDS))
+    blocks = max(1, -(-n_seeds // block_seeds))
     rows = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("_doc"))
     # of a nine-word item eight words can stand at a document's edge
-    found = _seeded(rows, "_doc", "_at", 1)
-    pairs = None
+    found = _around(rows, "_doc", "_near", 1)
+    found = found.select("doc_id", "_near", F.explode_outer(_seeds("_near")).alias("seed"))
+    seeds = _around(held.select("item_id", F.least(F.size("_item"), F.lit(WINDOW)).alias("compared"), "_item"), "_item", "_own", 0)
+    seeds = seeds.select("item_id", "compared", "_own", F.explode_outer(_seeds("_own")).alias("seed")).where("seed is not null").distinct()
+    hits = None
     for b in range(blocks):
-        part = held.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b) if blocks > 1 else held
-        seeds = _seeded(part, "_item", "_item_at")
-        hits = found.join(F.broadcast(seeds), "seed")
-        pairs = hits if pairs is None else pairs.unionByName(hits)
-    m, shift = F.size("_item"), F.col("_at") - F.col("_item_at")
-    # the words beside the item's, of which those before the document's start are missing
-    part = pairs.select("doc_id", "item_id", "_item", F.slice("_doc", F.greatest(shift, F.lit(0)) + 1, m).alias("_part"), F.least(shift, F.lit(0)).alias("_lead"))
-    same = F.transform(F.col("_item"), lambda w, j: F.coalesce((F.get(F.col("_part"), F.col("_lead") + j) == w).cast("int"), F.lit(0)))
-    compared = F.least(m, F.lit(WINDOW))
-    agreeing = F.array_max(F.transform(F.sequence(F.lit(0), m - compared), lambda i: F.aggregate(F.slice("_same", i + 1, compared), F.lit(0), lambda a, x: a + x)))
-    # exploded, as Spark would take a condition on them into the join, which then copies the document for each seed
-    scored = part.select("doc_id", "item_id", compared.alias("compared"), F.explode(F.array(same)).alias("_same"), "_item").select("doc_id", "item_id", "compared", F.explode(F.array(agreeing)).alias("agreeing"))
-    return scored.where(F.col("agreeing") >= F.ceil(F.col("compared") * AGREE)).groupBy("doc_id", "item_id").agg(F.max("agreeing").cast("long").alias("agreeing"), F.max("compared").cast("long").alias("compared"))
+        part = seeds.where(F.pmod(F.xxhash64("_own", "seed"), F.lit(blocks)) == b) if blocks > 1 else seeds
+        met = found.join(F.broadcast(part), "seed").select("doc_id", "item_id", "compared", _agreeing("_near", "_own").alias("agreeing"))
+        hits = met if hits is None else hits.unionByName(met)
+    best = hits.where(F.col("agreeing") >= F.ceil(F.col("compared") * AGREE)).groupBy("doc_id", "item_id")
+    return best.agg(F.max("agreeing").cast("long").alias("agreeing"), F.max("compared").cast("long").alias("compared"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """``docs`` without the rows that repeat a passage of an item, each judged by itself whatever its id."""
+    """``docs`` without the rows that repeat a passage of an item, each judged by itself whatever its id.
+
+    Rows of null or empty texts are kept, repeated rows go or stay together,
+    and an empty table stays empty.
+    """
     rows = stored(docs.withColumn("_folio_row", F.monotonically_increasing_id()), "rows")
     hit = benchmark_overlaps(rows, items, "_folio_row", text_col, item_col).select(F.col("doc_id").alias("_folio_row")).distinct()
     return rows.join(hit, "_folio_row", "left_anti").drop("_folio_row")

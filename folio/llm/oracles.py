@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from folio.llm import decontamination as deco
 from folio.llm import mixing, sharding
 from folio.llm.queries import LIST_LOG
 
@@ -35,7 +34,7 @@ def mixing_sql() -> str:
     return rf"""
 WITH sized AS (
   SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}') AS digest FROM documents),
+    md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}:' || coalesce(text, '')) AS digest FROM documents),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, digest, doc_id, text) AS rank FROM sized),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -48,15 +47,16 @@ levels AS (
   FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
 targets AS (SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM levels),
 times AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times FROM targets),
-parts AS (SELECT *, floor(times) AS whole, times - floor(times) AS part FROM times),
+parts AS (
+  SELECT *, floor(times) AS whole, times - floor(times) AS part, ('0x' || substr(md5(coalesce(source, '') || ':{mixing.SEED}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift FROM times),
 tried AS (
-  SELECT p.source, k, abs(sum(r.size * (floor(r.rank * p.part + k / {float(mixing.STARTS)}::DOUBLE) - floor((r.rank - 1) * p.part + k / {float(mixing.STARTS)}::DOUBLE)))
+  SELECT p.source, k, abs(sum(r.size * (floor(r.rank * p.part + (k + p.shift) / {float(mixing.STARTS)}::DOUBLE) - floor((r.rank - 1) * p.part + (k + p.shift) / {float(mixing.STARTS)}::DOUBLE)))
     - any_value(p.part) * any_value(p.source_size)) AS miss
   FROM ranked r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source, range({mixing.STARTS}) t(k) GROUP BY p.source, k),
 best AS (SELECT source, k FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1),
 taken AS (
   SELECT r.doc_id, r.size, p.source_size, p.target,
-    (p.whole + floor(r.rank * p.part + b.k / {float(mixing.STARTS)}::DOUBLE) - floor((r.rank - 1) * p.part + b.k / {float(mixing.STARTS)}::DOUBLE))::INTEGER AS copies
+    (p.whole + floor(r.rank * p.part + (b.k + p.shift) / {float(mixing.STARTS)}::DOUBLE) - floor((r.rank - 1) * p.part + (b.k + p.shift) / {float(mixing.STARTS)}::DOUBLE))::INTEGER AS copies
   FROM ranked r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source JOIN best b ON b.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM taken
 """
@@ -85,24 +85,29 @@ FROM pages_at p LEFT JOIN hits h ON h.page_id = p.page_id AND h.r = 1
 
 
 def decontamination_sql() -> str:
-    def words(name: str, key: str, size: int) -> str:
+    """Every alignment that has three words in a row in common is compared.
+
+    Of 9 to 16 words of which four fifths agree, three in a row do: the others
+    are too few to part the rest into shorter runs.
+    """
+
+    def words(name: str, key: str) -> str:
         spaced = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
-        return f"SELECT {key}, w FROM (SELECT {key}, string_split({spaced}, ' ') AS w FROM {name}) WHERE len(w) >= {size}"
+        return f"SELECT {key}, w, row_number() OVER () AS r FROM (SELECT {key}, string_split({spaced}, ' ') AS w FROM {name}) WHERE len(w) >= 3"
 
-    def seeds(name: str, key: str, stride: int) -> str:
-        part = " UNION ALL ".join(
-            f"SELECT {key}, w, i, '{m}' || " + " || ".join(f"' ' || w[i + {j + 1}]" for j in mask) + f" AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {deco.SPAN} + 1, {stride})) AS i FROM {name})" for m, mask in enumerate(deco.MASKS)
-        )
-        return part
+    def runs(name: str) -> str:
+        return f"SELECT r, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS run FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM {name})"
 
     return rf"""
-WITH d AS ({words("documents", "doc_id", deco.SPAN)}), b AS ({words("benchmark", "item_id", deco.SPAN)}),
-ds AS ({seeds("d", "doc_id", deco.STRIDE)}), bs AS ({seeds("b", "item_id", 1)}),
-hits AS (SELECT doc_id, item_id, ds.w AS dw, bs.w AS bw, ds.i - bs.i AS shift, least(len(bs.w), {deco.WINDOW}) AS compared FROM ds JOIN bs USING (seed)),
-same AS (SELECT doc_id, item_id, compared, list_transform(range(len(bw)), lambda j: CASE WHEN shift + j >= 0 AND dw[shift + j + 1] = bw[j + 1] THEN 1 ELSE 0 END) AS s FROM hits),
+WITH d AS ({words("documents", "doc_id")}), b AS (SELECT * FROM ({words("benchmark", "item_id")}) WHERE len(w) >= 9),
+dr AS ({runs("d")}), br AS ({runs("b")}),
+aligned AS (SELECT DISTINCT dr.r AS dr, br.r AS br, dr.i - br.i AS shift FROM dr JOIN br USING (run)),
+same AS (
+  SELECT doc_id, item_id, least(len(b.w), 16) AS compared, list_transform(range(len(b.w)), lambda j: CASE WHEN shift + j >= 0 AND d.w[shift + j + 1] = b.w[j + 1] THEN 1 ELSE 0 END) AS s
+  FROM aligned JOIN d ON d.r = dr JOIN b ON b.r = br),
 scored AS (SELECT doc_id, item_id, compared, list_max(list_transform(range(len(s) - compared + 1), lambda i: list_sum(s[i + 1 : i + compared]))) AS agreeing FROM same)
 SELECT doc_id, item_id, max(agreeing)::BIGINT AS agreeing, max(compared)::BIGINT AS compared FROM scored
-WHERE agreeing >= ceil(compared * {deco.AGREE}::DOUBLE) GROUP BY doc_id, item_id
+WHERE 5 * agreeing >= 4 * compared GROUP BY doc_id, item_id
 """
 
 
