@@ -63,16 +63,19 @@ def mix_sources(
     Every row is returned, also those that the mix takes no copy of. A source's
     rows are ranked by size, from the largest, those of equal size by a seeded
     hash; row i gets a copy more where i times the fraction, plus a start,
-    passes a whole number. Of 64 starts each source has the one whose words
-    come nearest to its target. All of it depends only on the rows and the
-    seed, so reruns agree.
-
-    Null texts have size 0, null sources are a source, null ids are hashed as
-    empty ones. Rows that repeat are rows of their own. Columns of the names
-    above are replaced; names starting with an underscore are reserved.
+    passes a whole number. Of 64 starts, which the seed shifts, each source has
+    the one whose words come nearest to its target. All of it depends only on
+    the rows and the seed, so reruns agree.
+
+    Null and empty texts have size 0, very long ones are counted whole, null
+    sources are a source, null ids are hashed as empty ones. Rows that repeat
+    are rows of their own, and an empty table gives an empty result. Columns of
+    the names above are replaced; names starting with an underscore are
+    reserved, any others may be there.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    # the text too, so that rows without an id are dealt over the buckets
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.withColumns({"size": word_count(F.col(text_col)), "_digest": digest, "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
     rows = rows.withColumn("_bucket", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
     source, cell = ["_null", "_source"], ["_null", "_source", "size"]
@@ -86,16 +89,17 @@ def mix_sources(
 
     above = F.coalesce(F.sum("n").over(W.partitionBy(*source).orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = classes.withColumn("_above", above).join(targets, source)
-    start = F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("k")
+    shift = F.conv(F.substring(F.md5(F.concat("_source", F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(STARTS - 1)), lambda i: (i + shift) / float(STARTS))).alias("_start")
     tried = ranked.select(*source, "size", "n", "_above", "_part", "source_size", start)
 
     def passed(rank: Column) -> Column:
-        return F.floor(rank * F.col("_part") + F.col("k") / float(STARTS))
+        return F.floor(rank * F.col("_part") + F.col("_start"))
 
     words = F.sum(F.col("size") * (passed(F.col("_above") + F.col("n")) - passed(F.col("_above"))))
     miss = F.abs(words - F.first("_part") * F.first("source_size"))
-    best = tried.groupBy(*source, "k").agg(miss.alias("miss")).groupBy(*source).agg(F.min(F.struct("miss", "k")).getField("k").alias("k"))
-    plan = ranked.join(best, source).select(*cell, "_above", "source_size", "target", "_whole", "_part", "k")
+    best = tried.groupBy(*source, "_start").agg(miss.alias("miss")).groupBy(*source).agg(F.min(F.struct("miss", "_start")).getField("_start").alias("_start"))
+    plan = ranked.join(best, source).select(*cell, "_above", "source_size", "target", "_whole", "_part", "_start")
     plan = cells.withColumn("_in_cell", in_cell).drop("n").join(plan, cell)
 
     keys = [*cell, "_bucket"]
