@@ -1,9 +1,9 @@
 """Personal data, disguised too, with offsets into the source text.
 
-The plain grammars are matched on the text as it is. Around homoglyphs,
-spelled digits and 'at' and 'dot' in disguise, transducers rewrite the text,
-the same grammars are matched on the result, and the spans are mapped back to
-the characters they came from.
+The plain grammars are matched on the text as it is. Where there are
+homoglyphs, spelled digits or 'at' and 'dot' in disguise, transducers rewrite
+the text, the same grammars are matched on the result, and the spans are
+mapped back to the characters they came from.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,35 +99,53 @@ _DOT = re.compile(r"(?i)(?<=\w)(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)(
 _NUMBER_WORD = _ONE.replace("|[0-9]", "")
 # without case only in its words: a dotless i in the set would stand for every i
 _TRIGGER = re.compile("(?i)(?-i:[" + re.escape("".join(_GLYPHS) + _UNSEEN) + r"])|\bdot\b|[\[({<]\s?(?:at|@|\.)\s?[\])}>]" + rf"|(?<![^\W\d_]){_NUMBER_WORD}(?=[\s,-]{{0,2}}{_ONE})|[0-9](?=[\s,-]{{0,2}}{_NUMBER_WORD})")
-#: Characters around a disguise that are looked at; identifiers are shorter.
-REACH = 160
+_GLYPH = re.compile("[" + re.escape("".join(_GLYPHS) + _UNSEEN) + "]")
 
 
 class Rewritten:
-    """A text with, for each of its characters, the span of the source it stands for."""
+    """A text that was rewritten, with what each of its characters stands for in the source.
 
-    def __init__(self, text: str, start: int = 0) -> None:
+    Each step is held as pieces that begin at some character of its result:
+    (where, the same place before the step, and for a character that was put in
+    the end of what it replaces). Other characters stand for themselves, so
+    that memory grows with the rewritten places and not with the text.
+    """
+
+    def __init__(self, text: str) -> None:
         self.text = text
-        self.begins = list(range(start, start + len(text)))
-        self.ends = [b + 1 for b in self.begins]
+        self._steps: list[tuple[list[int], list[int], list[int]]] = []
 
-    def apply(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> None:
+    def apply(self, edits: Iterable[tuple[int, int, list[tuple[str, int, int]]]]) -> None:
         """Replaces [a, b) by characters, each standing for [x, y) of the text as it is, for every edit in order."""
-        text, begins, ends, at = [], [], [], 0
-        for a, b, out in edits:
-            text.append(self.text[at:a])
-            begins += self.begins[at:a]
-            ends += self.ends[at:a]
-            for char, x, y in out:
-                text.append(char)
-                begins.append(self.begins[x])
-                ends.append(self.ends[y - 1])
+        out, length, at = [], 0, 0
+        where, before, ends = [0], [0], [-1]
+        for a, b, put in edits:
+            out.append(self.text[at:a])
+            length += a - at
+            for char, x, y in put:
+                where.append(length)
+                before.append(x)
+                ends.append(y)
+                out.append(char)
+                length += 1
+            where.append(length)
+            before.append(b)
+            ends.append(-1)
             at = b
-        text.append(self.text[at:])
-        self.begins, self.ends, self.text = begins + self.begins[at:], ends + self.ends[at:], "".join(text)
+        if at or out:
+            self.text = "".join([*out, self.text[at:]])
+            self._steps.append((where, before, ends))
 
     def source(self, span: Span) -> Span:
-        return self.begins[span[0]], self.ends[span[1] - 1]
+        """The place in the source of a place in the text."""
+        a, z = span[0], span[1] - 1  # the first and the last character
+        last = z + 1
+        for where, before, ends in reversed(self._steps):
+            i, j = bisect_right(where, a) - 1, bisect_right(where, z) - 1
+            a = before[i] if ends[i] >= 0 else before[i] + a - where[i]
+            last = ends[j] if ends[j] >= 0 else before[j] + z - where[j] + 1
+            z = last - 1
+        return a, last
 
 
 def _spelled_edit(m: re.Match) -> tuple[int, int, list[tuple[str, int, int]]] | None:
@@ -140,46 +158,26 @@ def _spelled_edit(m: re.Match) -> tuple[int, int, list[tuple[str, int, int]]] |
     return m.start(), m.end(), out
 
 
-def rewrite(text: str, start: int = 0) -> Rewritten:
+def rewrite(text: str) -> Rewritten:
     """The text without its disguises."""
-    r = Rewritten(text, start)
-    r.apply([(i, i + 1, [(_GLYPHS[c], i, i + 1)] if c in _GLYPHS else []) for i, c in enumerate(r.text) if c in _GLYPHS or c in _UNSEEN])
+    r = Rewritten(text)
+    r.apply((m.start(), m.end(), [(_GLYPHS[m[0]], m.start(), m.end())] if m[0] in _GLYPHS else []) for m in _GLYPH.finditer(r.text))
     r.apply([e for m in _SPELLED.finditer(r.text) if (e := _spelled_edit(m))])
     for pattern, char in ((_AT, "@"), (_DOT, ".")):
         r.apply([(m.start(), m.end(), [(char, m.start(), m.end())]) for m in pattern.finditer(r.text)])
     return r
 
 
-def _islands(text: str) -> Iterator[Span]:
-    """Stretches around disguises, cut at white space where there is some."""
-    last = None
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 2 * REACH:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 2 * REACH:
-            b += 1
-        if last and a <= last[1]:
-            last = (last[0], b)
-            continue
-        if last:
-            yield last
-        last = (a, b)
-    if last:
-        yield last
-
-
 def all_spans(text: str, disguised: bool = True) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(plain spans, all spans) of each kind; those that are added lie in no plain span, but may hold one.
 
-    ``disguised=False`` is for a text that is known to hold no disguise.
+    The whole text is rewritten, so an identifier is found whole however long
+    it is. ``disguised=False`` is for a text that is known to hold no disguise.
     """
     base = plain_spans(text)
     every = {k: list(v) for k, v in base.items()}
-    for a, b in _islands(text) if disguised else ():
-        r = rewrite(text[a:b], a)
-        if r.text == text[a:b]:
-            continue
+    r = rewrite(text) if disguised else None
+    if r is not None and r.text != text:
         for kind, find in _FIND.items():
             for span in find(r.text):
                 x, y = r.source(span)
@@ -213,8 +211,10 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every row.
 
     The counts and the digest are of the plain spans, ``spans`` has all.
-    Offsets are code points, ends exclusive. Null texts are empty; null ids and
-    repeated rows are returned as given; other columns are ignored.
+    Offsets are code points, ends exclusive. Null texts are empty, and empty
+    ones have no spans; very long ones are read whole. Null ids and repeated
+    rows are returned as given, an empty table gives an empty result, and other
+    columns are ignored.
     """
 
     nothing = {k: [] for k in KINDS}
