@@ -25,10 +25,10 @@ WIDTH = 8
 STRIDE = 2
 EMBED = 8
 FILTERS = 32
-#: The labelled rows that are learned from: so many at most, taken by a hash of the id.
+#: The labelled rows that are learned from: so many at most, taken by a hash of the id, and of them as many as have
+#: so many bytes of text together. Their texts are learned from whole.
 MAX_ROWS = 1500
-#: Chunks of one row in training, spread over the whole text; scores use all chunks.
-MAX_CHUNKS = 12
+MAX_BYTES = 32 << 20
 EPOCHS = 14
 #: Share of the rows of a step that are cut short.
 SHORTENED = 0.3
@@ -112,8 +112,48 @@ def _shortened(chunks: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return one[None]
 
 
+class _Step:
+    """One batch of documents: responses of all their chunks, and the gradient by the chosen patches only.
+
+    Patches are made for ``BLOCK`` chunks at a time, so that memory does not
+    grow with a text's length but by 64 numbers for each of its chunks.
+    """
+
+    BLOCK = 256
+
+    def __init__(self, params: dict[str, np.ndarray], chunks: np.ndarray) -> None:
+        self.params, self.chunks = params, chunks
+        m = len(chunks)
+        self.best, self.top = np.empty((m, FILTERS), np.int64), np.empty((m, FILTERS), np.float32)
+        for a in range(0, m, self.BLOCK):
+            p = _patches(chunks[a : a + self.BLOCK], params["embed"])
+            response = (p.reshape(-1, WIDTH * EMBED) @ params["filters"]).reshape(p.shape[0], p.shape[1], FILTERS)
+            self.best[a : a + self.BLOCK] = best = response.argmax(axis=1)
+            self.top[a : a + self.BLOCK] = np.take_along_axis(response, best[:, None], 1)[:, 0]
+        self.top += params["bias"]
+        self.pooled = np.maximum(self.top, 0)
+
+    def gradient(self, back: np.ndarray) -> dict[str, np.ndarray]:
+        """Of bias, filters and embedding, from that of the pooled responses."""
+        back = back * (self.top > 0)
+        filters, embed = np.zeros_like(self.params["filters"]), np.zeros((256, EMBED), np.float64)
+        for a in range(0, len(back), self.BLOCK):
+            part, b = self.chunks[a : a + self.BLOCK], back[a : a + self.BLOCK]
+            where = self.best[a : a + self.BLOCK, :, None] * STRIDE + np.arange(WIDTH)
+            codes = np.take_along_axis(part, where.reshape(len(part), -1), 1)
+            chosen = self.params["embed"][codes].reshape(len(part), FILTERS, WIDTH * EMBED)
+            filters += np.einsum("mfk,mf->kf", chosen, b)
+            to_patch = (b[:, :, None] * self.params["filters"].T[None]).reshape(-1, EMBED)
+            embed += np.stack([np.bincount(codes.ravel(), weights=to_patch[:, j], minlength=256) for j in range(EMBED)], 1)
+        return {"bias": back.sum(0), "filters": filters, "embed": embed.astype(np.float32)}
+
+
 def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS) -> Network:
-    """Learns a network by Adam on the balanced logistic loss; the same rows in the same order give the same network."""
+    """Learns a network by Adam on the balanced logistic loss; the same rows in the same order give the same network.
+
+    Every chunk of every text is learned from in each epoch, but for the share
+    of the rows of a step that are cut short.
+    """
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
     y = np.asarray(labels, np.float32)
@@ -122,13 +162,11 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
         net.shift = 0.0 if not len(y) else float(4 * y[0] - 2)
         return net
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
-    column = texts_of(pa.array(texts, pa.string()))
     sets = []
-    for _, data, bounds in byte_blocks(column):
+    for _, data, bounds in byte_blocks(texts_of(pa.array(texts, pa.string()))):
         chunks, doc = chunks_of(data, bounds)
-        for d in range(len(bounds) - 1):
-            own = chunks[np.searchsorted(doc, d) : np.searchsorted(doc, d + 1)]
-            sets.append(own if len(own) <= MAX_CHUNKS else own[np.linspace(0, len(own) - 1, MAX_CHUNKS).astype(int)])
+        at = np.searchsorted(doc, np.arange(len(bounds)))
+        sets += [chunks[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     params = {k: getattr(net, k) for k in ("embed", "filters", "bias", "out")} | {"shift": np.zeros(1, np.float32)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     step = 0
@@ -141,27 +179,12 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
             chunks = np.concatenate(used)
             doc = np.repeat(np.arange(len(rows)), [len(x) for x in used])
             part = _weights(chunks, doc, len(rows))
-            p = _patches(chunks, params["embed"])
-            m, q, k = p.shape
-            flat = np.ascontiguousarray(p).reshape(m * q, k)
-            response = (flat @ params["filters"]).reshape(m, q, FILTERS)
-            best = response.argmax(axis=1)
-            top = np.take_along_axis(response, best[:, None], 1)[:, 0] + params["bias"]
-            pool = np.maximum(top, 0)
-            feature = _mean_of(pool, part, doc, len(rows))
+            seen = _Step(params, chunks)
+            feature = _mean_of(seen.pooled, part, doc, len(rows))
             logit = feature @ params["out"] + params["shift"]
             error = ((1 / (1 + np.exp(-logit)) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
             grad = {"out": feature.T @ error + 1e-4 * params["out"], "shift": error.sum(keepdims=True)}
-            back = (error[doc] * part)[:, None] * params["out"] * (top > 0)
-            grad["bias"] = back.sum(0)
-            at = (np.arange(m)[:, None] * q + best).ravel()
-            chosen = flat[at].reshape(m, FILTERS, k)
-            grad["filters"] = np.einsum("mfk,mf->kf", chosen, back)
-            to_patch = (back[:, :, None] * params["filters"].T[None]).reshape(m, FILTERS, WIDTH, EMBED)
-            where = best[:, :, None] * STRIDE + np.arange(WIDTH)
-            codes = np.take_along_axis(chunks, where.reshape(m, -1), 1).ravel()
-            flat_grad = to_patch.reshape(-1, EMBED)
-            grad["embed"] = np.stack([np.bincount(codes, weights=flat_grad[:, j], minlength=256) for j in range(EMBED)], 1).astype(np.float32)
+            grad |= seen.gradient((error[doc] * part)[:, None] * params["out"])
             step += 1
             for name, g in grad.items():
                 m1, m2 = moments[name]
@@ -179,15 +202,24 @@ def fold(id_col: Column) -> Column:
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network from the labelled rows outside fold 1, of which ``MAX_ROWS`` at most are taken.
 
-    The sample is the labelled ids with the least hashes; only their texts are
-    read. Labels that are null or not 0 or 1 are left out.
+    The sample is the labelled ids with the least hashes, one row for each, as
+    far as their texts have ``MAX_BYTES`` together; only these are read.
+    Labels that are null or not 0 or 1 are left out.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 1))
     order = F.xxhash64(F.lit(SEED), id_col)
     rows = known.groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(order, id_col).limit(MAX_ROWS)
-    found = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(rows), id_col).select(F.col(id_col).alias("id"), "text", "y").collect()
-    found.sort(key=lambda r: (r["id"], r["text"] or ""))
-    return train([r["text"] or "" for r in found], [r["y"] for r in found])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(id_col, text.alias("text")).where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(rows), id_col)
+    sample = found.groupBy(id_col, "y").agg(F.min("text").alias("text")).orderBy(order, id_col).select("text", "y")
+    texts, ys, total = [], [], 0
+    for r in sample.toLocalIterator():  # a partition at a time, until the sample is full
+        total += len(r["text"].encode())
+        if total > MAX_BYTES:
+            break
+        texts.append(r["text"])
+        ys.append(r["y"])
+    return train(texts, ys)
 
 
 def scored(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -206,9 +238,10 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
-    Null texts score as empty ones; null ids are returned as such, repeated
-    rows as often as given; without labels of both kinds every row scores
-    alike. Other columns are ignored.
+    Null texts score as empty ones, very long ones by all their chunks; null
+    ids are returned as such, repeated rows as often as given; without labels
+    of both kinds every row scores alike, and an empty table gives an empty
+    result. Other columns are ignored.
     """
     net = learned(docs, labels, id_col, text_col)
     rows = scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), net)
