@@ -17,22 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.runtime import stored
-from folio.llm.words import mix, prefix_sums, span_hashes, windows, words
+from folio.llm.words import Words, mix, prefix_sums, span_hashes, windows, words
 
 BAD, ABSTAIN, GOOD = -1, 0, 1
 MIN_WORDS = 50
 MAX_REPEATED = 50  # hundredths of the words
 
-#: The greatest share of good documents that a rule may call bad.
-FALSE_ALARM = 0.002
-
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_shouts")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_shouts", "n_symbol_words", "n_upper_words", "n_long_words")
+#: Characters above which a word counts as long.
+LONG_WORD = 20
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -44,19 +43,31 @@ def _vote(value: Column, good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The rules by name, as columns of votes over the measures."""
-    length, symbols, lines = _ratio("word_chars", "n_words"), _ratio("n_symbols", "n_words"), _ratio("n_dup_lines", "n_lines")
-    repeated, distinct = _ratio("n_repeat_words", "n_words"), _ratio("n_distinct", "n_words")
-    upper, shouts = _ratio("n_upper", "n_letters"), _ratio("n_shouts", "n_words")
+    """The rules by name, as columns of votes over the measures.
+
+    Each kind of junk (symbols, repetition, shouting, words of odd length) has
+    two rules or three that look at it in different ways: what several of them
+    call bad together is how their accuracies are estimated.
+    """
+    length, long_words = _ratio("word_chars", "n_words"), _ratio("n_long_words", "n_words")
+    symbols, symbol_chars, symbol_words = _ratio("n_symbols", "n_words"), _ratio("n_symbols", "word_chars"), _ratio("n_symbol_words", "n_words")
+    repeated, lines = _ratio("n_repeat_words", "n_words"), _ratio("n_dup_lines", "n_lines")
+    upper, shouts, upper_words = _ratio("n_upper", "n_letters"), _ratio("n_shouts", "n_words"), _ratio("n_upper_words", "n_words")
     n = F.col("n_words")
+    # the number of different words grows about with the root of the length
+    rich = F.coalesce(F.col("n_distinct") / F.sqrt(F.nullif(n.cast("double"), F.lit(0.0))), F.lit(0.0))
     return {
         "enough_words": _vote(n, n >= 2 * MIN_WORDS, n < MIN_WORDS),
         "word_length": _vote(length, length.between(3, 10), (length < 2) | (length > 15)),
+        "few_long_words": _vote(long_words, long_words < 0.05, long_words > 0.2),
         "few_symbols": _vote(symbols, symbols < 0.05, symbols > 0.15),
+        "few_symbol_chars": _vote(symbol_chars, symbol_chars < 0.01, symbol_chars > 0.03),
+        "few_symbol_words": _vote(symbol_words, symbol_words < 0.05, symbol_words > 0.15),
         "distinct_lines": _vote(lines, lines < 0.35, (lines > 0.5) & (F.col("n_dup_lines") > 3)),
         "little_repeated": _vote(repeated, repeated < 0.3, repeated > 0.4),
-        "rich_words": _vote(distinct, distinct > 0.3, (distinct < 0.1) & (n < 5000)),
+        "rich_words": _vote(rich, rich > 3, rich < 1),
         "lower_case": _vote(upper, upper < 0.25, upper > 0.5),
+        "few_upper_words": _vote(upper_words, upper_words < 0.15, upper_words > 0.4),
         "calm": _vote(shouts, shouts < 0.05, shouts > 0.2),
     }
 
@@ -66,6 +77,12 @@ def _per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _per_span(flags: np.ndarray, w: Words) -> np.ndarray:
+    """The number of flagged bytes of each word."""
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+    return total[w.ends] - total[w.starts]
+
+
 def _again(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(per document: entries whose key an earlier one has, per entry: whether its key is there more than once)."""
     mixed = mix(keys ^ mix(doc.astype(np.uint64)))
@@ -93,6 +110,13 @@ def measures(column: pa.Array) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
         shout = np.zeros(len(w.data), bool)
         shout[w.ends - 1] = w.data[w.ends - 1] == 33 if len(w.ends) else False
         out["n_shouts"] = _per_doc(shout, w.bounds)
+        chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80, dtype=np.int64)])
+        # by word: long ones, those with a symbol, and those of capitals only, two at least
+        flags = {"n_long_words": chars[w.ends] - chars[w.starts] > LONG_WORD, "n_symbol_words": _per_span(_SYMBOL[w.data], w) > 0}
+        capitals = _per_span(_UPPER[w.data], w)
+        flags["n_upper_words"] = (capitals > 1) & (capitals == _per_span(_LETTER[w.data], w))
+        for name, flag in flags.items():
+            out[name] = np.bincount(doc[flag], minlength=n)
         # lines: from after a break or a document's start to the next break or its end
         edge = np.zeros(len(w.data) + 1, bool)
         edge[np.flatnonzero(w.data == 10) + 1] = True
@@ -149,8 +173,6 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tu
         good, bad = counts * posterior, counts * (1 - posterior)
         # one vote of each kind is added, and good is taken to be no rarer than one in a hundred
         share = [(np.einsum("p,prv->rv", c, hot) + 1) / (c.sum() + 3) for c in (good, bad)]
-        # a rule is trusted to call few good documents bad: what it calls bad more often is so
-        share[0][:, 0] = np.minimum(share[0][:, 0], FALSE_ALARM)
         weights = np.log(share[0]) - np.log(share[1])
         # a vote counts in its own direction only
         weights[:, 0], weights[:, 2] = np.minimum(weights[:, 0], 0), np.maximum(weights[:, 2], 0)
@@ -166,9 +188,10 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tu
 def quality_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, measures, votes, base_failed, posterior, kept) of every row.
 
-    Null and empty texts have no words and so fail the base rules. A null id is
-    returned as such, repeated rows as often as given; other columns are
-    ignored. Equal rows get equal results, and an empty table an empty one.
+    Null and empty texts have no words and so fail the base rules; very long
+    ones are measured whole. A null id is returned as such, repeated rows as
+    often as given; other columns are ignored. Equal rows get equal results,
+    and an empty table an empty one.
     """
     rule = rules()
     held = stored(measured(docs, id_col, text_col).withColumns({f"vote_{k}": v for k, v in rule.items()}), "votes")
