@@ -20,16 +20,18 @@ from folio.llm.runtime import stored
 from folio.llm.url_filters import url_host, url_path
 from folio.llm.words import byte_blocks, texts_of
 
-#: Rows of known language that the text model is learned from, at most, taken by a hash of the id.
+#: Rows of known language that the text model is learned from, at most, taken by a hash of the id, as far as their
+#: texts have so many bytes together.
 MAX_ROWS = 1500
+MAX_BYTES = 16 << 20
 BUCKETS = 1 << 14
-#: Trigrams overlap and repeat: a text's evidence counts as that of so many independent ones, at most.
-MAX_EVIDENCE = 40.0
+#: Trigrams overlap and repeat: each counts as so much of an independent one.
 PER_TRIGRAM = 0.2
 #: Pages of the wider group that a host, domain or suffix starts from.
 SMOOTHING = 5.0
 
-_DECLARED = re.compile(r"<html\b[^>]{0,2000}?\slang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.IGNORECASE)
+_HTML = re.compile(r"<html\b[^>]*", re.IGNORECASE)
+_LANG = re.compile(r"\slang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.IGNORECASE)
 _DROPPED = re.compile(r"<(script|style|nav|template|noscript)\b[^>]*>|<!--", re.IGNORECASE)
 _ENDS = {k: re.compile(rf"</{k}\s*>", re.IGNORECASE) for k in ("script", "style", "nav", "template", "noscript")} | {"--": re.compile("-->")}
 _TAG = re.compile(r"<[^<>]*>")
@@ -55,9 +57,9 @@ def visible_text(html: str) -> str:
 
 
 def declared_language(html: str) -> str | None:
-    """The two- or three-letter code of the html element, in lower case."""
-    m = _DECLARED.search(html)
-    return m[1].lower() if m else None
+    """The two- or three-letter code of the first html tag that has one, in lower case."""
+    found = (m for tag in _HTML.finditer(html) if (m := _LANG.search(tag[0])))
+    return next((m[1].lower() for m in found), None)
 
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -80,15 +82,22 @@ def trigram_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, i
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities by bucket and language) from at most ``MAX_ROWS`` rows of known language."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64(F.lit(5), "id"), "id", "lang").limit(MAX_ROWS)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").collect()
-    langs = sorted({r["lang"] for r in found})
+    """(languages, log probabilities by bucket and language) from at most ``MAX_ROWS`` rows of known language and ``MAX_BYTES`` of text."""
+    known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= MAX_BYTES))
+    order = F.xxhash64(F.lit(5), "id")
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).distinct().orderBy(order, "id", "lang").limit(MAX_ROWS)
+    texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(rows), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).orderBy(order, "id", "lang")
+    found, total = [], 0
+    for r in sample.toLocalIterator():  # a partition at a time, until the sample is full
+        total += len(r["text"].encode())
+        if total > MAX_BYTES:
+            break
+        found.append((r["lang"], r["text"]))
+    langs = sorted({lang for lang, _ in found})
     counts = np.full((BUCKETS, max(1, len(langs))), 0.5)
     for k, lang in enumerate(langs):
-        texts = pa.array([r["text"] for r in found if r["lang"] == lang], pa.string())
-        for bucket, _, _ in trigram_counts(texts):
+        for bucket, _, _ in trigram_counts(pa.array([t for x, t in found if x == lang], pa.string())):
             counts[:, k] += np.bincount(bucket, minlength=BUCKETS)
     return langs, np.log(counts / counts.sum(axis=0))
 
@@ -105,10 +114,8 @@ def text_evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], html_co
             html = [x or "" for x in batch["_html"].to_pylist()]
             evidence = []
             for bucket, doc, n in trigram_counts(texts_of(pa.array([visible_text(x) for x in html], pa.string()))):
-                count = np.bincount(doc, minlength=n)
                 total = np.stack([np.bincount(doc, weights=table[bucket, k], minlength=n) for k in range(max(1, len(langs)))], 1)
-                weight = np.minimum(count * PER_TRIGRAM, MAX_EVIDENCE) / np.maximum(count, 1)
-                total *= weight[:, None]
+                total *= PER_TRIGRAM
                 evidence.append(total - total.max(axis=1, keepdims=True))
             rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_html"]
             names = [c for c in batch.schema.names if c != "_html"]
@@ -132,14 +139,16 @@ def fused(seen: DataFrame, langs: list[str], id_col: str = "page_id", url_col: s
 
     Everything that is counted comes from grouped sums over all rows: first by
     host, declaration and suffix, then from hosts to domains, top domains and
-    all. A row's own part is taken out of its host's sums.
+    all. A row's own part is taken out of its host's, its declaration's and its
+    suffix's sums. The sums by host are written before rows are joined to them,
+    so that Spark can split a hot host's rows over tasks.
     """
     size = range(max(1, len(langs)))
     host = url_host(F.col(url_col))
     labels = F.split(host, r"\.")
     top = F.element_at(labels, -1)
     first = F.regexp_extract(F.lower(url_path(F.col(url_col))), r"^/([a-z]{2})(?:/|$)", 1)
-    rows = seen.withColumns({"host": host, "suffix": F.concat_ws("/", top, first), "declared": F.coalesce("declared", F.lit("")), "own": _shares(F.col("text_log"))})
+    rows = seen.withColumns({"host": host, "suffix": F.concat_ws("/", F.nullif(top, F.lit("")), F.nullif(first, F.lit(""))), "declared": F.coalesce("declared", F.lit("")), "own": _shares(F.col("text_log"))})
     own = [F.col("own")[k] for k in size]
 
     def summed(df: DataFrame, keys: list, values: list[Column]) -> DataFrame:
@@ -167,18 +176,25 @@ def fused(seen: DataFrame, langs: list[str], id_col: str = "page_id", url_col: s
     whole = base.first()["prior"]
     tops = tops.select("top", F.array(*prior_from([F.lit(float(x)) for x in whole])).alias("top_prior"))
     domains = domains.join(tops, "top").select("domain", F.array(*prior_from([F.col("top_prior")[k] for k in size])).alias("domain_prior"))
-    hosts = hosts.join(domains, "domain").select("host", F.array(*kept).alias("host_sums"), "domain_prior")
+    hosts = stored(hosts.join(domains, "domain").select("host", F.array(*kept).alias("host_sums"), "domain_prior"), "hosts")
 
-    def likelihood(name: str) -> DataFrame:
+    def sums_of(name: str) -> DataFrame:
+        return summed(rows, [name], own).select(name, F.array(*kept).alias(f"{name}_sums"))
+
+    def others(name: str) -> list[Column]:
+        """The sums without the row's own part."""
+        return [F.greatest(F.col(f"{name}_sums")[k] - own[k], F.lit(0.0)) for k in size]
+
+    def likelihood(name: str) -> list[Column]:
         """log P(value | language), relative to P(value), with one page of the value spread over all languages."""
-        by = summed(rows, [name], own)
-        share = [(kept[k] + float(x)) / ((total(kept) + 1.0) * float(x)) for k, x in enumerate(whole)]
-        return by.select(name, F.when(F.col(name) == "", F.array(*[F.lit(0.0) for _ in size])).otherwise(F.array(*[F.log(s) for s in share])).alias(f"{name}_log"))
+        rest = others(name)
+        shares = [(rest[k] + float(x)) / ((total(rest) + 1.0) * float(x)) for k, x in enumerate(whole)]
+        return [F.when(F.col(name) == "", 0.0).otherwise(F.log(s)) for s in shares]
 
-    joined = rows.join(hosts, "host").join(likelihood("declared"), "declared").join(likelihood("suffix"), "suffix")
-    left = [F.greatest(F.col("host_sums")[k] - own[k], F.lit(0.0)) for k in size]
+    joined = rows.join(hosts, "host").join(stored(sums_of("declared"), "declared"), "declared").join(stored(sums_of("suffix"), "suffix"), "suffix")
+    left, declared, suffix = others("host"), likelihood("declared"), likelihood("suffix")
     prior = [(left[k] + SMOOTHING * F.col("domain_prior")[k]) / (total(left) + SMOOTHING) for k in size]
-    logs = [F.col("text_log")[k] + F.log(prior[k]) + F.col("declared_log")[k] + F.col("suffix_log")[k] for k in size]
+    logs = [F.col("text_log")[k] + F.log(prior[k]) + declared[k] + suffix[k] for k in size]
     posterior = joined.withColumn("_logs", F.array(*logs)).withColumn("_p", _shares(F.transform("_logs", lambda x: x - F.array_max("_logs"))))
     names = F.array(*[F.lit(x) for x in langs] or [F.lit(None).cast("string")])
     best, by_text = F.array_position("_p", F.array_max("_p")), F.array_position("own", F.array_max("own"))
@@ -193,8 +209,9 @@ def page_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", u
     Every page is returned once, also those with null or empty addresses or
     markup, for which the other evidence decides; of languages that are equally
     probable the first by name is taken. Without documents the language is
-    null. Pages without a host share one. Repeated rows count as pages of their
-    own. Only the columns named are read.
+    null, and an empty table of pages gives an empty result. Pages without a
+    host share one. Repeated rows count as pages of their own. Very long pages
+    are read whole. Only the columns named are read.
     """
     model = learned(docs)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(html_col).alias("html"))

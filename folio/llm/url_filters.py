@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.llm.runtime import stored
+
 ENTRY_SCHEMA = "list string, effect string, pattern string, action string, at timestamp"
 
 
@@ -53,9 +55,12 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     and so are those without a host or a time. Every capture is returned once,
     repeated rows and nulls included.
 
-    Hosts are made distinct before the lists are joined to their suffixes; the
-    captures then take one join by host, which adaptive execution splits if a
-    host is hot. Columns of the names above are replaced.
+    Hosts are made distinct before the lists are joined to their suffixes, and
+    what holds for each host is written before the captures are joined to it by
+    host: a join of two exchanges, of which Spark splits a hot host's captures
+    over tasks. An empty table of captures gives an empty result, one of
+    entries keeps all. Columns of the names above are replaced; any others,
+    of whatever name, are returned as they are.
     """
     captures = captures.drop("host", "matched_list", "matched_pattern", "kept").withColumn("host", url_host(F.col(url_col)))
     labels = F.split("host", r"\.")
@@ -71,10 +76,12 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
         "since",
         "until",
     )
-    rules = hosts.join(spans, "suffix").groupBy("host").agg(F.collect_list(rule).alias("_rules"))
+    rules = hosts.join(spans, "suffix").groupBy("host").agg(F.collect_list(rule).alias("_folio_rules"))
+    rules = stored(rules.withColumnRenamed("host", "_folio_host"), "rules")
     path, at = url_path(F.col(url_col)), F.col(time_col)
-    held = F.filter("_rules", lambda r: (r["since"] <= at) & (r["until"].isNull() | (at < r["until"])) & F.startswith(path, r["path"]))
+    held = F.filter("_folio_rules", lambda r: (r["since"] <= at) & (r["until"].isNull() | (at < r["until"])) & F.startswith(path, r["path"]))
     best = F.array_max(F.transform(held, lambda r: F.struct(r["length"], r["blocks"], r["list"], r["pattern"])))
-    seen = captures.join(rules, "host", "left").withColumn("_best", best)
-    kept = ~F.coalesce(F.col("_best.blocks"), F.lit(False))
-    return seen.select(*[c for c in captures.columns if c != "host"], "host", F.col("_best.list").alias("matched_list"), F.col("_best.pattern").alias("matched_pattern"), kept.alias("kept"))
+    seen = captures.join(rules, F.col("host") == F.col("_folio_host"), "left").withColumn("_folio_best", best)
+    kept = ~F.coalesce(F.col("_folio_best.blocks"), F.lit(False))
+    found = [F.col("_folio_best.list").alias("matched_list"), F.col("_folio_best.pattern").alias("matched_pattern"), kept.alias("kept")]
+    return seen.select(*[f"`{c}`" for c in captures.columns], *found)
