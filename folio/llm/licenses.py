@@ -69,6 +69,18 @@ def _bands(hashes: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tupl
         yield b, key
 
 
+def _whole_bands(hashes: np.ndarray, bounds: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(band, key of each document) with all of a document's shingles as its window."""
+    salts = _salts()
+    mine = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in docs])
+    at = np.concatenate([[0], np.cumsum(bounds[docs + 1] - bounds[docs])[:-1]])
+    for b in range(BANDS):
+        key = np.zeros(len(docs), np.uint64)
+        for r in range(ROWS):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes[mine] * salts[b * ROWS + r], at)
+        yield b, key
+
+
 class TemplateIndex:
     """Templates by the bands of their shingles; those of one length class share a window length."""
 
@@ -99,6 +111,16 @@ class TemplateIndex:
             length += max(1, length // 8)
         return length
 
+    def _hits(self, length: int, band: int, keys: np.ndarray, doc: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, template, start) of each window whose key a template has in this band."""
+        table, members = self.tables[length][band]
+        i = np.searchsorted(table, keys)
+        for j in np.flatnonzero((i < len(table)) & (table[np.minimum(i, len(table) - 1)] == keys)):
+            k = i[j]
+            while k < len(table) and table[k] == keys[j]:
+                yield int(doc[starts[j]]), int(members[k]), int(starts[j])
+                k += 1
+
     def scan(self, column: pa.Array) -> Iterator[tuple[int, str, int, int, float]]:
         """(row, template, first code point, end, containment) of every match, in order of row and template."""
         for w in words(column, lower=True, space=PUNCTUATION):
@@ -116,16 +138,12 @@ class TemplateIndex:
             count = np.where(n >= length, (n - length) // step + 1, 0)
             own = np.repeat(bounds[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
             starts = np.concatenate([own, (bounds[1:] - length)[n >= length]])
-            if not len(starts):
-                continue
-            for b, keys in _bands(hashes, starts, length):
-                table, members = self.tables[length][b]
-                i = np.searchsorted(table, keys)
-                for j in np.flatnonzero((i < len(table)) & (table[np.minimum(i, len(table) - 1)] == keys)):
-                    k = i[j]
-                    while k < len(table) and table[k] == keys[j]:
-                        found.add((int(doc[starts[j]]), int(members[k]), int(starts[j])))
-                        k += 1
+            # a document that is shorter than a window is one by itself
+            short = np.flatnonzero((n > 0) & (n < length))
+            for b, keys in _bands(hashes, starts, length) if len(starts) else ():
+                found.update(self._hits(length, b, keys, doc, starts))
+            for b, keys in _whole_bands(hashes, bounds, short) if len(short) else ():
+                found.update(self._hits(length, b, keys, doc, bounds[short]))
         last: dict[tuple[int, int], int] = {}
         for d, t, start in sorted(found):
             template = self.hashes[t]
@@ -152,8 +170,10 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_c
 
     Words are runs of letters and digits, in any case. A place matches when
     ``CONTAINED`` of the template's shingles are in it; places of one template
-    do not overlap. Null and empty texts match nothing, null ids are returned
-    as such, repeated rows as often as given; other columns are ignored.
+    do not overlap. Null and empty texts match nothing, very long ones are
+    scanned whole, null ids are returned as such, repeated rows as often as
+    given, places of equal containment all; an empty table gives an empty
+    result, and other columns are ignored.
     Documents are not shuffled; templates, a bounded list, go with the code.
     """
     index = TemplateIndex(templates)

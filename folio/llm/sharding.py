@@ -55,8 +55,9 @@ def lookup_table(shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> list
 def with_shard(df: DataFrame, key: Column, shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """``df`` with ``slot`` and ``shard``, placed by ``key``; no row is shuffled.
 
-    A null key is placed as the empty one; equal keys always meet in one shard.
-    Columns named ``slot`` or ``shard`` are replaced. An empty table stays empty.
+    A null key is placed as the empty one; equal keys always meet in one shard,
+    so repeated rows do. Texts, empty or very long, are not looked at. Columns
+    named ``slot`` or ``shard`` are replaced. An empty table stays empty.
     """
     spark = df.sparkSession
     owner = F.from_json(F.lit(json.dumps(lookup_table(shards, size))), "array<int>")

@@ -1,5 +1,6 @@
 """The operators on single documents against brute force, round trips and held-out rows."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -137,8 +138,15 @@ def test_plain_prose_has_no_spans():
 @given(st.text(alphabet="aа @.​one1dt[]", max_size=40))
 def test_rewriting_keeps_places(text):
     r = pii.rewrite(text)
-    assert len(r.begins) == len(r.ends) == len(r.text) and all(a < b for a, b in zip(r.begins, r.ends, strict=True))
-    assert r.begins == sorted(r.begins) and all(text[r.begins[i]] == c for i, c in enumerate(r.text) if c == "a" and text[r.begins[i]] == "a")
+    places = [r.source((i, i + 1)) for i in range(len(r.text))]
+    assert all(a < b for a, b in places) and places == sorted(places)
+    assert all(text[a:b] in (c, {"a": "\u0430", "1": "one"}.get(c)) or c in "@." for c, (a, b) in zip(r.text, places, strict=True))
+    assert all(r.source((i, j)) == (places[i][0], places[j - 1][1]) for i in range(len(places)) for j in range(i + 1, len(places) + 1))
+
+
+def test_disguised_identifiers_are_found_whole_however_long():
+    text = "see " + "a" * 500 + " [at] exa.com, " + "b@" + "c" * 700 + " dot com" + " x" * 1000
+    assert [text[a:b] for a, b in pii.all_spans(text)[1]["email"]] == ["a" * 500 + " [at] exa.com", "b@" + "c" * 700 + " dot com"]
 
 
 def test_pii_table(spark):
@@ -219,6 +227,88 @@ def test_license_hits_are_those_of_brute_force(spark):
     assert got <= could and len(got) >= 0.99 * len(could)
 
 
+def test_licenses_of_short_and_no_documents(spark):
+    notice = licenses.TEMPLATES["mit-notice"].split()
+    rows = [(1, " ".join(notice[: int(len(notice) * 0.84)])), (2, "under CC BY-NC 4.0"), (3, " ".join(notice[:20])), (4, None), (5, ""), (1, "Released under the MIT License."), (6, "x " * 100_000 + "Released under the MIT License.")]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, license string")
+    got = sorted((r["doc_id"], r["license"]) for r in licenses.license_matches(docs).collect())
+    assert got == [(1, "mit"), (1, "mit-notice"), (2, "cc-by-nc-4.0"), (6, "mit")]
+    assert licenses.license_matches(docs.limit(0)).count() == 0
+
+
+def brute_languages(rows, langs, smoothing):
+    """The fusion from its meaning: rows of (id, host, declared, suffix, text log likelihoods)."""
+    size = range(len(langs))
+    shares = [[math.exp(x) / sum(map(math.exp, r[4])) for x in r[4]] for r in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    top = lambda h: h.split(".")[-1]
+    total = lambda keep: [sum(s[k] for r, s in zip(rows, shares, strict=True) if keep(r)) for k in size]
+    everyone = total(lambda r: True)
+    base = [(x + 1) / (sum(everyone) + len(langs)) for x in everyone]
+    smooth = lambda sums, wide: [(x + smoothing * w) / (sum(sums) + smoothing) for x, w in zip(sums, wide, strict=True)]
+    out = []
+    for i, (_, host, declared, suffix, log) in enumerate(rows):
+        mine = lambda sums: [max(x - y, 0) for x, y in zip(sums, shares[i], strict=True)]  # noqa: E731, B023
+        tops = smooth(total(lambda r: top(r[1]) == top(host)), base)  # noqa: B023
+        domains = smooth(total(lambda r: domain(r[1]) == domain(host)), tops)  # noqa: B023
+        prior = smooth(mine(total(lambda r: r[1] == host)), domains)  # noqa: B023
+        score = [x + math.log(p) for x, p in zip(log, prior, strict=True)]
+        for value, at in ((declared, 2), (suffix, 3)):
+            if value:
+                sums = mine(total(lambda r: r[at] == value))  # noqa: B023
+                score = [x + math.log((n + b) / ((sum(sums) + 1) * b)) for x, n, b in zip(score, sums, base, strict=True)]
+        p = [math.exp(x - max(score)) for x in score]
+        out.append((max(p) / sum(p), langs[p.index(max(p))]))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    rng = random.Random(12)
+    langs = ["aa", "bb", "cc"]
+    rows = [(i, rng.choice(["a.one.net", "b.one.net", "x.two.org", "two.org", ""]), rng.choice(["aa", "bb", ""]), [rng.uniform(-6, 0) for _ in langs]) for i in range(60)]
+    seen = spark.createDataFrame([(i, f"http://{h}/" if h else "", d or None, log) for i, h, d, log in rows], "page_id long, url string, declared string, text_log array<double>")
+    got = {r["page_id"]: (r["probability"], r["lang"]) for r in language_id.fused(seen, langs).collect()}
+    want = brute_languages([(i, h, d, h.split(".")[-1], log) for i, h, d, log in rows], langs, language_id.SMOOTHING)
+    for i, (p, lang) in enumerate(want):
+        assert got[i][1] == lang and math.isclose(got[i][0], p, rel_tol=1e-9)
+
+
+def test_text_evidence_equals_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der Hund lief über die Straße", "de"), ("the dog", "en")])], "doc_id long, text string, lang string")
+    langs, logs = language_id.learned(docs)
+    texts = ["The CAT, the hund!", "", "straße 12 über", "x"]
+    got = [r["text_log"] for r in language_id.text_evidence(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id long, html string").coalesce(1), (langs, logs)).orderBy("page_id").collect()]
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    for text, log in zip(texts, got, strict=True):
+        x = [fold(b) for b in text.encode()]
+        sums = [0.0] * len(langs)
+        for a, b, c in zip(x, x[1:], x[2:], strict=False):
+            if (a, b) != (32, 32):
+                h = ((a * 65_599 + b) * 65_599 + c) % 2**32 * 2_654_435_769 % 2**32 >> 18
+                sums = [s + logs[h, k] * language_id.PER_TRIGRAM for k, s in enumerate(sums)]
+        assert [round(s - max(sums), 3) for s in sums] == [round(v, 3) for v in log]
+
+
+def test_votes_equal_brute_force():
+    """Expectation-maximisation row by row instead of by pattern."""
+    rng = random.Random(8)
+    rows = [[rng.choice((1, 1, 1, 0)) for _ in range(4)] if rng.random() < 0.8 else [rng.choice((-1, -1, 0, 1)) for _ in range(4)] for _ in range(400)]
+    patterns = sorted({tuple(r) for r in rows})
+    odds, weights = quality_rules.fit_votes(np.array(patterns), np.array([rows.count(list(p)) for p in patterns], float))
+    p, before = [0.2 if -1 in r else 0.9 for r in rows], None
+    for _ in range(100):
+        good, bad = sum(p), len(rows) - sum(p)
+        rate = min(max((good + 1) / (len(rows) + 2), 0.01), 0.99)
+        w = [[math.log((sum(x for x, r in zip(p, rows, strict=True) if r[k] == v) + 1) / (good + 3)) - math.log((sum(1 - x for x, r in zip(p, rows, strict=True) if r[k] == v) + 1) / (bad + 3)) for v in (-1, 0, 1)] for k in range(4)]
+        w = [[min(a, 0), b, max(c, 0)] for a, b, c in w]
+        o = math.log(rate / (1 - rate))
+        p = [1 / (1 + math.exp(-(o + sum(w[k][v + 1] for k, v in enumerate(r))))) for r in rows]
+        if before and max(abs(a - b) for a, b in zip(p, before, strict=True)) < 1e-9:
+            break
+        before = p
+    assert math.isclose(o, odds, rel_tol=1e-6) and all(math.isclose(w[k][v], weights[k][v], rel_tol=1e-5, abs_tol=1e-5) for k in range(4) for v in range(3))
+
+
 def test_visible_text_and_declaration():
     page = '<!DOCTYPE html><HTML class="x" lang="FR-ca"><script>var t="<p>no</p>";</script><p>Oui &amp; non<!-- no --></p><style>no'
     assert language_id.declared_language(page) == "fr" and language_id.visible_text(page).split() == ["Oui", "non", "no"]
