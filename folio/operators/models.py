@@ -6,6 +6,7 @@ code, so nothing here does it by itself.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
@@ -95,7 +96,7 @@ class TableSetModel:
 
 
 class MapModel:
-    """A JSON object as a lookup from text keys; what is absent is null."""
+    """A JSON object as a lookup from text keys; what is absent is null. Values keep their type."""
 
     def __init__(self, spark: SparkSession, entry: Mapping) -> None:
         if entry.get("res_type", "application/json") != "application/json":
@@ -103,37 +104,42 @@ class MapModel:
         self._spark, self.entry, self._pairs = spark, entry, None
 
     def pairs(self) -> DataFrame:
-        """(k, v), with values as text."""
+        """(k, v), with values as variants."""
         if self._pairs is None:
             whole = self._spark.read.text(artifact_path(self.entry), wholetext=True)
-            self._pairs = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
+            self._pairs = whole.select(F.explode(F.from_json("value", "map<string,variant>")).alias("k", "v"))
         return self._pairs
 
-    def invoke(self, key: Any) -> str | None:
-        row = self.pairs().where(F.col("k") == str(key)).first()
-        return row["v"] if row else None
+    def invoke(self, key: Any) -> Any:
+        row = self.pairs().where(F.col("k") == str(key)).select(F.to_json("v").alias("v")).first()
+        return json.loads(row["v"]) if row and row["v"] is not None else None
 
-    def join(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
-        """``rows`` with the looked-up value as column ``name``."""
-        pairs = self.pairs().select(F.col("k").alias("_map_key"), F.col("v").alias(name))
+    def join(self, rows: DataFrame, key: Column, name: str, kind: str = "string") -> DataFrame:
+        """``rows`` with the looked-up value as column ``name`` of the type ``kind``; null where it has another type."""
+        pairs = self.pairs().select(F.col("k").alias("_map_key"), F.try_variant_get("v", "$", kind).alias(name))
         return rows.join(pairs, key.cast("string") == pairs["_map_key"], "left").drop("_map_key")
 
 
 class ScoringModel:
-    """A fitted model applied to batches of rows: ``load`` runs once in each worker process."""
+    """A fitted model applied to batches of rows: ``load`` runs once in each task.
 
-    def __init__(self, load: Callable[[], Any], columns: Sequence[str], method: str = "predict", result: str = "double") -> None:
-        self._load, self.columns, self.method, self.result = load, list(columns), method, result
+    ``categories`` has the values of the columns that the model takes as
+    categorical, in the order it knows them by.
+    """
+
+    def __init__(self, load: Callable[[], Any], columns: Sequence[str], method: str = "predict", result: str = "double", categories: Mapping[str, Sequence] | None = None) -> None:
+        self._load, self.columns, self.method, self.result, self.categories = load, list(columns), method, result, dict(categories or {})
 
     def invoke(self, rows: DataFrame, name: str = "prediction") -> DataFrame:
         """``rows`` with the prediction; ``result`` is 'double', 'int' or, for rows of probabilities, 'array<double>'."""
-        load, columns, method, nested = self._load, self.columns, self.method, self.result.startswith("array")
+        load, columns, method, nested, categories = self._load, self.columns, self.method, self.result.startswith("array"), self.categories
 
         @F.pandas_udf(self.result)
         def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             model = load()
             for batch in batches:
-                out = getattr(model, method)(batch[columns])
+                frame = batch[columns].assign(**{c: pd.Categorical(batch[c], categories=list(v)) for c, v in categories.items()})
+                out = getattr(model, method)(frame)
                 out = out[0] if isinstance(out, tuple) else out  # labels without their strengths
                 yield pd.Series([list(x) for x in out]) if nested else pd.Series(out)
 
@@ -143,8 +149,8 @@ class ScoringModel:
 class ScoringSetModel:
     """Fitted models of which one is selected by its attributes."""
 
-    def __init__(self, models: Sequence[Mapping], load: Callable[[Mapping], Any], columns: Sequence[str], method: str = "predict", result: str = "double") -> None:
-        self.models, self._load, self._rest, self._chosen = models, load, (columns, method, result), None
+    def __init__(self, models: Sequence[Mapping], load: Callable[[Mapping], Any], columns: Sequence[str], method: str = "predict", result: str = "double", categories: Mapping[str, Sequence] | None = None) -> None:
+        self.models, self._load, self._rest, self._chosen = models, load, (columns, method, result, categories), None
 
     def select(self, wanted: Mapping) -> Mapping | None:
         if self._chosen is not None:
@@ -184,14 +190,117 @@ class EndpointModel:
         return rows.select(*self.columns).mapInPandas(call, self.schema)
 
 
+class Booster:
+    """A gradient-boosted booster that predicts from frames, with the library imported where it is used."""
+
+    def __init__(self, body: bytes) -> None:
+        self._library = _boosting()
+        self._held = self._library.Booster()
+        self._held.load_model(bytearray(body))
+
+    def predict(self, frame: pd.DataFrame) -> Any:
+        return self._held.predict(self._library.DMatrix(frame, enable_categorical=True))
+
+
+def _boosting() -> Any:
+    try:
+        import xgboost
+    except ImportError as err:
+        raise ModelError("xgboost is not installed") from err
+    return xgboost
+
+
+def boosted_classifier(body: bytes) -> Any:
+    model = _boosting().XGBClassifier()
+    model.load_model(bytearray(body))
+    return model
+
+
+#: Fitted models by their type, with the method that scores and the type of a score.
+FITTED = {
+    "MiniBatchKMeans": ("predict", "int"),
+    "SGDClassifier": ("predict_proba", "array<double>"),
+    "hdbscan": ("predict", "int"),
+    "XGBClassifier": ("predict_proba", "array<double>"),
+    "Booster": ("predict", "double"),
+}
+#: What can be loaded without running code from the artifact.
+LOADERS = {"XGBClassifier": boosted_classifier, "Booster": Booster}
+
+
 class Registry:
-    """Models by name, each a list of versions of which the first counts."""
+    """Models by name, each a list of versions of which the first counts.
 
-    def __init__(self, spark: SparkSession, models: Mapping[str, Sequence[Mapping]] | None = None, kinds: Mapping[str, Callable[[SparkSession, Mapping], Model]] | None = None) -> None:
+    ``loaders`` turn an artifact's bytes into the fitted model, by its
+    ``model_type``; types whose artifacts are pickles have none by themselves.
+    ``make_endpoint`` turns an entry into what ``EndpointModel`` calls in each
+    task to get its client. ``kinds`` adds kinds or replaces them.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        models: Mapping[str, Sequence[Mapping]] | None = None,
+        kinds: Mapping[str, Callable[[SparkSession, Mapping], Model]] | None = None,
+        loaders: Mapping[str, Callable[[bytes], Any]] | None = None,
+        make_endpoint: Callable[[Mapping], Callable[[str], Mapping]] | None = None,
+    ) -> None:
         if models is not None and not isinstance(models, Mapping):
             raise TypeError("models must be a mapping from names to versions")
-        self._spark, self._models = spark, models or {}
-        self._kinds: dict[str, Callable] = {"dataframe": TableModel, "dataframe_set": TableSetModel, "hashmap": MapModel} | dict(kinds or {})
+        self._spark, self._models, self._loaders, self._make_endpoint = spark, models or {}, LOADERS | dict(loaders or {}), make_endpoint
+        # The kinds' names in registries that exist.
+        self._kinds: dict[str, Callable] = {
+            "s3_dataframe": TableModel,
+            "s3_dataframe_set": TableSetModel,
+            "s3_hashmap": MapModel,
+            "s3_scikit": self._fitted,
+            "s3_xgboost": self._fitted,
+            "s3_scikit_set": self._fitted_set,
+            "sagemaker_endpoint": self._endpoint,
+        }
+        self._kinds |= {"dataframe": TableModel, "dataframe_set": TableSetModel, "hashmap": MapModel, "fitted": self._fitted, "fitted_set": self._fitted_set, "endpoint": self._endpoint} | dict(kinds or {})
+
+    def _loader(self, entry: Mapping) -> tuple[Callable[[bytes], Any], str, str]:
+        kind = entry.get("model_type")
+        if kind not in FITTED or kind not in self._loaders:
+            raise ModelError(f"fitted models of the type {kind} need a loader" if kind in FITTED else f"unknown model type {kind}")
+        return self._loaders[kind], *FITTED[kind]
+
+    def _read(self, path: str) -> Any:
+        """The artifact's bytes, sent to each executor once; fitted models fit in memory."""
+        row = self._spark.read.format("binaryFile").load(path).select("content").first()
+        return self._spark.sparkContext.broadcast(bytes(row["content"]))
+
+    def _fitted(self, spark: SparkSession, entry: Mapping) -> ScoringModel:
+        load, method, result = self._loader(entry)
+        body, given = self._read(artifact_path(entry)), entry.get("parameters", {})
+        return ScoringModel(lambda: load(body.value), given.get("columns", []), method, result, given.get("categories"))
+
+    def _fitted_set(self, spark: SparkSession, entry: Mapping) -> ScoringSetModel:
+        load, method, result = self._loader(entry)
+        root, given = str(entry.get("bucket", "")).rstrip("/"), entry.get("parameters", {})
+        # read when one is selected, and once for it
+        bodies: dict[str, Any] = {}
+
+        class Set(ScoringSetModel):
+            def invoke(inner, rows: DataFrame, name: str = "prediction") -> DataFrame | None:  # noqa: N805
+                if inner._chosen and inner._chosen[0] and not bodies:
+                    key = inner._chosen[0]["key"]
+                    bodies[key] = self._read(join_key(root, entry.get("prefix"), f"{key}.{entry.get('extension', 'pkl')}"))
+                if not bodies:
+                    return super().invoke(rows, name)
+                (body,) = bodies.values()
+                return ScoringModel(lambda: load(body.value), *inner._rest).invoke(rows, name)
+
+        return Set(entry.get("scikits", entry.get("models", [])), load, given.get("columns", []), method, result, given.get("categories"))
+
+    def _endpoint(self, spark: SparkSession, entry: Mapping) -> EndpointModel:
+        if (entry.get("req_type"), entry.get("res_type")) != ("text/csv", "application/json"):
+            raise ModelError("an endpoint takes CSV and answers in JSON")
+        if self._make_endpoint is None:
+            raise ModelError("endpoints need make_endpoint")
+        make, given = self._make_endpoint, entry.get("parameters", {})
+        return EndpointModel(lambda: make(entry), given.get("columns", []), entry.get("res_key", "data"), given["schema"])
 
     def version(self, name: str) -> Mapping:
         versions = self._models.get(name)
@@ -200,8 +309,14 @@ class Registry:
         return versions[0]
 
     def get(self, name: str) -> Model:
-        """The model of that name; scorers' kinds are passed to the registry with their loaders."""
+        """The model of that name, of its first version."""
         entry = self.version(name)
         if entry.get("type") not in self._kinds:
             raise ModelError(f"model {name} is of the unknown type {entry.get('type')}")
         return self._kinds[entry["type"]](self._spark, entry)
+
+
+def first_versions(versions: DataFrame, name_col: str, order_col: str) -> DataFrame:
+    """The first version of each name in a table of versions: one aggregation instead of a sort of each group."""
+    first = F.min_by(F.struct(*versions.columns), order_col).alias("v")
+    return versions.groupBy(F.col(name_col).alias("_name")).agg(first).select("v.*")

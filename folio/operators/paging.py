@@ -1,9 +1,12 @@
 """Greedy paging: dealing ordered keys to pages of limited size.
 
 The cut depends on what the open page holds, and it resets at each cut, so it
-is no window function. Only one narrow row for each key goes through the fold,
-as a sorted stream of one task with a state of two numbers; within a batch each
-page's end is found by binary search in running sums.
+is no window function. But a page is closed only after a multiple of
+``check_every`` keys, so every page begins at one: keys are ranked in ranges
+and summed in blocks of ``check_every`` in parallel, and only one row for each
+block goes through the fold, as a sorted stream of one task with a state of two
+numbers; within a batch each page's end is found by binary search in running
+sums.
 """
 
 from __future__ import annotations
@@ -14,9 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
+MB = 1024 * 1024
+#: Ranges that keys are ranked in, and the keys that are sampled to cut them.
+RANGES = 256
+SAMPLED = 20_000
+
 
 @dataclass(frozen=True)
 class PageLimits:
@@ -39,7 +48,7 @@ def row_bytes(schema: StructType) -> int:
 def row_limit(limits: PageLimits, bytes_per_row: int) -> float:
     """The number of rows above which a page is closed; infinite without limits."""
     by_rows = float("inf") if limits.max_rows is None else limits.max_rows
-    by_size = float("inf") if limits.max_mb is None else limits.max_mb * 1e6 / bytes_per_row
+    by_size = float("inf") if limits.max_mb is None else limits.max_mb * MB / bytes_per_row
     return min(by_rows, by_size)
 
 
@@ -61,6 +70,30 @@ def page_ends(rows: np.ndarray, limit: float, every: int, keys_open: int = 0, ro
     return ends
 
 
+def ranked_keys(rows: DataFrame, key_col: str = "key", name: str = "key_ord", ranges: int = RANGES) -> DataFrame:
+    """``rows`` with the position of each in order of key, from 0; keys must be distinct and not null.
+
+    Cuts are taken from a sample by hash, so they depend on the keys only and
+    every run ranks alike. Each range is sorted by itself and begins where the
+    counts of those before it end, so no task has more than a range.
+    """
+    keys = rows.select(F.col(key_col).cast("string").alias("k"))
+    n = keys.count()
+    share = max(1, n // SAMPLED)
+    held = [r["k"] for r in keys.where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).orderBy("k").limit(4 * SAMPLED).collect()]
+    cuts = sorted({held[i * len(held) // ranges] for i in range(1, ranges)}) if len(held) >= ranges else []
+    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
+    ranged = rows.withColumn("_range", F.size(F.filter(bounds, lambda c: c <= F.col(key_col).cast("string"))))
+    counts = dict(ranged.groupBy("_range").count().collect())  # one for each range
+    offsets, at = [], 0
+    for i in range(len(cuts) + 1):
+        offsets.append(at)
+        at += counts.get(i, 0)
+    offset = F.element_at(F.array(*[F.lit(x) for x in offsets]).cast("array<bigint>"), F.col("_range") + 1)
+    place = F.row_number().over(W.partitionBy("_range").orderBy(F.col(key_col).cast("string")))
+    return ranged.withColumn(name, offset + place - 1).drop("_range")
+
+
 def assign_pages(counts: DataFrame, limits: PageLimits, bytes_per_row: int = 8, key_col: str = "key", rows_col: str = "n_rows") -> DataFrame:
     """(key, n_rows, key_ord, page) for one row a key, in order of key from page 0.
 
@@ -68,24 +101,26 @@ def assign_pages(counts: DataFrame, limits: PageLimits, bytes_per_row: int = 8,
     passes a limit stays in the page it closes.
     """
     limit, every = row_limit(limits, bytes_per_row), limits.check_every
+    ranked = ranked_keys(counts.select(F.col(key_col).cast("string").alias("key"), F.col(rows_col).cast("long").alias("n_rows")))
+    if not np.isfinite(limit):
+        return ranked.withColumn("page", F.lit(0).cast("long"))
+    ranked = ranked.withColumn("_block", F.floor(F.col("key_ord") / every))
+    blocks = ranked.groupBy("_block").agg(F.sum("n_rows").alias("n_rows"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, at, keys_open, rows_open = 0, 0, 0, 0
+        page, rows_open = 0, 0
         for batch in batches:
             rows = batch["n_rows"].to_numpy()
-            ends = page_ends(rows, limit, every, keys_open, rows_open)
+            ends = page_ends(rows, limit, 1, 0, rows_open)
             step = np.zeros(len(rows) + 1, np.int64)
             step[np.asarray(ends, np.int64) + 1] = 1
-            batch["key_ord"] = np.arange(at, at + len(rows))
-            batch["page"] = page + np.cumsum(step[:-1])
-            yield batch
+            yield pd.DataFrame({"_block": batch["_block"], "page": page + np.cumsum(step[:-1])})
             since = ends[-1] + 1 if ends else 0
-            keys_open = len(rows) - since + (0 if ends else keys_open)
-            rows_open = int(rows[since:].sum()) + (0 if ends else rows_open)
-            page, at = page + len(ends), at + len(rows)
+            # a page that ends with the batch counts for the next one
+            page, rows_open = page + len(ends), int(rows[since:].sum()) + (0 if ends else rows_open)
 
-    narrow = counts.select(F.col(key_col).cast("string").alias("key"), F.col(rows_col).cast("long").alias("n_rows"))
-    return narrow.repartition(1).sortWithinPartitions("key").mapInPandas(fold, "key string, n_rows long, key_ord long, page long")
+    paged = blocks.repartition(1).sortWithinPartitions("_block").mapInPandas(fold, "_block long, page long")
+    return ranked.join(paged, "_block").select("key", "n_rows", "key_ord", "page")
 
 
 def page_summary(assigned: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ from uuid import uuid4
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from folio.errors import DatasetExists, EmptyDataset
 from folio.functions.keys import join_key
-from folio.operators.paging import PageLimits, assign_pages, row_bytes, row_limit
+from folio.operators.paging import PageLimits, assign_pages, ranked_keys, row_bytes, row_limit
 from folio.operators.sets import remaining_keys, rows_per_key
 from folio.plans.manifest import Manifest, dataset_folder
 from folio.plans.reader import DatasetReader
@@ -29,6 +30,9 @@ from folio.sources.files import Files
 Transform = Callable[[dict[str, DataFrame]], DataFrame]
 Channels = Callable[[DataFrame], dict[str, DataFrame]]
 BEHAVIORS = ("continue", "overwrite", "pass", "fail")
+#: Rows, and keys, that one file of a page has about.
+ROWS_PER_FILE = 1_000_000
+KEYS_PER_FILE = 5_000_000
 log = logging.getLogger(__name__)
 
 
@@ -48,7 +52,7 @@ class DatasetBuilder:
         name: str,
         header: DatasetReader | None,
         channels: Channels,
-        kind: str = "csds",
+        kind: str,
         limits: PageLimits | None = None,
         if_complete: str = "pass",
         if_partial: str = "continue",
@@ -77,16 +81,16 @@ class DatasetBuilder:
             return self.reader
         self._publish(manifest)
         folder = dataset_folder(self.kind, self.name)
-        started, done, total, last = time.time(), 0, todo.count(), None
-        waiting = todo.orderBy("key")
-        while True:
-            rest = waiting if last is None else waiting.where(F.col("key") > last)
-            chunk = rest.limit(self._chunk + 1) if self._chunk else rest
+        # ranked once; a chunk is a range of positions, which the scan of the file can skip to
+        ordered_path = f"{self.root}/{join_key(folder, '_staging', f'keys-{uuid4().hex}')}"
+        ranked_keys(todo.where("key is not null")).write.parquet(ordered_path)
+        ordered = self._spark.read.parquet(ordered_path)
+        started, done, total = time.time(), 0, ordered.count()
+        while done < total:
+            more = bool(self._chunk) and done + self._chunk < total
+            mine = ordered.where(F.col("key_ord") >= done)
+            mine = (mine.where(F.col("key_ord") < done + self._chunk) if more else mine).select("key")
             begun, run = time.time(), f"run-{uuid4().hex}"
-            more = bool(self._chunk) and chunk.count() > self._chunk
-            mine = chunk.limit(self._chunk) if more else chunk
-            if mine.isEmpty():
-                break
             staged_path = f"{self.root}/{join_key(folder, '_staging', run)}"
             transform_in = self._channels(mine)
             transform(transform_in).write.parquet(staged_path)
@@ -95,22 +99,21 @@ class DatasetBuilder:
             paged_path = f"{staged_path}-pages"
             paged.write.parquet(paged_path)
             paged = self._spark.read.parquet(paged_path)
-            summary = paged.groupBy("page").agg(F.count("*").alias("n"), F.sum("n_rows").alias("rows"), F.max("key").alias("last")).orderBy("page").collect()
+            summary = paged.groupBy("page").agg(F.count("*").alias("n"), F.sum("n_rows").alias("rows")).orderBy("page").collect()
             if more:
                 summary = self._closed(summary, row_bytes(staged.schema))
             if not summary and more:  # the open page is longer than a chunk
                 self._chunk *= 2
             elif summary:
-                self._write(staged, paged, [r["page"] for r in summary], join_key(folder, run), sum(p["keyCount"] for p in manifest.pages))
+                self._write(staged, paged, summary, join_key(folder, run), sum(p["keyCount"] for p in manifest.pages))
                 for r in summary:
                     manifest.add_page(join_key(folder, run), r["page"], (time.time() - begun) / len(summary), r["n"], r["rows"])
-                last, done = summary[-1]["last"], done + sum(r["n"] for r in summary)
+                done += sum(r["n"] for r in summary)
                 self._publish(manifest)
                 log.info("dataset %s: %d of %d keys, %.0f s left", self.name, done, total, (time.time() - started) / done * (total - done))
             for path in (staged_path, paged_path):
                 self._files.delete(path)
-            if not more:
-                break
+        self._files.delete(ordered_path)
         manifest.finish()
         self._publish(manifest)
         return self.reader
@@ -162,14 +165,19 @@ class DatasetBuilder:
         full = last["n"] % self._limits.check_every == 0 and last["rows"] > row_limit(self._limits, bytes_per_row)
         return summary if full else summary[:-1]
 
-    def _write(self, staged: DataFrame, paged: DataFrame, pages: list[int], folder: str, offset: int) -> None:
-        kept = paged.where(F.col("page").between(min(pages), max(pages)))
-        place = kept.select("key", "page", (F.col("key_ord") + offset).alias("key_ord"))
-        rows = staged.join(place.select("key", "page"), "key")
-        rows.repartition("page", F.pmod(F.xxhash64("key"), F.lit(8))).write.partitionBy("page").option("compression", self._compression).parquet(f"{self.root}/{join_key(folder, 'dataframe')}")
-        place.repartition("page").write.partitionBy("page").option("compression", self._compression).parquet(f"{self.root}/{join_key(folder, 'keyset')}")
-        empty = {r["page"] for r in kept.groupBy("page").agg(F.sum("n_rows").alias("n")).where("n = 0").collect()}
-        for page in empty:  # a page of keys without rows
+    def _write(self, staged: DataFrame, paged: DataFrame, summary: list, folder: str, offset: int) -> None:
+        """Writes closed pages, each in as many files as its rows and keys take."""
+        parts = [(r["page"], -(-r["rows"] // ROWS_PER_FILE) or 1, -(-r["n"] // KEYS_PER_FILE)) for r in summary]
+        pages = F.broadcast(self._spark.createDataFrame(parts, "page long, _files long, _key_files long"))  # a row for each page
+        place = paged.join(pages, "page").select("key", "page", (F.col("key_ord") + offset).alias("key_ord"), "_files", "_key_files")
+        rows = staged.join(place.select("key", "page", "_files"), "key")
+        plain = [f.name for f in staged.schema if not isinstance(f.dataType, (MapType, VariantType))]
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col("_files"))  # of the whole row: a key may have many
+        rows = rows.repartition(sum(p[1] for p in parts), "page", part).drop("_files")
+        rows.write.partitionBy("page").option("compression", self._compression).parquet(f"{self.root}/{join_key(folder, 'dataframe')}")
+        keys = place.repartition(sum(p[2] for p in parts), "page", F.pmod(F.xxhash64("key"), F.col("_key_files"))).select("key", "page", "key_ord")
+        keys.write.partitionBy("page").option("compression", self._compression).parquet(f"{self.root}/{join_key(folder, 'keyset')}")
+        for page in (r["page"] for r in summary if not r["rows"]):  # a page of keys without rows
             staged.limit(0).coalesce(1).write.parquet(f"{self.root}/{join_key(folder, 'dataframe', f'page={page}')}")
 
     def _publish(self, manifest: Manifest) -> None:

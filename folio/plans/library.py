@@ -46,7 +46,7 @@ class Library:
         self._spark = spark
         self.root = option(spark, "dataset_root", dataset_root)
         self.object_root = option(spark, "object_root", object_root)
-        self.kind = option(spark, "kind", kind, "csds")
+        self.kind = option(spark, "kind", kind)
         self.default_header = option(spark, "default_header", default_header, "header")
         self.catalog = Catalog(spark, self.object_root, self.kind)
 
@@ -58,6 +58,7 @@ class Library:
 
     def create_header(self, name: str | None = None) -> DatasetReader:
         """A dataset of the header rows of all objects, in one page."""
+        self.catalog.refresh()
         header = self.catalog.header()
         return self._single_page(name or self.default_header, header, None)
 

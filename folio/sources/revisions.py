@@ -7,19 +7,64 @@ them, a listing of a marketplace or of a folder, is the caller's.
 
 from __future__ import annotations
 
+import hashlib
+import time
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folio.errors import FolioError
 from folio.functions.columns import date_between
-from folio.functions.keys import with_prefix
-from folio.sources.files import Files
 
 MANY_ASSETS = 500
+#: Assets that one task copies at most in a go.
+ASSETS_PER_TASK = 8
+#: The states of an export job that end it without success, and what is said of them.
+FAILED_STATES = {"ERROR": "failed", "CANCELLED": "was cancelled", "TIMED_OUT": "timed out"}
+DONE_STATE = "COMPLETED"
+
+
+def finished_job(look: Callable[[], Mapping], poll_seconds: float = 2.0) -> Mapping:
+    """Looks at an export job until it is done, and returns it; a job that ends otherwise is an error."""
+    while True:
+        job = look()
+        state = job.get("State")
+        if state == DONE_STATE:
+            return job
+        if state in FAILED_STATES:
+            errors = job.get("Errors") or [{}]
+            why = f": {errors[0]['Message']}" if errors[0].get("Message") else ""
+            raise FolioError(f"job {job.get('Id')} {FAILED_STATES[state]}{why}")
+        time.sleep(poll_seconds)
+
+
+def copy_file(source: str, target: str) -> bool:
+    """Copies a file between any file systems that Arrow knows, unless the target is there; whether it did.
+
+    The copy goes beside the target and is moved into place, so that a target
+    is always whole.
+    """
+    from uuid import uuid4
+
+    from pyarrow import fs
+
+    def at(path: str) -> tuple:
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), path)
+
+    (held, a), (to, b) = at(source), at(target)
+    if to.get_file_info(b).type != fs.FileType.NotFound:
+        return False
+    to.create_dir(b.rsplit("/", 1)[0], recursive=True)
+    beside = f"{b.rsplit('/', 1)[0]}/.{b.rsplit('/', 1)[1]}.{uuid4().hex}.new"
+    with held.open_input_stream(a) as read, to.open_output_stream(beside) as write:
+        while block := read.read(1 << 22):
+            write.write(block)
+    to.move(beside, b)
+    return True
 
 
 def revisions_between(revisions: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -34,13 +79,24 @@ def latest_revision(revisions: DataFrame) -> str | None:
 
 
 class RevisionExporter:
-    """Copies assets to ``<root>/[<prefix>/]<asset name>``; what is there already is left alone."""
+    """Copies assets to ``<root>/[<prefix>/]<asset name>``; what is there already is left alone.
 
-    def __init__(self, spark: SparkSession, revisions: DataFrame, assets: DataFrame, root: str, prefix: str | None = None) -> None:
-        self._spark, self.revisions, self.assets, self.root, self.prefix = spark, revisions, assets, root.rstrip("/"), prefix
+    Assets are copied by tasks, ``copy`` by ``copy``: a function of source and
+    target that says whether it copied. Another one may first run an export
+    job and wait for it with ``finished_job``.
+    """
+
+    def __init__(self, spark: SparkSession, revisions: DataFrame, assets: DataFrame, root: str, prefix: str | None = None, copy: Callable[[str, str], bool] = copy_file) -> None:
+        self._spark, self.revisions, self.assets, self.root, self.prefix, self._copy = spark, revisions, assets, root.rstrip("/"), prefix, copy
 
     def target(self, name: str) -> str:
-        return f"{self.root}/{with_prefix(name, self.prefix)}"
+        prefix = (self.prefix or "").strip("/")
+        return f"{self.root}/{prefix}/{name}" if prefix else f"{self.root}/{name}"
+
+    @property
+    def _query_name(self) -> str:
+        """The same in every process, so that another one finds this exporter's queries."""
+        return f"auto-export-{hashlib.sha256(self.target('').encode()).hexdigest()[:16]}"
 
     def export(self, revision_id: str | None = None) -> int:
         """Exports one revision, the latest if none is named; returns the number of files copied."""
@@ -51,8 +107,16 @@ class RevisionExporter:
         n = assets.count()
         if n > MANY_ASSETS:
             warnings.warn(f"revision {wanted} has {n} assets", stacklevel=2)
-        files = Files(self._spark)
-        return sum(files.copy(r["path"], self.target(r["name"])) for r in assets.select("name", "path").toLocalIterator())
+        copy, head = self._copy, self.target("")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"copied": [bool(copy(path, f"{head}{name}")) for name, path in zip(batch["name"], batch["path"], strict=True)]})
+
+        # by name, so that two assets of one target are copied by one task
+        tasks = max(1, -(-n // ASSETS_PER_TASK))
+        done = assets.select("name", "path").repartition(tasks, "name").mapInPandas(run, "copied boolean")
+        return done.agg(F.count_if("copied").alias("n")).first()["n"]
 
     def export_between(self, start: str | None = None, end: str | None = None) -> int:
         """Exports the revisions of a range of days, one after the other."""
@@ -71,12 +135,11 @@ class RevisionExporter:
             if on_batch:
                 on_batch(number)
 
-        return published.writeStream.queryName(f"auto-export-{abs(hash((self.root, self.prefix)))}").option("checkpointLocation", checkpoint).foreachBatch(run).start()
+        return published.writeStream.queryName(self._query_name).option("checkpointLocation", checkpoint).foreachBatch(run).start()
 
     def stop_auto_export(self) -> int:
         """Stops this exporter's running queries; returns how many there were."""
-        name = f"auto-export-{abs(hash((self.root, self.prefix)))}"
-        running = [q for q in self._spark.streams.active if q.name == name]
+        running = [q for q in self._spark.streams.active if q.name == self._query_name]
         for q in running:
             q.stop()
         return len(running)

@@ -27,7 +27,7 @@ def objects(tmp_path_factory):
     """A small collection: five objects with a header, ticks and, but for one, hits."""
     root = tmp_path_factory.mktemp("objects")
     for i in range(5):
-        key = f"csds/2022/05/{10 + i}/m{i}"
+        key = f"match/2022/05/{10 + i}/m{i}"
         folder = root / key
         folder.mkdir(parents=True)
         tables = {"header": {"map": [f"map{i % 2}"], "rounds": [20 + i]}, "tick": {"tick": list(range(3 * i)), "player": [f"p{j}" for j in range(3 * i)]}}
@@ -37,5 +37,5 @@ def objects(tmp_path_factory):
         for name, columns in tables.items():
             pq.write_table(pa.table({k: pa.array(v, pa.string() if k in ("map", "player") else pa.int64()) for k, v in columns.items()}), folder / name)
             channels.append({"channel": name, "key": f"{key}/{name}", "contentType": "application/x-parquet", "columns": [{"name": c} for c in columns]})
-        (folder / "csds").write_bytes(gzip.compress(json.dumps({"id": f"id{i}", "key": f"{key}/csds", "channels": channels}).encode()))
+        (folder / "match").write_bytes(gzip.compress(json.dumps({"id": f"id{i}", "key": f"{key}/match", "channels": channels}).encode()))
     return root

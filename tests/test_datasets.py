@@ -12,31 +12,36 @@ NAME = "ticks.2022-05-01,2022-06-01"
 
 @pytest.fixture
 def library(spark, objects, tmp_path):
-    lib = Library(spark, str(tmp_path / "datasets"), str(objects))
+    lib = Library(spark, str(tmp_path / "datasets"), str(objects), "match")
     lib.create_header()
     return lib
 
 
-def test_catalog(spark, objects):
-    catalog = Catalog(spark, str(objects))
+def test_catalog(spark, objects, monkeypatch):
+    catalog = Catalog(spark, str(objects), "match")
     assert sorted(r["id"] for r in catalog.manifests().collect()) == [f"id{i}" for i in range(5)]
     ticks = catalog.channel({"channel": "tick", "columns": ["tick"]})
     assert ticks.columns == ["key", "object_id", "tick"] and ticks.count() == 30
     assert catalog.channel("hit").select("key").distinct().count() == 4
     assert sorted(catalog.read()) == ["header", "hit", "tick"] and catalog.read([]) == {}
     header = catalog.header().orderBy("key").collect()
-    assert [r["match_id"] for r in header] == [f"id{i}" for i in range(5)] and header[0]["key"] == "csds/2022/05/10/m0/csds"
+    assert [r["match_id"] for r in header] == [f"id{i}" for i in range(5)] and header[0]["key"] == "match/2022/05/10/m0/match"
     with pytest.raises(ChannelError):
         catalog.channel("absent")
     with pytest.raises(ChannelError):
         catalog.channel({"channel": "tick", "columns": ["absent"]})
     keys = catalog.manifests().where("id = 'id3'").select("key")
-    assert catalog.read(["tick"], keys)["tick"].count() == 9
+    few = catalog.read(["tick"], keys)["tick"]
+    assert few.count() == 9 and [f.rsplit("/", 2)[1:] for f in few.inputFiles() if "manifests" not in f] == [["m3", "tick"]]
+    monkeypatch.setattr("folio.sources.catalog.NAMED_FILES", 2)  # by folders, and then all
+    more = catalog.read(["tick"], catalog.manifests().where("id > 'id1'").select("key"))["tick"]
+    assert more.count() == 27 and catalog.channel("tick", catalog.manifests().where("id in ('id1', 'id3')").select("key")).count() == 12
+    assert catalog.channel("hit", keys.where("key = ''")).count() == 0
 
 
 def test_object_reader(spark, objects):
-    one = ObjectReader(spark, str(objects), "csds/2022/05/13/m3/csds")
-    assert one.manifest["id"] == "id3" and one.metadata["key"].endswith("m3/csds")
+    one = ObjectReader(spark, str(objects), "match/2022/05/13/m3/match")
+    assert one.manifest["id"] == "id3" and one.metadata["key"].endswith("m3/match")
     assert list(one.channels()) == ["header", "tick", "hit"] and one.channels([]) == {}
     assert one.channel({"channel": "tick", "columns": ["player"]}).columns == ["player"]
     with pytest.raises(ChannelError):
@@ -46,7 +51,7 @@ def test_object_reader(spark, objects):
 def test_header_and_subheader(library):
     assert library.header_reader().is_complete and library.dataframe("header").count() == 5
     sub = library.create_subheader(NAME, lambda df: df["map"] == "map0")
-    assert sub.keyset() == [f"csds/2022/05/{10 + i}/m{i}/csds" for i in (0, 2, 4)]
+    assert sub.keyset() == [f"match/2022/05/{10 + i}/m{i}/match" for i in (0, 2, 4)]
     assert library.create_subheader(NAME, "rounds > 23").dataframe().count() == 1
     with pytest.raises(EmptyDataset):
         library.create_subheader("none.2022-05-01,2022-06-01", "rounds > 99")
@@ -66,7 +71,7 @@ def test_build_and_read(library):
     assert manifest.isComplete and [(p["keyCount"], p["rowCount"]) for p in manifest.pages] == [(3, 9), (1, 9), (1, 12)]
     assert built.dataframe().count() == 30 and len(built.keyset()) == 5
     rows, keys = built.page(1)
-    assert rows.count() == 9 and [r["key"] for r in keys.collect()] == ["csds/2022/05/13/m3/csds"]
+    assert rows.count() == 9 and [r["key"] for r in keys.collect()] == ["match/2022/05/13/m3/match"]
     assert sum(r.count() for r, _ in built.pages()) == 30
     assert built.header.exists and built.header.dataframe().count() == 5 and manifest.sourceId == library.header_reader().manifest.id
     assert total_timings(pages_frame(library._spark, manifest)).first()["seconds"] > 0
@@ -129,4 +134,7 @@ def test_options(spark, monkeypatch):
         Library(spark)
     monkeypatch.setenv("FOLIO_DATASET_ROOT", "/tmp/a")
     monkeypatch.setenv("FOLIO_OBJECT_ROOT", "/tmp/b")
-    assert (Library(spark).root, Library(spark).kind, Library(spark, "/tmp/c").root) == ("/tmp/a", "csds", "/tmp/c")
+    with pytest.raises(MissingOption, match="kind"):
+        Library(spark)
+    monkeypatch.setenv("FOLIO_KIND", "match")
+    assert (Library(spark).root, Library(spark).kind, Library(spark, "/tmp/c").root) == ("/tmp/a", "match", "/tmp/c")

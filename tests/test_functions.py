@@ -53,3 +53,20 @@ def test_scores(spark):
     df = spark.createDataFrame([([0.0, 1.0], 1.0), ([5.0, 5.0], None)], "v array<double>, x double")
     assert [r[0] for r in df.select(nearest(F.col("v"), [[5, 5], [0, 0], [0, 0]])).collect()] == [1, 0]
     assert [r[0] for r in df.select(tree({"column": "x", "below": 2, "yes": 1, "no": 0})).collect()] == [1.0, 0.0]
+
+
+def test_logs_of_readers_can_be_dropped():
+    import logging
+
+    from folio.functions.logs import quiet_readers
+
+    heard = []
+
+    class Ear(logging.Handler):
+        def emit(self, record):
+            heard.append(record.getMessage())
+
+    ear = quiet_readers(Ear())
+    for name, level in (("folio.sources.catalog", logging.INFO), ("folio.sources.catalog", logging.WARNING), ("folio.plans.builder", logging.INFO)):
+        ear.handle(logging.LogRecord(name, level, "", 0, f"{name} {level}", None, None))
+    assert heard == ["folio.sources.catalog 30", "folio.plans.builder 20"]

@@ -1,15 +1,20 @@
 import json
+import sys
 
 import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark import cloudpickle
+
 from folio.errors import ModelError
 from folio.operators import models
-from folio.operators.paging import PageLimits, assign_pages, page_ends, row_bytes, row_limit
+from folio.operators.paging import PageLimits, assign_pages, page_ends, ranked_keys, row_bytes, row_limit
 from folio.operators.sets import remaining_keys, rows_per_key, union_by_name
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
+
 
 def naive(rows, limit, every):
     ends, keys, total = [], 0, 0
@@ -48,10 +53,24 @@ def test_assign_pages(spark):
     assert assign_pages(spark.createDataFrame([], "key string, n_rows long"), PageLimits(max_rows=1)).count() == 0
 
 
+@pytest.mark.parametrize("every", [1, 3, 100])
+def test_ranked_and_paged_in_ranges(spark, monkeypatch, every):
+    monkeypatch.setattr("folio.operators.paging.SAMPLED", 50)
+    counts = [(f"{i * 7919 % 1000:04d}", i % 4) for i in range(1000)]
+    rows = spark.createDataFrame(counts, "key string, n_rows long")
+    assert [r["at"] for r in ranked_keys(rows, name="at", ranges=7).orderBy("key").collect()] == list(range(1000))
+    got = assign_pages(rows, PageLimits(max_rows=37, check_every=every)).orderBy("key").collect()
+    ends, page, want = set(naive([n for _, n in sorted(counts)], 37, every)), 0, []
+    for i in range(1000):
+        want.append(page)
+        page += i in ends
+    assert [(r["key_ord"], r["page"]) for r in got] == list(enumerate(want))
+
+
 def test_limits(spark):
     schema = spark.createDataFrame([], "a long, b boolean, c string").schema
     assert row_bytes(schema) == 8 + 8 + 1 + 8
-    assert row_limit(PageLimits(max_rows=5, max_mb=1), 100) == 5 and row_limit(PageLimits(max_mb=1), 100) == 10_000
+    assert row_limit(PageLimits(max_rows=5, max_mb=1), 100) == 5 and row_limit(PageLimits(max_mb=1), 128) == 8192
     with pytest.raises(ValueError):
         PageLimits(check_every=0)
 
@@ -78,7 +97,7 @@ def test_find_model():
 
 def test_registry_and_lookups(spark, tmp_path):
     spark.createDataFrame([(1, "one"), (2, "two")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "t" / "a.parquet"))
-    (tmp_path / "m.json").write_text(json.dumps({"1": "uno", "3": "tre"}))
+    (tmp_path / "m.json").write_text(json.dumps({"1": "uno", "3": "tre", "4": 5, "5": [1, None], "6": None}))
     (tmp_path / "c.csv").write_text("k,v\n1,x\n")
     registry = models.Registry(spark, {
         "table": [{"type": "dataframe", "bucket": str(tmp_path), "key": "t/a.parquet"}, {"type": "other"}],
@@ -99,7 +118,7 @@ def test_registry_and_lookups(spark, tmp_path):
     other = registry.get("set")
     assert other.select({"lang": "de"}) is None and other.invoke() is None
     lookup = registry.get("map")
-    assert lookup.invoke(1) == "uno" and lookup.invoke("2") is None
+    assert lookup.invoke(1) == "uno" and lookup.invoke("2") is None and lookup.invoke(4) == 5 and lookup.invoke(5) == [1, None] and lookup.invoke(6) is None
     assert sorted(map(tuple, lookup.join(rows, rows["k"], "w").collect())) == [(1, "uno"), (3, "tre")]
     for name in ("odd", "none", "absent"):
         with pytest.raises(ModelError):
@@ -127,3 +146,63 @@ def test_scorers(spark):
         return lambda text: {"out": [{"y": float(line.split(",")[0]) + 1} for line in text.strip().split("\n")]}
 
     assert sorted(r["y"] for r in models.EndpointModel(client, ["a"], "out", "y double", batch_rows=1).invoke(rows).collect()) == [2.0, 3.0]
+
+
+class Halves:
+    """A fitted model as its loader gives it."""
+
+    def __init__(self, body):
+        self.by = int(body)
+
+    def predict(self, frame):
+        return frame["a"] // self.by
+
+    def predict_proba(self, frame):
+        return [[x, 1 - x] for x in frame["a"] / self.by]
+
+
+def test_fitted_kinds(spark, tmp_path):
+    (tmp_path / "m.pkl").write_bytes(b"2")
+    entry = {"bucket": str(tmp_path), "key": "m.pkl", "parameters": {"columns": ["a"]}}
+    models_ = {
+        "means": [{"type": "s3_scikit", "model_type": "MiniBatchKMeans", **entry}],
+        "linear": [{"type": "fitted", "model_type": "SGDClassifier", **entry}],
+        "set": [{"type": "s3_scikit_set", "model_type": "hdbscan", "extension": "pkl", "scikits": [{"key": "m", "map": "x"}], **entry}],
+        "boosted": [{"type": "s3_xgboost", "model_type": "Booster", **entry}],
+        "far": [{"type": "sagemaker_endpoint", "endpoint_name": "e", "req_type": "text/csv", "res_type": "application/json", "parameters": {"columns": ["a"], "schema": "y double"}}],
+        "odd": [{"type": "s3_scikit", "model_type": "Odd", **entry}],
+    }
+
+    class Booster:
+        def __init__(self, body):
+            pass
+
+        def predict(self, frame):
+            assert list(frame["c"].cat.categories) == ["u", "v"]
+            return frame["c"].cat.codes + frame["a"]
+
+    models_["boosted"][0]["parameters"] = {"columns": ["a", "c"], "categories": {"c": ["u", "v"]}}
+    load = dict.fromkeys(("MiniBatchKMeans", "SGDClassifier", "hdbscan"), Halves)
+    ask = lambda entry: lambda text: {"data": [{"y": float(x) + len(entry["endpoint_name"])} for x in text.split()]}
+    registry = models.Registry(spark, models_, loaders=load | {"Booster": Booster}, make_endpoint=ask)
+    rows = spark.createDataFrame([(1.0, "v"), (4.0, "u")], "a double, c string")
+    got = lambda name, **kw: [r["prediction"] for r in registry.get(name, **kw).invoke(rows).orderBy("a").collect()]
+    assert got("means") == [0, 2] and got("linear") == [[0.5, 0.5], [2.0, -1.0]] and got("boosted") == [2.0, 4.0]
+    one = registry.get("set")
+    assert one.select({"map": "x"}) and [r["prediction"] for r in one.invoke(rows).orderBy("a").collect()] == [0, 2]
+    other = registry.get("set")
+    assert other.select({"map": "y"}) is None and other.invoke(rows) is None
+    assert sorted(r["y"] for r in registry.get("far").invoke(rows).collect()) == [2.0, 5.0]
+    for name, kw in (("odd", {}), ("means", {}), ("far", {})):
+        with pytest.raises(ModelError):
+            models.Registry(spark, models_, **kw).get(name)
+
+
+def test_booster_equals_the_library(spark, tmp_path):
+    xgboost = pytest.importorskip("xgboost")
+    frame = pd.DataFrame({"a": [0.1 * i for i in range(40)], "m": pd.Categorical(["u", "v"] * 20)})
+    trained = xgboost.train({"max_depth": 2}, xgboost.DMatrix(frame, label=frame["a"], enable_categorical=True), num_boost_round=3)
+    trained.save_model(tmp_path / "b.json")
+    entry = {"type": "s3_xgboost", "model_type": "Booster", "bucket": str(tmp_path), "key": "b.json", "parameters": {"columns": ["a", "m"], "categories": {"m": ["u", "v"]}}}
+    got = models.Registry(spark, {"b": [entry]}).get("b").invoke(spark.createDataFrame(frame.astype({"m": str}))).orderBy("a").toPandas()["prediction"]
+    assert got.tolist() == pytest.approx(trained.predict(xgboost.DMatrix(frame, enable_categorical=True)).tolist(), rel=1e-6)

@@ -1,10 +1,17 @@
 import json
+import sys
+import threading
+import time
 
 import pytest
+from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 
 from folio.errors import FolioError, ForceAcknowledge
-from folio.sources.revisions import RevisionExporter, latest_revision, revisions_between
-from folio.streaming.queue import MESSAGE, QueueConsumer, queue_url
+from folio.sources.revisions import RevisionExporter, finished_job, latest_revision, revisions_between
+from folio.streaming.queue import MESSAGE, QueueConsumer, polled, queue_url
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
 
 
 def handler(content, metadata):
@@ -27,15 +34,79 @@ def test_consumer(spark, tmp_path):
     write(inbox, "a", ['{"do": "fine"}', '{"do": "leave"}', '{"do": "raise"}', '{"do": "force"}', "{bad", "null", "{}", "0"])
     deleted = []
     stream = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).json(str(inbox))
-    consumer = QueueConsumer(spark, stream, handler, str(tmp_path / "q"), delete=lambda df: deleted.append(sorted(r["MessageId"] for r in df.collect())), max_deliveries=2, concurrency=2)
+    consumer = QueueConsumer(spark, stream, handler, str(tmp_path / "q"), delete=lambda df: deleted.append(sorted(r["MessageId"] for r in df.collect())), max_deliveries=2, concurrency=2, backoff_seconds=0.2)
     consumer.run(available_now=True)
     outcomes = {r["MessageId"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "q/outcomes")).where("batch = 0").collect()}
     assert outcomes == {"a0": "ack", "a1": "nack", "a2": "failed", "a3": "forced_ack", "a4": "poison", "a5": "poison", "a6": "ack", "a7": "ack"}
     assert deleted[0] == ["a0", "a3", "a7"]  # no handle, nothing to delete by
-    write(inbox, "b", ['{"do": "fine"}'])
-    QueueConsumer(spark, stream, handler, str(tmp_path / "q"), max_deliveries=2).run(available_now=True)
+    # delivered again though nothing came since
     assert sorted(r["MessageId"] for r in spark.read.parquet(str(tmp_path / "q/dead")).collect()) == ["a1", "a2", "a4", "a5"]
-    assert spark.read.schema(MESSAGE).parquet(str(tmp_path / "q/redelivery/batch=1")).count() == 0
+    write(inbox, "b", ['{"do": "fine"}'])
+    consumer.run(available_now=True)
+    assert deleted[-1] == ["b0"]
+
+
+def test_messages_without_an_id_are_delivered_again(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "h1", '{"do": "leave"}', {"x": "1"}), (None, "h2", '{"do": "fine"}', {})], MESSAGE)
+    consumer = QueueConsumer(spark, rows, lambda content, metadata: content == {"do": "fine"}, str(tmp_path), max_deliveries=2)
+    consumer.run_batch(rows, 0)
+    left = spark.read.parquet(str(tmp_path / "redelivery/batch=0")).collect()
+    assert [(r["MessageId"], r["ReceiptHandle"], r["attributes"], r["deliveries"]) for r in left] == [(None, "h1", {"x": "1"}, 1)]
+    consumer.run_batch(rows.limit(0), 1)
+    assert [r["ReceiptHandle"] for r in spark.read.parquet(str(tmp_path / "dead/batch=1")).collect()] == ["h1"]
+    consumer.run_batch(rows.limit(0), 2)
+    assert not (tmp_path / "outcomes/batch=2").exists()
+
+
+def test_errors_of_delivery_end_the_run(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    write(inbox, "a", ["0"])
+
+    def broken(df):
+        raise RuntimeError("no table")
+
+    consumer = QueueConsumer(spark, spark.readStream.schema(MESSAGE).json(str(inbox)), handler, str(tmp_path / "q"), delete=broken)
+    with pytest.raises(PySparkException, match="no table"):
+        consumer.run(available_now=True)
+
+
+def test_polled_queue(spark, tmp_path):
+    """A queue of files: what is received stays until it is deleted."""
+    box = tmp_path / "box"
+    box.mkdir()
+    for i in range(3):
+        (box / f"m{i}").write_text(json.dumps({"n": i}))
+    seen = tmp_path / "seen"
+
+    class Client:
+        def resolve(self, name):
+            return f"file://{name}"
+
+        def receive(self, url, wait_seconds, max_messages, **more):
+            seen.write_text(json.dumps([url, wait_seconds, max_messages, more]))
+            found = sorted(box.iterdir())[:max_messages]
+            if not found:
+                time.sleep(wait_seconds)
+            return [{"MessageId": p.name, "ReceiptHandle": str(p), "Body": p.read_text(), "Attributes": {"a": 1}} for p in found]
+
+    def delete(df):
+        from pathlib import Path
+
+        for r in df.collect():
+            Path(r["ReceiptHandle"]).unlink(missing_ok=True)
+
+    stream = polled(spark, Client, "jobs", {"wait_seconds": 0.1, "max_messages": 2, "more": "All"})
+    consumer = QueueConsumer(spark, stream, lambda content, metadata: json.loads(metadata["attributes"]["Attributes"]) == {"a": 1} if isinstance(metadata["attributes"], dict) else True, str(tmp_path / "q"), delete=delete, backoff_seconds=0.2)
+    thread = threading.Thread(target=consumer.run)
+    thread.start()
+    for _ in range(150):
+        if not list(box.iterdir()):
+            break
+        time.sleep(0.2)
+    assert consumer.stop() and not list(box.iterdir())
+    thread.join(30)
+    assert not thread.is_alive() and json.loads(seen.read_text()) == ["file://jobs", 0.1, 2, {"more": "All"}]
 
 
 def test_batch_runs_again_without_harm(spark, tmp_path):
@@ -74,3 +145,11 @@ def test_revisions(spark, tmp_path):
     query = auto.start_auto_export(spark.readStream.schema("revision_id string").json(str(feed)), str(tmp_path / "ck"))
     query.processAllAvailable()
     assert (tmp_path / "auto/r2/b").exists() and auto.stop_auto_export() == 1 and auto.stop_auto_export() == 0
+
+
+def test_export_jobs():
+    states = iter(["WAITING", "IN_PROGRESS", "COMPLETED"])
+    assert finished_job(lambda: {"Id": 1, "State": next(states)}, 0)["State"] == "COMPLETED"
+    for job, why in (({"Id": 7, "State": "ERROR", "Errors": [{"Message": "no room"}]}, "job 7 failed: no room"), ({"Id": 8, "State": "CANCELLED"}, "job 8 was cancelled"), ({"Id": 9, "State": "TIMED_OUT"}, "job 9 timed out")):
+        with pytest.raises(FolioError, match=why):
+            finished_job(lambda: job, 0)  # noqa: B023
