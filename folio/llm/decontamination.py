@@ -25,8 +25,10 @@ WINDOW = 16
 AGREE = 0.8
 #: Words beside a seed's window that a compared run can reach.
 BESIDE = WINDOW - SPAN
-#: Windows of a document or item that are made at once, which bounds a row whatever the text's length.
-PIECE = 2_048
+#: Words of a window with its surroundings.
+WIDE = SPAN + 2 * BESIDE
+#: Windows of the pieces that a text is cut to, and of those that these are cut to, which rows carry.
+PIECES = (16_384, 64)
 #: Items' seeds that are broadcast at once: of about 300 bytes each, so 150 MB; more items take more passes.
 BLOCK_SEEDS = 500_000
 
@@ -37,37 +39,48 @@ def token_hashes(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(spaced, " "), lambda w: F.xxhash64(w)))
 
 
-def _around(rows: DataFrame, words: str, name: str, beyond: int) -> DataFrame:
-    """``rows`` with the words of each window of ``SPAN`` and ``BESIDE`` on either side, null outside the text.
+def _cut(rows: DataFrame, words: str, windows: int) -> DataFrame:
+    """``rows`` with their words cut to pieces that have so many windows each; pieces overlap by a window less a word.
 
-    ``beyond`` windows stand outside by a word at either end. The words are cut
-    to pieces first, and only a window's own words go on with it, so that time
-    and memory grow with the text and not with its square.
+    A text that is too short for a window has one null piece: the outer form
+    keeps Spark from making the words twice to filter.
     """
-    wide = SPAN + 2 * BESIDE
-    nothing = F.array_repeat(F.lit(None).cast("bigint"), BESIDE + beyond)
     rest = [c for c in rows.columns if c != words]
-    padded = rows.select(*rest, F.concat(nothing, words, nothing).alias("_padded"))
-    windows = F.size("_padded") - wide + 1
-    # a text that is too short has a null window; the outer form keeps Spark from making the words twice to filter
-    starts = F.when(windows > 0, F.sequence(F.lit(1), windows, F.lit(PIECE)))
-    pieces = padded.select(*rest, F.explode_outer(F.transform(starts, lambda a: F.slice("_padded", a, PIECE + wide - 1))).alias("_part"))
-    each = F.transform(F.sequence(F.lit(1), F.size("_part") - wide + 1), lambda i: F.slice("_part", i, wide))
-    return pieces.select(*rest, F.explode_outer(each).alias(name))
+    here = F.size(words) - WIDE + 1
+    starts = F.when(here > 0, F.sequence(F.lit(1), here, F.lit(windows)))
+    return rows.select(*rest, words, F.explode_outer(starts).alias("_from")).select(*rest, F.slice(words, F.col("_from"), windows + WIDE - 1).alias(words))
+
+
+def _around(rows: DataFrame, words: str, at: str, beyond: int) -> DataFrame:
+    """``rows`` with every window of their words: ``at`` is where in ``words``, by then a small piece, its surroundings begin.
+
+    Words outside the text are null; ``beyond`` windows stand outside by a word
+    at either end. Each row that is made carries a piece only, and pieces are
+    made of larger ones, so that time and memory grow with the text and not
+    with its square.
+    """
+    nothing = F.array_repeat(F.lit(None).cast("bigint"), BESIDE + beyond)
+    pieces = rows.withColumn(words, F.concat(nothing, words, nothing))
+    for windows in PIECES:
+        pieces = _cut(pieces, words, windows)
+    return pieces.select("*", F.explode_outer(F.sequence(F.lit(0), F.size(words) - WIDE)).alias(at))
 
 
-def _seeds(around: str) -> Column:
+def _seeds(words: str, at: str) -> Column:
     """The seeds of a window amid its surroundings; null for a mask that reads a word outside the text."""
-    word = [F.get(F.col(around), BESIDE + j) for j in range(SPAN)]
-    inside = [reduce(Column.__and__, [word[j].isNotNull() for j in (mask[0], mask[-1])]) for mask in MASKS]
-    return F.array(*[F.when(inside[m], F.xxhash64(F.lit(m), *[word[j] for j in mask])) for m, mask in enumerate(MASKS)])
+    word = [F.get(F.col(words), F.col(at) + BESIDE + j) for j in range(SPAN)]
+    return F.array(*[F.when(word[mask[0]].isNotNull() & word[mask[-1]].isNotNull(), F.xxhash64(F.lit(m), *[word[j] for j in mask])) for m, mask in enumerate(MASKS)])
+
+
+def _agreement(words: str, at: str, own: str) -> Column:
+    """A bit for each word of a hit's surroundings: whether it agrees."""
+    same = [F.get(F.col(words), F.col(at) + j) == F.get(F.col(own), j) for j in range(WIDE)]
+    return reduce(Column.bitwiseOR, [F.when(x, 1 << j).otherwise(0) for j, x in enumerate(same)])
 
 
-def _agreeing(a: str, b: str) -> Column:
+def _best_run(bits: str) -> Column:
     """How many words agree in the best run of ``WINDOW`` words that holds the seed's."""
-    same = [(F.get(F.col(a), j) == F.get(F.col(b), j)) for j in range(SPAN + 2 * BESIDE)]
-    bits = reduce(Column.bitwiseOR, [F.when(x, 1 << j).otherwise(0) for j, x in enumerate(same)])
-    return F.greatest(*[F.bit_count(bits.bitwiseAND(F.lit(((1 << WINDOW) - 1) << i))) for i in range(BESIDE + 1)])
+    return F.greatest(*[F.bit_count(F.col(bits).bitwiseAND(F.lit(((1 << WINDOW) - 1) << i))) for i in range(BESIDE + 1)])
 
 
 def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
@@ -91,16 +104,18 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     blocks = max(1, -(-n_seeds // block_seeds))
     rows = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("_doc"))
     # of a nine-word item eight words can stand at a document's edge
-    found = _around(rows, "_doc", "_near", 1)
-    found = found.select("doc_id", "_near", F.explode_outer(_seeds("_near")).alias("seed"))
-    seeds = _around(held.select("item_id", F.least(F.size("_item"), F.lit(WINDOW)).alias("compared"), "_item"), "_item", "_own", 0)
-    seeds = seeds.select("item_id", "compared", "_own", F.explode_outer(_seeds("_own")).alias("seed")).where("seed is not null").distinct()
+    found = _around(rows, "_doc", "_at", 1)
+    found = found.select("doc_id", "_doc", "_at", F.explode_outer(_seeds("_doc", "_at")).alias("seed"))
+    seeds = _around(held.select("item_id", F.least(F.size("_item"), F.lit(WINDOW)).alias("compared"), "_item"), "_item", "_at", 0)
+    seeds = seeds.select("item_id", "compared", F.slice("_item", F.col("_at") + 1, WIDE).alias("_own"), F.explode_outer(_seeds("_item", "_at")).alias("seed"))
+    seeds = seeds.where("seed is not null").distinct()
     hits = None
     for b in range(blocks):
         part = seeds.where(F.pmod(F.xxhash64("_own", "seed"), F.lit(blocks)) == b) if blocks > 1 else seeds
-        met = found.join(F.broadcast(part), "seed").select("doc_id", "item_id", "compared", _agreeing("_near", "_own").alias("agreeing"))
+        # exploded, as Spark would take a condition on them into the join, whose code would grow too long to compile
+        met = found.join(F.broadcast(part), "seed").select("doc_id", "item_id", "compared", F.explode(F.array(_agreement("_doc", "_at", "_own"))).alias("_bits"))
         hits = met if hits is None else hits.unionByName(met)
-    best = hits.where(F.col("agreeing") >= F.ceil(F.col("compared") * AGREE)).groupBy("doc_id", "item_id")
+    best = hits.withColumn("agreeing", _best_run("_bits")).where(F.col("agreeing") >= F.ceil(F.col("compared") * AGREE)).groupBy("doc_id", "item_id")
     return best.agg(F.max("agreeing").cast("long").alias("agreeing"), F.max("compared").cast("long").alias("compared"))
 
 

@@ -242,7 +242,7 @@ def test_decontamination_tolerates_substitutions(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     # items in blocks, and texts in pieces, give the same
     assert {(r["doc_id"], r["item_id"]) for r in deco.benchmark_overlaps(docs, items, block_seeds=20).collect()} == want
-    monkeypatch.setattr(deco, "PIECE", 5)
+    monkeypatch.setattr(deco, "PIECES", (7, 3))
     assert {(r["doc_id"], r["item_id"]) for r in deco.benchmark_overlaps(docs, items).collect()} == want
     assert sorted(r["doc_id"] for r in deco.decontaminated(docs, items).collect()) == [3, 4, 6, 7]
     assert deco.decontaminated(docs, items.limit(0)).count() == len(rows) and deco.benchmark_overlaps(docs.limit(0), items).count() == 0
