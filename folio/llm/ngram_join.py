@@ -37,9 +37,9 @@ SHINGLE = 5
 #: Rows whose tokens a task holds at once.
 SLICE_ROWS = 2_500
 #: Tokens of a block of the contraction, which bounds a task's memory.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 500_000
 #: Tokens that are searched in one task; of more, the lists are searched one by one, and long lists part by part.
-UNIT_TOKENS = 1_000_000
+UNIT_TOKENS = 500_000
 #: Keys of possible rows that are broadcast to the texts, about 50 MB of them; with more the texts are shuffled by key.
 BROADCAST_KEYS = 1_000_000
 

@@ -1,63 +1,12 @@
-"""Shared-folder tables: how the operators cut lineage on a cluster."""
+"""What the operators share: the session's partitions, the tables, and tables of their own in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_stored: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if not current:
-        if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))
-        current = context.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet below the shared folder and reads it back.
-
-    A lost executor loses no part of the table, and what reads it does not
-    recompute what made it. ``discard`` removes it; what the caller's result
-    still reads stays until ``discard_all``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._folio_path = path
-    _stored.append(path)
-    return table
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _stored.remove(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes ``stored`` tables that nothing reads any more."""
-    for t in tables:
-        if t._folio_path in _stored:
-            _delete(t.sparkSession, t._folio_path)
-
+from folio.sources.scratch import discard, discard_all, scratch, shared_folder, stored
 
-def discard_all(spark: SparkSession) -> None:
-    """Removes every table that this process has stored: for when its results are written."""
-    for path in list(_stored):
-        _delete(spark, path)
+__all__ = ["discard", "discard_all", "partitions", "scratch", "shared_folder", "stored", "table"]
 
 
 def partitions(spark: SparkSession) -> int:

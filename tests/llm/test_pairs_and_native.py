@@ -128,13 +128,17 @@ def test_five_thousand_near_copies(spark):
 
 
 def test_tables_that_are_not_needed_go(spark):
-    from folio.llm import runtime
-
-    runtime.discard_all(spark)
-    rows = ngram_components(spark.createDataFrame(near_copies(), "doc_id long, text string"))
-    assert len(runtime._stored) <= 6 and rows.count()
-    runtime.discard_all(spark)
-    assert not runtime._stored
+    from folio.sources import scratch
+
+    before = len(scratch._stored)
+    kept = []
+    with scratch.scratch(spark, kept):
+        rows = ngram_components(spark.createDataFrame(near_copies(), "doc_id long, text string"))
+        assert len(scratch._stored) - before <= 6
+        kept.append(scratch.stored(rows, "kept"))
+    assert len(scratch._stored) == before + 1 and kept[0].count()
+    scratch.discard(*kept)
+    assert len(scratch._stored) == before
 
 
 def test_lookup_table_is_fair_and_steady():

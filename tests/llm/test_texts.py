@@ -122,7 +122,7 @@ def test_disguises_around_a_plain_span_are_found_whole(text):
     assert pii.masked(around) == f"Say hello: [{kind}] ; bye"
 
 
-@given(st.lists(st.lists(st.sampled_from(["plus ", "four", "nine", "6", "dot", "\u2026", "\u201d", " ", "-", "a", "(", "at", "@", ")", "\u0430", "\u017fix"]), max_size=8).map("".join), max_size=5))
+@given(st.lists(st.lists(st.sampled_from(["plus ", "four", "nine", "6", "dot", "\u2026", "\u201d", " ", "-", "a", "(", "at", "@", ")", "\u0430", "\u017fix", "s\u0131x", "F\u0130ve", "\u2003", "\x1f", "\x85", "DOT", "<", "\u3000", "oh", "S"]), max_size=8).map("".join), max_size=5))
 def test_cues_are_those_of_the_trigger(texts):
     texts += ["plus fourninesixoneeightthreetwo", "four9six1", "a\u201ddot\u2026b"]
     hidden = np.concatenate([h for _, h in pii.cues(pa.array(texts))])
