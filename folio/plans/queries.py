@@ -1,7 +1,9 @@
 """The library's own queries over the test tables, with their SQL twins.
 
-Orders stand for objects: their keys are ``dataset/<year>/<orderkey>``, orders
-are the header channel and line items another one.
+Nations are the objects of a collection that is written from the tables: their
+header, customers, orders and suppliers are its channels, and the queries of
+catalogs and datasets run the library on it. Others take orders for objects,
+with keys ``dataset/<year>/<orderkey>``.
 """
 
 from __future__ import annotations
@@ -11,13 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.errors import ForceAcknowledge
 from folio.functions.columns import date_between, key_column, logistic, message_content, nearest, tree
-from folio.functions.keys import merge_instructions
-from folio.operators.models import ScoringModel, matching_rows
+from folio.operators.models import Registry, ScoringModel, first_versions, matching_rows
 from folio.operators.paging import PageLimits, assign_pages, page_summary
 from folio.operators.sets import remaining_keys, rows_per_key, union_by_name
-from folio.plans.library import header_of, selected
-from folio.plans.manifest import UNITS
+from folio.plans.library import Library, header_of, position, selected
+from folio.plans.manifest import UNITS, pages_frame, total_timings
+from folio.sources.catalog import ObjectReader
+from folio.sources.collection import write_collection
+from folio.sources.files import Files
+from folio.sources.revisions import latest_revision
+from folio.sources.scratch import new_path
+from folio.streaming.queue import handled, json_translator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,47 +59,182 @@ def _header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_of(orders, _order_key(F.col("o_orderkey"), F.col("o_orderdate")), F.col("o_orderkey"))
 
 
-@query("SELECT l_orderkey, l_quantity, l_shipdate FROM lineitem")
+KIND = "nation"
+NAME = "orders.2024-01-01,2025-01-01"
+_NATION = "'nation/' || n_regionkey || '/' || lpad(n_nationkey::VARCHAR, 2, '0') || '/nation'"
+_BY_NATION = f"(SELECT {_NATION} AS key, * FROM nation)"
+_ORDERS = f"{_BY_NATION} n JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey"
+_roots: dict[tuple[str, str], str] = {}
+
+
+def _library(spark: SparkSession, sf_dir: str) -> Library:
+    """A library over the collection of nations, which is written once a session, with its header."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    fresh = at not in _roots or not Files(spark).exists(_roots[at])
+    if fresh:
+        root = new_path(spark, "collection")
+        nation = _read(spark, sf_dir, "nation")
+        key = key_column(F.lit(KIND), F.col("n_regionkey").cast("string"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(KIND))
+        objects = nation.select(key.alias("key"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), "n_nationkey")
+        customers = _read(spark, sf_dir, "customer").join(objects, F.col("c_nationkey") == F.col("n_nationkey"))
+        orders = _read(spark, sf_dir, "orders").join(customers.select("key", "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+        channels = {
+            "header": nation.withColumn("key", key).select("key", "n_nationkey", "n_name", "n_regionkey"),
+            "customer": customers.select("key", "c_custkey", "c_name", "c_acctbal", "c_mktsegment"),
+            "order": orders.select("key", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"),
+            "supplier": _read(spark, sf_dir, "supplier").join(objects, F.col("s_nationkey") == F.col("n_nationkey")).select("key", "s_suppkey", "s_acctbal"),
+        }
+        write_collection(spark, f"{root}/objects", KIND, objects, channels)
+        _roots[at] = root
+    library = Library(spark, f"{_roots[at]}/datasets", f"{_roots[at]}/objects", KIND)
+    if fresh:
+        library.create_header()
+    return library
+
+
+@query(f"""SELECT key, channel, key || '|' || channel AS place FROM (
+  SELECT key, unnest(['header', 'customer', 'order', 'supplier']) AS channel, n_nationkey FROM {_BY_NATION} n)
+  WHERE channel = 'header' OR channel = 'customer' AND n_nationkey IN (SELECT c_nationkey FROM customer) OR channel = 'supplier' AND n_nationkey IN (SELECT s_nationkey FROM supplier)
+    OR channel = 'order' AND n_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)""")
+def catalog_scan(spark, sf_dir):
+    """Manifests of all objects, and the channels that each has."""
+    channels = _library(spark, sf_dir).catalog.channels()
+    return channels.select(F.col("object_key").alias("key"), "channel", F.concat_ws("|", "object_key", F.element_at(F.split("path_key", "/"), -1)).alias("place"))
+
+
+@query(f"SELECT DISTINCT key, 'n' || n_nationkey AS id FROM {_BY_NATION} n")
+def distinct_keys(spark, sf_dir):
+    """Objects are discovered by their manifests, each once."""
+    return _library(spark, sf_dir).catalog.manifests().select("key", "id")
+
+
+@query(f"SELECT key, 'n' || n_nationkey AS object_id, c_custkey, c_acctbal FROM {_BY_NATION} n JOIN customer ON c_nationkey = n_nationkey")
 def channel_scan_projected(spark, sf_dir):
-    """A channel with the columns of an instruction only."""
-    (one,) = merge_instructions([{"channel": "lineitem", "columns": ["l_orderkey", "l_quantity", "l_shipdate"]}])
-    return _read(spark, sf_dir, one.channel).select(*one.columns)
+    """A channel of all objects with the columns of an instruction only."""
+    return _library(spark, sf_dir).catalog.channel({"channel": "customer", "columns": ["c_custkey", "c_acctbal"]})
 
 
-@query("SELECT l_orderkey, l_partkey, l_quantity, l_tax FROM lineitem")
+@query(f"SELECT key, 'n' || n_nationkey AS object_id, o_orderkey, o_custkey, o_totalprice FROM {_ORDERS}")
 def instructions_merged_projection(spark, sf_dir):
     """Two instructions for a channel read the union of their columns once."""
-    asked = [{"channel": "lineitem", "columns": ["l_orderkey", "l_partkey"]}, {"channel": "lineitem", "columns": ["l_quantity", "l_orderkey", "l_tax"]}]
-    (one,) = merge_instructions(asked)
-    return _read(spark, sf_dir, one.channel).select(*one.columns)
+    asked = [{"channel": "order", "columns": ["o_orderkey", "o_custkey"]}, {"channel": "order", "columns": ["o_totalprice", "o_orderkey"]}]
+    return _library(spark, sf_dir).catalog.read(asked)["order"]
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query(f"SELECT key, 'n' || n_nationkey AS object_id, s_suppkey, s_acctbal FROM {_BY_NATION} n JOIN supplier ON s_nationkey = n_nationkey")
 def channel_scan_all_columns(spark, sf_dir):
-    """An instruction without columns reads all."""
-    (one,) = merge_instructions([{"channel": "nation", "columns": ["n_name"]}, {"channel": "nation"}])
-    rows = _read(spark, sf_dir, one.channel)
-    return (rows if one.columns is None else rows.select(*one.columns)).select("n_nationkey", "n_name", "n_regionkey")
+    """An instruction without columns reads all; objects that lack the channel have no rows."""
+    return _library(spark, sf_dir).catalog.read([{"channel": "supplier", "columns": ["s_suppkey"]}, "supplier"])["supplier"]
+
+
+@query(f"SELECT key, 'n' || n_nationkey AS object_id, o_orderkey, o_orderstatus FROM {_ORDERS} WHERE n_regionkey IN (1, 3)")
+def channel_scan_of_keys(spark, sf_dir):
+    """A channel of some objects: only their files are scanned."""
+    library = _library(spark, sf_dir)
+    keys = library.dataframe("header").where("n_regionkey in (1, 3)").select("key")
+    return library.catalog.channel({"channel": "order", "columns": ["o_orderkey", "o_orderstatus"]}, keys)
+
 
+@query(f"SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM {_BY_NATION} n JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey = 7")
+def object_channel(spark, sf_dir):
+    """One object's channel, by its manifest."""
+    library = _library(spark, sf_dir)
+    key = library.dataframe("header").where("n_nationkey = 7").select("key").first()["key"]
+    return ObjectReader(spark, library.object_root, key).channel("customer")
 
-@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, {_KEY} AS key, o_orderkey::VARCHAR AS match_id FROM orders")
+
+@query(f"SELECT n_nationkey, n_name, n_regionkey, key, 'n' || n_nationkey AS match_id FROM {_BY_NATION} n")
 def header_dataset(spark, sf_dir):
-    """One row for each object, with its key and id."""
-    return _header(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "key", "match_id")
+    """The dataset of header rows of all objects, with key and id."""
+    return _library(spark, sf_dir).header_reader().dataframe()
+
+
+@query(f"SELECT key, n_name FROM {_BY_NATION} n WHERE n_regionkey > 1 AND n_name LIKE '%I%'")
+def subheader_dataset(spark, sf_dir):
+    """A dataset of the header rows that a selector takes."""
+    library = _library(spark, sf_dir)
+    made = library.create_subheader("some.2024-01-01,2025-01-01", lambda df: (df["n_regionkey"] > 1) & df["n_name"].like("%I%"))
+    return made.dataframe().select("key", "n_name")
 
 
 @query(f"SELECT {_KEY} AS key, o_totalprice FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F'")
 def subheader_filter(spark, sf_dir):
-    """The header rows that a selector takes; the condition reaches the scan."""
+    """The rows that a selector takes; the condition reaches the scan."""
     return selected(_header(spark, sf_dir), lambda df: (df["o_totalprice"] > 300000) & (df["o_orderstatus"] == "F")).select("key", "o_totalprice")
 
 
-@query(f"SELECT {_KEY} AS key, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
+def _large_orders(channels):
+    """What the datasets below are made of; four in five objects are left without rows by the second condition."""
+    return channels["order"].where("o_totalprice > 100000").select("key", "o_orderkey", (F.col("o_totalprice") / 2).alias("half"))
+
+
+_LARGE = f"SELECT key, o_orderkey, o_totalprice / 2 AS half FROM {_ORDERS} WHERE o_totalprice > 100000"
+LIMITS = PageLimits(max_rows=400, check_every=3)
+
+
+def _built(spark: SparkSession, sf_dir: str, **options):
+    library = _library(spark, sf_dir)
+    builder = library.builder(NAME, instructions=[{"channel": "order", "columns": ["o_orderkey", "o_totalprice"]}], limits=LIMITS, **options)
+    return library, builder
+
+
+@query(_LARGE)
 def data_dataset_build(spark, sf_dir):
-    """A transform over the channel's rows of the selected keys."""
-    keys = selected(_header(spark, sf_dir), "o_orderstatus = 'F' and o_totalprice > 300000").select("key", "o_orderkey")
-    rows = _read(spark, sf_dir, "lineitem").join(keys, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select("key", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    """A dataset of a transform over the channels of all objects, read back whole."""
+    _, builder = _built(spark, sf_dir, if_complete="overwrite", if_partial="overwrite")
+    return builder.build(_large_orders).dataframe()
+
+
+@query("SELECT key, key_ord, page FROM (SELECT key, key_ord, page FROM assigned)")
+def build_resume(spark, sf_dir):
+    """A build in small chunks that breaks off and is taken up again: the keys of its pages are those of one build."""
+    _, builder = _built(spark, sf_dir, if_complete="overwrite", if_partial="overwrite", chunk_keys=7)
+    chunks = []
+
+    def breaks(channels):
+        chunks.append(1)
+        if len(chunks) == 3:
+            raise InterruptedError
+        return _large_orders(channels)
+
+    try:
+        builder.build(breaks)
+    except InterruptedError:
+        pass
+    library, again = _built(spark, sf_dir, if_complete="pass", chunk_keys=7)
+    reader = again.build(_large_orders)
+    pages = [keys.select("key", "key_ord", F.lit(n).cast("long").alias("page")) for n, (_, keys) in enumerate(reader.pages())]
+    return union_by_name(pages)
+
+
+@query("SELECT key, o_orderkey, half FROM large JOIN (SELECT key, page FROM assigned) USING (key) WHERE page = 1")
+def iterate_page_n(spark, sf_dir):
+    """The rows of one page of a dataset; only its files are read."""
+    _, builder = _built(spark, sf_dir, if_complete="pass")
+    rows, _ = builder.build(_large_orders).page(1)
+    return rows
+
+
+@query("SELECT key, key_ord FROM assigned")
+def keyset_concat(spark, sf_dir):
+    """The keys of all pages of a dataset, one after the other."""
+    _, builder = _built(spark, sf_dir, if_complete="pass")
+    return builder.build(_large_orders).keys()
+
+
+@query("SELECT page, count(*) AS n_keys, sum(n_rows)::BIGINT AS n_rows FROM assigned GROUP BY page")
+def manifest_pages(spark, sf_dir):
+    """What the manifest has of each page."""
+    _, builder = _built(spark, sf_dir, if_complete="pass")
+    return pages_frame(spark, builder.build(_large_orders).manifest).drop("seconds")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, key, 'n' || n_nationkey AS match_id FROM (SELECT *, row_number() OVER (ORDER BY key) - 1 AS i FROM " + _BY_NATION + ") WHERE i = 11")
+def match_by_index(spark, sf_dir):
+    """The header row of the object at a position in key order."""
+    library = _library(spark, sf_dir)
+    key = library.object_at(11).manifest["key"]
+    return library.dataframe("header").where(F.col("key") == key)
 
 
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, NULL::BIGINT AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_nationkey FROM supplier")
@@ -116,23 +259,14 @@ def resume_difference(spark, sf_dir):
     return remaining_keys(_read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), done)
 
 
-@query("SELECT DISTINCT p_brand AS key FROM part")
-def distinct_keys(spark, sf_dir):
-    """Keys that are discovered more than once count once."""
-    return _read(spark, sf_dir, "part").select(F.col("p_brand").alias("key")).distinct()
-
-
-@query("SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
-def keyset_concat(spark, sf_dir):
-    """Keysets of pages one after the other, duplicates kept."""
-    keys = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
-    return union_by_name([keys.where("key % 2 = 0"), keys.where("key % 3 = 0")])
+_COUNTS = "SELECT lpad(o_orderkey::VARCHAR, 9, '0') AS key, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
 
 
-def _pages_sql(limit: float, every: int, out: str) -> str:
+def _pages_sql(limit: float, every: int, out: str, counts: str = _COUNTS) -> str:
     """The fold as a recursive query, a page a step."""
     return f"""
-WITH RECURSIVE counts AS (SELECT lpad(o_orderkey::VARCHAR, 9, '0') AS key, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
+WITH RECURSIVE large AS ({_LARGE}),
+counts AS ({counts}),
 k AS (SELECT key, n, row_number() OVER (ORDER BY key) - 1 AS i, sum(n) OVER (ORDER BY key) AS total FROM counts),
 cut(page, first, base) AS (
   SELECT 0::BIGINT, 0::BIGINT, 0::HUGEINT
@@ -156,7 +290,11 @@ def page_assignment_rows(spark, sf_dir):
     return assign_pages(_order_counts(spark, sf_dir), PageLimits(max_rows=5000))
 
 
-@query(_pages_sql(0.4e6 / 96, 50, "SELECT key, n_rows, key_ord, page FROM assigned"))
+for _name in ("build_resume", "iterate_page_n", "keyset_concat", "manifest_pages"):
+    ORACLES[_name] = _pages_sql(LIMITS.max_rows, LIMITS.check_every, ORACLES[_name], f"SELECT n.key, count(o_orderkey) AS n FROM {_BY_NATION} n LEFT JOIN large USING (key) GROUP BY n.key")
+
+
+@query(_pages_sql(0.4 * 1024 * 1024 / 96, 50, "SELECT key, n_rows, key_ord, page FROM assigned"))
 def page_assignment_size(spark, sf_dir):
     """Pages of more than 0.4 MB are closed: rows of eleven eight-byte columns and a position."""
     return assign_pages(_order_counts(spark, sf_dir), PageLimits(max_mb=0.4, check_every=50), bytes_per_row=96)
@@ -174,22 +312,6 @@ def page_summary_rows(spark, sf_dir):
     return page_summary(page_assignment_rows(spark, sf_dir))
 
 
-@query(_pages_sql(5000, 100, "SELECT l_orderkey, l_linenumber, page FROM assigned JOIN lineitem ON key = lpad(l_orderkey::VARCHAR, 9, '0') WHERE page = 3"))
-def iterate_page_n(spark, sf_dir):
-    """The rows of one page."""
-    page = page_assignment_rows(spark, sf_dir).where("page = 3").select("key", "page")
-    rows = _read(spark, sf_dir, "lineitem").withColumn("key", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"))
-    return rows.join(page, "key").select("l_orderkey", "l_linenumber", "page")
-
-
-@query(f"SELECT {_KEY} AS key FROM orders ORDER BY 1 LIMIT 1 OFFSET 1234")
-def match_by_index(spark, sf_dir):
-    """The key at a position in key order."""
-    from folio.plans.library import position
-
-    return position(_header(spark, sf_dir), 1234)
-
-
 @query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
 def revision_date_range(spark, sf_dir):
     """Rows whose comment's day is in a half-open range."""
@@ -197,32 +319,46 @@ def revision_date_range(spark, sf_dir):
     return events.where(date_between(F.col("comment"), "2024-01-05", "2024-01-20")).select("event_id", "ts")
 
 
-@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, lpad(event_id::VARCHAR, 12, '0') DESC LIMIT 1")
 def latest_revision_row(spark, sf_dir):
     """The revision that was published last."""
-    return _read(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "ts").limit(1)
+    events = _read(spark, sf_dir, "events")
+    number = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    last = latest_revision(events.select(number.alias("revision_id"), F.col("ts").alias("created_at")))
+    return events.where(number == last).select("event_id", "ts")
 
 
 @query("SELECT p_brand, p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) = 1")
 def model_version_pick(spark, sf_dir):
-    """The first version of each model: one aggregation instead of a sort of each group."""
-    first = F.min_by(F.struct("p_partkey", "p_name"), "p_partkey").alias("v")
-    return _read(spark, sf_dir, "part").groupBy("p_brand").agg(first).select("p_brand", "v.p_partkey", "v.p_name")
+    """The first version of each model in a table of versions."""
+    return first_versions(_read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", "p_partkey")
+
+
+def _models(spark: SparkSession, sf_dir: str) -> Registry:
+    """A registry of lookups whose artifacts are made of the tables."""
+    root = new_path(spark, "models")
+    _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type").write.parquet(f"{root}/part.parquet")
+    regions = _read(spark, sf_dir, "region").where("r_regionkey != 2")
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("r_regionkey").cast("string"), "r_name")))
+    regions.agg(F.to_json(pairs).alias("value")).coalesce(1).write.text(f"{root}/regions.json")
+    return Registry(spark, {
+        "parts": [{"type": "dataframe", "bucket": root, "key": "part.parquet"}, {"type": "odd"}],
+        "regions": [{"type": "hashmap", "bucket": root, "key": "regions.json"}],
+    })
 
 
 @query("SELECT n_nationkey, n_name, r_name AS looked_up FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 2")
 def lookup_hashmap(spark, sf_dir):
-    """A value for each key, null where the map has none."""
-    pairs = _read(spark, sf_dir, "region").where("r_regionkey != 2").select(F.col("r_regionkey").cast("string").alias("k"), F.col("r_name").alias("looked_up"))
+    """A value for each key of a JSON map, null where it has none."""
     nation = _read(spark, sf_dir, "nation")
-    return nation.join(pairs, F.col("n_regionkey").cast("string") == F.col("k"), "left").select("n_nationkey", "n_name", "looked_up")
+    return _models(spark, sf_dir).get("regions").join(nation, F.col("n_regionkey"), "looked_up").select("n_nationkey", "n_name", "looked_up")
 
 
 @query("SELECT l_orderkey, l_linenumber, p_brand, p_type FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
 def lookup_dataframe(spark, sf_dir):
     """A lookup table's columns on every row; its size decides how it is joined."""
-    part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return _read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "p_brand", "p_type")
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return _models(spark, sf_dir).get("parts").join(rows, "l_partkey").select("l_orderkey", "l_linenumber", "p_brand", "p_type")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_brand IS NOT DISTINCT FROM 'Brand#2' AND p_size IS NOT DISTINCT FROM 11")
@@ -282,20 +418,31 @@ def message_translate(spark, sf_dir):
     return _read(spark, sf_dir, "events").select(F.col("event_id").alias("message_id"), content.isNotNull().alias("has_content"), F.try_variant_get(content, "$.k", "bigint").alias("k"))
 
 
-@query(f"""SELECT event_id AS message_id, CASE WHEN NOT coalesce(TRY_CAST(({_BODY}) AS JSON) IS NOT NULL AND ({_BODY}) <> 'null', false) THEN 'poison'
-  WHEN event_type = 'click' THEN 'forced_ack' WHEN value > 50 THEN 'ack' ELSE 'nack' END AS outcome FROM events""")
+@query(f"""SELECT event_id::VARCHAR AS message_id, CASE WHEN NOT coalesce(TRY_CAST(({_BODY}) AS JSON) IS NOT NULL AND ({_BODY}) <> 'null', false) THEN CASE WHEN event_type = 'view' THEN 'ack' ELSE 'poison' END
+  WHEN event_type = 'click' THEN 'forced_ack' WHEN event_type = 'view' THEN 'ack' WHEN value > 50 THEN 'ack' ELSE 'nack' END AS outcome FROM events""")
 def message_routing(spark, sf_dir):
-    """What becomes of each message: acknowledged, left, or poison."""
-    events = _read(spark, sf_dir, "events").withColumn("content", message_content(F.expr(_BODY)))
-    outcome = F.when(F.col("content").isNull(), "poison").when(F.col("event_type") == "click", "forced_ack").when(F.col("value") > 50, "ack").otherwise("nack")
-    return events.select(F.col("event_id").alias("message_id"), outcome.alias("outcome"))
+    """What becomes of each message that a handler gets: acknowledged, left, failed or poison."""
+    attributes = F.map_from_arrays(F.array(F.lit("type"), F.lit("value")), F.array("event_type", F.col("value").cast("string")))
+    events = _read(spark, sf_dir, "events")
+    messages = events.select(F.col("event_id").cast("string").alias("MessageId"), F.lit("h").alias("ReceiptHandle"), F.expr(_BODY).alias("Body"), attributes.alias("attributes"))
+
+    def handler(content, metadata):
+        given = dict(metadata["attributes"])
+        if given["type"] == "click":
+            raise ForceAcknowledge
+        if given["type"] == "view":
+            raise RuntimeError("no")
+        return float(given["value"]) > 50
+
+    def on_error(err, raw):
+        return dict(raw["attributes"])["type"] == "view"
+
+    return handled(json_translator(messages), handler, on_error).select(F.col("MessageId").alias("message_id"), "outcome")
 
 
 @query("SELECT sum(s) AS seconds, sum(s) / 60 AS minutes, sum(s) / 3600 AS hours, sum(s) / 86400 AS days FROM (SELECT (l_linenumber * 1.5)::DOUBLE AS s FROM lineitem)")
 def timing_totals(spark, sf_dir):
     """Seconds of all pages in four units."""
-    from folio.plans.manifest import total_timings
-
     pages = _read(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * F.lit(1.5)).cast("double").alias("seconds"))
     return total_timings(pages).select(*UNITS)
 
@@ -306,15 +453,13 @@ def key_building(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", key_column(F.lit("dataset"), F.lit(""), F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("key"))
 
 
-@query()
+@query(f"SELECT key FROM {_BY_NATION} n WHERE key = (SELECT max(key) FROM {_BY_NATION} m WHERE m.n_regionkey = 4)")
 def random_match(spark, sf_dir):
-    """A key of the header, each as likely as the others, by a seed."""
-    import random
-
-    header = _header(spark, sf_dir)
-    from folio.plans.library import position
-
-    return position(header, random.Random(7).randrange(header.count()))
+    """A key of a header dataset, each as likely as the others: of one with a single key, that one."""
+    library = _library(spark, sf_dir)
+    last = position(library.dataframe("header").where("n_regionkey = 4").orderBy(F.desc("key")).limit(1), 0).first()["key"]
+    library.create_subheader("one.2024-01-01,2025-01-01", F.col("key") == last)
+    return spark.createDataFrame([(library.random_object("one.2024-01-01,2025-01-01", seed=7).manifest["key"],)], "key string")
 
 
 FLAGSHIP = "data_dataset_build"

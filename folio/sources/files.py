@@ -66,6 +66,18 @@ class Files:
             return False
         return True
 
+    def list(self, path: str) -> list[str]:
+        """What is in a folder, in order of name."""
+        fs, p = self._at(path)
+        return sorted(str(x.getPath().toString()) for x in fs.listStatus(p))
+
+    def move(self, source: str, target: str) -> None:
+        """Moves a file to where there is none, within a file system."""
+        fs, p = self._at(target)
+        fs.mkdirs(p.getParent())
+        if not fs.rename(self._jvm.org.apache.hadoop.fs.Path(source), p):
+            raise OSError(f"{source} could not be moved to {target}")
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
