@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.llm.runtime import stored
+from folio.operators.paging import ranked_keys
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
@@ -31,21 +34,32 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """(``_null``, ``_source``, source_size, target) from a table with ``source_size`` by source.
 
-    Sources in order of code point, null last, take the weights in turn. With
-    sources in order of cap over weight, those below the water level are
-    clamped; the level is the greatest of what each prefix of clamped sources
-    would leave to the others, so that no iteration is needed. The windows hold
-    one row for each source.
+    Sources in order of code point, null last, take the weights in turn. What
+    is left of the share is dealt by weight, sources that this takes above
+    their cap are clamped, and so on until none is. Sources are ranked in
+    ranges and summed, so that no task has all of them; the sums are exact, so
+    that reruns agree.
     """
-    by_name, by_ratio = W.orderBy("_null", "_source"), W.orderBy("ratio", "_null", "_source")
-    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    name = F.concat(F.col("_null").cast("string"), F.lit(":"), "_source")  # false before true
+    turn = F.pmod(F.col("_turn"), F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int"))
-    ranked = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    ahead = F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
-    whole = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) * float(share) - before) / ahead
-    return ranked.withColumn("level", level).withColumn("target", F.least("cap", F.max("level").over(whole) * F.col("weight"))).select("_null", "_source", "source_size", "target")
+    ranked = ranked_keys(sizes.withColumn("_name", name), "_name", "_turn")
+    held = stored(ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_epochs)).drop("_name", "_turn"), "targets")
+
+    def exact(value: Column) -> Column:
+        return F.sum(value.cast("decimal(38,6)")).cast("double")
+
+    whole = held.agg(exact(F.col("source_size")).alias("size"), exact(F.col("weight")).alias("weight")).first()
+    level = (whole["size"] or 0.0) * float(share) / (whole["weight"] or 1.0)
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        row = held.agg(exact(F.when(over, F.col("cap"))).alias("clamped"), exact(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if not row["weight"]:  # all are clamped
+            break
+        before, level = level, ((whole["size"] or 0.0) * float(share) - (row["clamped"] or 0.0)) / row["weight"]
+        if level <= before:
+            break
+    return held.select("_null", "_source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix_sources(
@@ -80,7 +94,7 @@ def mix_sources(
     rows = rows.withColumn("_bucket", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
     source, cell = ["_null", "_source"], ["_null", "_source", "size"]
 
-    cells = rows.groupBy(*cell, "_bucket").agg(F.count("*").alias("n"))
+    cells = stored(rows.groupBy(*cell, "_bucket").agg(F.count("*").alias("n")), "cells")
     in_cell = F.coalesce(F.sum("n").over(W.partitionBy(*cell).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     classes = cells.groupBy(*cell).agg(F.sum("n").alias("n"))
     targets = source_targets(classes.groupBy(*source).agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, max_epochs)

@@ -244,9 +244,11 @@ def _count(table: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
     begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     shared = np.repeat(np.minimum.reduceat(g, begins) != np.maximum.reduceat(g, begins), np.diff(np.concatenate([begins, [len(t)]])))
     if len(np.unique(keys)) < len(keys):  # a row that several batches posted has each token once
-        again = np.lexsort((keys[o], t))
+        k = keys[o]
+        again = np.lexsort((o, k, t))
         twice = np.zeros(len(t), bool)
-        twice[again[1:]] = (t[again][1:] == t[again][:-1]) & (keys[o][again][1:] == keys[o][again][:-1])
+        # of one posting two tokens of the same 32 bits are two: the count can be too high, never too low
+        twice[again[1:]] = (t[again][1:] == t[again][:-1]) & (k[again][1:] == k[again][:-1]) & (o[again][1:] != o[again][:-1])
         shared &= ~twice
     count = np.bincount(o[shared], minlength=len(keys))
     has = np.flatnonzero((count > 0) & (groups != _NOBODY))
