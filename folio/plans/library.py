@@ -13,7 +13,7 @@ from folio.functions.keys import checked_instructions, warn_if_unusual_name
 from folio.operators.paging import PageLimits
 from folio.plans.builder import DatasetBuilder
 from folio.plans.manifest import Manifest
-from folio.plans.reader import DatasetReader, key_at
+from folio.plans.reader import DatasetReader
 from folio.sources.catalog import Catalog, ObjectReader
 
 Selector = Column | str | Callable[[DataFrame], Column]
@@ -86,7 +86,7 @@ class Library:
 
     def object_at(self, index: int = 0, header: str | None = None) -> ObjectReader:
         """The object at a position in key order of a header dataset."""
-        return self.object(key_at(self.dataframe(header or self.default_header), index))
+        return self.object(self.reader(header or self.default_header).key_at(index))
 
     def random_object(self, header: str | None = None, seed: int | None = None) -> ObjectReader:
         return self.object(self.reader(header or self.default_header).random_key(seed))

@@ -76,20 +76,12 @@ class DatasetReader:
             yield self.page(p["number"])
 
     def key_at(self, index: int) -> str:
-        """The key at a position in key order."""
-        return key_at(self.dataframe(), index)
+        """The key at a position in key order: a look-up by the position that is kept with the keys."""
+        row = self.keys().where(F.col("key_ord") == index).select("key").first()
+        if row is None:
+            raise IndexError(index)
+        return row["key"]
 
     def random_key(self, seed: int | None = None) -> str:
         """A key of the dataset, each as likely as the others."""
-        n = self.keys().count()
-        return key_at(self.keys(), random.Random(seed).randrange(n))
-
-
-def key_at(rows: DataFrame, index: int, key_col: str = "key") -> str:
-    """The key at a position in key order, counted from 0; only rows up to it are kept while sorting."""
-    if index < 0:
-        raise IndexError(index)
-    row = rows.select(key_col).orderBy(key_col).offset(index).limit(1).select(F.col(key_col)).first()
-    if row is None:
-        raise IndexError(index)
-    return row[0]
+        return self.key_at(random.Random(seed).randrange(sum(p["keyCount"] for p in self.manifest.pages)))

@@ -1,13 +1,14 @@
 """Revisions of published datasets: choosing them by date and exporting their assets.
 
 The catalog of revisions is a DataFrame (dataset_id, revision_id, comment,
-created_at) and that of assets another (revision_id, name, path); what fills
-them, a listing of a marketplace or of a folder, is the caller's.
+created_at) and that of assets another (revision_id, name, path). ``listed``
+fills them from a folder; a marketplace's listing is the caller's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 import warnings
 from collections.abc import Callable, Iterator, Mapping
@@ -53,6 +54,7 @@ def copy_file(source: str, target: str) -> bool:
     from pyarrow import fs
 
     def at(path: str) -> tuple:
+        path = re.sub(r"^file:/+", "/", path)  # as Spark writes local paths
         return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1)) if "://" in path else (fs.LocalFileSystem(), path)
 
     (held, a), (to, b) = at(source), at(target)
@@ -67,6 +69,21 @@ def copy_file(source: str, target: str) -> bool:
     return True
 
 
+def listed(spark: SparkSession, root: str, dataset_id: str) -> tuple[DataFrame, DataFrame]:
+    """(revisions, assets) of a dataset that is kept in a folder: each folder below is a revision, named by its comment.
+
+    A revision was created when its first file was; assets are named by their
+    path from the revision's folder on. Only the listing is read.
+    """
+    base = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path", "modificationTime")
+    tail = F.substring_index("path", f"{base.split('://', 1)[-1].lstrip('/')}/", -1)
+    known = files.select("path", F.col("modificationTime").alias("at"), F.substring_index(tail, "/", 1).alias("revision_id"), tail.alias("tail")).where(F.contains("tail", F.lit("/")))
+    revisions = known.groupBy("revision_id").agg(F.min("at").alias("created_at")).select(F.lit(dataset_id).alias("dataset_id"), "revision_id", F.col("revision_id").alias("comment"), "created_at")
+    name = F.substr("tail", F.length("revision_id") + 2)
+    return revisions, known.select("revision_id", name.alias("name"), "path")
+
+
 def revisions_between(revisions: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """The revisions whose comment's day is in [start, end)."""
     return revisions.where(date_between(F.col("comment"), start, end))

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 
 from folio.errors import FolioError, ForceAcknowledge
-from folio.sources.revisions import RevisionExporter, finished_job, latest_revision, revisions_between
+from folio.sources.revisions import RevisionExporter, finished_job, latest_revision, listed, revisions_between
 from folio.streaming.queue import MESSAGE, QueueConsumer, polled, queue_url
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
@@ -153,3 +153,14 @@ def test_export_jobs():
     for job, why in (({"Id": 7, "State": "ERROR", "Errors": [{"Message": "no room"}]}, "job 7 failed: no room"), ({"Id": 8, "State": "CANCELLED"}, "job 8 was cancelled"), ({"Id": 9, "State": "TIMED_OUT"}, "job 9 timed out")):
         with pytest.raises(FolioError, match=why):
             finished_job(lambda: job, 0)  # noqa: B023
+
+
+def test_revisions_of_a_folder(spark, tmp_path):
+    for day in ("2022-01-01T00", "2022-02-01T00"):
+        (tmp_path / "src" / day / "deep").mkdir(parents=True)
+        (tmp_path / "src" / day / "deep" / "a.bin").write_text(day)
+        (tmp_path / "src" / day / "b.bin").write_text("b")
+    revisions, assets = listed(spark, str(tmp_path / "src"), "d")
+    assert sorted((r["revision_id"], r["name"]) for r in assets.collect()) == [(d, n) for d in ("2022-01-01T00", "2022-02-01T00") for n in ("b.bin", "deep/a.bin")]
+    out = RevisionExporter(spark, revisions, assets, str(tmp_path / "out"))
+    assert out.export_between("2022-02") == 2 and (tmp_path / "out/deep/a.bin").read_text() == "2022-02-01T00"
