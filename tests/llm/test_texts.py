@@ -122,6 +122,34 @@ def test_disguises_around_a_plain_span_are_found_whole(text):
     assert pii.masked(around) == f"Say hello: [{kind}] ; bye"
 
 
+def disguises():
+    """(kind, disguised identifier) of many ways to hide one."""
+    rng = random.Random(5)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alike = {v: k for k, v in pii._LOOKALIKES.items() if v.isalpha()}
+    words = {v: k for k, v in pii._NUMBER.items()} | {"+": "plus"}
+    wide = lambda s: "".join(chr(0xFEE0 + ord(c)) if 0x21 <= ord(c) < 0x7F else c for c in s)
+    spelled = lambda s, gap: gap.join(words[c] for c in s if c in words)
+    for _ in range(40):
+        mail = f"{pick('bdfgjklmnq', 4)}ao.lee@{pick('bdfg', 5)}.co.uk"
+        card = next(c for c in iter(lambda: pick("0123456789", 16), "") if pii.luhn(c))
+        phone = f"+{rng.randrange(1, 99)} {pick('0123456789', 9)}"
+        address = ".".join(str(rng.randrange(256)) for _ in range(4))
+        yield from (("email", x) for x in (mail.replace("a", alike["a"], 1), mail.replace("o", alike["o"], 2), wide(mail), f"{mail[:2]}\u200b{mail[2:]}"))
+        yield from (("email", mail.replace("@", at).replace(".", dot)) for at, dot in ((" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"), (" AT ", " DOT "), (" {at} ", ".")))
+        yield from (("card", x) for x in (spelled(card, " "), spelled(card, ""), spelled(card, ", "), " ".join(words[c] if rng.random() < 0.5 else c for c in card[:-1]) + f" {words[card[-1]]}"))
+        yield from (("phone", x) for x in (spelled(phone, " "), wide(phone)))
+        yield from (("ip", x) for x in (address.replace(".", " dot "), "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in address)))
+
+
+def test_recall_of_disguised_identifiers():
+    cases = list(disguises())
+    for kind, hidden in cases:
+        text = f"please write to {hidden}; or never mind"
+        assert (16, 16 + len(hidden)) in pii.all_spans(text)[1][kind], text
+    assert len(cases) == 40 * 17
+
+
 @given(st.lists(st.lists(st.sampled_from(["plus ", "four", "nine", "6", "dot", "\u2026", "\u201d", " ", "-", "a", "(", "at", "@", ")", "\u0430", "\u017fix", "s\u0131x", "F\u0130ve", "\u2003", "\x1f", "\x85", "DOT", "<", "\u3000", "oh", "S"]), max_size=8).map("".join), max_size=5))
 def test_cues_are_those_of_the_trigger(texts):
     texts += ["plus fourninesixoneeightthreetwo", "four9six1", "a\u201ddot\u2026b"]
