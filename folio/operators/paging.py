@@ -94,14 +94,16 @@ def ranked_keys(rows: DataFrame, key_col: str = "key", name: str = "key_ord", ra
     return ranged.withColumn(name, offset + place - 1).drop("_range")
 
 
-def assign_pages(counts: DataFrame, limits: PageLimits, bytes_per_row: int = 8, key_col: str = "key", rows_col: str = "n_rows") -> DataFrame:
+def assign_pages(counts: DataFrame, limits: PageLimits, bytes_per_row: int = 8, key_col: str = "key", rows_col: str = "n_rows", ord_col: str | None = None) -> DataFrame:
     """(key, n_rows, key_ord, page) for one row a key, in order of key from page 0.
 
     Keys without rows count towards ``check_every`` as others do. The key that
-    passes a limit stays in the page it closes.
+    passes a limit stays in the page it closes. ``ord_col`` has the keys'
+    positions from 0 where they are known already.
     """
     limit, every = row_limit(limits, bytes_per_row), limits.check_every
-    ranked = ranked_keys(counts.select(F.col(key_col).cast("string").alias("key"), F.col(rows_col).cast("long").alias("n_rows")))
+    narrow = [F.col(key_col).cast("string").alias("key"), F.col(rows_col).cast("long").alias("n_rows")]
+    ranked = counts.select(*narrow, F.col(ord_col).cast("long").alias("key_ord")) if ord_col else ranked_keys(counts.select(*narrow))
     if not np.isfinite(limit):
         return ranked.withColumn("page", F.lit(0).cast("long"))
     ranked = ranked.withColumn("_block", F.floor(F.col("key_ord") / every))

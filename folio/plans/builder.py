@@ -89,13 +89,14 @@ class DatasetBuilder:
         while done < total:
             more = bool(self._chunk) and done + self._chunk < total
             mine = ordered.where(F.col("key_ord") >= done)
-            mine = (mine.where(F.col("key_ord") < done + self._chunk) if more else mine).select("key")
+            mine = (mine.where(F.col("key_ord") < done + self._chunk) if more else mine).select("key", (F.col("key_ord") - done).alias("key_ord"))
             begun, run = time.time(), f"run-{uuid4().hex}"
             staged_path = f"{self.root}/{join_key(folder, '_staging', run)}"
-            transform_in = self._channels(mine)
+            transform_in = self._channels(mine.select("key"))
             transform(transform_in).write.parquet(staged_path)
             staged = self._spark.read.parquet(staged_path)
-            paged = assign_pages(rows_per_key(mine, staged), self._limits, row_bytes(staged.schema))
+            counts = mine.join(rows_per_key(mine, staged), "key")
+            paged = assign_pages(counts, self._limits, row_bytes(staged.schema), ord_col="key_ord")
             paged_path = f"{staged_path}-pages"
             paged.write.parquet(paged_path)
             paged = self._spark.read.parquet(paged_path)
