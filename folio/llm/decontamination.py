@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import stored
+from folio.llm.runtime import bounded, stored
 
 SPAN = 9
 #: Positions that each mask reads. Wherever AGREE of 9 to WINDOW words agree, a window of these has one
@@ -127,4 +127,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """
     rows = stored(docs.withColumn("_folio_row", F.monotonically_increasing_id()), "rows")
     hit = benchmark_overlaps(rows, items, "_folio_row", text_col, item_col).select(F.col("doc_id").alias("_folio_row")).distinct()
-    return rows.join(hit, "_folio_row", "left_anti").drop("_folio_row")
+    return rows.join(bounded(stored(hit, "hit")), "_folio_row", "left_anti").drop("_folio_row")

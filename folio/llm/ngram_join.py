@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import component_labels
 from folio.llm.occurrence import THRESHOLD, DivideSkip, joined_clusters, possible_rows
-from folio.llm.runtime import discard, partitions, stored
+from folio.llm.runtime import bounded, discard, partitions, stored
 from folio.llm.words import mix, shingle_sets
 
 SHINGLE = 5
@@ -40,9 +40,6 @@ SLICE_ROWS = 2_500
 BLOCK_TOKENS = 500_000
 #: Tokens that are searched in one task; of more, the lists are searched one by one, and long lists part by part.
 UNIT_TOKENS = 500_000
-#: Keys of possible rows that are broadcast to the texts, about 50 MB of them; with more the texts are shuffled by key.
-BROADCAST_KEYS = 1_000_000
-
 _SETS = "digest binary, n long, tokens binary"
 _SETS_ARROW = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
 
@@ -263,7 +260,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # one row of each class that is possible
     chosen = classes.join(possible.withColumnRenamed("key", "head"), "head", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
     chosen = stored(chosen.select("key"), "chosen")
-    texts = keyed.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen, "key", "left_semi")
+    texts = keyed.join(bounded(chosen), "key", "left_semi")  # texts are not shuffled while the keys are few
     # equal sets have equal tokens: any of the rows stands for the class; its number is fixed as it is written
     made = texts.mapInArrow(lambda b: _as_sets(b, k), _SETS).where("n > 0").dropDuplicates(["digest"])
     sets = stored(made.withColumn("key", F.monotonically_increasing_id() + 1), "sets")
@@ -304,5 +301,7 @@ def least_of_component(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFra
     rows = stored(docs.withColumn("_folio_row", F.monotonically_increasing_id()), "rows")
     found = ngram_components(rows, id_col="_folio_row", **kw).select(F.col("doc_id").alias("_folio_row"), "component_id")
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_folio_row"))
-    least = found.join(rows.select("_folio_row", id_col), "_folio_row").groupBy("component_id").agg(F.min(order).alias("_least"))
-    return rows.join(least.select(F.col("_least._folio_row").alias("_folio_row")), "_folio_row", "left_semi").drop("_folio_row")
+    placed = stored(found.join(rows.select("_folio_row", id_col), "_folio_row").select("component_id", "_folio_row", order.alias("_order")), "placed")
+    least = placed.groupBy("component_id").agg(F.min("_order").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    others = placed.join(least, "component_id").where(F.col("_folio_row") != F.col("_least._folio_row")).select("_folio_row")
+    return rows.join(bounded(stored(others, "others")), "_folio_row", "left_anti").drop("_folio_row")

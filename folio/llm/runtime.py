@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folio.sources.scratch import discard, discard_all, scratch, shared_folder, stored
 
-__all__ = ["discard", "discard_all", "partitions", "scratch", "shared_folder", "stored", "table"]
+#: Long keys that are broadcast at most, about 50 MB of them.
+BROADCAST_KEYS = 1_000_000
+
+__all__ = ["bounded", "discard", "discard_all", "partitions", "scratch", "shared_folder", "stored", "table"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -17,3 +21,8 @@ def partitions(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by whatever file system its path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A ``stored`` table of long keys, to be broadcast if it is known to be small; else it is joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

@@ -67,7 +67,7 @@ def test_ngram_components_of_hot_groups(spark, monkeypatch):
     import folio.llm.ngram_join as join
 
     monkeypatch.setattr(join, "UNIT_TOKENS", 300)
-    monkeypatch.setattr(join, "BROADCAST_KEYS", 3)
+    monkeypatch.setattr("folio.llm.runtime.BROADCAST_KEYS", 3)
     monkeypatch.setattr(join, "BLOCK_TOKENS", 200)
     rows = near_copies(2)
     assert Counter(map(tuple, ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_components(rows)
