@@ -216,8 +216,9 @@ def joined_groups(sets: DataFrame, threshold: int = THRESHOLD, bound: int = UNIT
     gives a row for each group at most, whatever the number of links.
     """
     posts = stored(_prefixes(sets, threshold), "prefixes")
-    edges = posts.join(posts.groupBy("token").agg(F.min("group").alias("least")), "token")
-    met = component_labels(edges.select(F.col("group").alias("a"), F.col("least").alias("b")))
+    # written, so that the join has an exchange on either side and a token that very many sets have can be split
+    least = stored(posts.groupBy("token").agg(F.min("group").alias("least")), "least")
+    met = component_labels(posts.join(least, "token").select(F.col("group").alias("a"), F.col("least").alias("b")))
     placed = sets.join(met.select(F.col("node").alias("group"), F.col("label").alias("unit")), "group")
     large = stored(placed.groupBy("unit").agg(F.sum("n").alias("weight")).where(F.col("weight") > bound).select("unit"), "large")
     split = not large.isEmpty()
@@ -237,7 +238,7 @@ def joined_groups(sets: DataFrame, threshold: int = THRESHOLD, bound: int = UNIT
     # a search costs more than its bytes tell: as many tasks as there are partitions
     found = whole.repartition(partitions(sets.sparkSession), "unit").groupBy("unit").applyInArrow(run, "a long, b long")
     found = stored(found, "joined")
-    discard(posts, met, large)
+    discard(posts, least, met, large)
     if not split:  # each group was in one task, which knows all it is joined to
         return found.withColumnsRenamed({"a": "group", "b": "label"})
     return component_labels(found).withColumnRenamed("node", "group")

@@ -193,6 +193,53 @@ def test_network_on_held_out_rows(spark):
     assert ((got["predicted"] == got["quality"]).mean()) > 0.9 and got["score"].between(0, 1).all()
 
 
+def brute_score(net, text):
+    """The network byte by byte: filters over every second place of every chunk, greatest responses, mean by bytes."""
+    data = (text or "").encode()
+    chunks, at = [], 0
+    while True:
+        chunks.append(data[at : at + byte_cnn.CHUNK])
+        if at + byte_cnn.CHUNK >= len(data):
+            break
+        at += byte_cnn.CHUNK - byte_cnn.OVERLAP
+    total, size = np.zeros(byte_cnn.FILTERS), 0
+    for chunk in chunks:
+        padded = chunk + bytes(byte_cnn.CHUNK - len(chunk))
+        best = np.zeros(byte_cnn.FILTERS)
+        for p in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE):
+            patch = np.concatenate([net.embed[b] for b in padded[p : p + byte_cnn.WIDTH]]).astype(float)
+            best = np.maximum(best, patch @ net.filters + net.bias)
+        weight = max(1, len(chunk.replace(b"\0", b"")))
+        total, size = total + best * weight, size + weight
+    return 1 / (1 + math.exp(-(total / size @ net.out + net.shift)))
+
+
+def test_scores_equal_brute_force():
+    rng = random.Random(2)
+    good = [prose(rng, rng.randrange(5, 200)) for _ in range(40)]
+    net = byte_cnn.train([*good, *("#$% " + x.upper() for x in good)], [1] * 40 + [0] * 40, epochs=3)
+    texts = ["", None, "x", good[0], "#$% " + good[1].upper(), "é" * 400, "a" * 256, "b" * 257, "c" * 1000, "\0d" * 10]
+    assert byte_cnn.scores(net, pa.array(texts, pa.string())) == pytest.approx([brute_score(net, t) for t in texts], rel=1e-4)
+
+
+def test_gradient_of_the_network():
+    """The slope by every kind of parameter equals what small steps show."""
+    rng = np.random.default_rng(3)
+    net = byte_cnn.Network.fresh(rng)
+    params = {"embed": net.embed.astype(np.float64), "filters": net.filters.astype(np.float64), "bias": net.bias.astype(np.float64)}
+    chunks, back = rng.integers(1, 256, (3, byte_cnn.CHUNK)).astype(np.uint8), rng.normal(size=(3, byte_cnn.FILTERS))
+    loss = lambda: float((byte_cnn._Step(params, chunks).pooled.astype(np.float64) * back).sum())
+    grad = byte_cnn._Step(params, chunks).gradient(back)
+    code = int(chunks[0, 10])
+    for name, at in (("bias", (4,)), ("filters", (5, 7)), ("embed", (code, 2))):
+        params[name][at] += 1e-3
+        up = loss()
+        params[name][at] -= 2e-3
+        slope = (up - loss()) / 2e-3
+        params[name][at] += 1e-3
+        assert slope == pytest.approx(grad[name][at], rel=0.05, abs=0.02)
+
+
 def test_chunks_cover_every_byte():
     rng = np.random.default_rng(1)
     sizes = [0, 1, 255, 256, 257, 480, 481, 5000]
