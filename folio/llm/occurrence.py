@@ -194,9 +194,9 @@ def _split(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _post(sets: Sets, shards: int, buckets: int, threshold: int) -> Iterator[tuple[int, int, bytes]]:
     keys, groups, sizes, tokens = sets
-    owner = np.repeat(np.arange(len(keys)), sizes)
     order = np.argsort(tokens, kind="stable")
-    t, o = tokens[order], owner[order]
+    t, o = tokens[order], np.repeat(np.arange(len(keys), dtype=np.int32), sizes)[order]
+    del order
     g = groups[o]
     begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate([begins, [len(t)]]))
@@ -204,7 +204,8 @@ def _post(sets: Sets, shards: int, buckets: int, threshold: int) -> Iterator[tup
     here = np.repeat(several, lengths)
     local = np.bincount(o[here], minlength=len(keys))
     # a token that groups share within this batch is counted here, and goes on once, for nobody
-    t, o = np.concatenate([t[~here], t[begins[several]]]), np.concatenate([o[~here], np.full(several.sum(), len(keys))])
+    t, o = np.concatenate([t[~here], t[begins[several]]]), np.concatenate([o[~here], np.full(several.sum(), len(keys), np.int32)])
+    del g, here
     keys_, groups_ = np.concatenate([keys, [0]]), np.concatenate([groups, [_NOBODY]])
     same = bool((keys.view(np.uint64) == groups).all())  # each row is a group: one number tells both
     by, bounds = _split((t >> np.uint64(40)).astype(np.int64) % shards, shards)
@@ -237,20 +238,23 @@ def _count(table: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
     if not parts:
         return
     keys, groups, n, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
-    owner = np.repeat(np.arange(len(keys)), n)
+    parts.clear()
     order = np.argsort(tokens, kind="stable")
-    t, o = tokens[order], owner[order]
-    g = groups[o]
+    t, o = tokens[order], np.repeat(np.arange(len(keys), dtype=np.int32), n)[order]
+    del order, tokens
     begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    shared = np.repeat(np.minimum.reduceat(g, begins) != np.maximum.reduceat(g, begins), np.diff(np.concatenate([begins, [len(t)]])))
+    g = groups[o]
+    several = np.minimum.reduceat(g, begins) != np.maximum.reduceat(g, begins)
+    del g
+    shared = np.flatnonzero(np.repeat(several, np.diff(np.concatenate([begins, [len(t)]]))))
+    t, o = t[shared], o[shared]
     if len(np.unique(keys)) < len(keys):  # a row that several batches posted has each token once
+        again = np.lexsort((o, keys[o], t))
+        t, o = t[again], o[again]
         k = keys[o]
-        again = np.lexsort((o, k, t))
-        twice = np.zeros(len(t), bool)
         # of one posting two tokens of the same 32 bits are two: the count can be too high, never too low
-        twice[again[1:]] = (t[again][1:] == t[again][:-1]) & (k[again][1:] == k[again][:-1]) & (o[again][1:] != o[again][:-1])
-        shared &= ~twice
-    count = np.bincount(o[shared], minlength=len(keys))
+        o = o[np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (o[1:] == o[:-1])])] if len(o) else o
+    count = np.bincount(o, minlength=len(keys))
     has = np.flatnonzero((count > 0) & (groups != _NOBODY))
     keys, count = keys[has], count[has]
     by, bounds = _split((mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets)
