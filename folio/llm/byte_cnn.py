@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from folio.llm.runtime import small_batches
 from folio.llm.words import byte_blocks, texts_of
 
 CHUNK = 256
@@ -231,7 +232,7 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
                 s = scores(net, batch.column(batch.schema.get_field_index(text_col)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
-    docs = docs.drop("score")
+    docs = small_batches(docs).drop("score")
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 

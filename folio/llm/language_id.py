@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import stored
+from folio.llm.runtime import small_batches, stored
 from folio.llm.url_filters import url_host, url_path
 from folio.llm.words import byte_blocks, texts_of
 
@@ -123,7 +123,7 @@ def text_evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], html_co
             yield pa.RecordBatch.from_arrays([*rest, pa.array([declared_language(x) for x in html], pa.string()), logged], names=[*names, "declared", "text_log"])
 
     kept = [c for c in pages.columns if c not in (html_col, "declared", "text_log")]
-    rows = pages.select(*kept, F.col(html_col).cast("string").alias("_html"))
+    rows = small_batches(pages).select(*kept, F.col(html_col).cast("string").alias("_html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema)
     return rows.mapInArrow(run, f"{fields}, declared string, text_log array<double>")
 

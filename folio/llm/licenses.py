@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.runtime import small_batches
 from folio.llm.words import PUNCTUATION, Words, mix, windows, words
 
 SHINGLE = 3
@@ -185,5 +186,5 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_c
                 i, name, start, end, share = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(i, pa.int64())), pa.array(name), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "license", "start", "end", "containment"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, license string, start long, end long, containment double")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import component_labels
 from folio.llm.occurrence import THRESHOLD, DivideSkip, joined_clusters, possible_rows
-from folio.llm.runtime import bounded, discard, partitions, stored
+from folio.llm.runtime import bounded, discard, partitions, small_batches, stored
 from folio.llm.words import mix, shingle_sets
 
 SHINGLE = 5
@@ -57,7 +57,7 @@ def _heads(digests: list[bytes]) -> np.ndarray:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text): rows without an id share one key, which no step takes for an id."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("key"), F.col(text_col).cast("string").alias("text"))
 
 
 def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray, np.ndarray]]:
@@ -288,6 +288,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_label = labelled.groupBy("label").agg(F.min("least").alias("joined_id"))
     by_label = labelled.join(of_label, "label").select("digest", "joined_id", F.lit(True).alias("found"))
     by_class = least.join(by_label, "digest", "left").select("digest", F.when(F.col("found"), F.col("joined_id")).otherwise(F.col("least")).alias("component_id"))
+    by_class = stored(by_class, "components")  # so that Spark can split the rows of a hot class
     own = F.when(F.col("key") > -(1 << 62), F.col("key")).alias("doc_id")
     return classes.join(by_class, "digest", "left").select(own, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 

@@ -279,7 +279,7 @@ def _settle(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(uniq[start + gain >= 0], pa.int64())], names=["key"])
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held, weight = [], 0
     for row in rows:
         held.append(row)

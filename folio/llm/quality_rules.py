@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import stored
+from folio.llm.runtime import small_batches, stored
 from folio.llm.words import Words, mix, prefix_sums, span_hashes, windows, words
 
 BAD, ABSTAIN, GOOD = -1, 0, 1
@@ -154,7 +154,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if parts:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64)) for c in MEASURES]], names=["doc_id", *MEASURES])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in MEASURES))
 
 

@@ -10,7 +10,11 @@ from folio.sources.scratch import discard, discard_all, scratch, shared_folder,
 #: Long keys that are broadcast at most, about 50 MB of them.
 BROADCAST_KEYS = 1_000_000
 
-__all__ = ["bounded", "discard", "discard_all", "partitions", "scratch", "shared_folder", "stored", "table"]
+#: Bytes of the batches that texts go to Python in, where the session leaves them as they are by default.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+__all__ = ["bounded", "small_batches", "discard", "discard_all", "partitions", "scratch", "shared_folder", "stored", "table"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -26,3 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded(keys: DataFrame) -> DataFrame:
     """A ``stored`` table of long keys, to be broadcast if it is known to be small; else it is joined by a shuffle."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session sends smaller batches to Python from now on, unless a size was set."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
