@@ -35,9 +35,9 @@ from folio.llm.words import mix, shingle_sets
 
 SHINGLE = 5
 #: Rows whose tokens a task holds at once.
-SLICE_ROWS = 2_500
+SLICE_ROWS = 1_500
 #: Tokens of a block of the contraction, which bounds a task's memory.
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 250_000
 #: Tokens that are searched in one task; of more, the lists are searched one by one, and long lists part by part.
 UNIT_TOKENS = 500_000
 _SETS = "digest binary, n long, tokens binary"
