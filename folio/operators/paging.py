@@ -21,9 +21,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
+from folio.sources.scratch import stored
+
 MB = 1024 * 1024
-#: Ranges that keys are ranked in, and the keys that are sampled to cut them.
+#: Ranges that keys are ranked in at most, the keys of a range before there are more, and the keys that are sampled to cut them.
 RANGES = 256
+KEYS_PER_RANGE = 100_000
 SAMPLED = 20_000
 
 
@@ -79,9 +82,10 @@ def ranked_keys(rows: DataFrame, key_col: str = "key", name: str = "key_ord", ra
     """
     keys = rows.select(F.col(key_col).cast("string").alias("k"))
     n = keys.count()
+    ranges = min(ranges, max(1, n // KEYS_PER_RANGE))
     share = max(1, n // SAMPLED)
-    held = [r["k"] for r in keys.where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).orderBy("k").limit(4 * SAMPLED).collect()]
-    cuts = sorted({held[i * len(held) // ranges] for i in range(1, ranges)}) if len(held) >= ranges else []
+    held = [] if ranges == 1 else [r["k"] for r in keys.where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).orderBy("k").limit(4 * SAMPLED).collect()]
+    cuts = sorted({held[i * len(held) // ranges] for i in range(1, ranges)}) if len(held) >= ranges > 1 else []
     bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<string>")
     ranged = rows.withColumn("_range", F.size(F.filter(bounds, lambda c: c <= F.col(key_col).cast("string"))))
     counts = dict(ranged.groupBy("_range").count().collect())  # one for each range
@@ -103,7 +107,8 @@ def assign_pages(counts: DataFrame, limits: PageLimits, bytes_per_row: int = 8,
     """
     limit, every = row_limit(limits, bytes_per_row), limits.check_every
     narrow = [F.col(key_col).cast("string").alias("key"), F.col(rows_col).cast("long").alias("n_rows")]
-    ranked = counts.select(*narrow, F.col(ord_col).cast("long").alias("key_ord")) if ord_col else ranked_keys(counts.select(*narrow))
+    # written, as it is read once to count the keys, once for each range's size and once to be ranked
+    ranked = counts.select(*narrow, F.col(ord_col).cast("long").alias("key_ord")) if ord_col else ranked_keys(stored(counts.select(*narrow), "keys"))
     if not np.isfinite(limit):
         return ranked.withColumn("page", F.lit(0).cast("long"))
     ranked = ranked.withColumn("_block", F.floor(F.col("key_ord") / every))

@@ -56,6 +56,7 @@ def test_assign_pages(spark):
 @pytest.mark.parametrize("every", [1, 3, 100])
 def test_ranked_and_paged_in_ranges(spark, monkeypatch, every):
     monkeypatch.setattr("folio.operators.paging.SAMPLED", 50)
+    monkeypatch.setattr("folio.operators.paging.KEYS_PER_RANGE", 30)
     counts = [(f"{i * 7919 % 1000:04d}", i % 4) for i in range(1000)]
     rows = spark.createDataFrame(counts, "key string, n_rows long")
     assert [r["at"] for r in ranked_keys(rows, name="at", ranges=7).orderBy("key").collect()] == list(range(1000))
