@@ -38,7 +38,7 @@ SHINGLE = 5
 SLICE_ROWS = 1_500
 #: Tokens of a block of the contraction, which bounds a task's memory.
 BLOCK_TOKENS = 250_000
-#: Tokens that are searched in one task; of more, the lists are searched one by one, and long lists part by part.
+#: Tokens that are searched in one task; of more, the sets meet part by part.
 UNIT_TOKENS = 500_000
 _SETS = "digest binary, n long, tokens binary"
 _SETS_ARROW = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary())])
@@ -193,39 +193,51 @@ def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("all") - need + 1).select("token", "key", "group", "n")
 
 
-def _list_units(posts: DataFrame, bound: int) -> DataFrame:
-    """(unit, key): the sets of each list, those of a list of more than ``bound`` tokens by two of its parts each.
+def _parted_units(posts: DataFrame, large: DataFrame, bound: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(unit, key): the sets of large units, which meet in tasks of about ``bound`` tokens; and the stored tables that it reads.
 
-    Lists of the same sets are searched once: they are told by their number
-    and by sums of hashes of the sets.
+    ``posts`` and ``large`` are (unit, key, n, token) and (unit, weight). The sets
+    meet list by list, or all of a unit do, whichever reads fewer tokens: near
+    copies have many long lists of almost the same sets, a frequent token joins
+    sets with short ones. Of more than ``bound`` tokens each two parts meet.
+    Lists of the same sets are searched once: they are told by their number and
+    by sums of hashes of the sets.
     """
-    lists = posts.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "key"), 16)).alias("s"), F.sum("n").alias("weight"))
-    once = lists.groupBy("c", "x", "s").agg(F.min("token").alias("token"), F.first("weight").alias("weight"))
-    parted = posts.select("token", "key").join(once.select("token", F.ceil(2 * F.col("weight") / bound).cast("int").alias("parts")), "token")
-    parted = parted.withColumn("parts", F.when(F.col("parts") > 2, F.col("parts")).otherwise(1)).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    parts = F.ceil(2 * F.col("weight") / bound)
+    parts = F.when(parts > 2, parts).otherwise(1).cast("int").alias("parts")
+    lists = posts.groupBy("unit", "token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "key"), 16)).alias("s"), F.sum("n").alias("weight"))
+    once = lists.groupBy("unit", "c", "x", "s").agg(F.min("token").alias("token"), F.first("weight").alias("weight")).select("unit", "token", parts, "weight")
+    once = stored(once, "lists")
+    read = once.groupBy("unit").agg(F.sum(F.col("weight") * F.col("parts")).alias("by_list"))
+    plan = stored(large.select("unit", "weight", parts).join(read, "unit").select("unit", "parts", (F.col("by_list") < F.col("weight") * F.col("parts")).alias("listed")), "plan")
+    by_list = posts.select("token", "key").join(once.join(plan.where("listed").select("unit"), "unit", "left_semi").select("token", "parts"), "token")
+    whole = posts.select("unit", "key").distinct().join(plan.where("not listed").select("unit", "parts"), "unit")
+    met = by_list.unionByName(whole.withColumnRenamed("unit", "token")).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return parted.select("key", "token", "part", other).select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "key").distinct()
+    met = met.select("key", "token", "part", other).select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "key")
+    return met.distinct(), [once, plan]
 
 
 def joined_groups(sets: DataFrame, threshold: int = THRESHOLD, bound: int = UNIT_TOKENS) -> DataFrame:
     """(group, label): the groups that links between their sets join to others, with what they are joined to.
 
     Groups that reach each other by prefix tokens are searched in one task,
-    once. Where their sets have more than ``bound`` tokens, the sets of each
-    list meet by themselves, in a long list each two of its parts. A search
-    gives a row for each group at most, whatever the number of links.
+    once. Where their sets have more than ``bound`` tokens, they meet in parts
+    (``_parted_units``). A search gives a row for each group at most, whatever
+    the number of links.
     """
     posts = stored(_prefixes(sets, threshold), "prefixes")
     # written, so that the join has an exchange on either side and a token that very many sets have can be split
     least = stored(posts.groupBy("token").agg(F.min("group").alias("least")), "least")
     met = component_labels(posts.join(least, "token").select(F.col("group").alias("a"), F.col("least").alias("b")))
     placed = sets.join(met.select(F.col("node").alias("group"), F.col("label").alias("unit")), "group")
-    large = stored(placed.groupBy("unit").agg(F.sum("n").alias("weight")).where(F.col("weight") > bound).select("unit"), "large")
+    large = stored(placed.groupBy("unit").agg(F.sum("n").alias("weight")).where(F.col("weight") > bound), "large")
     split = not large.isEmpty()
-    whole = (placed.join(large, "unit", "left_anti") if split else placed).select("unit", "group", "n", "tokens")
+    whole, made = (placed.join(large, "unit", "left_anti") if split else placed).select("unit", "group", "n", "tokens"), []
     if split:
         parts = placed.join(large, "unit", "left_semi").select("key", "group", "n", "tokens")
-        units = _list_units(posts.join(parts.select("key"), "key", "left_semi"), bound)
+        of_unit = placed.join(large, "unit", "left_semi").select("unit", "key")
+        units, made = _parted_units(posts.select("token", "key", "n").join(of_unit, "key"), large, bound)
         whole = whole.unionByName(units.join(parts, "key").select("unit", "group", "n", "tokens"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -238,7 +250,7 @@ def joined_groups(sets: DataFrame, threshold: int = THRESHOLD, bound: int = UNIT
     # a search costs more than its bytes tell: as many tasks as there are partitions
     found = whole.repartition(partitions(sets.sparkSession), "unit").groupBy("unit").applyInArrow(run, "a long, b long")
     found = stored(found, "joined")
-    discard(posts, least, met, large)
+    discard(posts, least, met, large, *made)
     if not split:  # each group was in one task, which knows all it is joined to
         return found.withColumnsRenamed({"a": "group", "b": "label"})
     return component_labels(found).withColumnRenamed("node", "group")

@@ -26,6 +26,8 @@ from folio.llm.words import mix
 THRESHOLD = 75
 #: Weight of the binary probes in the choice of the number of long lists.
 PROBE_WEIGHT = 0.01
+#: How much larger the largest size of a class of sizes is than its least.
+SIZE_CLASS = 1.02
 
 
 def least_overlap(n: int, threshold: int = THRESHOLD) -> int:
@@ -130,15 +132,60 @@ class _Clusters:
         return a
 
 
+def partnered(cluster: np.ndarray, sizes: np.ndarray, owner: np.ndarray, names: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """Which sets may be linked with one of another cluster; ``owner`` and ``names`` are of the tokens that may be shared.
+
+    A set stays if some class of sizes has enough of its tokens in sets of other
+    clusters for a link with the least size of the class. As that is T for the
+    two sizes and not for the smallest partner, sets that are like others by
+    0.6 to 0.75 mostly go. What goes is no partner either, so the rest is
+    counted again while much goes.
+    """
+    starts = [1]
+    while starts[-1] <= sizes.max(initial=0):
+        starts.append(max(starts[-1] + 1, int(starts[-1] * SIZE_CLASS)))
+    starts = np.array(starts)
+    rank = np.searchsorted(starts, sizes, "right") - 1
+    order = np.argsort(rank[owner], kind="stable")
+    owner, names = owner[order], names[order]
+    smallest = -(-threshold * sizes // 100)
+    none = len(cluster) + int(cluster.max(initial=0))
+    lo, hi = np.full(names.max(initial=-1) + 1, none), np.full(names.max(initial=-1) + 1, -1)
+    stays = np.ones(len(sizes), bool)
+    while True:
+        bounds = np.searchsorted(rank[owner], np.arange(len(starts) + 1))
+        found = np.zeros(len(sizes), bool)
+        for k in np.unique(rank[owner]):
+            mine, of = names[bounds[k] : bounds[k + 1]], cluster[owner[bounds[k] : bounds[k + 1]]]
+            np.minimum.at(lo, mine, of)
+            np.maximum.at(hi, mine, of)
+            least, most = int(starts[k]), int(starts[k + 1]) - 1
+            a, b = np.searchsorted(starts, [-(-threshold * least // 100), 100 * most // threshold], "right") - 1
+            near = slice(bounds[a], bounds[min(b, len(starts) - 1) + 1])
+            t, o = names[near], owner[near]
+            other = (hi[t] >= 0) & ((lo[t] != hi[t]) | (lo[t] != cluster[o]))
+            size = np.maximum(least, smallest)
+            found |= (size <= np.minimum(most, 100 * sizes // threshold)) & ((100 + threshold) * np.bincount(o[other], minlength=len(sizes)) >= threshold * (sizes + size))
+            lo[mine], hi[mine] = none, -1
+        found &= stays
+        before, left = stays.sum(), found.sum()
+        stays = found
+        if 8 * (before - left) <= before or not left:
+            return stays
+        still = stays[owner]
+        owner, names = owner[still], names[still]
+
+
 def joined_clusters(cluster: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """The cluster (0 to n - 1) that each cluster belongs to once every link between sets has joined two of them.
 
     ``cluster`` and ``sizes`` are by set, ``tokens`` those of all sets in turn.
-    Only links between clusters that are still apart are looked for: first the
-    tokens of a set are counted over clusters, then DivideSkip searches the
-    lists of a cluster that has enough of them, up to the first link. Tokens
-    of a single cluster take no part, and once one cluster is left, all is
-    known. So a cluster of near copies costs no more than its rows.
+    Only links between clusters that are still apart are looked for, by sets
+    that are ``partnered``: first the tokens of a set are counted over clusters,
+    then DivideSkip searches the lists of a cluster that has enough of them, up
+    to the first link. Tokens of a single cluster take no part, and once one
+    cluster is left, all is known. So a cluster of near copies costs no more
+    than its rows.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -149,16 +196,18 @@ def joined_clusters(cluster: np.ndarray, sizes: np.ndarray, tokens: np.ndarray,
     named = np.empty(len(t), np.int64)
     named[order] = np.repeat(names, np.diff(np.concatenate([begins, [len(t)]])))
     need = -(-threshold * sizes // 100)
-    has = np.bincount(owner[named >= 0], minlength=len(sizes))
+    shared = named >= 0
+    stays = partnered(cluster, sizes, owner[shared], named[shared], threshold)
     ends = np.cumsum(sizes)
     held = _Clusters(cluster.tolist(), int(several.sum()))
+    held.alive = len(np.unique(cluster[stays]))
     # short ones first; a set that lacks the tokens is linked with no other cluster
     ranked = np.argsort(sizes, kind="stable")
     size_at = sizes[ranked].tolist()
     for at, i in enumerate(ranked.tolist()):
         if held.alive < 2:
             break
-        if has[i] < need[i] or not sizes[i]:
+        if not stays[i]:
             continue
         mine = named[ends[i] - sizes[i] : ends[i]]
         mine = mine[mine >= 0].tolist()
