@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import merge
 from itertools import chain
@@ -26,6 +25,8 @@ from folio.llm.words import mix
 THRESHOLD = 75
 #: Weight of the binary probes in the choice of the number of long lists.
 PROBE_WEIGHT = 0.01
+#: Entries of a long list that are counted in the time of one binary probe.
+PROBES = 20
 #: How much larger the largest size of a class of sizes is than its least.
 SIZE_CLASS = 1.02
 
@@ -96,40 +97,67 @@ class DivideSkip:
         return list(occurring(lists, least_overlap(len(tokens), self.threshold), len(tokens), self.sizes, self.threshold))
 
 
-class _Clusters:
-    """Inverted lists of sets, apart for each cluster; clusters that are joined have theirs joined."""
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from each begin on, one range after the other."""
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
 
-    def __init__(self, cluster: list[int], n_tokens: int) -> None:
-        self.parent = list(range(max(cluster, default=-1) + 1))
-        self.alive = len(set(cluster))
-        self.lists: list[dict[int, list[int]]] = [{} for _ in range(n_tokens)]
-        self.tokens: list[set[int]] = [set() for _ in self.parent]
-        self.only: list[int] = [-1] * len(self.parent)  # the set of a cluster that has one, -2 of more
 
-    def root(self, c: int) -> int:
-        while self.parent[c] != c:
-            self.parent[c] = c = self.parent[self.parent[c]]
-        return c
+class _Clusters:
+    """Inverted lists of sets that are numbered in order of size, as arrays; sets know their cluster, and joined clusters are one."""
+
+    def __init__(self, n_clusters: int, sizes: np.ndarray, owner: np.ndarray, names: np.ndarray, threshold: int) -> None:
+        self.of = np.arange(n_clusters)
+        self.cluster = np.zeros(len(sizes), np.int64)
+        self.sizes, self.threshold = sizes, threshold
+        order = np.argsort(names * len(sizes) + owner)
+        self.ids, self.codes = owner[order], (names * len(sizes) + owner)[order]
+        # a list holds the sets that were added, up to its top; a search begins at those large enough for a link
+        self.top = np.searchsorted(self.codes, np.arange(names.max(initial=-1) + 1) * len(sizes))
+        self.first = np.searchsorted(sizes, -(-threshold * sizes // 100))
+        self.begin = np.searchsorted(self.codes, names * len(sizes) + self.first[owner])
+        self.names, self.bounds = names, np.searchsorted(owner, np.arange(len(sizes) + 1))
+
+    def tokens(self, at: int) -> np.ndarray:
+        return self.names[self.bounds[at] : self.bounds[at + 1]]
+
+    def add(self, at: int, c: int, tokens: np.ndarray) -> None:
+        """Puts the next set, of cluster c, at the end of its tokens' lists."""
+        self.cluster[at] = c
+        self.top[tokens] += 1
+
+    def search(self, at: int, c: int) -> np.ndarray:
+        """DivideSkip, on arrays: the clusters but for that of c that hold a set before ``at`` which is linked with it.
+
+        The short lists are counted in one pass. What occurs in enough of them
+        is looked up in the long ones, or these are counted too where so many
+        sets are left that this reads less.
+        """
+        names, begin = self.tokens(at), self.begin[self.bounds[at] : self.bounds[at + 1]]
+        length = self.top[names] - begin
+        has = np.flatnonzero(length > 0)
+        need, lo = least_overlap(int(self.sizes[at]), self.threshold), int(self.first[at])
+        if len(has) < need:
+            return has[:0]
+        has = has[np.argsort(length[has], kind="stable")]
+        n_long = min(need - 1, int(need / (PROBE_WEIGHT * math.log2(int(length[has[-1]]) + 1) + 1)))
+        short, long = has[: len(has) - n_long], has[len(has) - n_long :]
+
+        def counted(of: np.ndarray) -> np.ndarray:
+            return np.bincount(self.ids[_ranges(begin[of], length[of])] - lo, minlength=at - lo)
+
+        lacks = -(-self.threshold * (self.sizes[lo:at] + self.sizes[at]) // (100 + self.threshold)) - counted(short)
+        left = np.flatnonzero((lacks <= n_long) & (self.of[self.cluster[lo:at]] != self.of[c]))
+        if len(left) and n_long:
+            if PROBES * len(left) * n_long < length[long].sum():
+                probes = (names[long] * len(self.sizes))[:, None] + (left + lo)
+                more = (self.codes[np.minimum(np.searchsorted(self.codes, probes), len(self.codes) - 1)] == probes).sum(0)
+            else:
+                more = counted(long)[left]
+            left = left[lacks[left] <= more]
+        return np.unique(self.of[self.cluster[left + lo]])
 
-    def add(self, at: int, c: int, tokens: list[int]) -> None:
-        for t in tokens:
-            self.lists[t].setdefault(c, []).append(at)
-        self.tokens[c].update(tokens)
-        self.only[c] = at if self.only[c] == -1 else -2
-
-    def join(self, a: int, b: int) -> int:
-        """Makes one cluster of two, moving the lists of the one that has fewer tokens."""
-        if len(self.tokens[a]) < len(self.tokens[b]):
-            a, b = b, a
-        for t in self.tokens[b]:
-            of = self.lists[t]
-            # both are ascending runs, which sorting merges in one pass
-            of[a] = sorted(of.get(a, []) + of.pop(b))
-        self.tokens[a] |= self.tokens[b]
-        self.tokens[b] = set()
-        self.parent[b], self.only[a] = a, -2
-        self.alive -= 1
-        return a
+    def join(self, other: int, c: int) -> None:
+        self.of[self.of == other] = self.of[c]
 
 
 def partnered(cluster: np.ndarray, sizes: np.ndarray, owner: np.ndarray, names: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
@@ -180,12 +208,10 @@ def joined_clusters(cluster: np.ndarray, sizes: np.ndarray, tokens: np.ndarray,
     """The cluster (0 to n - 1) that each cluster belongs to once every link between sets has joined two of them.
 
     ``cluster`` and ``sizes`` are by set, ``tokens`` those of all sets in turn.
+    DivideSkip searches the lists of the sets before each, in order of size.
     Only links between clusters that are still apart are looked for, by sets
-    that are ``partnered``: first the tokens of a set are counted over clusters,
-    then DivideSkip searches the lists of a cluster that has enough of them, up
-    to the first link. Tokens of a single cluster take no part, and once one
-    cluster is left, all is known. So a cluster of near copies costs no more
-    than its rows.
+    that are ``partnered``. Tokens of a single cluster take no part, and once
+    one cluster is left, all is known.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -195,35 +221,23 @@ def joined_clusters(cluster: np.ndarray, sizes: np.ndarray, tokens: np.ndarray,
     names = np.where(several, np.cumsum(several) - 1, -1)
     named = np.empty(len(t), np.int64)
     named[order] = np.repeat(names, np.diff(np.concatenate([begins, [len(t)]])))
-    need = -(-threshold * sizes // 100)
     shared = named >= 0
     stays = partnered(cluster, sizes, owner[shared], named[shared], threshold)
-    ends = np.cumsum(sizes)
-    held = _Clusters(cluster.tolist(), int(several.sum()))
-    held.alive = len(np.unique(cluster[stays]))
     # short ones first; a set that lacks the tokens is linked with no other cluster
-    ranked = np.argsort(sizes, kind="stable")
-    size_at = sizes[ranked].tolist()
-    for at, i in enumerate(ranked.tolist()):
-        if held.alive < 2:
+    ranked = np.flatnonzero(stays)
+    ranked = ranked[np.argsort(sizes[ranked], kind="stable")]
+    entries = _ranges((np.cumsum(sizes) - sizes)[ranked], sizes[ranked])
+    names, mine = named[entries], np.repeat(np.arange(len(ranked)), sizes[ranked])
+    held = _Clusters(int(cluster.max(initial=-1)) + 1, sizes[ranked], mine[names >= 0], names[names >= 0], threshold)
+    alive = len(np.unique(cluster[ranked]))
+    for at, own in enumerate(cluster[ranked].tolist()):
+        if alive < 2:
             break
-        if not stays[i]:
-            continue
-        mine = named[ends[i] - sizes[i] : ends[i]]
-        mine = mine[mine >= 0].tolist()
-        own = held.root(int(cluster[i]))
-        counts = Counter(chain.from_iterable(held.lists[t] for t in mine))
-        least, size = int(need[i]), size_at[at]
-        for other in [k for k, n in counts.items() if n >= least and k != own]:
-            if (one := held.only[other]) >= 0:  # its overlap is counted already
-                met = linked(counts[other], size, size_at[one], threshold)
-            else:
-                lists = [ids for t in mine if (ids := held.lists[t].get(other))]
-                met = next(occurring(lists, least, size, size_at, threshold), None) is not None
-            if met:
-                own = held.join(own, other)
-        held.add(at, own, mine)
-    return np.array([held.root(c) for c in range(len(held.parent))], np.int64)
+        for other in held.search(at, own).tolist():
+            held.join(other, own)
+            alive -= 1
+        held.add(at, own, held.tokens(at))
+    return held.of
 
 
 # One exchange for each step; a row holds many postings as packed arrays.
@@ -237,13 +251,13 @@ Sets = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def _split(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, bounds) that bring the entries of each part together."""
-    order = np.argsort(parts, kind="stable")
-    return order, np.searchsorted(parts[order], np.arange(n + 1))
+    order = np.argsort(parts.astype(np.uint16) if n <= 1 << 16 else parts, kind="stable")  # of 16 bits numpy's is a radix sort
+    return order, np.concatenate([[0], np.cumsum(np.bincount(parts, minlength=n))])
 
 
 def _post(sets: Sets, shards: int, buckets: int, threshold: int) -> Iterator[tuple[int, int, bytes]]:
     keys, groups, sizes, tokens = sets
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
     t, o = tokens[order], np.repeat(np.arange(len(keys), dtype=np.int32), sizes)[order]
     del order
     g = groups[o]
@@ -255,14 +269,17 @@ def _post(sets: Sets, shards: int, buckets: int, threshold: int) -> Iterator[tup
     # a token that groups share within this batch is counted here, and goes on once, for nobody
     t, o = np.concatenate([t[~here], t[begins[several]]]), np.concatenate([o[~here], np.full(several.sum(), len(keys), np.int32)])
     del g, here
+    order, _ = _split(o, len(keys) + 1)
+    t, o = t[order], o[order]
     keys_, groups_ = np.concatenate([keys, [0]]), np.concatenate([groups, [_NOBODY]])
     same = bool((keys.view(np.uint64) == groups).all())  # each row is a group: one number tells both
     by, bounds = _split((t >> np.uint64(40)).astype(np.int64) % shards, shards)
     for s in range(shards):
         mine = by[bounds[s] : bounds[s + 1]]
         if len(mine):
-            mine = mine[np.argsort(o[mine], kind="stable")]
-            who, n = np.unique(o[mine], return_counts=True)
+            row = o[mine]
+            at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            who, n = row[at], np.diff(np.concatenate([at, [len(row)]]))
             own = b"" if same else groups_[who].tobytes()
             yield s, -1, b"".join((np.int64(-len(who) if same else len(who)).tobytes(), keys_[who].tobytes(), own, n.astype(np.int32).tobytes(), t[mine].astype(np.uint32).tobytes()))
     by, bounds = _split((mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets)
@@ -288,7 +305,7 @@ def _count(table: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
         return
     keys, groups, n, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
     t, o = tokens[order], np.repeat(np.arange(len(keys), dtype=np.int32), n)[order]
     del order, tokens
     begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
