@@ -90,7 +90,7 @@ def mix_sources(
     docs = docs.drop("size", "source_size", "target", "copies")
     # the text too, so that rows without an id are dealt over the buckets
     digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.withColumns({"size": word_count(F.col(text_col)), "_digest": digest, "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
+    rows = docs.withColumns({"size": word_count(F.col(text_col)), "_digest": digest, "_has_text": F.col(text_col).isNotNull(), "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
     rows = rows.withColumn("_bucket", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int"))
     source, cell = ["_null", "_source"], ["_null", "_source", "size"]
 
@@ -117,7 +117,8 @@ def mix_sources(
     plan = cells.withColumn("_in_cell", in_cell).drop("n").join(plan, cell)
 
     keys = [*cell, "_bucket"]
-    order = W.partitionBy(*keys).orderBy("_digest", F.col(id_col), F.col(text_col))
+    # of rows of one id the digest tells all texts but null and empty ones: texts that the caller does not read are not shuffled
+    order = W.partitionBy(*keys).orderBy("_digest", F.col(id_col), "_has_text")
     placed = rows.join(plan, keys).withColumn("_rank", F.col("_above") + F.col("_in_cell") + F.row_number().over(order))
     extra = passed(F.col("_rank")) - passed(F.col("_rank") - 1)
     return placed.withColumn("copies", (F.col("_whole") + extra).cast("int")).select(*docs.columns, "size", "source_size", "target", "copies")

@@ -414,3 +414,15 @@ def test_stages_judge_rows_without_or_with_shared_ids(spark):
     docs = spark.createDataFrame([(None, passage), (None, "clean"), (1, passage), (1, "clean too")], "doc_id long, text string")
     clean = deco.decontaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
     assert sorted(r["text"] for r in clean) == ["clean", "clean too"]
+
+
+def test_mixing_does_not_shuffle_unread_texts(spark):
+    rows = [(i, "w " * (i % 5), "s") for i in range(60)] + [(9, None, "s"), (9, "", "s"), (9, "", "s"), (None, "w", None), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix_sources(docs)
+    plan = mix.select("doc_id", "size", "copies")._jdf.queryExecution().optimizedPlan().toString()
+    # above the projection that counts words and makes the digest nothing has the text's column
+    text = next(w for w in plan.replace(",", " ").replace("[", " ").replace("]", " ").split() if w.startswith("text#"))
+    assert all("md5" in x or "LogicalRDD" in x or "Relation" in x for x in plan.splitlines() if text in x)
+    whole, pruned = (Counter(map(tuple, x.select("doc_id", "size", "copies").collect())) for x in (mix.cache(), mixing.mix_sources(docs)))
+    assert whole == pruned and sum(whole.values()) == len(rows)
