@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from folio.llm.runtime import small_batches
+from folio.llm.runtime import giving_back, small_batches
 from folio.llm.words import byte_blocks, texts_of
 
 CHUNK = 256
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
     docs = small_batches(docs).drop("score")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(giving_back(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import component_labels
 from folio.llm.occurrence import THRESHOLD, DivideSkip, joined_clusters, possible_rows
-from folio.llm.runtime import bounded, discard, partitions, small_batches, stored
+from folio.llm.runtime import bounded, discard, giving_back, partitions, small_batches, stored
 from folio.llm.words import mix, shingle_sets
 
 SHINGLE = 5
@@ -92,7 +92,7 @@ def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for keys, digests, sizes, _ in _sets_of(batch, k):
                 yield pa.RecordBatch.from_arrays([keys, pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(_heads(digests))], names=["key", "n", "digest", "head"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "key long, n long, digest binary, head long")
+    return _keyed(docs, id_col, text_col).mapInArrow(giving_back(run), "key long, n long, digest binary, head long")
 
 
 def _stored_sets(whole: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
@@ -146,7 +146,7 @@ def contracted(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if held:
             yield block()
 
-    return sets.select("key", "tokens").mapInArrow(run, "key long, leader long")
+    return sets.select("key", "tokens").mapInArrow(giving_back(run), "key long, leader long")
 
 
 def _least_tokens(sets: DataFrame, seed: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _least_tokens(sets: DataFrame, seed: int) -> DataFrame:
             least = [int(mix(np.frombuffer(x, np.uint64) ^ salt).min().view(np.int64)) for x in batch["tokens"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["tokens"], pa.array(least, pa.int64())], names=["key", "tokens", "least"])
 
-    met = sets.select("key", "tokens").mapInArrow(run, "key long, tokens binary, least long")
+    met = sets.select("key", "tokens").mapInArrow(giving_back(run), "key long, tokens binary, least long")
     return met.repartition(partitions(sets.sparkSession), "least").sortWithinPartitions("least", "key")
 
 
@@ -173,7 +173,7 @@ def _postings(sets: DataFrame) -> DataFrame:
                 of = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(batch["n"], np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), *(batch[c].take(of) for c in ("key", "group", "n"))], names=["token", "key", "group", "n"])
 
-    return sets.mapInArrow(run, "token long, key long, group long, n long")
+    return sets.mapInArrow(giving_back(run), "token long, key long, group long, n long")
 
 
 def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
@@ -275,7 +275,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chosen = stored(chosen.select("key"), "chosen")
     texts = keyed.join(bounded(chosen), "key", "left_semi")  # texts are not shuffled while the keys are few
     # equal sets have equal tokens: any of the rows stands for the class; its number is fixed as it is written
-    made = texts.mapInArrow(lambda b: _as_sets(b, k), _SETS).where("n > 0").dropDuplicates(["digest"])
+    made = texts.mapInArrow(giving_back(lambda b: _as_sets(b, k)), _SETS).where("n > 0").dropDuplicates(["digest"])
     sets = stored(made.withColumn("key", F.monotonically_increasing_id() + 1), "sets")
     discard(possible, chosen)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folio.llm.runtime import partitions
+from folio.llm.runtime import giving_back, partitions
 from folio.llm.words import mix
 
 #: A row's similarity to a partner, in hundredths, from which they are linked.
@@ -384,6 +384,6 @@ def possible_rows(df: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Sets]
             yield _settle(pa.Table.from_batches(held))
 
     # placed by number, not by hash: a task has one shard, none has several
-    posted = df.mapInArrow(post, _POST_DDL).repartitionById(shards, "shard")
-    counted = posted.mapInArrow(count, _COUNT_DDL).repartitionById(buckets, "bucket")
-    return counted.mapInArrow(settle, "key long")
+    posted = df.mapInArrow(giving_back(post), _POST_DDL).repartitionById(shards, "shard")
+    counted = posted.mapInArrow(giving_back(count), _COUNT_DDL).repartitionById(buckets, "bucket")
+    return counted.mapInArrow(giving_back(settle), "key long")

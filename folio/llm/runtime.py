@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +15,10 @@ from folio.sources.scratch import discard, discard_all, scratch, shared_folder,
 BROADCAST_KEYS = 1_000_000
 
 #: Bytes of the batches that texts go to Python in, where the session leaves them as they are by default.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-__all__ = ["bounded", "small_batches", "discard", "discard_all", "partitions", "scratch", "shared_folder", "stored", "table"]
+__all__ = ["bounded", "discard", "discard_all", "giving_back", "partitions", "scratch", "shared_folder", "small_batches", "stored", "table"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -38,3 +42,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     if spark.conf.get(_BATCH) == _DEFAULT:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``: at its end the worker, which stays for later tasks, returns freed memory to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+    return whole

@@ -14,6 +14,7 @@ from folio.llm import decontamination as deco
 from folio.llm import mixing, sharding
 from folio.llm.ngram_join import least_of_component, ngram_components
 from folio.llm.occurrence import DivideSkip, joined_clusters, least_overlap, linked
+from folio.llm.runtime import giving_back, small_batches
 from folio.llm.url_filters import ENTRY_SCHEMA, judged, url_host, url_path, validity_intervals
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -426,3 +427,31 @@ def test_mixing_does_not_shuffle_unread_texts(spark):
     assert all("md5" in x or "LogicalRDD" in x or "Relation" in x for x in plan.splitlines() if text in x)
     whole, pruned = (Counter(map(tuple, x.select("doc_id", "size", "copies").collect())) for x in (mix.cache(), mixing.mix_sources(docs)))
     assert whole == pruned and sum(whole.values()) == len(rows)
+
+
+def test_workers_give_freed_memory_back():
+    def held_mb():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) / 1024
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            arrays = [np.ones(12_000) for _ in range(1_000)]  # below the size that is mapped by itself
+            pins.append(np.ones(12_000))  # what lies below it is not given back by itself
+            del arrays
+            yield batch
+
+    before = held_mb()
+    assert list(giving_back(run)(iter([1]))) == [1] and held_mb() < before + 45
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    docs = small_batches(spark.range(0, 40, 1, 1).select(F.col("id"), F.repeat(F.lit("text "), 100_000).alias("text")))
+
+    def run(batches):
+        yield from (b.from_arrays([[b.num_rows]], names=["n"]) for b in batches)
+
+    rows = [r["n"] for r in docs.mapInArrow(run, "n long").collect()]
+    assert sum(rows) == 40 and max(rows) <= 6
