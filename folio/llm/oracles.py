@@ -111,9 +111,21 @@ WHERE 5 * agreeing >= 4 * compared GROUP BY doc_id, item_id
 """
 
 
+def substring_sql() -> str:
+    return r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, r, i, array_to_string(w[i + 1 : i + 13], ' ') AS run FROM (SELECT doc_id, r, w, unnest(range(len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+least AS (SELECT run, min(doc_id) AS least FROM starts GROUP BY run),
+gone AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM starts JOIN least USING (run) WHERE least < coalesce(doc_id, 9223372036854775807::HUGEINT + 1)) GROUP BY r),
+kept AS (SELECT doc_id, w, CASE WHEN gone IS NULL THEN w ELSE [x FOR x, i IN w IF NOT list_contains(gone, i - 1)] END AS k FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 ORACLES = {
     "op2_sharding": sharding_sql(),
     "op6_source_mix": mixing_sql(),
     "op7_url_filter": url_filter_sql(),
     "op10_decontamination": decontamination_sql(),
+    "op11_substring_dedup": substring_sql(),
 }

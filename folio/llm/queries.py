@@ -16,6 +16,7 @@ from folio.llm.ngram_join import ngram_components
 from folio.llm.pii import pii_spans
 from folio.llm.quality_rules import quality_votes
 from folio.llm.runtime import table
+from folio.llm.substring_dedup import without_repeats
 from folio.llm.url_filters import ENTRY_SCHEMA, judged
 
 
@@ -97,10 +98,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deco.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 13 words that stand in an earlier one."""
+    kept = without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_pii, op5_language_id, op6_source_mix, op7_url_filter, op8_quality_classifier,
-        op9_license_scan, op10_decontamination,
+        op9_license_scan, op10_decontamination, op11_substring_dedup,
     )
 }
