@@ -122,10 +122,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(k))::BIGINT AS n_removed
 """
 
 
+def search_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents),
+n AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({words}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, whole GROUP BY term),
+scores AS (
+  SELECT item_id, r, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN weights USING (term) JOIN n USING (r), whole GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 ORACLES = {
     "op2_sharding": sharding_sql(),
     "op6_source_mix": mixing_sql(),
     "op7_url_filter": url_filter_sql(),
     "op10_decontamination": decontamination_sql(),
     "op11_substring_dedup": substring_sql(),
+    "op13_lexical_search": search_sql(),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folio.llm import byte_cnn, mixing, sharding
 from folio.llm import decontamination as deco
 from folio.llm.language_id import page_languages
+from folio.llm.lexical_search import ranked_documents
 from folio.llm.licenses import license_matches
 from folio.llm.ngram_join import ngram_components
 from folio.llm.pii import pii_spans
@@ -104,10 +105,15 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_pii, op5_language_id, op6_source_mix, op7_url_filter, op8_quality_classifier,
-        op9_license_scan, op10_decontamination, op11_substring_dedup,
+        op9_license_scan, op10_decontamination, op11_substring_dedup, op13_lexical_search,
     )
 }
