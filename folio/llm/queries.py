@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import byte_cnn, mixing, sharding
 from folio.llm import decontamination as deco
+from folio.llm.alignment import alignments
 from folio.llm.language_id import page_languages
 from folio.llm.lexical_search import ranked_documents
 from folio.llm.licenses import license_matches
@@ -19,6 +20,7 @@ from folio.llm.quality_rules import quality_votes
 from folio.llm.runtime import table
 from folio.llm.substring_dedup import without_repeats
 from folio.llm.url_filters import ENTRY_SCHEMA, judged
+from folio.llm.vocabularies import Shared
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +107,15 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Where the public vocabularies lie.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Groups and links of every document's tokens by two vocabularies."""
+    return alignments(table(spark, sf_dir, "documents"), Shared(spark, f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for every benchmark item."""
     return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -114,6 +125,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sharding, op3_quality_rules, op4_pii, op5_language_id, op6_source_mix, op7_url_filter, op8_quality_classifier,
-        op9_license_scan, op10_decontamination, op11_substring_dedup, op13_lexical_search,
+        op9_license_scan, op10_decontamination, op11_substring_dedup, op12_token_alignment, op13_lexical_search,
     )
 }
