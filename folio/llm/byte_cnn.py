@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from folio.llm.runtime import giving_back, small_batches
+from folio.llm.runtime import giving_back, numbered, small_batches
 from folio.llm.words import byte_blocks, texts_of
 
 CHUNK = 256
@@ -229,11 +229,13 @@ def scored(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = scores(net, batch.column(batch.schema.get_field_index(text_col)))
+                s = scores(net, batch.column(batch.schema.get_field_index(text)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
     docs = small_batches(docs).drop("score")
-    return docs.mapInArrow(giving_back(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    plain, known = numbered(docs)
+    text = known[text_col]
+    return plain.mapInArrow(giving_back(run), StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*docs.columns, "score")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import bounded, stored
+from folio.llm.runtime import bounded, numbered, stored
 
 SPAN = 9
 #: Positions that each mask reads. Wherever AGREE of 9 to WINDOW words agree, a window of these has one
@@ -83,7 +83,7 @@ def _best_run(bits: str) -> Column:
     return F.greatest(*[F.bit_count(F.col(bits).bitwiseAND(F.lit(((1 << WINDOW) - 1) << i))) for i in range(BESIDE + 1)])
 
 
-def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_seeds: int = BLOCK_SEEDS, item_text_col: str | None = None) -> DataFrame:
     """(doc_id, item_id, agreeing, compared) of every document that repeats a passage of an item.
 
     ``compared`` is the number of words compared, ``WINDOW`` or the item's
@@ -94,12 +94,13 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     empty table of documents or items gives no pairs. Very long texts are read
     whole, in time that grows with their length. Rows that share an id share
     their pairs; a null id is returned as such. Repeated items give one row,
-    and other columns are ignored.
+    and other columns are ignored; items' texts are
+    in ``item_text_col``, by default of the same name.
 
     Items are few: their seeds are counted and broadcast in blocks of bounded
     size, so that documents are never shuffled by words.
     """
-    held = items.select(F.col(item_col).alias("item_id"), token_hashes(F.col(text_col)).alias("_item")).where(F.size("_item") >= SPAN).distinct()
+    held = items.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col or text_col)).alias("_item")).where(F.size("_item") >= SPAN).distinct()
     n_seeds = held.agg(F.sum((F.size("_item") - SPAN + 1) * len(MASKS))).first()[0] or 0
     blocks = max(1, -(-n_seeds // block_seeds))
     rows = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("_doc"))
@@ -125,6 +126,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     Rows of null or empty texts are kept, repeated rows go or stay together,
     and an empty table stays empty.
     """
-    rows = stored(docs.withColumn("_folio_row", F.monotonically_increasing_id()), "rows")
-    hit = benchmark_overlaps(rows, items, "_folio_row", text_col, item_col).select(F.col("doc_id").alias("_folio_row")).distinct()
-    return rows.join(bounded(stored(hit, "hit")), "_folio_row", "left_anti").drop("_folio_row")
+    plain, known = numbered(docs)
+    rows = stored(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    hit = benchmark_overlaps(rows, items, "row", known[text_col], item_col, item_text_col=text_col).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(bounded(stored(hit, "hit")), "row", "left_anti").drop("row").toDF(*docs.columns)

@@ -114,8 +114,9 @@ def text_evidence(pages: DataFrame, model: tuple[list[str], np.ndarray], html_co
             html = [x or "" for x in batch["_html"].to_pylist()]
             evidence = []
             for bucket, doc, n in trigram_counts(texts_of(pa.array([visible_text(x) for x in html], pa.string()))):
-                total = np.stack([np.bincount(doc, weights=table[bucket, k], minlength=n) for k in range(max(1, len(langs)))], 1)
-                total *= PER_TRIGRAM
+                total = np.zeros((n, max(1, len(langs))))
+                for k in range(total.shape[1]):
+                    total[:, k] += np.bincount(doc, weights=table[bucket, k], minlength=n) * PER_TRIGRAM
                 evidence.append(total - total.max(axis=1, keepdims=True))
             rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_html"]
             names = [c for c in batch.schema.names if c != "_html"]
@@ -139,8 +140,8 @@ def fused(seen: DataFrame, langs: list[str], id_col: str = "page_id", url_col: s
 
     Everything that is counted comes from grouped sums over all rows: first by
     host, declaration and suffix, then from hosts to domains, top domains and
-    all. A row's own part is taken out of its host's, its declaration's and its
-    suffix's sums. The sums by host are written before rows are joined to them,
+    all. A row's own part is taken out of all of them, so that its text counts
+    once. The sums by host are written before rows are joined to them,
     so that Spark can split a hot host's rows over tasks.
     """
     size = range(max(1, len(langs)))
@@ -166,17 +167,10 @@ def fused(seen: DataFrame, langs: list[str], id_col: str = "page_id", url_col: s
     hosts = summed(rows, ["host"], own).withColumn("domain", domain).withColumn("top", F.element_at(F.split("host", r"\."), -1))
     domains = summed(hosts, ["domain", "top"], kept)
     tops = summed(domains, ["top"], kept)
-    everyone = summed(tops, [], kept)
-
-    def prior_from(wide: list[Column]) -> list[Column]:
-        return [(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + SMOOTHING * wide[k]) / (total(kept) + SMOOTHING) for k in size]
-
-    # one row for all pages, some for top domains: each prior starts from the wider group's
-    base = everyone.select(F.array(*[(F.coalesce(kept[k], F.lit(0.0)) + 1.0) / (F.coalesce(total(kept), F.lit(0.0)) + float(len(size))) for k in size]).alias("prior"))
-    whole = base.first()["prior"]
-    tops = tops.select("top", F.array(*prior_from([F.lit(float(x)) for x in whole])).alias("top_prior"))
-    domains = domains.join(tops, "top").select("domain", F.array(*prior_from([F.col("top_prior")[k] for k in size])).alias("domain_prior"))
-    hosts = stored(hosts.join(domains, "domain").select("host", F.array(*kept).alias("host_sums"), "domain_prior"), "hosts")
+    everyone = [float(x or 0.0) for x in summed(tops, [], kept).first()]
+    named = lambda df, name, *more: df.select(*more, F.array(*kept).alias(f"{name}_sums"))
+    domains = named(domains, "domain", "domain", "top").join(named(tops, "top", "top"), "top")
+    hosts = stored(named(hosts, "host", "host", "domain").join(domains, "domain").select("host", "host_sums", "domain_sums", "top_sums"), "hosts")
 
     def sums_of(name: str) -> DataFrame:
         return summed(rows, [name], own).select(name, F.array(*kept).alias(f"{name}_sums"))
@@ -185,15 +179,20 @@ def fused(seen: DataFrame, langs: list[str], id_col: str = "page_id", url_col: s
         """The sums without the row's own part."""
         return [F.greatest(F.col(f"{name}_sums")[k] - own[k], F.lit(0.0)) for k in size]
 
+    rest = [F.greatest(F.lit(x) - own[k], F.lit(0.0)) for k, x in enumerate(everyone)]
+    base = [(x + 1.0) / (total(rest) + float(len(size))) for x in rest]
+
     def likelihood(name: str) -> list[Column]:
         """log P(value | language), relative to P(value), with one page of the value spread over all languages."""
         rest = others(name)
-        shares = [(rest[k] + float(x)) / ((total(rest) + 1.0) * float(x)) for k, x in enumerate(whole)]
+        shares = [(rest[k] + base[k]) / ((total(rest) + 1.0) * base[k]) for k in size]
         return [F.when(F.col(name) == "", 0.0).otherwise(F.log(s)) for s in shares]
 
     joined = rows.join(hosts, "host").join(stored(sums_of("declared"), "declared"), "declared").join(stored(sums_of("suffix"), "suffix"), "suffix")
-    left, declared, suffix = others("host"), likelihood("declared"), likelihood("suffix")
-    prior = [(left[k] + SMOOTHING * F.col("domain_prior")[k]) / (total(left) + SMOOTHING) for k in size]
+    declared, suffix, prior = likelihood("declared"), likelihood("suffix"), base
+    for wider in ("top", "domain", "host"):  # each starts from the wider group's
+        left = others(wider)
+        prior = [(left[k] + SMOOTHING * prior[k]) / (total(left) + SMOOTHING) for k in size]
     logs = [F.col("text_log")[k] + F.log(prior[k]) + declared[k] + suffix[k] for k in size]
     posterior = joined.withColumn("_logs", F.array(*logs)).withColumn("_p", _shares(F.transform("_logs", lambda x: x - F.array_max("_logs"))))
     names = F.array(*[F.lit(x) for x in langs] or [F.lit(None).cast("string")])
@@ -211,7 +210,7 @@ def page_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", u
     probable the first by name is taken. Without documents the language is
     null, and an empty table of pages gives an empty result. Pages without a
     host share one. Repeated rows count as pages of their own. Very long pages
-    are read whole. Only the columns named are read.
+    are read whole. Only the columns named are read, whatever others are called.
     """
     model = learned(docs)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(html_col).alias("html"))

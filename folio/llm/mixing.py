@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import stored
+from folio.llm.runtime import numbered, stored
 from folio.operators.paging import ranked_keys
 
 WEIGHTS = (5, 2, 1)
@@ -84,10 +84,13 @@ def mix_sources(
     Null and empty texts have size 0, very long ones are counted whole, null
     sources are a source, null ids are hashed as empty ones. Rows that repeat
     are rows of their own, and an empty table gives an empty result. Columns of
-    the names above are replaced; names starting with an underscore are
-    reserved, any others may be there.
+    the names above are replaced; any others, of whatever name, are returned as
+    they are.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
+    names = docs.columns
+    docs, known = numbered(docs)
+    id_col, text_col, source_col = known[id_col], known[text_col], known[source_col]
     # the text too, so that rows without an id are dealt over the buckets
     digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.withColumns({"size": word_count(F.col(text_col)), "_digest": digest, "_has_text": F.col(text_col).isNotNull(), "_null": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
@@ -121,10 +124,11 @@ def mix_sources(
     order = W.partitionBy(*keys).orderBy("_digest", F.col(id_col), "_has_text")
     placed = rows.join(plan, keys).withColumn("_rank", F.col("_above") + F.col("_in_cell") + F.row_number().over(order))
     extra = passed(F.col("_rank")) - passed(F.col("_rank") - 1)
-    return placed.withColumn("copies", (F.col("_whole") + extra).cast("int")).select(*docs.columns, "size", "source_size", "target", "copies")
+    return placed.withColumn("copies", (F.col("_whole") + extra).cast("int")).select(*docs.columns, "size", "source_size", "target", "copies").toDF(*names, "size", "source_size", "target", "copies")
 
 
-def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
-    taken = mix_sources(docs, **kw).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns as they are."""
+    plain, known = numbered(docs)
+    taken = mix_sources(plain, known[id_col], known[text_col], known[source_col], **kw).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*plain.columns).toDF(*docs.columns)

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import component_labels
 from folio.llm.occurrence import THRESHOLD, DivideSkip, joined_clusters, possible_rows
-from folio.llm.runtime import bounded, discard, giving_back, partitions, small_batches, stored
+from folio.llm.runtime import bounded, column, discard, giving_back, numbered, partitions, small_batches, stored
+from folio.llm.spans import whole_number
 from folio.llm.words import mix, shingle_sets
 
 SHINGLE = 5
@@ -56,8 +57,9 @@ def _heads(digests: list[bytes]) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text): rows without an id share one key, which no step takes for an id."""
-    return small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("key"), F.col(text_col).cast("string").alias("text"))
+    """(key, known, text): rows without an id have the key 0, and are not known."""
+    id_ = whole_number(docs, id_col)
+    return small_batches(docs).select(F.coalesce(id_, F.lit(0).cast("long")).alias("key"), id_.isNotNull().alias("known"), column(text_col).cast("string").alias("text"))
 
 
 def _sets_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray, np.ndarray]]:
@@ -85,14 +87,17 @@ def _text_sets(k: int):
 
 
 def document_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(key, n, digest, head) of every row: its set's size, a digest that equal sets share, and the digest's first 64 bits."""
+    """(key, known, n, digest, head) of every row: whether it has an id, its set's size, a digest that equal sets share, and the digest's first 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for keys, digests, sizes, _ in _sets_of(batch, k):
-                yield pa.RecordBatch.from_arrays([keys, pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(_heads(digests))], names=["key", "n", "digest", "head"])
+                known = batch["known"].slice(at, len(keys))
+                at += len(keys)
+                yield pa.RecordBatch.from_arrays([keys, known, pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(_heads(digests))], names=["key", "known", "n", "digest", "head"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(giving_back(run), "key long, n long, digest binary, head long")
+    return _keyed(docs, id_col, text_col).mapInArrow(giving_back(run), "key long, known boolean, n long, digest binary, head long")
 
 
 def _stored_sets(whole: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
@@ -263,11 +268,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     included. Rows of the same set share it. Null and empty texts have no
     shingles and are linked with nothing: their component is their own id, and
     a null id without a partner keeps a null component. A null id is never a
-    component's least id. Repeated rows are returned as often as given, very
+    component's least id; ids are of an integer type, any of its values, else a
+    TypeError is raised. Repeated rows are returned as often as given, very
     long texts are read whole, an empty table gives an empty result, and other
     columns are ignored.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col).select("key", "text")
     classes = stored(document_classes(docs, id_col, text_col, k), "classes")
     possible = stored(possible_rows(keyed, _text_sets(k), threshold), "possible")
     # one row of each class that is possible
@@ -295,27 +301,29 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     label = label.join(leader, "key").join(joined.withColumnRenamed("group", "leader"), "leader", "left").select("digest", F.coalesce("label", "leader").alias("label"))
 
     # a hot class is added up before it is dealt out; one that is linked with no other has its own least id
-    least = classes.where("n > 0").groupBy("digest").agg(F.min(F.when(F.col("key") > -(1 << 62), F.col("key"))).alias("least"))
+    least = classes.where("n > 0").groupBy("digest").agg(F.min(F.when(F.col("known"), F.col("key"))).alias("least"))
     labelled = least.join(label, "digest")
     of_label = labelled.groupBy("label").agg(F.min("least").alias("joined_id"))
     by_label = labelled.join(of_label, "label").select("digest", "joined_id", F.lit(True).alias("found"))
     by_class = least.join(by_label, "digest", "left").select("digest", F.when(F.col("found"), F.col("joined_id")).otherwise(F.col("least")).alias("component_id"))
     by_class = stored(by_class, "components")  # so that Spark can split the rows of a hot class
-    own = F.when(F.col("key") > -(1 << 62), F.col("key")).alias("doc_id")
+    own = F.when(F.col("known"), F.col("key")).alias("doc_id")
     return classes.join(by_class, "digest", "left").select(own, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 
 
-def least_of_component(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def least_of_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One row of each component of ``docs``: of each group of near copies that with the least id.
 
     Rows are judged by themselves, whatever ids they share. A row with a null
     id is kept only if no row with an id is in its component; rows whose set is
     empty are all kept.
     """
-    rows = stored(docs.withColumn("_folio_row", F.monotonically_increasing_id()), "rows")
-    found = ngram_components(rows, id_col="_folio_row", **kw).select(F.col("doc_id").alias("_folio_row"), "component_id")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_folio_row"))
-    placed = stored(found.join(rows.select("_folio_row", id_col), "_folio_row").select("component_id", "_folio_row", order.alias("_order")), "placed")
+    plain, known = numbered(docs)
+    own = known[id_col]
+    rows = stored(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = ngram_components(rows, id_col="row", text_col=known[text_col], **kw).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col(own).isNull(), F.col(own), F.col("row"))
+    placed = stored(found.join(rows.select("row", own), "row").select("component_id", "row", order.alias("_order")), "placed")
     least = placed.groupBy("component_id").agg(F.min("_order").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
-    others = placed.join(least, "component_id").where(F.col("_folio_row") != F.col("_least._folio_row")).select("_folio_row")
-    return rows.join(bounded(stored(others, "others")), "_folio_row", "left_anti").drop("_folio_row")
+    others = placed.join(least, "component_id").where(F.col("row") != F.col("_least.row")).select("row")
+    return rows.join(bounded(stored(others, "others")), "row", "left_anti").drop("row").toDF(*docs.columns)

@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.sources.scratch import discard, discard_all, scratch, shared_folder, stored
@@ -18,7 +18,7 @@ BROADCAST_KEYS = 1_000_000
 BATCH_BYTES = 2 << 20
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-__all__ = ["bounded", "discard", "discard_all", "giving_back", "partitions", "scratch", "shared_folder", "small_batches", "stored", "table"]
+__all__ = ["bounded", "column", "numbered", "discard", "discard_all", "giving_back", "partitions", "scratch", "shared_folder", "small_batches", "stored", "table"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named c0, c1 and so on, which clash with no name that an operator makes, and the new names by the old ones."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def bounded(keys: DataFrame) -> DataFrame:
     """A ``stored`` table of long keys, to be broadcast if it is known to be small; else it is joined by a shuffle."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.runtime import column
+
 #: The production table: shards and slots, a prime of about 100 slots a shard.
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
 TABLE_SIZE = 1609
@@ -65,7 +67,7 @@ def with_shard(df: DataFrame, key: Column, shards: Sequence[str] = SHARDS, size:
     slots = spark.range(1).select(F.posexplode(owner).alias("slot", "k")).select("slot", F.element_at(names, F.col("k") + 1).alias("shard"))
     placed = df.drop("slot", "shard").withColumn("slot", F.pmod(hash_column(F.coalesce(key.cast("string"), F.lit(""))), F.lit(size)).cast("int"))
     # left: every slot has a shard, and so the scan's rows are never shuffled
-    columns = [c for c in placed.columns if c != "slot"]
+    columns = [column(c) for c in placed.columns if c != "slot"]
     return placed.join(F.broadcast(slots), "slot", "left").select(*columns, "slot", "shard")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from folio.llm.runtime import giving_back
+from folio.llm.runtime import column, giving_back
 from folio.llm.words import Words, mix, prefix_sums, span_hashes, words
 
 #: Words of more bytes are hashed one by one.
@@ -68,12 +68,12 @@ def whole_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
         raise TypeError(f"{name} must be of an integer type, not {kind.simpleString()}")
-    return F.col(f"`{name}`").cast("long")
+    return column(name).cast("long")
 
 
 def by_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, id, text): rows of the same id and text share a key, which a task that runs again gives them again."""
-    id_, text = whole_number(docs, id_col), F.col(f"`{text_col}`").cast("string")
+    id_, text = whole_number(docs, id_col), column(text_col).cast("string")
     return docs.select(F.xxhash64(id_.isNull(), id_, text).alias("key"), id_.alias("id"), text.alias("text"))
 
 

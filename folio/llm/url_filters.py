@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import stored
+from folio.llm.runtime import column, stored
 
 ENTRY_SCHEMA = "list string, effect string, pattern string, action string, at timestamp"
 
@@ -84,4 +84,4 @@ def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     seen = captures.join(rules, F.col("host") == F.col("_folio_host"), "left").withColumn("_folio_best", best)
     kept = ~F.coalesce(F.col("_folio_best.blocks"), F.lit(False))
     found = [F.col("_folio_best.list").alias("matched_list"), F.col("_folio_best.pattern").alias("matched_pattern"), kept.alias("kept")]
-    return seen.select(*[f"`{c}`" for c in captures.columns], *found)
+    return seen.select(*[column(c) for c in captures.columns], *found)

@@ -318,14 +318,14 @@ def brute_languages(rows, langs, smoothing):
     domain = lambda h: ".".join(h.split(".")[-2:])
     top = lambda h: h.split(".")[-1]
     total = lambda keep: [sum(s[k] for r, s in zip(rows, shares, strict=True) if keep(r)) for k in size]
-    everyone = total(lambda r: True)
-    base = [(x + 1) / (sum(everyone) + len(langs)) for x in everyone]
     smooth = lambda sums, wide: [(x + smoothing * w) / (sum(sums) + smoothing) for x, w in zip(sums, wide, strict=True)]
     out = []
     for i, (_, host, declared, suffix, log) in enumerate(rows):
         mine = lambda sums: [max(x - y, 0) for x, y in zip(sums, shares[i], strict=True)]  # noqa: E731, B023
-        tops = smooth(total(lambda r: top(r[1]) == top(host)), base)  # noqa: B023
-        domains = smooth(total(lambda r: domain(r[1]) == domain(host)), tops)  # noqa: B023
+        everyone = mine(total(lambda r: True))
+        base = [(x + 1) / (sum(everyone) + len(langs)) for x in everyone]
+        tops = smooth(mine(total(lambda r: top(r[1]) == top(host))), base)  # noqa: B023
+        domains = smooth(mine(total(lambda r: domain(r[1]) == domain(host))), tops)  # noqa: B023
         prior = smooth(mine(total(lambda r: r[1] == host)), domains)  # noqa: B023
         score = [x + math.log(p) for x, p in zip(log, prior, strict=True)]
         for value, at in ((declared, 2), (suffix, 3)):
@@ -364,6 +364,14 @@ def test_text_evidence_equals_brute_force(spark):
         assert [round(s - max(sums), 3) for s in sums] == [round(v, 3) for v in log]
 
 
+@pytest.mark.parametrize("html", [None, "", "ab", "<p></p>", "x" * 3_000_000])
+def test_language_of_a_single_odd_page(spark, html):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der Hund lief", "de")], "doc_id long, text string, lang string")
+    for url in (None, "", "http://a.net/"):
+        found = language_id.page_languages(spark.createDataFrame([(1, url, html, 5, 6)], "page_id long, url string, html string, `own` long, `a.b` long"), docs).collect()
+        assert len(found) == 1 and found[0]["lang"] in ("de", "en")
+
+
 def test_votes_equal_brute_force():
     """Expectation-maximisation row by row instead of by pattern."""
     rng = random.Random(8)
