@@ -9,6 +9,7 @@ once for a batch and remembered for the next ones.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import SparkSession
 from folio.llm.words import byte_blocks
 
 #: Chunks that a task remembers at most; more only start the memory anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: How byte-level vocabularies part texts before they merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these, libraries may know other characters as letters, so that the vocabulary's own one is asked.
@@ -80,6 +81,8 @@ def byte_level(file: bytes) -> Encoder:
     fast = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(chunks: list[str]) -> list[list[int]]:
+        if _COMMON.search("".join(chunks)) is None:
+            return [fast.encode_ordinary(c) for c in chunks]
         out = [fast.encode_ordinary(c) if _COMMON.search(c) is None else None for c in chunks]
         odd = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(odd, slowly([chunks[i] for i in odd]) if odd else [], strict=True):
@@ -136,22 +139,57 @@ def _chunk_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Chunks' ids of both encoders, or None if joined tokens are other bytes than the chunk."""
+    """Chunks that were encoded, by number: their ids of both encoders, and whether joined tokens are the chunk's bytes."""
 
     def __init__(self, a: Encoder, b: Encoder):
-        self.both, self.known = (a, b), {}
-
-    def of(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        fresh = [c for c in chunks if c not in self.known]
+        self.both = (a, b)
+        self.texts = [(np.frombuffer(b"".join(t or b"" for t in e.tokens), np.uint8), np.cumsum(e.widths) - e.widths) for e in self.both]
+        self._start()
+
+    def _start(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.right = np.zeros(0, bool)
+
+    def of(self, chunks: pa.Array) -> np.ndarray:
+        """The numbers of distinct chunks."""
+        texts = chunks.to_pylist()
+        found = np.array([self.known.get(c, -1) for c in texts], np.int64)
+        fresh = np.flatnonzero(found < 0)
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = chunks
-        found = [e.encode(fresh) for e in self.both]
-        for c, *ids in zip(fresh, *found, strict=True):
-            raw = c.encode()
-            right = all(b"".join([e.tokens[i] or b"" for i in x]) == raw for e, x in zip(self.both, ids, strict=True))
-            self.known[c] = tuple(np.array(x, np.uint32).tobytes() for x in ids) if right else None
-        return [self.known[c] for c in chunks]
+            self._start()
+            fresh = np.arange(len(texts))
+        if len(fresh):
+            found[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self._learn(chunks.take(pa.array(fresh)), [texts[i] for i in fresh.tolist()])
+        return found
+
+    def _learn(self, chunks: pa.Array, texts: list[str]) -> None:
+        _, offsets, data = chunks.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        right = np.ones(len(texts), bool)
+        for side, e in enumerate(self.both):
+            lists = e.encode(texts)
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(size.sum()))
+            widths, ends = e.widths[ids], np.cumsum(size)
+            total = np.concatenate([[0], np.cumsum(widths)])
+            same = total[ends] - total[ends - size] == np.diff(bounds)
+            right &= same
+            if same.all():  # byte by byte, which is all but the rarest texts
+                text, at = self.texts[side]
+                joined = text[np.arange(total[-1]) + np.repeat(at[ids] - total[:-1], widths)]
+                right[np.searchsorted(bounds - bounds[0], np.flatnonzero(joined != raw), "right") - 1] = False
+            else:
+                for i in np.flatnonzero(same).tolist():
+                    right[i] &= b"".join(e.tokens[t] or b"" for t in lists[i]) == texts[i].encode()
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+            self.ends[side] = np.concatenate([self.ends[side], ends + self.ends[side][-1]])
+        self.right = np.concatenate([self.right, right])
+        for c in texts:
+            self.known[c] = len(self.known)
 
 
 def encoded(column: pa.Array, memory: Memory) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]], np.ndarray]]:
@@ -168,19 +206,15 @@ def encoded(column: pa.Array, memory: Memory) -> Iterator[tuple[int, list[tuple[
         texts = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
         coded = texts.dictionary_encode()
         which = np.asarray(coded.indices)
-        known = memory.of(coded.dictionary.to_pylist())
+        which = memory.of(coded.dictionary)[which]
         doc = np.searchsorted(bounds, starts, "right") - 1
-        wrong = np.array([k is None for k in known], bool)[which]
-        has = (sizes > 0) & (np.bincount(doc[wrong], minlength=n) == 0)
+        has = (sizes > 0) & (np.bincount(doc[~memory.right[which]], minlength=n) == 0)
         which, doc = which[has[doc]], doc[has[doc]]
         sides = []
-        for side in range(2):
-            parts = [k[side] if k else b"" for k in known]
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            ids, at = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(lengths) - lengths
-            size = lengths[which]
+        for ids, stops in zip(memory.ids, memory.ends, strict=True):
+            at, size = stops[which], stops[which + 1] - stops[which]
             ends = np.cumsum(size)
-            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - size), size)
+            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - size), size)
             per_doc = np.bincount(doc, weights=size, minlength=n).astype(np.int64)
             sides.append((ids[take], np.concatenate([[0], np.cumsum(per_doc)])))
         yield first, sides, has
