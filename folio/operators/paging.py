@@ -2,20 +2,21 @@
 
 The cut depends on what the open page holds, and it resets at each cut, so it
 is no window function. But a page is closed only after a multiple of
-``check_every`` keys, so every page begins at one: keys are ranked in ranges
-and summed in blocks of ``check_every`` in parallel, and only one row for each
-block goes through the fold, as a sorted stream of one task with a state of two
-numbers; within a batch each page's end is found by binary search in running
-sums.
+``check_every`` keys: keys are summed in blocks of that many, and where a page
+ends at a block, the next end is the first block whose running sum is more by
+the limit. So ends are pointers. Ranges of blocks find theirs by binary search
+in their own running sums; of pointers that leave a range, the range that they
+lead to tells where; these are composed by doubling, which gives the last end
+before each range; and by that each range deals its blocks to pages. No task
+has more than a range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ MB = 1024 * 1024
 RANGES = 256
 KEYS_PER_RANGE = 100_000
 SAMPLED = 20_000
+#: Blocks of a range before there are more of them, and pointers from range to range that the driver follows by itself.
+BLOCKS_PER_RANGE = 100_000
+FOLLOWED = 100_000
 
 
 @dataclass(frozen=True)
@@ -63,10 +67,16 @@ def page_ends(rows: np.ndarray, limit: float, every: int, keys_open: int = 0, ro
     total = np.concatenate([[0], np.cumsum(rows)])
     while start < len(rows):
         first = start + (-keys_open - 1) % every  # the next key after which the page is looked at
-        looked = total[first + 1 :: every] - total[start] + rows_open
-        k = int(np.searchsorted(looked, limit, "right"))
-        if k == len(looked):
-            break
+        if every == 1:  # the sums as they are, so that a page costs a search only
+            k = int(np.searchsorted(total, limit + total[start] - rows_open, "right")) - first - 1
+            k = max(k, 0)
+            if first + k >= len(rows):
+                break
+        else:
+            looked = total[first + 1 :: every] - total[start] + rows_open
+            k = int(np.searchsorted(looked, limit, "right"))
+            if k == len(looked):
+                break
         end = first + k * every
         ends.append(end)
         start, keys_open, rows_open = end + 1, 0, 0
@@ -112,22 +122,117 @@ def assign_pages(counts: DataFrame, limits: PageLimits, bytes_per_row: int = 8,
     if not np.isfinite(limit):
         return ranked.withColumn("page", F.lit(0).cast("long"))
     ranked = ranked.withColumn("_block", F.floor(F.col("key_ord") / every))
-    blocks = ranked.groupBy("_block").agg(F.sum("n_rows").alias("n_rows"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, rows_open = 0, 0
-        for batch in batches:
-            rows = batch["n_rows"].to_numpy()
-            ends = page_ends(rows, limit, 1, 0, rows_open)
-            step = np.zeros(len(rows) + 1, np.int64)
-            step[np.asarray(ends, np.int64) + 1] = 1
-            yield pd.DataFrame({"_block": batch["_block"], "page": page + np.cumsum(step[:-1])})
-            since = ends[-1] + 1 if ends else 0
-            # a page that ends with the batch counts for the next one
-            page, rows_open = page + len(ends), int(rows[since:].sum()) + (0 if ends else rows_open)
-
-    paged = blocks.repartition(1).sortWithinPartitions("_block").mapInPandas(fold, "_block long, page long")
-    return ranked.join(paged, "_block").select("key", "n_rows", "key_ord", "page")
+    blocks = stored(ranked.groupBy("_block").agg(F.sum("n_rows").alias("n_rows")), "blocks")
+    return ranked.join(paged_blocks(blocks, limit), "_block").select("key", "n_rows", "key_ord", "page")
+
+
+class _Ranges:
+    """Ranges of blocks: where each begins and ends in the running sum of all."""
+
+    def __init__(self, totals: list[int], per_range: int, limit: float) -> None:
+        self.ends = np.cumsum(np.array(totals, np.int64))
+        self.starts = self.ends - np.array(totals, np.int64)
+        self.per_range, self.limit = per_range, limit
+
+    def of(self, sums: np.ndarray) -> np.ndarray:
+        """The range that the end after one at each of ``sums`` is in; their number if there is none."""
+        return np.searchsorted(self.ends, sums + self.limit, "right")
+
+    def sums(self, part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks, running sums) of a range, in order."""
+        blocks, rows = (np.asarray(part[c], np.int64) for c in ("_block", "n_rows"))
+        order = np.argsort(blocks)
+        return blocks[order], self.starts[blocks[0] // self.per_range] + np.cumsum(rows[order])
+
+    def after(self, sums: np.ndarray) -> np.ndarray:
+        """For an end at each block of a range the position of the next one; their number if it lies beyond."""
+        return np.searchsorted(sums, sums + self.limit, "right")
+
+
+def _leaving(ranges: _Ranges, rows: DataFrame) -> DataFrame:
+    """(node, sum, to_range): the blocks of each range that may hold its last end, and the range of the next one."""
+
+    def run(part: pa.Table) -> pa.Table:
+        blocks, sums = ranges.sums(part)
+        last = ranges.after(sums) == len(sums)
+        to = ranges.of(sums[last])
+        keep = to < len(ranges.ends)
+        return pa.table({"node": blocks[last][keep], "sum": sums[last][keep], "to_range": to[keep].astype(np.int64)})
+
+    return rows.groupBy("_range").applyInArrow(run, "node long, sum long, to_range long")
+
+
+def _pointers(ranges: _Ranges, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, to, sum, hops): the last end in the range that a node leads to, with its sum, and how many ends that is further."""
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not own.num_rows or not asked.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("node", "to", "sum", "hops")})
+        blocks, sums = ranges.sums(own)
+        after, here = ranges.after(sums), np.arange(len(sums))
+        to, hops = np.where(after < len(sums), after, here), (after < len(sums)).astype(np.int64)
+        while True:  # twice as far each time
+            further = to[to]
+            if (further == to).all():
+                break
+            hops, to = hops + hops[to], further
+        entry = np.searchsorted(sums, np.asarray(asked["sum"], np.int64) + ranges.limit, "right")
+        return pa.table({"node": np.asarray(asked["node"], np.int64), "to": blocks[to[entry]], "sum": sums[to[entry]], "hops": hops[entry] + 1})
+
+    return rows.groupBy("_range").cogroup(nodes.groupBy("to_range")).applyInArrow(run, "node long, to long, sum long, hops long")
+
+
+def _reached(pointers: DataFrame, n_ranges: int) -> list[tuple[int, int, int]]:
+    """(block, sum, ends so far) of the last end in each range that has one, from the beginning on; one row for each range at most."""
+    if pointers.count() <= FOLLOWED:
+        held = {r["node"]: (r["to"], r["sum"], r["hops"]) for r in pointers.collect()}
+        found, at, ends = [], -1, 0
+        while at in held:
+            at, total, hops = held[at]
+            ends += hops
+            found.append((at, total, ends))
+        return found
+    jump, far = pointers, 1
+    reach = pointers.sparkSession.createDataFrame([(-1, 0, 0)], "node long, sum long, ends long")
+    while far <= n_ranges:
+        onward = F.broadcast(reach.select("node", "ends")).join(jump, "node")
+        reach = stored(reach.unionByName(onward.select(F.col("to").alias("node"), "sum", (F.col("ends") + F.col("hops")).alias("ends"))), "reach")
+        twice = jump.select("node", "to", F.col("hops").alias("_h")).join(jump.select(F.col("node").alias("to"), F.col("to").alias("_to"), "sum", "hops"), "to")
+        jump, far = stored(twice.select("node", F.col("_to").alias("to"), "sum", (F.col("_h") + F.col("hops")).alias("hops")), "jump"), far * 2
+    return sorted((r["node"], r["sum"], r["ends"]) for r in reach.where("node >= 0").collect())
+
+
+def paged_blocks(blocks: DataFrame, limit: float) -> DataFrame:
+    """(_block, page) of a table of (_block, n_rows), whose blocks are numbered from 0 without gaps: a page ends with the block whose rows take it over ``limit``."""
+    n = blocks.count()
+    n_ranges = min(RANGES, max(1, n // BLOCKS_PER_RANGE))
+    per_range = max(1, -(-n // n_ranges))
+    if limit < 0:
+        return blocks.select("_block", F.col("_block").alias("page"))
+    rows = blocks.withColumn("_range", F.floor(F.col("_block") / per_range))
+    totals = dict(rows.groupBy("_range").agg(F.sum("n_rows")).collect())  # one for each range
+    ranges = _Ranges([totals[r] for r in range(len(totals))], per_range, limit)
+    last = []
+    if len(totals) > 1:
+        first = int(ranges.of(np.zeros(1, np.int64))[0])
+        nodes = _leaving(ranges, rows)
+        if first < len(totals):
+            nodes = nodes.unionByName(blocks.sparkSession.createDataFrame([(-1, 0, first)], nodes.schema))
+        last = _reached(stored(_pointers(ranges, rows, nodes), "pointers"), len(totals))
+    at = np.array([b for b, _, _ in last], np.int64)
+    # what is closed before each range
+    before = np.searchsorted(at, np.arange(len(totals)) * per_range)
+    closed, pages = (np.concatenate([[0], np.array([x[k] for x in last], np.int64)])[before] for k in (1, 2))
+
+    def deal(part: pa.Table) -> pa.Table:
+        own, sums = ranges.sums(part)
+        r = own[0] // per_range
+        ends = page_ends(np.diff(np.concatenate([[ranges.starts[r]], sums])), limit, 1, 0, int(ranges.starts[r] - closed[r]))
+        step = np.zeros(len(own) + 1, np.int64)
+        step[np.asarray(ends, np.int64) + 1] = 1
+        return pa.table({"_block": own, "page": pages[r] + np.cumsum(step[:-1])})
+
+    return rows.groupBy("_range").applyInArrow(deal, "_block long, page long")
 
 
 def page_summary(assigned: DataFrame) -> DataFrame:

@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from uuid import uuid4
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.types import MapType, StructType, VariantType
 
-from folio.errors import DatasetExists, EmptyDataset
+from folio.errors import ChannelError, DatasetExists, EmptyDataset
 from folio.functions.keys import join_key
+from folio.operators.grouped import Streamed, Whole, by_key, streamed_by_key
 from folio.operators.paging import PageLimits, assign_pages, ranked_keys, row_bytes, row_limit
 from folio.operators.sets import remaining_keys, rows_per_key
 from folio.plans.manifest import Manifest, dataset_folder
@@ -73,9 +73,13 @@ class DatasetBuilder:
     def build(self, transform: Transform, keys: DataFrame | None = None) -> DatasetReader:
         """Runs ``transform`` over the channels of all keys that are to be done, chunk by chunk.
 
-        It gets DataFrames with a ``key`` column and returns one. A key for
-        which it returns no rows is recorded as done.
+        It gets DataFrames with a ``key`` column and returns one, which may
+        have other columns of any names. A key for which it returns no rows is
+        recorded as done.
         """
+        return self._build(lambda channels, _: transform(channels), keys)
+
+    def _build(self, transform: Callable[[dict[str, DataFrame], DataFrame], DataFrame], keys: DataFrame | None = None) -> DatasetReader:
         todo, manifest = self._decide(keys)
         if todo is None:
             return self.reader
@@ -92,8 +96,7 @@ class DatasetBuilder:
             mine = (mine.where(F.col("key_ord") < done + self._chunk) if more else mine).select("key", (F.col("key_ord") - done).alias("key_ord"))
             begun, run = time.time(), f"run-{uuid4().hex}"
             staged_path = f"{self.root}/{join_key(folder, '_staging', run)}"
-            transform_in = self._channels(mine.select("key"))
-            transform(transform_in).write.parquet(staged_path)
+            transform(self._channels(mine.select("key")), mine.select("key")).write.parquet(staged_path)
             staged = self._spark.read.parquet(staged_path)
             counts = mine.join(rows_per_key(mine, staged), "key")
             paged = assign_pages(counts, self._limits, row_bytes(staged.schema), ord_col="key_ord")
@@ -119,14 +122,25 @@ class DatasetBuilder:
         self._publish(manifest)
         return self.reader
 
-    def build_by_key(self, function: Callable[[pd.DataFrame], pd.DataFrame], channel: str, schema: str) -> DatasetReader:
-        """Builds from a function of the pandas rows of one key of one channel; the result gets its ``key``."""
+    def build_by_key(self, function: Whole, schema: StructType | str, channels: Sequence[str] | None = None, order: Mapping[str, Sequence[str]] | None = None) -> DatasetReader:
+        """Builds from a function of all channels of a key, as pandas frames by channel; the result gets its ``key``.
+
+        ``channels`` names those that it takes, by default all. The function is
+        called for every key that is to be done, also for one without rows in
+        any channel; a channel without rows is an empty frame. ``order`` names
+        columns by which a channel's rows are sorted.
+        """
+        return self._build(lambda got, keys: by_key(function, self._taken(got, channels), schema, keys, order=order))
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            out = function(rows)
-            return out.assign(key=rows["key"].iloc[0])
+    def build_streamed(self, function: Streamed, schema: StructType | str, channels: Sequence[str] | None = None, order: Mapping[str, Sequence[str]] | None = None) -> DatasetReader:
+        """As ``build_by_key``, from a function of a key and an iterator of (channel, pandas rows): no key is held whole."""
+        return self._build(lambda got, keys: streamed_by_key(function, self._taken(got, channels), schema, keys, order=order))
 
-        return self.build(lambda channels: channels[channel].groupBy("key").applyInPandas(run, f"{schema}, key string"))
+    @staticmethod
+    def _taken(got: dict[str, DataFrame], channels: Sequence[str] | None) -> dict[str, DataFrame]:
+        if unknown := set(channels or ()) - set(got):
+            raise ChannelError(f"channels {sorted(unknown)} are not read")
+        return got if channels is None else {name: got[name] for name in channels}
 
     def _decide(self, keys: DataFrame | None) -> tuple[DataFrame | None, Manifest | None]:
         there = self.reader.exists
@@ -171,11 +185,19 @@ class DatasetBuilder:
         parts = [(r["page"], -(-r["rows"] // ROWS_PER_FILE) or 1, -(-r["n"] // KEYS_PER_FILE)) for r in summary]
         pages = F.broadcast(self._spark.createDataFrame(parts, "page long, _files long, _key_files long"))  # a row for each page
         place = paged.join(pages, "page").select("key", "page", (F.col("key_ord") + offset).alias("key_ord"), "_files", "_key_files")
-        rows = staged.join(place.select("key", "page", "_files"), "key")
-        plain = [f.name for f in staged.schema if not isinstance(f.dataType, (MapType, VariantType))]
-        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col("_files"))  # of the whole row: a key may have many
-        rows = rows.repartition(sum(p[1] for p in parts), "page", part).drop("_files")
-        rows.write.partitionBy("page").option("compression", self._compression).parquet(f"{self.root}/{join_key(folder, 'dataframe')}")
+        # the rows' columns go by number, so that none is taken for the page's; its folder tells it
+        plain = staged.toDF(*[f"c{k}" for k in range(len(staged.columns))])
+        key = f"c{staged.columns.index('key')}"
+        rows = plain.join(place.select(F.col("key").alias(key), "page", "_files"), key)
+        hashed = [c for c, f in zip(plain.columns, staged.schema, strict=True) if not isinstance(f.dataType, (MapType, VariantType))]
+        part = F.pmod(F.xxhash64(*hashed), F.col("_files"))  # of the whole row: a key may have many
+        folder_of = next(n for n in ("page", *(f"page_{k}" for k in range(len(staged.columns) + 1))) if n not in staged.columns)
+        rows = rows.repartition(sum(p[1] for p in parts), "page", part).select(*plain.columns, "page").toDF(*staged.columns, folder_of)
+        rows.write.partitionBy(folder_of).option("compression", self._compression).parquet(f"{self.root}/{join_key(folder, 'dataframe')}")
+        if folder_of != "page":  # readers know pages by that name
+            for path in self._files.list(f"{self.root}/{join_key(folder, 'dataframe')}"):
+                if f"/{folder_of}=" in path:
+                    self._files.move(path, path.replace(f"/{folder_of}=", "/page="))
         keys = place.repartition(sum(p[2] for p in parts), "page", F.pmod(F.xxhash64("key"), F.col("_key_files"))).select("key", "page", "key_ord")
         keys.write.partitionBy("page").option("compression", self._compression).parquet(f"{self.root}/{join_key(folder, 'keyset')}")
         for page in (r["page"] for r in summary if not r["rows"]):  # a page of keys without rows

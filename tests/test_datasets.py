@@ -1,4 +1,8 @@
+import sys
+
+import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from folio.errors import ChannelError, DatasetExists, EmptyDataset, MissingOption
@@ -7,6 +11,7 @@ from folio.plans.library import Library
 from folio.plans.manifest import pages_frame, total_timings
 from folio.sources.catalog import Catalog, ObjectReader
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
 NAME = "ticks.2022-05-01,2022-06-01"
 
 
@@ -125,8 +130,56 @@ def test_keys_without_rows_are_recorded(library):
 
 
 def test_build_by_key(library):
-    built = library.builder(NAME).build_by_key(lambda pdf: pdf[["tick"]].sum().to_frame("total").reset_index(drop=True), "tick", "total long")
-    assert sorted(r["total"] for r in built.dataframe().collect()) == [3, 15, 36, 66]
+    calls = library._spark.sparkContext.accumulator(0)
+
+    def summary(channels):
+        calls.add(1)
+        ticks, hits = channels["tick"], channels["hit"]
+        assert list(channels) == ["header", "hit", "tick"] and ticks["tick"].tolist() == sorted(ticks["tick"])
+        assert set(ticks["key"]) | set(hits["key"]) <= set(channels["header"]["key"])
+        if not len(ticks):
+            return None
+        return pd.DataFrame({"map": channels["header"]["map"], "total": [ticks["tick"].sum()], "damage": [hits["damage"].sum()], "hits": [len(hits)]})
+
+    built = library.builder(NAME).build_by_key(summary, "map string, total long, damage long, hits int", ["header", "hit", "tick"], {"tick": ["tick"]})
+    want = [(f"match/2022/05/{10 + i}/m{i}/match", f"map{i % 2}", sum(range(3 * i)), 0 if i == 2 else 10 * i + 5, 0 if i == 2 else 2) for i in range(1, 5)]
+    assert sorted((r["key"], r["map"], r["total"], r["damage"], r["hits"]) for r in built.dataframe().collect()) == want
+    assert calls.value >= 5 and len(built.keyset()) == 5
+    with pytest.raises(ChannelError, match="absent"):
+        library.builder("other.2022-05-01,2022-06-01").build_by_key(summary, "a int", ["absent"])
+
+
+def test_streamed_build_of_a_large_key(spark, library):
+    """Pieces come channel by channel and in order; what is not read is skipped."""
+
+    def first_and_count(key, pieces):
+        seen, n = [], 0
+        for name, rows in pieces:
+            seen.append(name)
+            n += len(rows)
+            if key.endswith("m3/match"):
+                break  # the rest of this key is skipped
+        yield pd.DataFrame({"channels": [",".join(dict.fromkeys(seen))], "pieces": [len(seen)], "n": [n]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        built = library.builder(NAME).build_streamed(first_and_count, "channels string, pieces int, n long", ["tick", "hit"]).dataframe()
+        got = {r["key"][-8:-6]: (r["channels"], r["n"]) for r in built.collect()}
+        pieces = {r["key"][-8:-6]: r["pieces"] for r in built.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.pop("m3")[0] == "tick"
+    assert got == {"m0": ("hit", 2), "m1": ("tick,hit", 5), "m2": ("tick", 6), "m4": ("tick,hit", 14)} and pieces["m4"] >= 4
+
+
+def test_columns_named_as_a_pages_own(library):
+    def odd(channels):
+        return channels["tick"].select("key", F.col("tick").alias("page"), F.lit(1).alias("_files"), F.lit("x").alias("a.b"), F.lit(2).alias("page_0"), F.lit(3).alias("key_ord"))
+
+    built = library.builder(NAME, limits=PageLimits(max_rows=5, check_every=1)).build(odd)
+    assert sorted(built.dataframe().columns) == sorted(["key", "page", "_files", "a.b", "page_0", "key_ord"])
+    assert sorted(r["page"] for r in built.dataframe().collect()) == sorted(t for i in range(5) for t in range(3 * i))
+    assert sorted(r["page"] for r in built.page(1)[0].collect()) == list(range(9))
 
 
 def test_options(spark, monkeypatch):

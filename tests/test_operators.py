@@ -1,16 +1,19 @@
 import json
+import random
 import sys
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from folio.errors import ModelError
 from folio.operators import models
-from folio.operators.paging import PageLimits, assign_pages, page_ends, ranked_keys, row_bytes, row_limit
+from folio.operators.paging import PageLimits, assign_pages, page_ends, paged_blocks, ranked_keys, row_bytes, row_limit
 from folio.operators.sets import remaining_keys, rows_per_key, union_by_name
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
@@ -68,6 +71,36 @@ def test_ranked_and_paged_in_ranges(spark, monkeypatch, every):
     assert [(r["key_ord"], r["page"]) for r in got] == list(enumerate(want))
 
 
+@pytest.mark.parametrize(("limit", "followed", "seed"), [(37, 10**6, 1), (37, 0, 2), (0, 0, 3), (3000, 0, 4), (400, 10**6, 5)])
+def test_pages_by_pointers_between_ranges(spark, monkeypatch, limit, followed, seed):
+    """Pages shorter and longer than ranges, blocks without rows, pointers followed by the driver and by doubling."""
+    monkeypatch.setattr("folio.operators.paging.BLOCKS_PER_RANGE", 40)
+    monkeypatch.setattr("folio.operators.paging.FOLLOWED", followed)
+    rng = random.Random(seed)
+    rows = [rng.choice((0, 0, 1, 2, 3, 50 if i % 97 == 0 else 4)) for i in range(1000)]
+    got = paged_blocks(spark.createDataFrame(list(enumerate(rows)), "_block long, n_rows long").repartition(5), limit).orderBy("_block").collect()
+    ends, page, want = set(naive(rows, limit, 1)), 0, []
+    for i in range(1000):
+        want.append(page)
+        page += i in ends
+    assert [r["page"] for r in got] == want
+
+
+def test_ten_million_keys_are_paged_without_a_task_of_all(spark, monkeypatch):
+    monkeypatch.setattr("folio.operators.paging.RANGES", 32)
+    monkeypatch.setattr("folio.operators.paging.BLOCKS_PER_RANGE", 20_000)
+    n, every, limit = 10_000_000, 10, 12_345
+    counts = spark.range(n).select(F.format_string("%08d", "id").alias("key"), (F.col("id") * 7919 % 5).alias("n_rows"), "id")
+    got = assign_pages(counts, PageLimits(max_rows=limit, check_every=every), ord_col="id")
+    summary = [tuple(r) for r in got.groupBy("page").agg(F.min("key_ord"), F.count("*"), F.sum("n_rows")).orderBy("page").collect()]
+    rows = np.arange(n) * 7919 % 5
+    ends = page_ends(rows.reshape(-1, every).sum(1), limit, 1)
+    first = np.concatenate([[0], (np.array(ends) + 1) * every])
+    total = np.concatenate([[0], np.cumsum(rows)])
+    until = np.append(first[1:], n)
+    assert summary == [(k, a, b - a, total[b] - total[a]) for k, (a, b) in enumerate(zip(first.tolist(), until.tolist(), strict=True))]
+
+
 def test_limits(spark):
     schema = spark.createDataFrame([], "a long, b boolean, c string").schema
     assert row_bytes(schema) == 8 + 8 + 1 + 8
