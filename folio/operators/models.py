@@ -7,7 +7,10 @@ code, so nothing here does it by itself.
 from __future__ import annotations
 
 import json
+import time
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Any, Protocol
 
 import pandas as pd
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 from folio.errors import ModelError
 from folio.functions.keys import join_key
+from folio.operators.boosted import Booster
 
 
 def find_model(models: Sequence[Mapping], wanted: Mapping) -> Mapping | None:
@@ -170,52 +174,67 @@ class ScoringSetModel:
 class EndpointModel:
     """A remote scorer: rows go as CSV without a header, the answer is JSON.
 
-    ``make_client`` is called once in each worker process and gives a function
-    from the CSV text to the decoded answer; ``answer_key`` names the list of
-    records in it.
+    ``make_client`` is called once in each task and gives a function from the
+    CSV text to the decoded answer, which is called from several threads;
+    ``answer_key`` names the list of records in it. A task has up to
+    ``in_flight`` requests under way, begins at most ``per_second`` a second,
+    and yields answers in the order of the rows, so that it holds so many
+    batches of rows and no more. A request that raises is tried again
+    ``retries`` times, after ``backoff_seconds``, twice as long each time.
     """
 
-    def __init__(self, make_client: Callable[[], Callable[[str], Mapping]], columns: Sequence[str], answer_key: str, schema: str, batch_rows: int = 1000) -> None:
+    def __init__(
+        self,
+        make_client: Callable[[], Callable[[str], Mapping]],
+        columns: Sequence[str],
+        answer_key: str,
+        schema: str,
+        batch_rows: int = 1000,
+        in_flight: int = 4,
+        retries: int = 2,
+        backoff_seconds: float = 0.5,
+        per_second: float | None = None,
+    ) -> None:
+        if in_flight < 1 or retries < 0 or batch_rows < 1:
+            raise ValueError("in_flight and batch_rows must be 1 or more, retries 0 or more")
         self.make_client, self.columns, self.answer_key, self.schema, self.batch_rows = make_client, list(columns), answer_key, schema, batch_rows
+        self.in_flight, self.retries, self.backoff_seconds, self.per_second = in_flight, retries, backoff_seconds, per_second
 
     def invoke(self, rows: DataFrame) -> DataFrame:
         make, key, size = self.make_client, self.answer_key, self.batch_rows
+        in_flight, retries, backoff, gap = self.in_flight, self.retries, self.backoff_seconds, 1 / self.per_second if self.per_second else 0.0
+
+        def asked(ask: Callable[[str], Mapping], text: str) -> pd.DataFrame:
+            for left in range(retries, -1, -1):
+                try:
+                    return pd.DataFrame(ask(text)[key])
+                except Exception:
+                    if not left:
+                        raise
+                    time.sleep(backoff * 2 ** (retries - left))
+            raise AssertionError
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask = make()
-            for batch in batches:
-                for at in range(0, len(batch), size):
-                    yield pd.DataFrame(ask(batch.iloc[at : at + size].to_csv(header=False, index=False))[key])
+            ask, next_at = make(), 0.0
+            under_way: deque[Future] = deque()
+            with ThreadPoolExecutor(in_flight) as pool:
+                try:
+                    for batch in batches:
+                        for at in range(0, len(batch), size):
+                            if len(under_way) == in_flight:
+                                yield under_way.popleft().result()
+                            time.sleep(max(0.0, next_at - time.monotonic()))
+                            next_at = time.monotonic() + gap
+                            under_way.append(pool.submit(asked, ask, batch.iloc[at : at + size].to_csv(header=False, index=False)))
+                    while under_way:
+                        yield under_way.popleft().result()
+                finally:
+                    for f in under_way:  # what has not begun does not begin
+                        f.cancel()
 
         return rows.select(*self.columns).mapInPandas(call, self.schema)
 
 
-class Booster:
-    """A gradient-boosted booster that predicts from frames, with the library imported where it is used."""
-
-    def __init__(self, body: bytes) -> None:
-        self._library = _boosting()
-        self._held = self._library.Booster()
-        self._held.load_model(bytearray(body))
-
-    def predict(self, frame: pd.DataFrame) -> Any:
-        return self._held.predict(self._library.DMatrix(frame, enable_categorical=True))
-
-
-def _boosting() -> Any:
-    try:
-        import xgboost
-    except ImportError as err:
-        raise ModelError("xgboost is not installed") from err
-    return xgboost
-
-
-def boosted_classifier(body: bytes) -> Any:
-    model = _boosting().XGBClassifier()
-    model.load_model(bytearray(body))
-    return model
-
-
 #: Fitted models by their type, with the method that scores and the type of a score.
 FITTED = {
     "MiniBatchKMeans": ("predict", "int"),
@@ -225,7 +244,7 @@ FITTED = {
     "Booster": ("predict", "double"),
 }
 #: What can be loaded without running code from the artifact.
-LOADERS = {"XGBClassifier": boosted_classifier, "Booster": Booster}
+LOADERS = {"XGBClassifier": Booster, "Booster": Booster}
 
 
 class Registry:
@@ -300,7 +319,7 @@ class Registry:
         if self._make_endpoint is None:
             raise ModelError("endpoints need make_endpoint")
         make, given = self._make_endpoint, entry.get("parameters", {})
-        return EndpointModel(lambda: make(entry), given.get("columns", []), entry.get("res_key", "data"), given["schema"])
+        return EndpointModel(lambda: make(entry), given.get("columns", []), entry.get("res_key", "data"), given["schema"], **{k: given[k] for k in ("batch_rows", "in_flight", "retries", "backoff_seconds", "per_second") if k in given})
 
     def version(self, name: str) -> Mapping:
         versions = self._models.get(name)

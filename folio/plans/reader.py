@@ -55,6 +55,23 @@ class DatasetReader:
         pages = self.manifest.pages
         return self._read(pages, "dataframe") if pages else self._spark.createDataFrame([], "key string")
 
+    def paged(self, name: str = "page") -> DataFrame:
+        """All rows with the number of their page in column ``name``: filters on it prune the pages' folders, others reach the scan."""
+        runs: dict[str, list[dict]] = {}
+        for p in self.manifest.pages:
+            runs.setdefault(p["dataframe"]["key"].rsplit("/page=", 1)[0], []).append(p)
+        frames = []
+        for folder, pages in runs.items():
+            base = f"{self.root}/{folder}"
+            part = lambda p: int(p["dataframe"]["key"].rsplit("=", 1)[1])
+            kind = self._spark.read.parquet(f"{self.root}/{pages[0]['dataframe']['key']}").schema
+            if name in kind.names or "page" in kind.names:
+                raise ValueError(f"the dataset has a column of the name {name} or page")
+            rows = self._spark.read.schema(kind.add("page", "long")).option("basePath", base).parquet(*[f"{base}/page={part(p)}" for p in pages])
+            # pages of a run follow each other, in its numbers and in the dataset's
+            frames.append(rows.select(*[f"`{c}`" for c in rows.columns if c != "page"], (F.col("page") + (pages[0]["number"] - part(pages[0]))).alias(name)))
+        return union_by_name(frames) if frames else self._spark.createDataFrame([], f"key string, {name} long")
+
     def keys(self) -> DataFrame:
         """(key, key_ord) of all pages; ``key_ord`` goes up from page to page."""
         pages = self.manifest.pages

@@ -1,6 +1,9 @@
 import json
+import math
 import random
 import sys
+import threading
+import time
 
 import numpy as np
 import pandas as pd
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from folio.errors import ModelError
 from folio.operators import models
+from folio.operators.boosted import Booster, saved_booster
 from folio.operators.paging import PageLimits, assign_pages, page_ends, paged_blocks, ranked_keys, row_bytes, row_limit
 from folio.operators.sets import remaining_keys, rows_per_key, union_by_name
 
@@ -232,11 +236,99 @@ def test_fitted_kinds(spark, tmp_path):
             models.Registry(spark, models_, **kw).get(name)
 
 
-def test_booster_equals_the_library(spark, tmp_path):
-    xgboost = pytest.importorskip("xgboost")
-    frame = pd.DataFrame({"a": [0.1 * i for i in range(40)], "m": pd.Categorical(["u", "v"] * 20)})
-    trained = xgboost.train({"max_depth": 2}, xgboost.DMatrix(frame, label=frame["a"], enable_categorical=True), num_boost_round=3)
-    trained.save_model(tmp_path / "b.json")
-    entry = {"type": "s3_xgboost", "model_type": "Booster", "bucket": str(tmp_path), "key": "b.json", "parameters": {"columns": ["a", "m"], "categories": {"m": ["u", "v"]}}}
-    got = models.Registry(spark, {"b": [entry]}).get("b").invoke(spark.createDataFrame(frame.astype({"m": str}))).orderBy("a").toPandas()["prediction"]
-    assert got.tolist() == pytest.approx(trained.predict(xgboost.DMatrix(frame, enable_categorical=True)).tolist(), rel=1e-6)
+def random_tree(rng, depth):
+    if depth == 0 or rng.random() < 0.2:
+        return round(rng.uniform(-1, 1), 3)
+    node = {"feature": rng.randrange(3), "missing": rng.choice(("yes", "no")), "yes": random_tree(rng, depth - 1), "no": random_tree(rng, depth - 1)}
+    return node | ({"right_if": rng.sample(range(5), 2)} if node["feature"] == 2 else {"below": round(rng.uniform(-1, 1), 2)})
+
+
+def walked(node, x):
+    while isinstance(node, dict):
+        v = x[node["feature"]]
+        if v is None or v != v:
+            side = node["missing"]
+        elif "right_if" in node:
+            side = "no" if v in node["right_if"] else "yes"
+        else:
+            side = "yes" if np.float32(v) < np.float32(node["below"]) else "no"
+        node = node[side]
+    return np.float32(node)
+
+
+def test_boosters_equal_a_walk_of_each_row(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice((None, rng.uniform(-1.2, 1.2))), rng.uniform(-1.2, 1.2), rng.choice((None, 0.0, 1.0, 2.0, 3.0, 4.0))) for _ in range(300)]
+    trees = [random_tree(rng, 5) for _ in range(9)]
+    sums = [sum((walked(t, x) for t in trees), np.float32(np.log(0.3 / 0.7))) for x in rows]
+    frame = pd.DataFrame(rows, columns=["a", "b", "c"]).astype("float64")
+    model = Booster(saved_booster(trees, 3, base_score=0.3, names=["a", "b", "c"]))
+    want = [1 / (1 + math.exp(-m)) for m in sums]
+    assert model.predict(frame).tolist() == pytest.approx(want, rel=1e-5) and model.predict(frame[["c", "a", "b"]]).tolist() == pytest.approx(want, rel=1e-5)
+    assert model.predict_proba(frame)[:, 0].tolist() == pytest.approx([1 - p for p in want], rel=1e-4)
+    docs = spark.createDataFrame(rows, "a double, b double, c double")
+    assert [r[0] for r in docs.select(model.column([F.col(x) for x in "abc"])).collect()] == pytest.approx(want, rel=1e-5)
+    as_categories = frame.assign(c=pd.Categorical(frame["c"], categories=[0.0, 1.0, 2.0, 3.0, 4.0]))
+    assert model.predict(as_categories).tolist() == model.predict(frame).tolist()
+    plain = Booster(saved_booster(trees, 3, "reg:squarederror", 0.25, weights=[0.5] * 9))
+    assert plain.predict(frame).tolist() == pytest.approx([0.25 + sum(0.5 * float(walked(t, x)) for t in trees) for x in rows], rel=1e-4, abs=1e-5)
+    several = Booster(saved_booster(trees, 3, "multi:softprob", 0.5, 3, [0, 1, 2] * 3))
+    by_class = [[0.5 + sum(float(walked(t, x)) for t in trees[k::3]) for k in range(3)] for x in rows]
+    assert np.allclose(several.predict(frame), [[math.exp(m) / sum(map(math.exp, r)) for m in r] for r in by_class], rtol=1e-4)
+    assert Booster(saved_booster(trees, 3, "multi:softmax", 0.5, 3, [0, 1, 2] * 3)).predict(frame).tolist() == [float(np.argmax(r)) for r in by_class]
+    assert Booster(saved_booster([0.5], 3, "count:poisson", 2.0)).predict(frame.head(1)).tolist() == pytest.approx([2 * math.exp(0.5)], rel=1e-5)
+    assert len(model.predict(frame.head(0))) == 0
+    for odd in (b"{}", b"no json", saved_booster(trees, 3, "odd:objective")):
+        with pytest.raises(ModelError):
+            Booster(odd)
+    with pytest.raises(ModelError, match="3 features"):
+        model.predict(frame[["a"]])
+
+
+def test_boosters_of_the_registry(spark, tmp_path):
+    tree = {"feature": 1, "right_if": [1], "missing": "no", "yes": 0.25, "no": {"feature": 0, "below": 2.0, "yes": -0.5, "no": 0.75}}
+    (tmp_path / "b.json").write_bytes(saved_booster([tree, tree], 2, names=["a", "m"]))
+    entry = {"type": "s3_xgboost", "bucket": str(tmp_path), "key": "b.json", "parameters": {"columns": ["a", "m"], "categories": {"m": ["u", "v"]}}}
+    rows = spark.createDataFrame([(1.0, "u"), (1.0, "v"), (3.0, "v"), (3.0, "other"), (None, None)], "a double, m string")
+    registry = models.Registry(spark, {"b": [entry | {"model_type": "Booster"}], "c": [entry | {"model_type": "XGBClassifier"}]})
+    p = [1 / (1 + math.exp(-2 * x)) for x in (0.25, -0.5, 0.75, 0.75, -0.5)]
+    got = registry.get("b").invoke(rows).collect()
+    assert [r["prediction"] for r in got] == pytest.approx(p, rel=1e-6)
+    assert [r["prediction"][1] for r in registry.get("c").invoke(rows).collect()] == pytest.approx(p, rel=1e-6)
+
+
+def test_endpoint_calls_are_under_way_together_and_answered_in_order(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def client():
+        lock, state = threading.Lock(), {"now": 0, "most": 0, "failed": set()}
+
+        def ask(text):
+            n = int(text.split()[0])
+            with lock:
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+                log.write_text(str(state["most"]))
+            try:
+                time.sleep(0.05 * (3 - n % 3))  # later requests end earlier
+                if n % 5 == 0 and n not in state["failed"]:
+                    state["failed"].add(n)
+                    raise OSError("busy")
+                return {"data": [{"y": n * 2}]}
+            finally:
+                with lock:
+                    state["now"] -= 1
+
+        return ask
+
+    rows = spark.range(20).coalesce(1)
+    model = models.EndpointModel(client, ["id"], "data", "y long", batch_rows=1, in_flight=4, retries=1, backoff_seconds=0.01)
+    assert [r["y"] for r in model.invoke(rows).collect()] == [2 * i for i in range(20)]
+    assert int(log.read_text()) == 4
+    with pytest.raises(Exception, match="busy"):
+        models.EndpointModel(client, ["id"], "data", "y long", 1, retries=0).invoke(rows).collect()
+    began = time.monotonic()
+    models.EndpointModel(client, ["id"], "data", "y long", 1, in_flight=8, backoff_seconds=0.01, per_second=10).invoke(rows).collect()
+    assert time.monotonic() - began >= 1.8
+    with pytest.raises(ValueError):
+        models.EndpointModel(client, ["id"], "data", "y long", in_flight=0)
