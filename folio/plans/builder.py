@@ -59,6 +59,7 @@ class DatasetBuilder:
         chunk_keys: int | None = None,
         compression: str = "gzip",
         is_header: bool = False,
+        source_id: str | None = None,
     ) -> None:
         for value in (if_complete, if_partial):
             if value not in BEHAVIORS:
@@ -66,7 +67,7 @@ class DatasetBuilder:
         self._spark, self.root, self.name, self.kind = spark, root.rstrip("/"), name, kind
         self._header, self._channels, self._limits = header, channels, limits or PageLimits()
         self._if = {True: if_complete, False: if_partial}
-        self._chunk, self._compression, self._is_header = chunk_keys, compression, is_header
+        self._chunk, self._compression, self._is_header, self._source_id = chunk_keys, compression, is_header, source_id
         self._files = Files(spark)
         self.reader = DatasetReader(spark, root, kind, name)
 
@@ -159,7 +160,7 @@ class DatasetBuilder:
         if given.isEmpty():
             raise EmptyDataset(f"dataset {self.name} would have no keys")
         source = self._header.manifest if self._header is not None else None
-        manifest = Manifest(self.name, self.kind, self._is_header, self._header.name if self._header else None, source.id if source else None)
+        manifest = Manifest(self.name, self.kind, self._is_header, self._header.name if self._header else None, source.id if source else self._source_id)
         if self._header is not None:
             self._copy_header(source)
         return given, manifest

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from folio.errors import MissingOption
 from folio.functions.keys import checked_instructions, warn_if_unusual_name
 from folio.operators.paging import PageLimits
+from folio.operators.sets import union_by_name
 from folio.plans.builder import DatasetBuilder
 from folio.plans.manifest import Manifest
 from folio.plans.reader import DatasetReader
 from folio.sources.catalog import Catalog, ObjectReader
+from folio.sources.scratch import discard, stored
 
 Selector = Column | str | Callable[[DataFrame], Column]
 _MISSING = object()
@@ -40,15 +42,20 @@ def selected(rows: DataFrame, selector: Selector | None) -> DataFrame:
 
 
 class Library:
-    """Datasets below ``dataset_root``, made of the objects below ``object_root``."""
+    """Datasets below ``dataset_root``, made of the objects below ``object_root``.
 
-    def __init__(self, spark: SparkSession, dataset_root: str | None = None, object_root: str | None = None, kind: str | None = None, default_header: str | None = None) -> None:
+    With ``catalog_log``, a folder for the log of manifests, what is known of
+    the objects is kept from one session to the next.
+    """
+
+    def __init__(self, spark: SparkSession, dataset_root: str | None = None, object_root: str | None = None, kind: str | None = None, default_header: str | None = None, catalog_log: str | None = None) -> None:
         self._spark = spark
         self.root = option(spark, "dataset_root", dataset_root)
         self.object_root = option(spark, "object_root", object_root)
         self.kind = option(spark, "kind", kind)
         self.default_header = option(spark, "default_header", default_header, "header")
-        self.catalog = Catalog(spark, self.object_root, self.kind)
+        self._log = option(spark, "catalog_log", catalog_log, None)
+        self.catalog = Catalog(spark, self.object_root, self.kind, log=self._log)
 
     def reader(self, name: str) -> DatasetReader:
         return DatasetReader(self._spark, self.root, self.kind, name)
@@ -58,9 +65,31 @@ class Library:
 
     def create_header(self, name: str | None = None) -> DatasetReader:
         """A dataset of the header rows of all objects, in one page."""
-        self.catalog.refresh()
-        header = self.catalog.header()
-        return self._single_page(name or self.default_header, header, None)
+        found = self.catalog.refresh()
+        return self._single_page(name or self.default_header, self.catalog.header(), None, str(found.version))
+
+    def refresh_header(self, name: str | None = None) -> DatasetReader:
+        """The header dataset brought up to date: the headers of objects that came or changed since are read, all others taken as they are.
+
+        A header that is not there, or of which the catalog's log does not know
+        the version, is made anew. One to which nothing changed stays as it is.
+        """
+        name = name or self.default_header
+        held = self.reader(name)
+        version = held.manifest.sourceId if held.is_complete else None
+        found = self.catalog.refresh()
+        if not (version or "").isdigit() or int(version) > found.version or self._log is None:
+            return self._single_page(name, self.catalog.header(), None, str(found.version))
+        changed = self.catalog.changed_since(int(version))
+        if changed.isEmpty():
+            return held
+        changed = stored(changed, "changed")
+        fresh = changed.where("not gone").select("key")
+        kept = held.dataframe().join(changed, "key", "left_anti")
+        rows = kept if fresh.isEmpty() else union_by_name([kept, self.catalog.header(fresh)])
+        made = self._single_page(name, rows, None, str(found.version))
+        discard(changed)
+        return made
 
     def create_subheader(self, name: str, selector: Selector | None = None, source: str | None = None) -> DatasetReader:
         """A dataset of the header rows that are selected; all by default."""
@@ -68,8 +97,8 @@ class Library:
         held = self.reader(source or self.default_header)
         return self._single_page(name, selected(held.dataframe(), selector), held)
 
-    def _single_page(self, name: str, rows: DataFrame, source: DatasetReader | None) -> DatasetReader:
-        builder = DatasetBuilder(self._spark, self.root, name, None, lambda keys: {"header": rows}, self.kind, if_complete="overwrite", if_partial="overwrite", is_header=True)
+    def _single_page(self, name: str, rows: DataFrame, source: DatasetReader | None, source_id: str | None = None) -> DatasetReader:
+        builder = DatasetBuilder(self._spark, self.root, name, None, lambda keys: {"header": rows}, self.kind, if_complete="overwrite", if_partial="overwrite", is_header=True, source_id=source_id)
         return builder.build(lambda channels: channels["header"], rows.select("key"))
 
     def dataframe(self, name: str) -> DataFrame:

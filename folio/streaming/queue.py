@@ -108,31 +108,35 @@ def polled(spark: SparkSession, make_client: Callable[[], object], queue: str, o
     return spark.readStream.format("folio_queue").load()
 
 
+def delivered(handler: Callable[[object, dict], object], on_error: Callable[[Exception, dict], object] | None, content: str | None, raw: dict) -> tuple[str, str | None]:
+    """(outcome, error) of handing one message over; ``content`` is its decoded body as JSON, None where it has none."""
+    outcome, error = POISON, None
+    try:
+        if content is None:
+            raise ValueError("message without content")
+        outcome = ACK if handler(json.loads(content), {k: v for k, v in raw.items() if k != "Body"}) else NACK
+    except ForceAcknowledge:
+        outcome = FORCED
+    except Exception as err:
+        error = f"{type(err).__name__}: {err}"
+        outcome = POISON if content is None else FAILED
+        try:
+            if on_error is not None and on_error(err, raw):
+                outcome = ACK
+        except Exception as again:
+            error = f"{error}; then {type(again).__name__}: {again}"
+    return outcome, error
+
+
 def _delivered(messages: DataFrame, handler: Callable[[object, dict], object], on_error: Callable[[Exception, dict], object] | None) -> DataFrame:
     """Translated messages with ``outcome`` and ``error`` instead of their content."""
 
     @F.pandas_udf("outcome string, error string")
     def deliver(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                content, raw = row.pop("_content"), row
-                outcome, error = POISON, None
-                try:
-                    if content is None or content != content:
-                        raise ValueError("message without content")
-                    outcome = ACK if handler(json.loads(content), {k: v for k, v in raw.items() if k != "Body"}) else NACK
-                except ForceAcknowledge:
-                    outcome = FORCED
-                except Exception as err:
-                    error = f"{type(err).__name__}: {err}"
-                    outcome = POISON if content is None or content != content else FAILED
-                    try:
-                        if on_error is not None and on_error(err, raw):
-                            outcome = ACK
-                    except Exception as again:
-                        error = f"{error}; then {type(again).__name__}: {again}"
-                out.append((outcome, error))
+            rows = batch.to_dict("records")
+            contents = [row.pop("_content") for row in rows]
+            out = [delivered(handler, on_error, content if isinstance(content, str) else None, row) for content, row in zip(contents, rows, strict=True)]
             yield pd.DataFrame(out, columns=["outcome", "error"])
 
     raw = [c for c in messages.columns if c not in ("content", "deliveries")]

@@ -1,6 +1,10 @@
+import json
+import shutil
 import sys
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from folio.errors import ChannelError, DatasetExists, EmptyDataset, MissingOptio
 from folio.operators.paging import PageLimits
 from folio.plans.library import Library
 from folio.plans.manifest import pages_frame, total_timings
-from folio.sources.catalog import Catalog, ObjectReader
+from folio.sources.catalog import Catalog, Changes, ObjectReader
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
 NAME = "ticks.2022-05-01,2022-06-01"
@@ -191,3 +195,54 @@ def test_options(spark, monkeypatch):
         Library(spark)
     monkeypatch.setenv("FOLIO_KIND", "match")
     assert (Library(spark).root, Library(spark).kind, Library(spark, "/tmp/c").root) == ("/tmp/a", "match", "/tmp/c")
+
+
+def put_object(root, key, rounds):
+    folder = root / key
+    folder.mkdir(parents=True, exist_ok=True)
+    pq.write_table(pa.table({"map": ["m"], "rounds": [rounds]}), folder / "header")
+    body = {"id": key[-2:], "key": f"{key}/match", "channels": [{"channel": "header", "key": f"{key}/header", "contentType": "application/x-parquet", "columns": [{"name": "map"}]}]}
+    (folder / "match").write_text(json.dumps(body) + " " * rounds)
+
+
+def test_catalog_reads_new_and_changed_manifests_only(spark, tmp_path, monkeypatch):
+    root, log = tmp_path / "objects", str(tmp_path / "log")
+    for i in range(4):
+        put_object(root, f"match/o{i}", i)
+    catalog = Catalog(spark, str(root), "match", log=log)
+    assert catalog.refresh() == Changes(4, 0, 0, 4, 1) and catalog.refresh() == Changes(0, 0, 0, 0, 1)
+    put_object(root, "match/o4", 4)
+    put_object(root, "match/o1", 11)
+    shutil.rmtree(root / "match/o3")
+    later = Catalog(spark, str(root), "match", log=log)  # another session
+    assert later.manifests().count() == 4 and later.version() == 1
+    scans = []
+    monkeypatch.setattr(Catalog, "_scan", lambda self, *paths, real=Catalog._scan: scans.append(paths) or real(self, *paths))
+    assert later.refresh() == Changes(1, 1, 1, 2, 2)
+    assert [sorted(p.rsplit("/", 2)[1] for p in s) for s in scans[1:]] == [["o1", "o4"]]  # the first lists, without contents
+    assert {(r["key"], r["gone"]) for r in later.changed_since(1).collect()} == {("match/o1/match", False), ("match/o4/match", False), ("match/o3/match", True)}
+    assert {r["id"] for r in later.manifests().collect()} == {"o0", "o1", "o2", "o4"}
+    monkeypatch.setattr("folio.sources.catalog.NAMED_FILES", 1)
+    put_object(root, "match/o5", 5)
+    put_object(root, "match/o6", 6)
+    assert later.refresh() == Changes(2, 0, 0, 2, 3) and later.manifests().count() == 6
+
+
+def test_header_is_brought_up_to_date_from_what_changed(spark, tmp_path, monkeypatch):
+    root = tmp_path / "objects"
+    for i in range(4):
+        put_object(root, f"match/o{i}", i)
+    new = lambda: Library(spark, str(tmp_path / "datasets"), str(root), "match", catalog_log=str(tmp_path / "log"))
+    first = new().refresh_header()
+    assert sorted(r["rounds"] for r in first.dataframe().collect()) == [0, 1, 2, 3]
+    put_object(root, "match/o4", 4)
+    put_object(root, "match/o1", 11)
+    shutil.rmtree(root / "match/o3")
+    asked = []
+    monkeypatch.setattr(Catalog, "header", lambda self, keys=None, real=Catalog.header: asked.append(None if keys is None else sorted(r["key"] for r in keys.collect())) or real(self, keys))
+    made = new().refresh_header()
+    assert asked == [["match/o1/match", "match/o4/match"]]
+    assert sorted((r["match_id"], r["rounds"]) for r in made.dataframe().collect()) == [("o0", 0), ("o1", 11), ("o2", 2), ("o4", 4)]
+    assert new().refresh_header().manifest.id == made.manifest.id and len(asked) == 1
+    shutil.rmtree(root / "match/o0")
+    assert new().refresh_header().keyset() == ["match/o1/match", "match/o2/match", "match/o4/match"] and len(asked) == 1
