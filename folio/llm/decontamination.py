@@ -100,7 +100,8 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     Items are few: their seeds are counted and broadcast in blocks of bounded
     size, so that documents are never shuffled by words.
     """
-    held = items.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col or text_col)).alias("_item")).where(F.size("_item") >= SPAN).distinct()
+    every = items.select(F.col(item_col).alias("item_id"), token_hashes(F.col(item_text_col or text_col)).alias("_item")).where(F.size("_item") > 0).distinct()
+    held = every.where(F.size("_item") >= SPAN)
     n_seeds = held.agg(F.sum((F.size("_item") - SPAN + 1) * len(MASKS))).first()[0] or 0
     blocks = max(1, -(-n_seeds // block_seeds))
     rows = docs.select(F.col(id_col).alias("doc_id"), token_hashes(F.col(text_col)).alias("_doc"))
@@ -116,8 +117,35 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         # exploded, as Spark would take a condition on them into the join, whose code would grow too long to compile
         met = found.join(F.broadcast(part), "seed").select("doc_id", "item_id", "compared", F.explode(F.array(_agreement("_doc", "_at", "_own"))).alias("_bits"))
         hits = met if hits is None else hits.unionByName(met)
+    short = _short_matches(rows, every.where(F.size("_item") < SPAN))
     best = hits.withColumn("agreeing", _best_run("_bits")).where(F.col("agreeing") >= F.ceil(F.col("compared") * AGREE)).groupBy("doc_id", "item_id")
-    return best.agg(F.max("agreeing").cast("long").alias("agreeing"), F.max("compared").cast("long").alias("compared"))
+    best = best.agg(F.max("agreeing").cast("long").alias("agreeing"), F.max("compared").cast("long").alias("compared"))
+    if short is None:
+        return best
+    # rows of one item id may have texts of either kind
+    whole = best.unionByName(short).groupBy("doc_id", "item_id")
+    return whole.agg(F.max("agreeing").alias("agreeing"), F.max("compared").alias("compared"))
+
+
+def _short_matches(rows: DataFrame, short: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, agreeing, compared) of documents that hold all words of a short item, None if there are no such items.
+
+    Documents are read once for all lengths; every run of such a length is
+    looked up among the items, which are broadcast in the place of a join by a
+    shuffle only as far as Spark knows their size to allow it.
+    """
+    lengths = sorted(r["n"] for r in short.select(F.size("_item").alias("n")).distinct().collect())  # eight at most
+    if not lengths:
+        return None
+
+    def runs_of(n: int) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size("_doc") - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice("_doc", i, n)))
+        return F.when(F.size("_doc") >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    runs = [runs_of(n) for n in lengths]
+    found = rows.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("run"))
+    wanted = short.select("item_id", F.size("_item").cast("long").alias("agreeing"), F.xxhash64(F.size("_item"), "_item").alias("run"))
+    return found.join(wanted, "run").select("doc_id", "item_id", "agreeing", F.col("agreeing").alias("compared")).distinct()
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -88,26 +88,30 @@ def decontamination_sql() -> str:
     """Every alignment that has three words in a row in common is compared.
 
     Of 9 to 16 words of which four fifths agree, three in a row do: the others
-    are too few to part the rest into shorter runs.
+    are too few to part the rest into shorter runs. Shorter items are looked
+    for as they are.
     """
 
-    def words(name: str, key: str) -> str:
+    def words(name: str, key: str, least: int = 3) -> str:
         spaced = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
-        return f"SELECT {key}, w, row_number() OVER () AS r FROM (SELECT {key}, string_split({spaced}, ' ') AS w FROM {name}) WHERE len(w) >= 3"
+        return f"SELECT {key}, w, row_number() OVER () AS r FROM (SELECT {key}, string_split({spaced}, ' ') AS w FROM {name} WHERE {spaced} <> '') WHERE len(w) >= {least}"
 
     def runs(name: str) -> str:
         return f"SELECT r, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS run FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM {name})"
 
     return rf"""
 WITH d AS ({words("documents", "doc_id")}), b AS (SELECT * FROM ({words("benchmark", "item_id")}) WHERE len(w) >= 9),
+ds AS ({words("documents", "doc_id", 1)}), bs AS (SELECT * FROM ({words("benchmark", "item_id", 1)}) WHERE len(w) < 9),
+short AS (
+  SELECT DISTINCT ds.doc_id, bs.item_id, len(bs.w) AS n FROM bs JOIN ds ON contains(' ' || array_to_string(ds.w, ' ') || ' ', ' ' || array_to_string(bs.w, ' ') || ' ')),
 dr AS ({runs("d")}), br AS ({runs("b")}),
 aligned AS (SELECT DISTINCT dr.r AS dr, br.r AS br, dr.i - br.i AS shift FROM dr JOIN br USING (run)),
 same AS (
   SELECT doc_id, item_id, least(len(b.w), 16) AS compared, list_transform(range(len(b.w)), lambda j: CASE WHEN shift + j >= 0 AND d.w[shift + j + 1] = b.w[j + 1] THEN 1 ELSE 0 END) AS s
   FROM aligned JOIN d ON d.r = dr JOIN b ON b.r = br),
 scored AS (SELECT doc_id, item_id, compared, list_max(list_transform(range(len(s) - compared + 1), lambda i: list_sum(s[i + 1 : i + compared]))) AS agreeing FROM same)
-SELECT doc_id, item_id, max(agreeing)::BIGINT AS agreeing, max(compared)::BIGINT AS compared FROM scored
-WHERE 5 * agreeing >= 4 * compared GROUP BY doc_id, item_id
+SELECT doc_id, item_id, max(agreeing)::BIGINT AS agreeing, max(compared)::BIGINT AS compared
+FROM (SELECT doc_id, item_id, agreeing, compared FROM scored WHERE 5 * agreeing >= 4 * compared UNION ALL SELECT doc_id, item_id, n, n FROM short) GROUP BY doc_id, item_id
 """
 
 
