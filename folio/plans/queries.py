@@ -10,22 +10,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.errors import ForceAcknowledge
 from folio.functions.columns import date_between, key_column, logistic, message_content, nearest, tree
+from folio.operators.boosted import saved_booster
 from folio.operators.models import Registry, ScoringModel, first_versions, matching_rows
 from folio.operators.paging import PageLimits, assign_pages, page_summary
 from folio.operators.sets import remaining_keys, rows_per_key, union_by_name
-from folio.plans.library import Library, header_of, position, selected
+from folio.plans.format import NAME as DATASET
+from folio.plans.format import write_dataset
+from folio.plans.library import Library, header_of, selected
 from folio.plans.manifest import UNITS, pages_frame, total_timings
 from folio.sources.catalog import ObjectReader
 from folio.sources.collection import write_collection
 from folio.sources.files import Files
 from folio.sources.revisions import latest_revision
 from folio.sources.scratch import new_path
-from folio.streaming.queue import handled, json_translator
+from folio.streaming.queue import MESSAGE, QueueConsumer, handled, json_translator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -453,13 +457,124 @@ def key_building(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", key_column(F.lit("dataset"), F.lit(""), F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("key"))
 
 
-@query(f"SELECT key FROM {_BY_NATION} n WHERE key = (SELECT max(key) FROM {_BY_NATION} m WHERE m.n_regionkey = 4)")
+@query(f"SELECT seed, true AS is_key, key IS NOT NULL AS found FROM (SELECT unnest(range(200))::BIGINT AS seed) LEFT JOIN (SELECT min(key) AS key FROM {_BY_NATION} n) ON true")
 def random_match(spark, sf_dir):
-    """A key of a header dataset, each as likely as the others: of one with a single key, that one."""
+    """Keys of the header dataset drawn with 200 seeds: each is one of its keys."""
+    reader = _library(spark, sf_dir).header_reader()
+    drawn = spark.createDataFrame([(seed, key) for seed, key in enumerate(reader.random_keys(range(200)))], "seed long, key string")
+    known = _read(spark, sf_dir, "nation").select(key_column(F.lit(KIND), F.col("n_regionkey").cast("string"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(KIND)).alias("known"))
+    return drawn.join(known, F.col("key") == F.col("known"), "left").select("seed", F.col("known").isNotNull().alias("is_key"), F.col("key").isNotNull().alias("found"))
+
+
+def _nation_summary(channels):
+    """What a user's function makes of all channels of a nation."""
+    customers, orders, suppliers = channels["customer"], channels["order"], channels["supplier"]
+    by_customer = orders.groupby("o_custkey").size().rename("n").reset_index().sort_values(["n", "o_custkey"], ascending=[False, True])
+    known = by_customer.merge(customers, left_on="o_custkey", right_on="c_custkey")
+    return pd.DataFrame(
+        {
+            "customers": [len(customers)],
+            "orders": [len(orders)],
+            "suppliers": [len(suppliers)],
+            "busiest": [known["c_name"].iloc[0] if len(known) else None],
+            "largest": [orders["o_totalprice"].max() if len(orders) else None],
+            "poorest": [suppliers["s_acctbal"].min() if len(suppliers) else None],
+        }
+    )
+
+
+@query(f"""WITH o AS (SELECT n.key, o_custkey, c_name, o_totalprice FROM {_ORDERS}),
+ranked AS (SELECT key, o_custkey, any_value(c_name) AS c_name, count(*) AS n FROM o GROUP BY key, o_custkey),
+first AS (SELECT key, c_name FROM ranked QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, o_custkey) = 1),
+sums AS (SELECT key, count(*) AS orders, max(o_totalprice) AS largest FROM o GROUP BY key)
+SELECT n.key, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, coalesce(orders, 0) AS orders,
+  (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers, c_name AS busiest, largest, (SELECT min(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey) AS poorest
+FROM {_BY_NATION} n LEFT JOIN sums USING (key) LEFT JOIN first USING (key)""")
+def all_channels_by_key(spark, sf_dir):
+    """A dataset of a function of all channels of each object: customers, orders and suppliers of a nation."""
     library = _library(spark, sf_dir)
-    last = position(library.dataframe("header").where("n_regionkey = 4").orderBy(F.desc("key")).limit(1), 0).first()["key"]
-    library.create_subheader("one.2024-01-01,2025-01-01", F.col("key") == last)
-    return spark.createDataFrame([(library.random_object("one.2024-01-01,2025-01-01", seed=7).manifest["key"],)], "key string")
+    builder = library.builder("nations.2024-01-01,2025-01-01", if_complete="overwrite", if_partial="overwrite")
+    made = builder.build_by_key(_nation_summary, "customers long, orders long, suppliers long, busiest string, largest double, poorest double", ["customer", "order", "supplier"])
+    return made.dataframe().select("key", "customers", "orders", "suppliers", "busiest", "largest", "poorest")
+
+
+@query(_pages_sql(LIMITS.max_rows, LIMITS.check_every, "SELECT key, o_orderkey, half, page FROM large JOIN (SELECT key, page FROM assigned) USING (key) WHERE page BETWEEN 1 AND 2", f"SELECT n.key, count(o_orderkey) AS n FROM {_BY_NATION} n LEFT JOIN large USING (key) GROUP BY n.key"))
+def dataset_format_pages(spark, sf_dir):
+    """Some pages of a dataset that was written and is read as a data source; other pages' files are not opened."""
+    library = _library(spark, sf_dir)
+    keys = library.header_reader().keys().select("key")
+    rows = _large_orders({"order": library.catalog.channel({"channel": "order", "columns": ["o_orderkey", "o_totalprice"]})})
+    root = new_path(spark, "format")
+    write_dataset(rows, keys, root, KIND, NAME, LIMITS)
+    return spark.read.format(DATASET).options(root=root, kind=KIND, name=NAME, pages="1-2").load().select("key", "o_orderkey", "half", "page")
+
+
+#: Trees of a booster over quantity, discount, tax and flag, whose thresholds are no values of the tables.
+TREES = [
+    {"feature": 0, "below": 24.5, "yes": {"feature": 3, "right_if": [1, 2], "missing": "no", "yes": -0.5, "no": 0.25}, "no": {"feature": 2, "below": 0.035, "missing": "no", "yes": 0.75, "no": -0.25}},
+    {"feature": 1, "below": 0.055, "missing": "yes", "yes": 0.5, "no": {"feature": 3, "right_if": [0], "missing": "yes", "yes": 1.25, "no": -1.5}},
+    0.125,
+]
+FLAGS = ["A", "N", "R"]
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(
+  CASE WHEN l_quantity < 24.5 THEN CASE WHEN l_returnflag IN ('N', 'R') THEN 0.25 ELSE -0.5 END ELSE CASE WHEN l_tax = 0.02 OR l_tax >= 0.035 THEN -0.25 ELSE 0.75 END END
+  + CASE WHEN l_discount < 0.055 THEN 0.5 ELSE CASE WHEN l_returnflag = 'A' THEN -1.5 ELSE 1.25 END END + 0.125))), 5) AS prediction FROM lineitem""")
+def boosted_score(spark, sf_dir):
+    """A booster of numeric and categorical splits, from its JSON, without the library that trains such: a tax of 0.02 counts as missing."""
+    root = new_path(spark, "booster")
+    Files(spark).publish(f"{root}/b.json", saved_booster(TREES, 4, names=["l_quantity", "l_discount", "l_tax", "l_returnflag"]).decode())
+    entry = {"type": "s3_xgboost", "model_type": "Booster", "bucket": root, "key": "b.json", "parameters": {"columns": ["l_quantity", "l_discount", "l_tax", "l_returnflag"], "categories": {"l_returnflag": FLAGS}}}
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount")), F.when(F.col("l_tax") != 0.02, F.col("l_tax")).cast("double").alias("l_tax"), "l_returnflag")
+    scored = Registry(spark, {"b": [entry]}).get("b").invoke(rows)
+    return scored.select("l_orderkey", "l_linenumber", F.round(F.col("prediction").cast("double"), 5).alias("prediction"))
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 3")
+def lookup_csv(spark, sf_dir):
+    """A lookup table that is kept as CSV, with types told from its values."""
+    root = new_path(spark, "csv")
+    _read(spark, sf_dir, "region").where("r_regionkey != 3").select(F.col("r_regionkey").alias("n_regionkey"), "r_name").coalesce(1).write.option("header", True).csv(f"{root}/regions.csv")
+    table = Registry(spark, {"regions": [{"type": "s3_dataframe", "res_type": "text/csv", "bucket": root, "key": "regions.csv"}]}).get("regions")
+    return table.join(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_regionkey").select("n_nationkey", "n_name", "r_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2")
+def lookup_table_set(spark, sf_dir):
+    """The table of a set that is selected by its attributes."""
+    root = new_path(spark, "set")
+    customers = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
+    for region in (1, 2):
+        customers.where(F.col("n_regionkey") == region).select("c_custkey", "c_name").write.parquet(f"{root}/regions/r{region}.parquet")
+    entry = {"type": "s3_dataframe_set", "bucket": root, "prefix": "regions", "models": [{"key": f"r{r}", "region": r} for r in (1, 2)]}
+    chosen = Registry(spark, {"customers": [entry]}).get("customers")
+    chosen.select({"region": 2})
+    return chosen.invoke()
+
+
+@query("""SELECT message_id, delivery, outcome FROM (SELECT event_id::VARCHAR AS message_id,
+  CASE WHEN event_type = 'click' THEN 'ack' WHEN event_type = 'view' THEN 'forced_ack' WHEN value > 50 THEN 'nack' ELSE 'failed' END AS outcome FROM events), (VALUES (1::BIGINT), (2), (3)) d(delivery)
+  WHERE delivery = 1 OR outcome IN ('nack', 'failed')""")
+def queue_consumption(spark, sf_dir):
+    """Every delivery of a bounded consumption of a stream: what is not acknowledged comes again until it is dead, after three."""
+    root = new_path(spark, "queue")
+    events = _read(spark, sf_dir, "events")
+    body = F.to_json(F.struct("event_type", "value")).alias("Body")
+    messages = events.select(F.col("event_id").cast("string").alias("MessageId"), F.lit("h").alias("ReceiptHandle"), body, F.create_map().cast("map<string,string>").alias("attributes"))
+    messages.write.parquet(f"{root}/in")
+
+    def handler(content, metadata):
+        if content["event_type"] == "view":
+            raise ForceAcknowledge
+        if content["event_type"] != "click" and not content["value"] > 50:
+            raise RuntimeError("no")
+        return content["event_type"] == "click"
+
+    stream = spark.readStream.schema(MESSAGE).parquet(f"{root}/in")
+    consumer = QueueConsumer(spark, stream, handler, f"{root}/queue", max_deliveries=3, backoff_seconds=0.1)
+    consumer.run(available_now=True)
+    return spark.read.parquet(f"{root}/queue/outcomes").select(F.col("MessageId").alias("message_id"), (F.col("deliveries") + 1).cast("long").alias("delivery"), "outcome")
 
 
 FLAGSHIP = "data_dataset_build"

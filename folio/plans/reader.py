@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,4 +101,13 @@ class DatasetReader:
 
     def random_key(self, seed: int | None = None) -> str:
         """A key of the dataset, each as likely as the others."""
-        return self.key_at(random.Random(seed).randrange(sum(p["keyCount"] for p in self.manifest.pages)))
+        return self.random_keys([seed])[0]
+
+    def random_keys(self, seeds: Iterable[int | None]) -> list[str]:
+        """A key for each seed, the one that ``random_key`` draws by it; all are looked up at once."""
+        n = sum(p["keyCount"] for p in self.manifest.pages)
+        if not n:
+            raise IndexError(f"{self.name} has no keys")
+        drawn = [random.Random(seed).randrange(n) for seed in seeds]
+        held = {r["key_ord"]: r["key"] for r in self.keys().where(F.col("key_ord").isin(sorted(set(drawn)))).select("key_ord", "key").collect()}
+        return [held[i] for i in drawn]

@@ -70,6 +70,13 @@ def test_header_and_subheader(library):
         library.object_at(5)
 
 
+def test_drawn_keys_spread_over_all(library):
+    reader = library.header_reader()
+    drawn = reader.random_keys(range(200))
+    assert set(drawn) == set(reader.keyset()) and all(20 <= drawn.count(k) <= 65 for k in reader.keyset())
+    assert [reader.random_key(7), reader.random_key(9)] == [drawn[7], drawn[9]]
+
+
 def ticks(channels):
     return channels["tick"].select("key", "tick")
 
