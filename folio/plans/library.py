@@ -133,8 +133,3 @@ class Library:
 def header_of(rows: DataFrame, key: Column, object_id: Column) -> DataFrame:
     """Rows of any table as a header: with ``key`` and ``match_id``."""
     return rows.withColumns({"key": key, "match_id": object_id.cast("string")})
-
-
-def position(rows: DataFrame, index: int, key_col: str = "key") -> DataFrame:
-    """The row at a position in key order, as a frame."""
-    return rows.orderBy(key_col).offset(index).limit(1).select(F.col(key_col))

@@ -8,12 +8,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DecimalType, DoubleType, FloatType, IntegerType, LongType, MapType, NullType, StringType, StructType
 
 from folio.errors import ChannelError, DatasetExists, EmptyDataset, MissingOption
 from folio.operators.paging import PageLimits
 from folio.plans.library import Library
 from folio.plans.manifest import pages_frame, total_timings
 from folio.sources.catalog import Catalog, Changes, ObjectReader
+from folio.sources.schemas import folded, footers, wider
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
 NAME = "ticks.2022-05-01,2022-06-01"
@@ -253,3 +255,42 @@ def test_header_is_brought_up_to_date_from_what_changed(spark, tmp_path, monkeyp
     assert new().refresh_header().manifest.id == made.manifest.id and len(asked) == 1
     shutil.rmtree(root / "match/o0")
     assert new().refresh_header().keyset() == ["match/o1/match", "match/o2/match", "match/o4/match"] and len(asked) == 1
+
+
+def test_files_of_one_channel_with_other_types_are_read_as_one(spark, tmp_path, monkeypatch):
+    root = tmp_path / "objects"
+    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int16(), pa.float32()]
+    for i, kind in enumerate(kinds):
+        put_object(root, f"match/o{i}", i)
+        columns = {"map": ["m"], "rounds": pa.array([i + 1], kind)} | ({"more": ["x"]} if i % 2 else {})
+        pq.write_table(pa.table(columns), root / f"match/o{i}/header")
+    catalog = Catalog(spark, str(root), "match", log=str(tmp_path / "log"))
+    rows = catalog.channel("header")
+    assert rows.schema["rounds"].dataType.simpleString() == "double" and sorted(r["rounds"] for r in rows.collect()) == [1, 2, 3, 4, 5]
+    assert sorted((r["object_id"], r["more"]) for r in rows.select("object_id", "more").collect()) == [(f"o{i}", "x" if i % 2 else None) for i in range(5)]
+    some = catalog.channel({"channel": "header", "columns": ["rounds"]}, catalog.manifests().where("id in ('o0', 'o3')").select("key"))
+    assert some.schema["rounds"].dataType.simpleString() == "int" and sorted(r["rounds"] for r in some.collect()) == [1, 4]
+    monkeypatch.setattr("folio.sources.catalog.NAMED_FILES", 1)
+    assert sorted(r["rounds"] for r in catalog.channel("header").collect()) == [1, 2, 3, 4, 5]
+    # footers are read once: of a changed object again, of others not
+    read = []
+    monkeypatch.setattr("folio.sources.catalog.footers", lambda files, base, real=footers: read.append(sorted(r["path_key"] for r in files.collect())) or real(files, base))
+    put_object(root, "match/o1", 12)
+    later = Catalog(spark, str(root), "match", log=str(tmp_path / "log"))
+    later.refresh()
+    assert sorted(r["rounds"] for r in later.channel("header").collect()) == [1, 3, 4, 5, 12] and read == [["match/o1/header"]]
+    put_object(root, "match/o2", 2)
+    pq.write_table(pa.table({"map": ["m"], "rounds": ["text"]}), root / "match/o2/header")
+    later.refresh()
+    with pytest.raises(ChannelError, match="rounds is"):
+        later.channel("header")
+
+
+def test_types_widen():
+    assert wider(IntegerType(), DecimalType(5, 2)) == DecimalType(12, 2) and wider(LongType(), FloatType()) == DoubleType() and wider(NullType(), StringType()) == StringType()
+    a, b = StructType().add("x", IntegerType()).add("y", StringType()), StructType().add("x", LongType()).add("z", ArrayType(IntegerType()))
+    assert folded([a, b]).simpleString() == "struct<x:bigint,y:string,z:array<int>>" == wider(a, b).simpleString()
+    assert wider(ArrayType(IntegerType()), ArrayType(DoubleType())).simpleString() == "array<double>" and wider(MapType(StringType(), IntegerType()), MapType(StringType(), LongType())).simpleString() == "map<string,bigint>"
+    for other in (StringType(), BooleanType(), DecimalType(38, 30)):
+        with pytest.raises(ChannelError):
+            wider(LongType(), other, "x")
