@@ -8,7 +8,9 @@ fills them from a folder; a marketplace's listing is the caller's.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import shutil
 import time
 import warnings
 from collections.abc import Callable, Iterator, Mapping
@@ -20,10 +22,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folio.errors import FolioError
 from folio.functions.columns import date_between
+from folio.sources.scratch import discard, stored
 
 MANY_ASSETS = 500
 #: Assets that one task copies at most in a go.
 ASSETS_PER_TASK = 8
+#: Assets of more bytes are copied by ranges of so many, where the target is on a file system that takes them, by so many tasks at most.
+RANGE_BYTES = 256 << 20
+MOST_TASKS = 10_000
 #: The states of an export job that end it without success, and what is said of them.
 FAILED_STATES = {"ERROR": "failed", "CANCELLED": "was cancelled", "TIMED_OUT": "timed out"}
 DONE_STATE = "COMPLETED"
@@ -69,6 +75,66 @@ def copy_file(source: str, target: str) -> bool:
     return True
 
 
+def _local(path: str) -> str | None:
+    """A path of a local or mounted file system, as one can write into the middle of; else None."""
+    path = re.sub(r"^file:/+", "/", path)
+    return None if "://" in path else path
+
+
+def _beside(source: str, target: str, size: int) -> str:
+    """Where a large target is put together: the same in every run, as long as the source has its size."""
+    folder, name = target.rsplit("/", 1)
+    return f"{folder}/.{name}.{hashlib.sha256(f'{source}:{size}'.encode()).hexdigest()[:16]}"
+
+
+def copy_range(source: str, target: str, size: int, at: int, length: int) -> bool:
+    """Copies a range of a large file to its place in the hidden file beside the target; whether it did.
+
+    A range that the ledger has, an empty file for each, is skipped: what
+    another run has copied is not copied again.
+    """
+    from pyarrow import fs
+
+    held = _beside(source, target, size)
+    done = f"{held}.done/{at}-{length}"
+    if os.path.exists(done) or os.path.exists(target):
+        return False
+    os.makedirs(f"{held}.done", exist_ok=True)
+    path = _local(source)
+    files, path = (fs.LocalFileSystem(), path) if path else fs.FileSystem.from_uri(source.replace("s3a://", "s3://", 1))
+    out = os.open(f"{held}.new", os.O_CREAT | os.O_WRONLY)
+    try:
+        with files.open_input_file(path) as read:
+            read.seek(at)
+            left, to = length, at
+            while left:
+                block = read.read(min(left, 1 << 22))
+                if not block:
+                    raise OSError(f"{source} ends before {at + length}")
+                to += os.pwrite(out, block, to)
+                left -= len(block)
+        os.fsync(out)
+    finally:
+        os.close(out)
+    with open(done, "w"):
+        pass
+    return True
+
+
+def join_ranges(source: str, target: str, size: int, range_bytes: int) -> bool:
+    """Moves a file of which every range is there into place, in one step, and removes its ledger; whether it did."""
+    held = _beside(source, target, size)
+    if os.path.exists(target):
+        shutil.rmtree(f"{held}.done", ignore_errors=True)
+        return False
+    lacks = [at for at in range(0, size, range_bytes) if not os.path.exists(f"{held}.done/{at}-{min(range_bytes, size - at)}")]
+    if lacks or os.path.getsize(f"{held}.new") != size:
+        raise OSError(f"{target} lacks {len(lacks)} ranges")
+    os.replace(f"{held}.new", target)
+    shutil.rmtree(f"{held}.done", ignore_errors=True)
+    return True
+
+
 def listed(spark: SparkSession, root: str, dataset_id: str) -> tuple[DataFrame, DataFrame]:
     """(revisions, assets) of a dataset that is kept in a folder: each folder below is a revision, named by its comment.
 
@@ -103,7 +169,8 @@ class RevisionExporter:
     job and wait for it with ``finished_job``.
     """
 
-    def __init__(self, spark: SparkSession, revisions: DataFrame, assets: DataFrame, root: str, prefix: str | None = None, copy: Callable[[str, str], bool] = copy_file) -> None:
+    def __init__(self, spark: SparkSession, revisions: DataFrame, assets: DataFrame, root: str, prefix: str | None = None, copy: Callable[[str, str], bool] = copy_file, range_bytes: int = RANGE_BYTES) -> None:
+        self.range_bytes = range_bytes
         self._spark, self.revisions, self.assets, self.root, self.prefix, self._copy = spark, revisions, assets, root.rstrip("/"), prefix, copy
 
     def target(self, name: str) -> str:
@@ -125,6 +192,9 @@ class RevisionExporter:
         if n > MANY_ASSETS:
             warnings.warn(f"revision {wanted} has {n} assets", stacklevel=2)
         copy, head = self._copy, self.target("")
+        large = self._large(assets, head) if copy is copy_file and _local(head) else None
+        if large is not None:
+            assets = assets.join(large.select("name").distinct(), "name", "left_anti")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -133,7 +203,50 @@ class RevisionExporter:
         # by name, so that two assets of one target are copied by one task
         tasks = max(1, -(-n // ASSETS_PER_TASK))
         done = assets.select("name", "path").repartition(tasks, "name").mapInPandas(run, "copied boolean")
-        return done.agg(F.count_if("copied").alias("n")).first()["n"]
+        copied = done.agg(F.count_if("copied").alias("n")).first()["n"]
+        return copied + (self._in_ranges(large, head) if large is not None else 0)
+
+    def _large(self, assets: DataFrame, head: str) -> DataFrame | None:
+        """(name, path, size) of the assets that several tasks copy, each target once; None if there are none."""
+        least = self.range_bytes
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyarrow import fs
+
+            for batch in batches:
+                sizes = []
+                for path in batch["path"]:
+                    own = _local(path)
+                    files, at = (fs.LocalFileSystem(), own) if own else fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                    sizes.append(files.get_file_info(at).size or 0)
+                yield batch.assign(size=sizes)
+
+        one = assets.groupBy("name").agg(F.min("path").alias("path"))
+        found = stored(one.mapInPandas(look, "name string, path string, size long").where(F.col("size") > least), "large")
+        if found.isEmpty():
+            discard(found)
+            return None
+        return found
+
+    def _in_ranges(self, large: DataFrame, head: str) -> int:
+        """Copies large assets by ranges, each a row of its own, and then moves them into place; returns how many were not there."""
+        step, target = self.range_bytes, _local(head)
+
+        def ranged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = zip(batch["path"], batch["name"], batch["size"], batch["at"], strict=True)
+                yield pd.DataFrame({"copied": [copy_range(path, f"{target}{name}", size, at, min(step, size - at)) for path, name, size, at in rows]})
+
+        def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"moved": [join_ranges(path, f"{target}{name}", size, step) for path, name, size in zip(batch["path"], batch["name"], batch["size"], strict=True)]})
+
+        n = large.agg(F.sum(F.ceil(F.col("size") / step))).first()[0]
+        ranges = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))).alias("at"))
+        ranges.repartition(max(1, min(int(n), MOST_TASKS)), "name", "at").mapInPandas(ranged, "copied boolean").agg(F.count("*")).collect()
+        moved = large.repartition("name").mapInPandas(joined, "moved boolean").agg(F.count_if("moved").alias("n")).first()["n"]
+        discard(large)
+        return moved
 
     def export_between(self, start: str | None = None, end: str | None = None) -> int:
         """Exports the revisions of a range of days, one after the other."""

@@ -2,13 +2,14 @@ import json
 import sys
 import threading
 import time
+from datetime import datetime
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 
 from folio.errors import FolioError, ForceAcknowledge
-from folio.sources.revisions import RevisionExporter, finished_job, latest_revision, listed, revisions_between
+from folio.sources.revisions import RevisionExporter, copy_range, finished_job, join_ranges, latest_revision, listed, revisions_between
 from folio.streaming.queue import MESSAGE, QueueConsumer, polled, queue_url
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test's module
@@ -147,6 +148,28 @@ def test_revisions(spark, tmp_path):
     assert (tmp_path / "auto/r2/b").exists() and auto.stop_auto_export() == 1 and auto.stop_auto_export() == 0
 
 
+def test_large_assets_are_copied_by_ranges_and_taken_up_again(spark, tmp_path, monkeypatch):
+    body = bytes(range(256)) * 4_000 + b"end"
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/large").write_bytes(body)
+    (tmp_path / "src/small").write_bytes(b"s")
+    assets = spark.createDataFrame([("r1", "deep/large", str(tmp_path / "src/large")), ("r1", "deep/large", str(tmp_path / "src/large")), ("r1", "small", f"file:{tmp_path / 'src/small'}")], "revision_id string, name string, path string")
+    revisions = spark.createDataFrame([("d", "r1", "2022-01-01", datetime(2022, 1, 1))], "dataset_id string, revision_id string, comment string, created_at timestamp")
+    out = tmp_path / "out"
+    exporter = RevisionExporter(spark, revisions, assets, str(out), range_bytes=100_000)
+    ranges = [(at, min(100_000, len(body) - at)) for at in range(0, len(body), 100_000)]
+    target = str(out / "deep/large")
+    # a run that was broken off after three ranges: these are not copied again, and no reader sees the target
+    (out / "deep").mkdir(parents=True)
+    assert all(copy_range(str(tmp_path / "src/large"), target, len(body), *r) for r in ranges[:3])
+    assert not copy_range(str(tmp_path / "src/large"), target, len(body), *ranges[1]) and not (out / "deep/large").exists()
+    with pytest.raises(OSError, match="lacks 8 ranges"):
+        join_ranges(str(tmp_path / "src/large"), target, len(body), 100_000)
+    assert exporter.export() == 2 and (out / "deep/large").read_bytes() == body and (out / "small").read_bytes() == b"s"
+    assert exporter.export() == 0 and sorted(p.name for p in (out / "deep").iterdir()) == ["large"]
+    assert not copy_range(str(tmp_path / "src/large"), target, len(body), *ranges[0])
+
+
 def test_export_jobs():
     states = iter(["WAITING", "IN_PROGRESS", "COMPLETED"])
     assert finished_job(lambda: {"Id": 1, "State": next(states)}, 0)["State"] == "COMPLETED"
