@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from folio.errors import ModelError
 from folio.functions.keys import join_key
 from folio.operators.boosted import Booster
+from folio.operators.density import DensityClusters
 
 
 def find_model(models: Sequence[Mapping], wanted: Mapping) -> Mapping | None:
@@ -244,7 +245,7 @@ FITTED = {
     "Booster": ("predict", "double"),
 }
 #: What can be loaded without running code from the artifact.
-LOADERS = {"XGBClassifier": Booster, "Booster": Booster}
+LOADERS = {"XGBClassifier": Booster, "Booster": Booster, "hdbscan": DensityClusters.of_json}
 
 
 class Registry:

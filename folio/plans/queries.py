@@ -8,8 +8,10 @@ with keys ``dataset/<year>/<orderkey>``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from folio.errors import ForceAcknowledge
 from folio.functions.columns import date_between, key_column, logistic, message_content, nearest, tree
 from folio.operators.boosted import saved_booster
+from folio.operators.density import core_distances
 from folio.operators.models import Registry, ScoringModel, first_versions, matching_rows
 from folio.operators.paging import PageLimits, assign_pages, page_summary
 from folio.operators.sets import remaining_keys, rows_per_key, union_by_name
@@ -531,6 +534,38 @@ def boosted_score(spark, sf_dir):
     return scored.select("l_orderkey", "l_linenumber", F.round(F.col("prediction").cast("double"), 5).alias("prediction"))
 
 
+#: Fixed points that stand for a fitted density model: core points of two dimensions, the tree that they hang in, and the labels of chosen clusters.
+CORE_POINTS = [[0.1, 0.1], [0.15, 0.05], [0.05, 0.2], [0.2, 0.2], [0.5, 0.1], [0.55, 0.2], [0.45, 0.15], [0.3, -0.1], [-0.4, -0.3], [-0.45, -0.2], [-0.3, -0.35], [-0.9, 0.9]]
+CORE_EDGES = [[12, 13, 1.2], [12, 14, 1.2], [13, 15, 3.0], [13, 16, 3.0], *([15, i, 8.0] for i in range(4)), *([16, i, 7.0] for i in range(4, 7)), [13, 7, 2.0], *([14, i, 5.0] for i in range(8, 11)), [12, 11, 0.9]]
+CORE_LABELS = {15: 0, 16: 1, 14: 2}
+MIN_SAMPLES = 2
+_CORES = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(CORE_POINTS))
+_EDGES = ", ".join(f"({p}, {c}, {v}::DOUBLE)" for p, c, v in CORE_EDGES)
+_UP = "CASE WHEN climbs AND {c} <> 12 AND (SELECT birth FROM edge WHERE child = {c}) >= density THEN (SELECT parent FROM edge WHERE child = {c}) ELSE {c} END"
+
+
+@query(f"""WITH core(i, x, y) AS (VALUES {_CORES}), edge(parent, child, birth) AS (VALUES {_EDGES}),
+apart AS (SELECT a.i, b.i AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM core a, core b),
+cored AS (SELECT i, d AS core FROM apart QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = {MIN_SAMPLES + 1}),
+near AS (
+  SELECT vec_id, i, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, i) AS r FROM (
+    SELECT vec_id, i, sqrt((embedding[1]::DOUBLE - x) ** 2 + (embedding[2]::DOUBLE - y) ** 2) AS d FROM embeddings, core) QUALIFY r <= {2 * MIN_SAMPLES}),
+reached AS (SELECT vec_id, i, r, greatest(d, core, max(d) FILTER (r = {MIN_SAMPLES + 1}) OVER (PARTITION BY vec_id)) AS reach FROM near JOIN cored USING (i)),
+placed AS (SELECT vec_id, parent AS c0, 1 / reach AS density, birth > 1 / reach AS climbs FROM (SELECT * FROM reached QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY reach, r) = 1) JOIN edge ON child = i),
+one AS (SELECT *, {_UP.format(c="c0")} AS c1 FROM placed), two AS (SELECT *, {_UP.format(c="c1")} AS c2 FROM one), three AS (SELECT *, {_UP.format(c="c2")} AS c3 FROM two)
+SELECT vec_id, (CASE c3 WHEN 15 THEN 0 WHEN 16 THEN 1 WHEN 14 THEN 2 ELSE -1 END)::INTEGER AS cluster FROM three""")
+def density_assign(spark, sf_dir):
+    """The density-based cluster of each vector, by its neighbour of mutual reachability and the condensed tree."""
+    root = new_path(spark, "density")
+    model = {"points": CORE_POINTS, "core_distances": core_distances(np.array(CORE_POINTS), MIN_SAMPLES).tolist(), "edges": CORE_EDGES, "labels": CORE_LABELS, "min_samples": MIN_SAMPLES}
+    Files(spark).publish(f"{root}/m.json", json.dumps(model))
+    entry = {"type": "s3_scikit_set", "model_type": "hdbscan", "bucket": root, "extension": "json", "scikits": [{"key": "m", "map": "a"}], "parameters": {"columns": ["x", "y"]}}
+    chosen = Registry(spark, {"clusters": [entry]}).get("clusters")
+    chosen.select({"map": "a"})
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xy")))
+    return chosen.invoke(vectors, "cluster").select("vec_id", "cluster")
+
+
 @query("SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey <> 3")
 def lookup_csv(spark, sf_dir):
     """A lookup table that is kept as CSV, with types told from its values."""

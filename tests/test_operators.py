@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from folio.errors import ModelError
 from folio.operators import models
 from folio.operators.boosted import Booster, saved_booster
+from folio.operators.density import DensityClusters, core_distances
 from folio.operators.paging import PageLimits, assign_pages, page_ends, paged_blocks, ranked_keys, row_bytes, row_limit
 from folio.operators.sets import remaining_keys, rows_per_key, union_by_name
 
@@ -332,3 +333,42 @@ def test_endpoint_calls_are_under_way_together_and_answered_in_order(spark, tmp_
     assert time.monotonic() - began >= 1.8
     with pytest.raises(ValueError):
         models.EndpointModel(client, ["id"], "data", "y long", in_flight=0)
+
+
+def brute_density(model, row):
+    """(label, strength) of one row, from the meaning."""
+    n = len(model.points)
+    if any(x != x for x in row):
+        return -1, 0.0
+    apart = sorted((math.dist(row, p), i) for i, p in enumerate(model.points.tolist()))[: 2 * model.min_samples]
+    own = apart[model.min_samples][0]
+    reach, _, near = min((max(d, own, model.core[i]), k, i) for k, (d, i) in enumerate(apart))
+    density = 1 / reach if reach else float("inf")
+    cluster = model.parent[near]
+    while model.birth[near] > density and cluster != model.root and model.birth[cluster] >= density:
+        cluster = model.parent[cluster]
+    label = int(model.label[cluster])
+    most = max([model.birth[i] for i in range(n) if model.label[model.parent[i]] == label], default=0)
+    return label, 0.0 if label < 0 else min(density, most) / most if most else 1.0
+
+
+def test_density_clusters_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0, 2, 4)] + [rng.uniform(-3, 7, (20, 3))])
+    n = len(points)
+    edges = [[n, n + 1, 0.5], [n, n + 2, 0.5], [n + 1, n + 3, 0.9], [n + 1, n + 4, 0.9]] + [[n + (3, 4, 2)[i // 40] if i < 120 else n, i, rng.uniform(1, 4)] for i in range(n)]
+    model = DensityClusters(points, core_distances(points, 4), edges, {n + 3: 0, n + 4: 1, n + 2: 2}, 4)
+    rows = np.concatenate([points[::7], rng.uniform(-4, 8, (200, 3)), [[np.nan, 0, 0]]])
+    want = [brute_density(model, r.tolist()) for r in rows]
+    for size in (2048, 5):
+        monkeypatch.setattr("folio.operators.density.BLOCK", size)
+        labels, strengths = model.assigned(rows)
+        assert labels.tolist() == [x for x, _ in want] and np.allclose(strengths, [x for _, x in want])
+    assert set(labels) == {-1, 0, 1, 2} and model.assigned(rows[:0])[0].tolist() == []
+    same = DensityClusters.of_json(json.dumps({"points": points.tolist(), "core_distances": model.core.tolist(), "edges": edges, "labels": {n + 3: 0, n + 4: 1, n + 2: 2}, "min_samples": 4}).encode())
+    assert same.predict(pd.DataFrame(rows))[0].tolist() == labels.tolist()
+    for odd in (b"{}", b"\x80pickle"):
+        with pytest.raises(ModelError):
+            DensityClusters.of_json(odd)
+    with pytest.raises(ModelError):
+        model.assigned(rows[:, :2])
