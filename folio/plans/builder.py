@@ -12,6 +12,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,27 @@ KEYS_PER_FILE = 5_000_000
 log = logging.getLogger(__name__)
 
 
+@dataclass(frozen=True)
+class Progress:
+    """How far a build is, told after each chunk that closed pages: of this run's keys, and of all pages of the dataset."""
+
+    dataset: str
+    pages: int
+    keys_done: int
+    keys: int
+    rows_of_chunk: int
+    rows: int
+    seconds: float
+
+    @property
+    def percent(self) -> float:
+        return 100 * self.keys_done / self.keys
+
+    @property
+    def seconds_left(self) -> float:
+        return self.seconds / self.keys_done * (self.keys - self.keys_done)
+
+
 class DatasetBuilder:
     """Builds dataset ``name`` from the keys of ``header`` and the channels that ``channels`` gives for them.
 
@@ -60,6 +82,7 @@ class DatasetBuilder:
         compression: str = "gzip",
         is_header: bool = False,
         source_id: str | None = None,
+        on_progress: Callable[[Progress], None] | None = None,
     ) -> None:
         for value in (if_complete, if_partial):
             if value not in BEHAVIORS:
@@ -68,7 +91,7 @@ class DatasetBuilder:
         self._header, self._channels, self._limits = header, channels, limits or PageLimits()
         self._if = {True: if_complete, False: if_partial}
         self._chunk, self._compression, self._is_header, self._source_id = chunk_keys, compression, is_header, source_id
-        self._files = Files(spark)
+        self._files, self._on_progress = Files(spark), on_progress
         self.reader = DatasetReader(spark, root, kind, name)
 
     def build(self, transform: Transform, keys: DataFrame | None = None) -> DatasetReader:
@@ -97,8 +120,9 @@ class DatasetBuilder:
             mine = (mine.where(F.col("key_ord") < done + self._chunk) if more else mine).select("key", (F.col("key_ord") - done).alias("key_ord"))
             begun, run = time.time(), f"run-{uuid4().hex}"
             staged_path = f"{self.root}/{join_key(folder, '_staging', run)}"
-            transform(self._channels(mine.select("key")), mine.select("key")).write.parquet(staged_path)
-            staged = self._spark.read.parquet(staged_path)
+            made = transform(self._channels(mine.select("key")), mine.select("key"))
+            made.write.parquet(staged_path)
+            staged = self._spark.read.schema(made.schema).parquet(staged_path)
             counts = mine.join(rows_per_key(mine, staged), "key")
             paged = assign_pages(counts, self._limits, row_bytes(staged.schema), ord_col="key_ord")
             paged_path = f"{staged_path}-pages"
@@ -115,7 +139,7 @@ class DatasetBuilder:
                     manifest.add_page(join_key(folder, run), r["page"], (time.time() - begun) / len(summary), r["n"], r["rows"])
                 done += sum(r["n"] for r in summary)
                 self._publish(manifest)
-                log.info("dataset %s: %d of %d keys, %.0f s left", self.name, done, total, (time.time() - started) / done * (total - done))
+                self._tell(Progress(self.name, len(manifest.pages), done, total, sum(r["rows"] for r in summary), sum(p["rowCount"] for p in manifest.pages), time.time() - started))
             for path in (staged_path, paged_path):
                 self._files.delete(path)
         self._files.delete(ordered_path)
@@ -204,5 +228,10 @@ class DatasetBuilder:
         for page in (r["page"] for r in summary if not r["rows"]):  # a page of keys without rows
             staged.limit(0).coalesce(1).write.parquet(f"{self.root}/{join_key(folder, 'dataframe', f'page={page}')}")
 
+    def _tell(self, progress: Progress) -> None:
+        log.info("dataset %s: %d pages, %d of %d keys (%.1f %%), %d rows, %.0f s left", progress.dataset, progress.pages, progress.keys_done, progress.keys, progress.percent, progress.rows, progress.seconds_left)
+        if self._on_progress is not None:
+            self._on_progress(progress)
+
     def _publish(self, manifest: Manifest) -> None:
         self._files.publish(f"{self.root}/{manifest.key}", manifest.to_json())

@@ -135,6 +135,13 @@ def test_interrupted_build_goes_on(library, chunk):
     assert sorted(map(tuple, got.dataframe().collect())) == sorted(map(tuple, whole.dataframe().collect()))
 
 
+def test_progress_is_told_after_each_chunk(library):
+    told = []
+    library.builder(NAME, limits=PageLimits(max_rows=5, check_every=1), chunk_keys=2, on_progress=told.append).build(ticks)
+    assert [p.keys_done for p in told] == sorted(p.keys_done for p in told) and told[-1].keys_done == told[-1].keys == 5
+    assert told[-1].rows == sum(p.rows_of_chunk for p in told) == 30 and told[-1].percent == 100 and told[-1].seconds_left == 0
+
+
 def test_keys_without_rows_are_recorded(library):
     built = library.builder(NAME).build(lambda c: c["tick"].where("tick > 8").select("key", "tick"))
     assert len(built.keyset()) == 5 and built.dataframe().select("key").distinct().count() == 1
