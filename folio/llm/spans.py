@@ -118,9 +118,57 @@ def sent(rows: Iterator[tuple[int, int, bytes]], size: int = 4 << 20) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
+#: Parts that rows are dealt to in one exchange at most; more are reached in two, so that the number of rows grows with
+#: what is sent and not with the parts times that.
+FAN = 1_024
+#: Bytes that a task holds until it sends them on to all groups of parts.
+HELD = 16 << 20
+_CONTAINER = 1 << 6
+
+
+def _contained(rows: list[tuple[int, int, bytes]]) -> bytes:
+    """Rows of (part, kind, body) as one body."""
+    return packed(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int8), np.array([len(r[2]) for r in rows], np.int64)) + b"".join(r[2] for r in rows)
+
+
+def _opened(body: pa.Buffer) -> Iterator[tuple[int, int, pa.Buffer]]:
+    parts, kinds, sizes = unpacked(body, np.int64, np.int8, np.int64)
+    at = 24 + 17 * len(parts)
+    for part, kind, size in zip(parts.tolist(), kinds.tolist(), sizes.tolist(), strict=True):
+        yield part, kind, body.slice(at, size)
+        at += size
+
+
+def _grouped(rows: Iterator[tuple[int, int, bytes]], group: Callable[[int], int]) -> Iterator[tuple[int, int, bytes]]:
+    """(group, kind of a container, rows of the group as one body), some megabytes of all groups at a time."""
+    held: dict[int, list] = {}
+    weight = 0
+    for row in rows:
+        held.setdefault(group(row[0]), []).append(row)
+        weight += len(row[2])
+        if weight >= HELD:
+            yield from ((g, _CONTAINER, _contained(x)) for g, x in held.items())
+            held, weight = {}, 0
+    yield from ((g, _CONTAINER, _contained(x)) for g, x in held.items())
+
+
 def exchanged(df: DataFrame, send: Callable, parts: int) -> DataFrame:
-    """What ``send`` makes of the batches of ``df``, each part in a partition of its own."""
-    return df.mapInArrow(giving_back(lambda batches: sent(send(batches))), SENT_DDL).repartitionById(parts, "part")
+    """What ``send`` makes of the batches of ``df``, each part in a partition of its own.
+
+    To more than ``FAN`` parts rows go by way of groups of parts, first to a
+    task for each group, which sends the rows of each of its parts together.
+    """
+    if parts <= FAN:
+        return df.mapInArrow(giving_back(lambda batches: sent(send(batches))), SENT_DDL).repartitionById(parts, "part")
+    width = -(-parts // FAN)
+    groups = -(-parts // width)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for body in batch["body"] for row in _opened(body.as_buffer()))
+        yield from sent(_grouped(((p, k, x.to_pybytes()) for p, k, x in rows), lambda part: part))
+
+    first = df.mapInArrow(giving_back(lambda batches: sent(_grouped(send(batches), lambda part: part // width))), SENT_DDL).repartitionById(groups, "part")
+    return first.mapInArrow(giving_back(again), SENT_DDL).repartitionById(parts, "part")
 
 
 def bodies(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.Buffer]]:
@@ -128,5 +176,6 @@ def bodies(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.Buffer]]:
     out: dict[int, list] = {}
     for batch in batches:
         for kind, body in zip(batch["kind"].to_pylist(), batch["body"], strict=True):
-            out.setdefault(kind, []).append(body.as_buffer())
+            for _, k, x in _opened(body.as_buffer()) if kind == _CONTAINER else [(0, kind, body.as_buffer())]:
+                out.setdefault(k, []).append(x)
     return out

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_pairs_and_native import brute_components
 
-from folio.llm import byte_cnn, lexical_search, mixing, sharding, substring_dedup, url_filters
+from folio.llm import byte_cnn, lexical_search, mixing, sharding, spans, substring_dedup, url_filters
 from folio.llm.decontamination import decontaminated
 from folio.llm.lexical_search import ranked_documents
 from folio.llm.ngram_join import least_of_component, ngram_components
@@ -140,6 +140,9 @@ def test_kept_words_equal_brute_force(spark, monkeypatch):
     assert take(without_repeats(docs)) == brute_kept(rows)
     monkeypatch.setattr(substring_dedup, "SLICE", 50)  # many slices, so that most is told by the shards
     assert take(without_repeats(docs)) == brute_kept(rows)
+    monkeypatch.setattr(spans, "FAN", 2)  # by groups of parts, a few rows at a time
+    monkeypatch.setattr(spans, "HELD", 500)
+    assert take(without_repeats(docs)) == brute_kept(rows)
     monkeypatch.setattr(substring_dedup, "BROADCAST_KEYS", 1)
     assert take(without_repeats(docs, window=9)) == brute_kept(rows, 9)
 
