@@ -131,12 +131,15 @@ class TimedConsumer:
 
     def _sink(self, rows: DataFrame, batch: int) -> None:
         with self._batch:
-            path = f"{self.root}/outcomes/batch={batch}"
-            rows.where("outcome is not null").write.mode("overwrite").parquet(path)  # once: reading it hands nothing over again
-            done = self._spark.read.schema(_OUT).parquet(path)
-            if done.isEmpty():
-                self._files.delete(path)
-            elif self._delete is not None:
+            path, beside = f"{self.root}/outcomes/batch={batch}", f"{self.root}/_staging/batch={batch}"
+            rows.where("outcome is not null").write.mode("overwrite").parquet(beside)  # once: reading it hands nothing over again
+            if self._spark.read.schema(_OUT).parquet(beside).isEmpty():
+                self._files.delete(beside)
+                return
+            self._files.delete(path)  # of a batch that is run again
+            self._files.move(beside, path)  # whole, so that a reader sees no part of a batch
+            if self._delete is not None:
+                done = self._spark.read.schema(_OUT).parquet(path)
                 self._delete(acknowledged(done).select("MessageId", "ReceiptHandle", "outcome", "error"))
 
     def start(self) -> StreamingQuery:
