@@ -100,7 +100,7 @@ _AT = re.compile(r"(?i)\s?[\[({<]\s?at\s?[\])}>]\s?|\s?[\[({<]\s?@\s?[\])}>]\s?|
 _DOT = re.compile(r"(?i)(?<=\w)(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)(?=\w)")
 _NUMBER_WORD = _ONE.replace("|[0-9]", "")
 # without case only in its words: a dotless i in the set would stand for every i
-_TRIGGER = re.compile("(?i)(?-i:[" + re.escape("".join(_GLYPHS) + _UNSEEN) + r"])|\bdot\b|[\[({<]\s?(?:at|@|\.)\s?[\])}>]" + rf"|(?<![^\W\d_]){_NUMBER_WORD}(?=[\s,-]{{0,2}}{_ONE})|[0-9](?=[\s,-]{{0,2}}{_NUMBER_WORD})")
+_TRIGGER = re.compile("(?i)(?-i:[" + re.escape("".join(_GLYPHS) + _UNSEEN) + r"])|\bdot\b|[\[({<]\s?(?:at|@|\.)\s?[\])}>]" + rf"|(?<![^\W\d_]){_NUMBER_WORD}(?=[\s,-]{{0,2}}{_ONE})|[0-9](?=[\s,-]{{0,2}}{_NUMBER_WORD})|\bplus(?=[\s,]+[0-9])")
 _GLYPH = re.compile("[" + re.escape("".join(_GLYPHS) + _UNSEEN) + "]")
 
 
@@ -200,7 +200,7 @@ def _loosely() -> str:
     word = word.replace("i", "[i\u0131\u0130]").replace("s", "[s\u017f]")  # as Python folds case
     gap = rf"[{space},-]{{0,2}}"
     glyphs = "".join(rf"\x{{{ord(c):x}}}" for c in (*_GLYPHS, *_UNSEEN))
-    return rf"(?i)(?:{word}){gap}(?:{word}|[0-9])|[0-9]{gap}(?:{word})|dot|[\[({{<][{space}]?(?:at|@|\.)|(?-i:[{glyphs}])"
+    return rf"(?i)(?:{word}){gap}(?:{word}|[0-9])|[0-9]{gap}(?:{word})|plu[s\u017f][{space},]|dot|[\[({{<][{space}]?(?:at|@|\.)|(?-i:[{glyphs}])"
 
 
 _LOOSE = _loosely()
