@@ -200,7 +200,7 @@ def _loosely() -> str:
     word = word.replace("i", "[i\u0131\u0130]").replace("s", "[s\u017f]")  # as Python folds case
     gap = rf"[{space},-]{{0,2}}"
     glyphs = "".join(rf"\x{{{ord(c):x}}}" for c in (*_GLYPHS, *_UNSEEN))
-    return rf"(?i)(?:{word}){gap}(?:{word}|[0-9])|[0-9]{gap}(?:{word})|plu[s\u017f][{space},]|dot|[\[({{<][{space}]?(?:at|@|\.)|(?-i:[{glyphs}])"
+    return rf"(?i)(?:{word}){gap}(?:{word}|[0-9])|[0-9]{gap}(?:{word})|plu[s\x{{17f}}][{space},]|dot|[\[({{<][{space}]?(?:at|@|\.)|(?-i:[{glyphs}])"
 
 
 _LOOSE = _loosely()
