@@ -3,7 +3,8 @@
 A list is a log of entries: a pattern (a host, with all below it, and perhaps
 the start of a path) is added or removed at a time. Entries become intervals
 in which they hold, and each capture is judged by those that held when it was
-fetched.
+fetched: what decides for a pattern is a table of instants from which it does,
+and an as-of join takes a capture to the last one before it.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.runtime import column, stored
+from folio.llm.runtime import numbered, stored
 
 ENTRY_SCHEMA = "list string, effect string, pattern string, action string, at timestamp"
 
+#: Captures of a pattern that one task orders by time at most, on average; more are dealt out with a copy of the pattern's instants each.
+CAPTURES_A_PART = 1_000_000
+
 
 def url_host(url: Column) -> Column:
     """The host in lower case, without user, port and closing dot; empty if there is none."""
@@ -47,41 +51,81 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return once.withColumn("until", until).where("added").select("list", "effect", "host", "path", F.col("at").alias("since"), "until")
 
 
-def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
+def pattern_states(intervals: DataFrame) -> DataFrame:
+    """(suffix, path, at, best): what decides for a pattern from an instant on, until its next one.
+
+    ``best`` is (blocks, list): of the lists whose interval covers the instant
+    one that blocks, then the last by name; null if none holds. The instants of
+    a pattern are numbered, an interval is cut into runs of 2^level of them
+    that begin at multiples of that, and an instant looks up the runs that it
+    is in, one a level. So rows grow with the entries times a logarithm, however
+    many lists name one pattern.
+    """
+    pattern = ["suffix", "path"]
+    spans = intervals.withColumnRenamed("host", "suffix").withColumn("best", F.struct((F.col("effect") == "block").alias("blocks"), "list"))
+    ends = F.explode(F.array(F.struct(F.col("since").alias("at"), F.lit(True).alias("opens")), F.struct(F.col("until").alias("at"), F.lit(False).alias("opens"))))
+    events = spans.select(*pattern, "best", "since", ends.alias("end")).select(*pattern, "best", "since", "end.*").where("at is not null")
+    numbers = events.withColumn("number", F.dense_rank().over(W.partitionBy(*pattern).orderBy("at")).cast("long") - 1)
+    numbers = numbers.withColumn("n", F.max("number").over(W.partitionBy(*pattern)) + 1)
+    levels = F.explode(F.expr("sequence(0, int(floor(log2(n))))")).alias("level")
+
+    covered = numbers.groupBy(*pattern, "best", "since", "n").agg(F.min("number").alias("a"), F.max(F.when(~F.col("opens"), F.col("number"))).alias("b"))
+    covered = covered.select(*pattern, "best", "a", F.coalesce("b", "n").alias("b"), levels)
+    covered = covered.withColumn("low", F.expr("shiftright(a + shiftleft(1L, level) - 1, level)")).withColumn("high", F.expr("shiftright(b, level)")).where("low < high")
+    runs = F.explode(F.array(F.when(F.col("low") % 2 == 1, F.col("low")), F.when(F.col("high") % 2 == 1, F.col("high") - 1)))
+    covered = covered.select(*pattern, "level", runs.alias("run"), "best").where("run is not null").groupBy(*pattern, "level", "run").agg(F.max("best").alias("best"))
+
+    instants = numbers.select(*pattern, "at", "number", "n").distinct().select(*pattern, "at", "number", levels)
+    instants = instants.withColumn("run", F.expr("shiftright(number, level)"))
+    return instants.join(covered, [*pattern, "level", "run"], "left").groupBy(*pattern, "at").agg(F.max("best").alias("best"))
+
+
+def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", captures_a_part: int = CAPTURES_A_PART) -> DataFrame:
     """``captures`` with ``host``, ``matched_list``, ``matched_pattern`` and ``kept``.
 
     Of the patterns that held when a capture was fetched, the longest decides;
-    of those of equal length one that blocks. Without one the capture is kept,
-    and so are those without a host or a time. Every capture is returned once,
-    repeated rows and nulls included.
-
-    Hosts are made distinct before the lists are joined to their suffixes, and
-    what holds for each host is written before the captures are joined to it by
-    host: a join of two exchanges, of which Spark splits a hot host's captures
-    over tasks. An empty table of captures gives an empty result, one of
-    entries keeps all. Columns of the names above are replaced; any others,
-    of whatever name, are returned as they are.
+    of those of equal length one that blocks, then the last by list and
+    pattern. Without one the capture is kept, and so are those without a host
+    or a time. Every capture is returned once, repeated rows and nulls
+    included, URLs however long. An empty table of captures gives an empty
+    result, one of entries keeps all. Columns of the names above are replaced;
+    any others, of whatever name, are returned as they are.
+
+    Captures of hosts that a list reaches are made distinct by host, path and
+    time, and each is looked up for the starts of its path that have the length
+    of some pattern's: instants and captures of a pattern are united and
+    ordered by time, and the last instant before a capture tells. The captures
+    of a pattern that has many are dealt out, with a copy of its instants for
+    each part. What was found is joined back by host, path and time, so that no
+    host is a hot key of that join.
     """
-    captures = captures.drop("host", "matched_list", "matched_pattern", "kept").withColumn("host", url_host(F.col(url_col)))
+    names = [c for c in captures.columns if c not in ("host", "matched_list", "matched_pattern", "kept")]
+    plain, known = numbered(captures.drop("host", "matched_list", "matched_pattern", "kept"))
+    plain = plain.withColumn("host", url_host(F.col(known[url_col])))
+    where = [F.col("host"), url_path(F.col(known[url_col])).alias("whole"), F.col(known[time_col]).alias("at")]
+    seen = plain.select(*where).where("host != '' and at is not null")
+    states = stored(pattern_states(validity_intervals(entries)), "states")
+
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = captures.where("host != ''").select("host").distinct().select("host", F.explode(suffix).alias("suffix"))
-    spans = validity_intervals(entries).withColumnRenamed("host", "suffix")
-    rule = F.struct(
-        (F.length("suffix") + F.length("path")).alias("length"),
-        (F.col("effect") == "block").alias("blocks"),
-        "list",
-        F.concat("suffix", F.when(F.col("path") == "/", "").otherwise(F.col("path"))).alias("pattern"),
-        "path",
-        "since",
-        "until",
-    )
-    rules = hosts.join(spans, "suffix").groupBy("host").agg(F.collect_list(rule).alias("_folio_rules"))
-    rules = stored(rules.withColumnRenamed("host", "_folio_host"), "rules")
-    path, at = url_path(F.col(url_col)), F.col(time_col)
-    held = F.filter("_folio_rules", lambda r: (r["since"] <= at) & (r["until"].isNull() | (at < r["until"])) & F.startswith(path, r["path"]))
-    best = F.array_max(F.transform(held, lambda r: F.struct(r["length"], r["blocks"], r["list"], r["pattern"])))
-    seen = captures.join(rules, F.col("host") == F.col("_folio_host"), "left").withColumn("_folio_best", best)
-    kept = ~F.coalesce(F.col("_folio_best.blocks"), F.lit(False))
-    found = [F.col("_folio_best.list").alias("matched_list"), F.col("_folio_best.pattern").alias("matched_pattern"), kept.alias("kept")]
-    return seen.select(*[column(c) for c in captures.columns], *found)
+    hosts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n")).select("host", "n", F.explode(suffix).alias("suffix"))
+    # no more lengths than the longest path has characters
+    reach = stored(hosts.join(states.groupBy("suffix").agg(F.collect_set(F.length("path")).alias("lengths")), "suffix"), "reach")
+    parts = reach.groupBy("suffix").agg(F.ceil(F.sum("n") / captures_a_part).cast("int").alias("parts"))
+    nothing = F.struct(F.lit(None).cast("boolean").alias("blocks"), F.lit(None).cast("string").alias("list"))
+    dealt = states.join(parts, "suffix").select("suffix", "path", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "at", F.coalesce("best", nothing).alias("state"))
+
+    asked = seen.join(reach.select("host"), "host", "left_semi").distinct().join(reach.join(parts, "suffix").drop("n"), "host")
+    part = F.pmod(F.xxhash64("host", "whole", "at"), F.col("parts")).cast("int").alias("part")
+    asked = asked.select("host", "whole", "at", "suffix", part, F.explode(F.filter("lengths", lambda n: n <= F.length("whole"))).alias("length"))
+    asked = asked.select("host", "whole", "at", "suffix", "part", F.substring("whole", F.lit(1), F.col("length")).alias("path"))
+    of_pattern = W.partitionBy("suffix", "path", "part").orderBy("at", F.col("host").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    judged_at = asked.unionByName(dealt, allowMissingColumns=True).withColumn("state", F.last("state", ignorenulls=True).over(of_pattern))
+    judged_at = judged_at.where("host is not null and state.list is not null")
+    pattern = F.concat("suffix", F.when(F.col("path") == "/", "").otherwise(F.col("path")))
+    best = F.max(F.struct((F.length("suffix") + F.length("path")).alias("length"), "state.blocks", "state.list", pattern.alias("pattern"))).alias("best")
+    found = stored(judged_at.groupBy("host", "whole", "at").agg(best), "found").toDF("_host", "_whole", "_at", "best")
+
+    same = (F.col("host") == F.col("_host")) & (url_path(F.col(known[url_col])) == F.col("_whole")) & (F.col(known[time_col]) == F.col("_at"))
+    told = ["host", F.col("best.list"), F.col("best.pattern"), ~F.coalesce(F.col("best.blocks"), F.lit(False))]
+    return plain.join(found, same, "left").select(*known.values(), *told).toDF(*names, "host", "matched_list", "matched_pattern", "kept")

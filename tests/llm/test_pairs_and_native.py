@@ -341,6 +341,54 @@ def test_url_filter_is_judged_at_the_time_of_fetch(spark):
     assert judged(captures, entries.limit(0)).where("not kept").count() == 0 and judged(captures.limit(0), entries).count() == 0
 
 
+def brute_judged(url, at, log):
+    """By the entries as they are: what was last said of each list and pattern, then the longest."""
+    host, path = url.split("/", 3)[2], "/" + url.split("/", 3)[3]
+    best = None
+    for name, pattern in {(r[0], r[2]) for r in log}:
+        said = [r for r in log if (r[0], r[2]) == (name, pattern) and r[4] <= at]
+        latest = [r for r in said if r[4] == max(x[4] for x in said)]
+        if not any(r[3] == "add" for r in latest):
+            continue
+        of, _, start = pattern.partition("/")
+        if (host == of or host.endswith("." + of)) and path.startswith("/" + start):
+            blocks = any(r[1] != "allow" for r in latest)
+            best = max(best or (0,), (len(of) + 1 + len(start), blocks, name, pattern if start else of))
+    return best and best[1:]
+
+
+@pytest.mark.parametrize("part", [7, 1_000_000])
+def test_url_filter_equals_brute_force(spark, part):
+    rng = random.Random(part)
+    patterns = ["hot.com", "a.hot.com", "hot.com/", "hot.com/x", "hot.com/x/", "a.hot.com/x/y", "com", "other.net/ü", "other.net"]
+    log = [(f"l{rng.randrange(5)}", rng.choice(("block", "block", "allow")), rng.choice(patterns), rng.choice(("add", "add", "remove")), rng.randrange(60)) for _ in range(300)]
+    seen = [(f"http://{rng.choice(('hot.com', 'a.hot.com', 'b.a.hot.com', 'other.net', 'free.org', 'x.other.net'))}/{rng.choice(('', 'x', 'x/', 'x/y/z', 'xy', 'ü/1', 'y' * 3000))}", rng.randrange(70)) for _ in range(600)]
+    timed = lambda df: df.withColumn("at", F.timestamp_seconds("s")).drop("s")
+    captures = timed(spark.createDataFrame(seen + seen[:50], "url string, s long")).withColumn("host", F.lit(1)).withColumn("path", F.lit(2)).repartition(4)
+    got = judged(captures, timed(spark.createDataFrame(log, "list string, effect string, pattern string, action string, s long")), "url", "at", part)
+    assert got.columns == ["url", "at", "path", "host", "matched_list", "matched_pattern", "kept"]
+    log = [(*r[:2], "hot.com" if r[2] == "hot.com/" else r[2], *r[3:]) for r in log]  # one and the same pattern
+    want = Counter()
+    for url, at in seen + seen[:50]:
+        blocks, name, pattern = brute_judged(url, at, log) or (False, None, None)
+        want[url, at, name, pattern, not blocks] += 1
+    assert Counter(map(tuple, got.select("url", F.unix_seconds("at"), "matched_list", "matched_pattern", "kept").collect())) == want
+
+
+def test_url_filter_of_a_host_with_very_many_entries(spark):
+    """Half of the entries are of one pattern by as many lists, the others of a path each; every capture is of their host."""
+    n = 50_000
+    lists = spark.range(n).select(F.format_string("l%05d", "id").alias("list"), F.lit("block").alias("effect"), F.lit("hot.com").alias("pattern"), F.lit("add").alias("action"), F.timestamp_seconds("id").alias("at"))
+    gone = lists.withColumn("action", F.lit("remove")).withColumn("at", F.col("at") + F.expr("interval 10 seconds"))
+    paths = spark.range(n).select(F.lit("p").alias("list"), F.lit("allow").alias("effect"), F.format_string("hot.com/%d/", "id").alias("pattern"), F.lit("add").alias("action"), F.timestamp_seconds(F.lit(70_000)).alias("at"))
+    captures = spark.range(2 * n).select(F.format_string("http://www.hot.com/%d/x", "id").alias("url"), F.timestamp_seconds("id").alias("fetched_at"), F.col("id").alias("t"))
+    got = judged(captures, lists.union(gone).union(paths), captures_a_part=20_000)
+    t = F.col("t")
+    # lists are added a second apart and hold ten seconds: of those that hold the last decides
+    want = F.when(t < n, F.format_string("l%05d", "t")).when(t < n + 9, f"l{n - 1:05d}")
+    assert got.where(~F.col("matched_list").eqNullSafe(want) | (F.col("kept") != (t >= n + 9))).count() == 0 and got.count() == 2 * n
+
+
 def test_decontamination_tolerates_substitutions(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(5000)}"
