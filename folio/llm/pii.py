@@ -91,16 +91,51 @@ for _zero in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F
     _GLYPHS |= {chr(_zero + d): str(d) for d in range(10)}
 _UNSEEN = "​‌‍⁠﻿­"
 
-_NUMBER = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_ONE = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])"
+# Digits spelled in English, German, French and Spanish, and how often the next one counts.
+_NUMBER = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "ein": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_ARTICLES = ("un", "uno", "ein")
+_TIMES = {"double": 2, "triple": 3, "doble": 2}
+# Mail services, words that stand before "at" without being a name, top domains, and what announces an address.
+_SERVICES = "gmail|googlemail|hotmail|outlook|icloud|gmx|protonmail|laposte|wanadoo|yahoo|aol"
+_NO_NAMES = frozenset("a an the in on up out us me it him her them is are was were here there account accounts online page site website address email mail mails inbox login users people server servers".split())
+_TOP = "com|org|net|edu|gov|info|io|eu|uk|de|ch|fr|es|mx|nl"
+_ANNOUNCED = re.compile(r"(?i)(?:mail|mailto|contact|correo|courriel|address|adresse|write to|reach)(?:\s?(?:is|:))?\s$")
+
+_SURE = "|".join(sorted(set(_NUMBER) - set(_ARTICLES), key=len, reverse=True))
+_WORDS = "|".join(sorted(_NUMBER, key=len, reverse=True))  # the longer of two that begin alike is tried first
+_ARTICLES_OR = "|".join(sorted(_ARTICLES, key=len, reverse=True))
+_MANY = rf"(?:{'|'.join(_TIMES)})[\s-]{{1,2}}"
+_ONE = f"(?:{_WORDS}|[0-9])"
+_ITEM = f"(?:{_MANY})?{_ONE}"
 #: Two digits in a row or more, one of them spelled; "plus" before them is a sign.
-_SPELLED = re.compile(rf"(?i)(?:\bplus[\s,]+)?(?<![^\W\d_]){_ONE}(?:[\s,-]{{0,2}}{_ONE}){{1,}}(?![^\W\d_])")
-_SPELLED_PART = re.compile(rf"(?i)plus[\s,]+|{_ONE}")
-_AT = re.compile(r"(?i)\s?[\[({<]\s?at\s?[\])}>]\s?|\s?[\[({<]\s?@\s?[\])}>]\s?|\s(?:at)\s(?=[\w-]+(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s))")
-_DOT = re.compile(r"(?i)(?<=\w)(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)(?=\w)")
-_NUMBER_WORD = _ONE.replace("|[0-9]", "")
+_SPELLED = re.compile(rf"(?i)(?:\bplus[\s,]+)?(?<![^\W\d_]){_ITEM}(?:[\s,-]{{0,2}}{_ITEM}){{1,}}(?![^\W\d_])")
+_SPELLED_PART = re.compile(rf"(?i)plus[\s,]+|({_MANY})?({_ONE})")
+_LABEL = "[a-z0-9-]+"
+_OTHER_DOT = "punto|point|punkt"
+_AT = re.compile(
+    r"(?i)\s?[\[({<]\s?(?:at|arroba|arobase)\s?[\])}>]\s?|\s?[\[({<]\s?@\s?[\])}>]\s?|\s(?:at)\s(?=[\w-]+(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s))"
+    rf"|(?<=[a-z0-9])_at_(?={_LABEL}(?:_dot_|\.){_LABEL})|\s(?:arroba|arobase)\s(?={_LABEL}(?:\.|\s\.\s|\s(?:dot|{_OTHER_DOT})\s){_LABEL})"
+)
+#: A spelled "at", or a mark amid spaces, before a plain domain: prose has that too, so that ``_meant`` decides.
+_MAYBE_AT = re.compile(rf"(?i)(?<=[a-z0-9])\s(?:at|@)\s(?=({_LABEL}(?:(?:\.|\s\.\s){_LABEL})+))")
+_DOT = re.compile(rf"(?i)(?<=\w)(?:\s?[\[({{<]\s?(?:dot|\.|{_OTHER_DOT})\s?[\])}}>]\s?|\sdot\s)(?=\w)|(?<=[a-z0-9])_dot_(?=[a-z0-9])")
+#: From a mark to the first top domain, over dots amid spaces and those spelled in other languages.
+_DOMAIN_AFTER = re.compile(rf"(?i)@{_LABEL}(?:(?:\.|\s\.\s|\s(?:{_OTHER_DOT})\s){_LABEL})*?(?:\.|\s\.\s|\s(?:{_OTHER_DOT})\s)(?:{_TOP})(?![\w-])")
+_WIDE_DOT = re.compile(rf"(?i)\s(?:\.|{_OTHER_DOT})\s")
+_ENTITY = re.compile(r"&(?:#0*([0-9]{2,3})|#[xX]0*([0-9a-fA-F]{2})|(commat|period|plus|lowbar|nbsp));")
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "nbsp": " "}
 # without case only in its words: a dotless i in the set would stand for every i
-_TRIGGER = re.compile("(?i)(?-i:[" + re.escape("".join(_GLYPHS) + _UNSEEN) + r"])|\bdot\b|[\[({<]\s?(?:at|@|\.)\s?[\])}>]" + rf"|(?<![^\W\d_]){_NUMBER_WORD}(?=[\s,-]{{0,2}}{_ONE})|[0-9](?=[\s,-]{{0,2}}{_NUMBER_WORD})|\bplus(?=[\s,]+[0-9])")
+_TRIGGER = re.compile(
+    "(?i)(?-i:[" + re.escape("".join(_GLYPHS) + _UNSEEN) + r"])|(?:\b|_)dot(?:\b|_)|[\[({<]\s?(?:at|@|\.|arroba|arobase)\s?[\])}>]|&(?:#|commat|period|plus|lowbar|nbsp)"
+    rf"|[\[({{<]\s?(?:{_OTHER_DOT})\s?[\])}}>]|\s(?:arroba|arobase)\s|[a-z0-9]_at_|\s(?:at|@)\s{_LABEL}(?:\.|\s\.\s)[a-z0-9-]|@[a-z0-9.-]+\s(?:\.|{_OTHER_DOT})\s"
+    rf"|(?<![^\W\d_])(?:{_SURE})(?=[\s,-]{{0,2}}{_ITEM})|(?<![^\W\d_])(?:{_ARTICLES_OR})(?=[\s,-]{{0,2}}(?:{_MANY}|{_SURE}))|[0-9](?=[\s,-]{{0,2}}(?:{_MANY}|{_SURE}))"
+    rf"|[0-9](?=[\s,-]{{0,2}}(?:{_ARTICLES_OR})[\s,-]{{0,2}}{_ITEM})|(?<![^\W\d_]){_MANY}{_ONE}|\bplus(?=[\s,]+(?:[0-9]|{_ARTICLES_OR}))"
+)
 _GLYPH = re.compile("[" + re.escape("".join(_GLYPHS) + _UNSEEN) + "]")
 
 
@@ -151,22 +186,57 @@ class Rewritten:
 
 
 def _spelled_edit(m: re.Match) -> tuple[int, int, list[tuple[str, int, int]]] | None:
-    if m.group().replace(" ", "").isdigit() or not re.search("[A-Za-z]", m.group()):
+    parts = list(_SPELLED_PART.finditer(m.group()))
+    # an article at the edge of digits is a digit only if others are spelled
+    if all(p[0].isdigit() or p[0].lower() in _ARTICLES or p[2] is None for p in parts):
+        while parts and parts[-1][0].lower() in _ARTICLES:
+            parts.pop()
+        while parts and parts[0][0].lower() in _ARTICLES:
+            parts.pop(0)
+    if all(p[0].isdigit() for p in parts):
         return None
     out = []
-    for p in _SPELLED_PART.finditer(m.group()):
-        word = p.group().lower()
-        out.append(("+" if word.startswith("plus") else _NUMBER.get(word, word), m.start() + p.start(), m.start() + p.end()))
-    return m.start(), m.end(), out
+    for p in parts:
+        many, word = (p[1] or "").rstrip(" \t\n-").lower(), (p[2] or "+").lower()
+        out += [(_NUMBER.get(word, word), m.start() + p.start(), m.start() + p.end())] * _TIMES.get(many, 1)
+    return m.start() + parts[0].start(), m.start() + parts[-1].end(), out
+
+
+def _meant(text: str, m: re.Match) -> bool:
+    """Whether "name at domain" is an address: by its mail service, a name that no word of prose is like, or what announces it."""
+    start = m.start()
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    name, domain = text[start : m.start()], m[1].lower()
+    if name.lower() in _NO_NAMES or not re.search("[A-Za-z]", name):
+        return False
+    if "@" in m[0] and re.search(rf"\s\.\s(?:{_TOP})(?![\w-])", domain):
+        return True
+    like_name = re.search(r"[A-Za-z0-9][._+]+[A-Za-z0-9]|[0-9]", name) and re.search(rf"\.(?:{_TOP})(?![\w-])", domain)
+    return bool(like_name or re.match(rf"(?:{_SERVICES})\b", domain) or _ANNOUNCED.search(text, max(0, start - 16), start))
+
+
+def _character(m: re.Match) -> str | None:
+    """The printable ASCII character that an entity stands for."""
+    code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else ord(_NAMED[m[3]])
+    return chr(code) if 0x20 <= code < 0x7F else None
+
+
+def _dots_of(text: str) -> Iterator[tuple[int, int, list[tuple[str, int, int]]]]:
+    for m in _DOMAIN_AFTER.finditer(text):
+        for d in _WIDE_DOT.finditer(text, m.start(), m.end()):
+            yield d.start(), d.end(), [(".", d.start(), d.end())]
 
 
 def rewrite(text: str) -> Rewritten:
     """The text without its disguises."""
     r = Rewritten(text)
     r.apply((m.start(), m.end(), [(_GLYPHS[m[0]], m.start(), m.end())] if m[0] in _GLYPHS else []) for m in _GLYPH.finditer(r.text))
+    r.apply([(m.start(), m.end(), [(c, m.start(), m.end())]) for m in _ENTITY.finditer(r.text) if (c := _character(m))])
     r.apply([e for m in _SPELLED.finditer(r.text) if (e := _spelled_edit(m))])
-    for pattern, char in ((_AT, "@"), (_DOT, ".")):
-        r.apply([(m.start(), m.end(), [(char, m.start(), m.end())]) for m in pattern.finditer(r.text)])
+    for pattern, char, meant in ((_AT, "@", None), (_MAYBE_AT, "@", _meant), (_DOT, ".", None)):
+        r.apply([(m.start(), m.end(), [(char, m.start(), m.end())]) for m in pattern.finditer(r.text) if meant is None or meant(r.text, m)])
+    r.apply(list(_dots_of(r.text)))
     return r
 
 
@@ -196,11 +266,15 @@ _PLAIN[[*range(48, 58), 64]] = True
 def _loosely() -> str:
     """A pattern in Arrow's dialect, which knows no lookaround: it matches wherever ``_TRIGGER`` does, and elsewhere too."""
     space = r"\s\x0b\x1c-\x1f\x{85}\pZ"
-    word = _NUMBER_WORD.removeprefix("(?:").removesuffix(")")
-    word = word.replace("i", "[i\u0131\u0130]").replace("s", "[s\u017f]")  # as Python folds case
+    folded = lambda words: words.replace("i", "[iıİ]").replace("s", "[sſ]")  # noqa: E731 - as Python folds case
+    word, sure, article, many, dot = (folded(w) for w in (_WORDS, _SURE, _ARTICLES_OR, "|".join(_TIMES), _OTHER_DOT))
+    many = f"(?:{many})[{space}-]"
     gap = rf"[{space},-]{{0,2}}"
     glyphs = "".join(rf"\x{{{ord(c):x}}}" for c in (*_GLYPHS, *_UNSEEN))
-    return rf"(?i)(?:{word}){gap}(?:{word}|[0-9])|[0-9]{gap}(?:{word})|plu[s\x{{17f}}][{space},]|dot|[\[({{<][{space}]?(?:at|@|\.)|(?-i:[{glyphs}])"
+    mark = rf"[\[({{<][{space}]?(?:at|@|\.|arroba|aroba[s\x{{17f}}]e|{dot})[{space}]?[\])}}>]|[{space}](?:arroba|aroba[s\x{{17f}}]e)[{space}]|_at_|&(?:#|commat|per|plu|lowbar|nb)"
+    plain = rf"[{space}](?:at|@)[{space}][^\s.]+(?:\.|[{space}]\.[{space}])[^\s.]|@\S+[{space}](?:\.|{dot})[{space}]"
+    digits = rf"(?:{sure}){gap}(?:{word}|[0-9]|{many})|(?:{article}){gap}(?:{sure}|{many})|[0-9]{gap}(?:{sure}|{many}|(?:{article}){gap}(?:{word}|[0-9]|{many}))|{many}|plu[s\x{{17f}}][{space},]+(?:[0-9]|{article})"
+    return rf"(?i){digits}|dot|{mark}|{plain}|(?-i:[{glyphs}])"
 
 
 _LOOSE = _loosely()

@@ -99,6 +99,10 @@ DISGUISED = {
     "john [at] example [dot] com": "email", "j.doe at mail dot example dot com": "email", "pаul@exаmple.com": "email", "john@exa​mple.com": "email", "a(at)b.com": "email",
     "10 dot 20 dot 3 dot 4": "ip", "plus one four one five five five five two six seven one": "phone", "+1 (four one five) 555 0199": "phone", "＋１ 202 555 0143": "phone",
     "four one one one one one one one one one one one one one one one": "card",
+    "john at gmail.com": "email", "john @ gmail . com": "email", "john_at_gmail_dot_com": "email", "john&#64;gmail.com": "email", "john&commat;gmail&period;com": "email", "john&#x40;gmail&#46;com": "email",
+    "j.doe at firm.co.uk": "email", "lee7 at firm.org": "email", "juan arroba correo punto es": "email", "luc [arobase] poste [point] fr": "email", "max [at] firma punkt de": "email", "ana@correo . es": "email",
+    "four double one triple one one one one one one one double one one one": "card", "plus vier neun eins fünf zwo drei vier sechs sieben": "phone",
+    "plus trois trois six un deux quatre huit cinq sept neuf zéro": "phone", "+34 seis uno dos tres cuatro cinco ocho nueve cero": "phone",
 }
 
 
@@ -150,7 +154,7 @@ def test_recall_of_disguised_identifiers():
     assert len(cases) == 40 * 17
 
 
-@given(st.lists(st.lists(st.sampled_from(["plus ", "four", "nine", "6", "dot", "\u2026", "\u201d", " ", "-", "a", "(", "at", "@", ")", "\u0430", "\u017fix", "s\u0131x", "F\u0130ve", "\u2003", "\x1f", "\x85", "DOT", "<", "\u3000", "oh", "S"]), max_size=8).map("".join), max_size=5))
+@given(st.lists(st.lists(st.sampled_from(["plus ", "four", "nine", "6", "dot", "\u2026", "\u201d", " ", "-", "a", "(", "at", "@", ")", "\u0430", "\u017fix", "s\u0131x", "F\u0130ve", "\u2003", "\x1f", "\x85", "DOT", "<", "\u3000", "oh", "S", "double", "dos", "fünf", "\u0130", "_", "_at_", " . ", ".", "&#64;", "&commat;", " arroba ", "punto", " at ", "com", "\u212a"]), max_size=8).map("".join), max_size=5))
 def test_cues_are_those_of_the_trigger(texts):
     texts += ["plus 66", "plus fourninesixoneeightthreetwo", "four9six1", "a\u201ddot\u2026b"]
     hidden = np.concatenate([h for _, h in pii.cues(pa.array(texts))])
@@ -159,6 +163,14 @@ def test_cues_are_those_of_the_trigger(texts):
 
 
 def test_plain_prose_has_no_spans():
+    for text in (
+        "Look at example.com, or write to us at firm.com.", "Find me at gmail.com", "sale @ noon . It was", "I was at home.Then I left", "x_at_y = dot_at(3)", "Log in at outlook.com",
+        "un dos tres, ein zwei drei; deux ou trois", "AT&amp;T &#8364; 5 &#64; once", "double one", "The point is at www.site.org", "see version 2 at site.com",
+    ):
+        assert not any(pii.all_spans(text)[1].values()), text
+    for text in ("+1 (621) 555-4974 ein Haus", "+1 (848) 555-1373 Un an", "plus un 15 avril"):
+        base, every = pii.all_spans(text)
+        assert base == every
     for text in ("We met at noon, on the dot.", "one two three, go!", "version 1.2.3", "at [at] home", "café at work"):
         assert not any(pii.all_spans(text)[1].values())
 
