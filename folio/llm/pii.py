@@ -273,8 +273,11 @@ def _loosely() -> str:
     glyphs = "".join(rf"\x{{{ord(c):x}}}" for c in (*_GLYPHS, *_UNSEEN))
     mark = rf"[\[({{<][{space}]?(?:at|@|\.|arroba|aroba[s\x{{17f}}]e|{dot})[{space}]?[\])}}>]|[{space}](?:arroba|aroba[s\x{{17f}}]e)[{space}]|_at_|&(?:#|commat|per|plu|lowbar|nb)"
     plain = rf"[{space}](?:at|@)[{space}][^\s.]+(?:\.|[{space}]\.[{space}])[^\s.]|@\S+[{space}](?:\.|{dot})[{space}]"
-    digits = rf"(?:{sure}){gap}(?:{word}|[0-9]|{many})|(?:{article}){gap}(?:{sure}|{many})|[0-9]{gap}(?:{sure}|{many}|(?:{article}){gap}(?:{word}|[0-9]|{many}))|{many}|plu[s\x{{17f}}][{space},]+(?:[0-9]|{article})"
-    return rf"(?i){digits}|dot|{mark}|{plain}|(?-i:[{glyphs}])"
+    # what is no letter or digit here is none for Python either
+    begin, edge = r"(?:^|[^\pL])", r"[^\pL\pN]"
+    pairs = rf"{begin}(?:(?:{sure}){gap}(?:{word}|[0-9]|{many})|(?:{article}){gap}(?:{sure}|{many})|{many}[{space}-]?(?:{word}|[0-9]))"
+    digits = rf"{pairs}|[0-9]{gap}(?:{sure}|{many}|(?:{article}){gap}(?:{word}|[0-9]|{many}))|plu[s\x{{17f}}][{space},]+(?:[0-9]|{article})"
+    return rf"(?i){digits}|(?:^|{edge})dot(?:$|{edge})|{mark}|{plain}|(?-i:[{glyphs}])"
 
 
 _LOOSE = _loosely()

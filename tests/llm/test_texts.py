@@ -156,9 +156,9 @@ def test_recall_of_disguised_identifiers():
 
 @given(st.lists(st.lists(st.sampled_from(["plus ", "four", "nine", "6", "dot", "\u2026", "\u201d", " ", "-", "a", "(", "at", "@", ")", "\u0430", "\u017fix", "s\u0131x", "F\u0130ve", "\u2003", "\x1f", "\x85", "DOT", "<", "\u3000", "oh", "S", "double", "dos", "fünf", "\u0130", "_", "_at_", " . ", ".", "&#64;", "&commat;", " arroba ", "punto", " at ", "com", "\u212a"]), max_size=8).map("".join), max_size=5))
 def test_cues_are_those_of_the_trigger(texts):
-    texts += ["plus 66", "plus fourninesixoneeightthreetwo", "four9six1", "a\u201ddot\u2026b"]
+    texts += ["plus 66", "plus fourninesixoneeightthreetwo", "four9six1", "a\u201ddot\u2026b", "dot", "_dot_", "\u0301four6"]
     hidden = np.concatenate([h for _, h in pii.cues(pa.array(texts))])
-    assert hidden.tolist() == [bool(pii._TRIGGER.search(t)) for t in texts] and hidden[-4:].all()
+    assert hidden.tolist() == [bool(pii._TRIGGER.search(t)) for t in texts] and hidden[-7:].all()
     assert all(pii._TRIGGER.search(t) or pii.rewrite(t).text == t for t in texts) and not pii._TRIGGER.search("this is written plainly")
 
 
