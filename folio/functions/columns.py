@@ -25,6 +25,11 @@ def date_between(comment: Column, start: str | None = None, end: str | None = No
     return F.coalesce((day >= lo) & (day < hi), F.lit(False))
 
 
+def drawn_place(seed: Column, n: int) -> Column:
+    """The place among ``n`` that a seed draws, each as likely as the others, as ``draw`` has it; null for a null seed."""
+    return F.conv(F.substring(F.md5(seed.cast("string")), 1, 15), 16, 10).cast("long") % F.lit(n)
+
+
 def message_content(body: Column) -> Column:
     """The JSON body as a variant; null for malformed text and for JSON's null, which no handler gets."""
     parsed = F.try_parse_json(body)

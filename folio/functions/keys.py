@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 import warnings
 from collections.abc import Iterable, Mapping, Sequence
@@ -20,6 +22,11 @@ def with_prefix(key: str, prefix: str | None) -> str:
     return join_key(prefix.strip("/") if prefix else None, key)
 
 
+def draw(seed: int | None, n: int) -> int:
+    """A place among ``n``, each as likely as the others: by the digest of the seed, which SQL has as well; without a seed, any."""
+    return random.randrange(n) if seed is None else int(hashlib.md5(str(seed).encode()).hexdigest()[:15], 16) % n
+
+
 def warn_if_unusual_name(name: str) -> bool:
     """Warns of a dataset name that isn't ``name.first-day,last-day[.comment]``; whether it is."""
     usual = bool(_NAME.match(name))

@@ -120,6 +120,11 @@ class Library:
     def random_object(self, header: str | None = None, seed: int | None = None) -> ObjectReader:
         return self.object(self.reader(header or self.default_header).random_key(seed))
 
+    def random_objects(self, seeds: DataFrame, header: str | None = None) -> DataFrame:
+        """The rows of ``seeds`` with ``key`` and, by its manifest, ``match_id`` of the object that ``random_object`` draws by their ``seed``."""
+        found = self.catalog.manifests().select(F.col("manifest_key").alias("key"), F.col("id").alias("match_id"))
+        return self.reader(header or self.default_header).drawn_keys(seeds).join(found, "key", "left").select(*[f"`{c}`" for c in seeds.columns], "key", "match_id")
+
     def object(self, key: str) -> ObjectReader:
         return ObjectReader(self._spark, self.object_root, key)
 

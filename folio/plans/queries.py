@@ -31,7 +31,7 @@ from folio.sources.catalog import ObjectReader
 from folio.sources.collection import write_collection
 from folio.sources.files import Files
 from folio.sources.revisions import latest_revision
-from folio.sources.scratch import new_path
+from folio.sources.scratch import new_path, stored
 from folio.streaming.queue import MESSAGE, QueueConsumer, handled, json_translator
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,13 +460,36 @@ def key_building(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", key_column(F.lit("dataset"), F.lit(""), F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("key"))
 
 
-@query(f"SELECT seed, true AS is_key, key IS NOT NULL AS found FROM (SELECT unnest(range(200))::BIGINT AS seed) LEFT JOIN (SELECT min(key) AS key FROM {_BY_NATION} n) ON true")
+#: Subheaders that keys are drawn from as well as from the header: a region, and its last nation alone.
+REGION, LAST = "region.2024-01-01,2025-01-01", "one.2024-01-01,2025-01-01"
+
+
+@query(f"""WITH held AS (
+  SELECT 'header' AS dataset, key FROM {_BY_NATION} n UNION ALL SELECT '{REGION}', key FROM {_BY_NATION} n WHERE n_regionkey = 4
+  UNION ALL SELECT '{LAST}', key FROM {_BY_NATION} n WHERE key = (SELECT max(key) FROM {_BY_NATION} m WHERE m.n_regionkey = 4)),
+placed AS (SELECT dataset, key, row_number() OVER (PARTITION BY dataset ORDER BY key) - 1 AS place FROM held),
+drawn AS (SELECT dataset, o_orderkey AS seed, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT % n AS place FROM orders, (SELECT dataset, count(*) AS n FROM held GROUP BY dataset)),
+o AS (SELECT n.key, count(*) AS orders FROM {_ORDERS} GROUP BY n.key)
+SELECT dataset, seed, key, n_nationkey IS NOT NULL AS is_key, key IS NOT NULL AS found, 'n' || n_nationkey AS match_id, n_name, coalesce(customers, 0) AS customers, coalesce(orders, 0) AS orders, coalesce(suppliers, 0) AS suppliers
+FROM drawn LEFT JOIN placed USING (dataset, place) LEFT JOIN {_BY_NATION} n USING (key) LEFT JOIN o USING (key)
+  LEFT JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey) USING (n_nationkey)
+  LEFT JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS suppliers FROM supplier GROUP BY s_nationkey) USING (n_nationkey)""")
 def random_match(spark, sf_dir):
-    """Keys of the header dataset drawn with 200 seeds: each is one of its keys."""
-    reader = _library(spark, sf_dir).header_reader()
-    drawn = spark.createDataFrame([(seed, key) for seed, key in enumerate(reader.random_keys(range(200)))], "seed long, key string")
-    known = _read(spark, sf_dir, "nation").select(key_column(F.lit(KIND), F.col("n_regionkey").cast("string"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(KIND)).alias("known"))
-    return drawn.join(known, F.col("key") == F.col("known"), "left").select("seed", F.col("known").isNotNull().alias("is_key"), F.col("key").isNotNull().alias("found"))
+    """Objects drawn by every order's key as a seed, from the header and from subheaders: the keys, and what each object's manifest and channels hold."""
+    library = _library(spark, sf_dir)
+    region = library.create_subheader(REGION, "n_regionkey = 4")
+    library.create_subheader(LAST, F.col("key") == region.keyset()[-1])
+    seeds = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed"))
+    drawn = union_by_name([library.random_objects(seeds, name).withColumn("dataset", F.lit(name)) for name in (library.default_header, REGION, LAST)])
+    keys = stored(drawn.select("key").distinct(), "drawn")
+    channels = library.catalog.read([{"channel": "header", "columns": ["n_name"]}, *({"channel": c, "columns": []} for c in ("customer", "order", "supplier"))], keys)
+    held = channels["header"].select("key", "n_name")
+    for name in ("customer", "order", "supplier"):
+        held = held.join(channels[name].groupBy("key").agg(F.count("*").alias(f"{name}s")), "key", "left")
+    known = _read(spark, sf_dir, "nation").select(key_column(F.lit(KIND), F.col("n_regionkey").cast("string"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(KIND)).alias("key"), F.lit(True).alias("known"))
+    rows = drawn.join(known, "key", "left").join(held, "key", "left")
+    counts = [F.coalesce(f"{name}s", F.lit(0).cast("long")).alias(f"{name}s") for name in ("customer", "order", "supplier")]
+    return rows.select("dataset", "seed", "key", F.col("known").isNotNull().alias("is_key"), F.col("key").isNotNull().alias("found"), "match_id", "n_name", *counts)
 
 
 def _nation_summary(channels):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.keys import join_key
+from folio.functions.columns import drawn_place
+from folio.functions.keys import draw, join_key
 from folio.operators.sets import union_by_name
 from folio.plans.manifest import Manifest, dataset_folder
 from folio.sources.files import Files
@@ -105,9 +105,18 @@ class DatasetReader:
 
     def random_keys(self, seeds: Iterable[int | None]) -> list[str]:
         """A key for each seed, the one that ``random_key`` draws by it; all are looked up at once."""
+        n = self._drawable()
+        drawn = [draw(seed, n) for seed in seeds]
+        held = {r["key_ord"]: r["key"] for r in self.keys().where(F.col("key_ord").isin(sorted(set(drawn)))).select("key_ord", "key").collect()}
+        return [held[i] for i in drawn]
+
+    def drawn_keys(self, seeds: DataFrame) -> DataFrame:
+        """The rows of ``seeds`` with the ``key`` that ``random_key`` draws by their ``seed``, a whole number: for any number of seeds. A null seed draws none."""
+        at = seeds.withColumn("_at", drawn_place(F.col("seed"), self._drawable()))
+        return at.join(self.keys().select(F.col("key_ord").alias("_at"), "key"), "_at", "left").drop("_at")
+
+    def _drawable(self) -> int:
         n = sum(p["keyCount"] for p in self.manifest.pages)
         if not n:
             raise IndexError(f"{self.name} has no keys")
-        drawn = [random.Random(seed).randrange(n) for seed in seeds]
-        held = {r["key_ord"]: r["key"] for r in self.keys().where(F.col("key_ord").isin(sorted(set(drawn)))).select("key_ord", "key").collect()}
-        return [held[i] for i in drawn]
+        return n

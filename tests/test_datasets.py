@@ -79,6 +79,21 @@ def test_drawn_keys_spread_over_all(library):
     assert [reader.random_key(7), reader.random_key(9)] == [drawn[7], drawn[9]]
 
 
+def test_objects_drawn_for_a_frame_of_seeds(spark, library):
+    sub = library.create_subheader(NAME, "map = 'map0'")
+    seeds = spark.range(-100, 200).select(F.col("id").alias("seed"), (F.col("id") % 7).alias("n")).unionAll(spark.sql("select cast(null as bigint), 0L"))
+    for name, reader in ((None, library.header_reader()), (NAME, sub)):
+        rows = library.random_objects(seeds, name).collect()
+        assert len(rows) == 301 and rows[0].asDict().keys() == {"seed", "n", "key", "match_id"}
+        drawn = {r["seed"]: (r["key"], r["match_id"]) for r in rows}
+        assert drawn.pop(None) == (None, None)
+        assert [drawn[i][0] for i in range(-100, 200)] == reader.random_keys(range(-100, 200)) and {k for k, _ in drawn.values()} == set(reader.keyset())
+        assert all(k.split("/")[-2] == "m" + i.removeprefix("id") for k, i in drawn.values())
+    one = library.random_object(seed=11).manifest
+    assert library.random_objects(seeds.where("seed = 11")).select("key", "match_id").collect() == [(one["key"], one["id"])]
+    assert library.header_reader().random_key() in library.keyset("header")
+
+
 def ticks(channels):
     return channels["tick"].select("key", "tick")
 

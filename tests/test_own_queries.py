@@ -35,3 +35,14 @@ def plain(frame):
 def test_query_equals_sql(spark, sql, name):
     got, want = QUERIES[name](spark, str(DATA)).toPandas(), sql.execute(ORACLES[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_random_match_gives_every_draw_with_its_object(spark, sql):
+    rows = QUERIES["random_match"](spark, str(DATA)).toPandas()
+    seeds, nations = (sql.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("orders", "nation"))
+    keys = rows.groupby("dataset")["key"].agg(["size", "nunique"])
+    assert set(keys["size"]) == {seeds} and keys.loc["header", "nunique"] == nations and sorted(keys["nunique"])[:2] == [1, 5]
+    objects = rows[rows["dataset"] == "header"].drop_duplicates("key")
+    assert rows["is_key"].all() and objects["match_id"].nunique() == nations and objects["orders"].sum() == seeds
+    assert objects["customers"].sum() == sql.execute("SELECT count(*) FROM customer").fetchone()[0] and objects["suppliers"].sum() == sql.execute("SELECT count(*) FROM supplier").fetchone()[0]
